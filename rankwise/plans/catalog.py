@@ -1,101 +1,11 @@
-"""Registered queries: name -> (Spark builder, DuckDB oracle SQL or None).
-
-Every builder takes ``(spark, sf_dir)`` and returns a lazy DataFrame over
-the whole tables.  Output columns are aliased identically in both engines;
-doubles are rounded to 6 decimals and integers cast to bigint so values
-hash equally.
-"""
+"""All registered queries (imports register them) and the flagship."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from rankwise.functions.columns import round6
-from rankwise.operators import scoring
-from rankwise.plans import fixtures as fx
-from rankwise.plans.oracle import F1_SQL
-from rankwise.schemas import requirement_types
-
-Builder = Callable[[SparkSession, str], DataFrame]
-REGISTRY: dict[str, tuple[Builder, str | None]] = {}
-
-
-def register(name: str, sql: str | None):
-    def deco(fn: Builder) -> Builder:
-        if name in REGISTRY:
-            raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = (fn, sql)
-        return fn
-    return deco
-
-
-def _scores(spark, sf_dir):
-    return scoring.clamp_scores(fx.f1_requirement_scores(spark, sf_dir))
-
-
-# ---------------------------------------------------------------- scoring (F1)
-
-@register("clamped_scores", f"""WITH {F1_SQL}
-SELECT job_id, candidate_id, type, kind, CAST(raw_score AS BIGINT) AS raw_score, CAST(score AS BIGINT) AS score
-FROM scores""")
-def q_clamped_scores(spark, sf_dir):
-    s = _scores(spark, sf_dir)
-    return s.select("job_id", "candidate_id", "type", "kind", F.col("raw_score").cast("bigint").alias("raw_score"),
-                    F.col("score").cast("bigint").alias("score"))
-
-
-@register("category_means", f"""WITH {F1_SQL}
-SELECT job_id, candidate_id, type, CAST(n AS BIGINT) AS n_scores, round(CAST(s AS DOUBLE) / n, 6) AS mean_score
-FROM cat""")
-def q_category_means(spark, sf_dir):
-    m = scoring.category_means(_scores(spark, sf_dir))
-    return m.select("job_id", "candidate_id", "type", F.col("n_scores").cast("bigint").alias("n_scores"),
-                    round6("mean_score").alias("mean_score"))
-
-
-@register("weighted_totals", f"""WITH {F1_SQL}
-SELECT job_id, candidate_id, round(total_score, 6) AS total_score FROM totals""")
-def q_weighted_totals(spark, sf_dir):
-    t = scoring.weighted_totals(_scores(spark, sf_dir), requirement_types(spark))
-    return t.select("job_id", "candidate_id", round6("total_score").alias("total_score"))
-
-
-@register("score_range_violations", f"""WITH {F1_SQL}
-SELECT job_id, candidate_id, type, CAST(score AS BIGINT) AS score FROM scores WHERE score < 0 OR score > 100""")
-def q_score_range_violations(spark, sf_dir):
-    v = scoring.score_range_violations(_scores(spark, sf_dir))
-    return v.select("job_id", "candidate_id", "type", F.col("score").cast("bigint").alias("score"))
-
-
-def _pivot_sql_cols() -> str:
-    return ", ".join(
-        f"round(CAST(sum(s) FILTER (WHERE type = '{t}') AS DOUBLE) / sum(n) FILTER (WHERE type = '{t}'), 6) "
-        f"AS \"score ({t})\"" for t in fx.TYPE_NAMES)
-
-
-@register("category_pivot", f"""WITH {F1_SQL}
-SELECT job_id, candidate_id, {_pivot_sql_cols()} FROM cat GROUP BY ALL""")
-def q_category_pivot(spark, sf_dir):
-    w = scoring.category_pivot(_scores(spark, sf_dir), fx.TYPE_NAMES)
-    return w.select("job_id", "candidate_id", *[round6(f"`score ({t})`").alias(f"score ({t})") for t in fx.TYPE_NAMES])
-
 
-@register("ranked_overview", f"""WITH {F1_SQL}, piv AS (
-  SELECT job_id, candidate_id, {_pivot_sql_cols()} FROM cat GROUP BY ALL
-)
-SELECT d.job_id, d.candidate_id,
-       CAST(row_number() OVER (PARTITION BY d.job_id ORDER BY d.promising DESC, d.total_score DESC, d.candidate_id)
-            AS BIGINT) AS place,
-       d.promising, round(d.total_score, 6) AS total_score, {", ".join(f'p."score ({t})"' for t in fx.TYPE_NAMES)}
-FROM decided d LEFT JOIN piv p USING (job_id, candidate_id)""")
-def q_ranked_overview(spark, sf_dir):
-    o = scoring.overview(_scores(spark, sf_dir), requirement_types(spark), fx.TYPE_NAMES)
-    return o.select("job_id", "candidate_id", F.col("place").cast("bigint").alias("place"), "promising",
-                    round6("total_score").alias("total_score"),
-                    *[round6(f"`score ({t})`").alias(f"score ({t})") for t in fx.TYPE_NAMES])
+from rankwise.plans import q_evaluation, q_scoring  # noqa: F401
+from rankwise.plans.registry import REGISTRY, Builder
 
 
 def queries() -> dict[str, Builder]:
@@ -107,4 +17,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return REGISTRY["ranked_overview"][0](spark, sf_dir)
+    return REGISTRY["job_metrics_label_sequence"][0](spark, sf_dir)

@@ -83,3 +83,29 @@ def f3_model_ballots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     info = (vol.groupBy("job_id").agg(F.sum("n").alias("n"))
             .select("job_id", (F.lit(30) + F.col("n") % 90).cast("bigint").alias("seconds_taken")))
     return ballots, info
+
+
+def f2_wide(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[dict]]:
+    """F2 in the wide questionnaire shape: one row per rater, per job a
+    minutes column, a ``;`` list of promising names and one place column per
+    candidate.  Returns the frame and its positional layout.
+
+    The column list (jobs x candidates) is the width of the form and is
+    read from the data once, like a pivot's value list.
+    """
+    ballots, headers = f2_ballots(spark, sf_dir)
+    keys = [(r["job_id"], r["candidate"]) for r in
+            ballots.select("job_id", "candidate").distinct().orderBy("job_id", "candidate").collect()]
+    key_col = F.concat_ws("|", "job_id", "candidate")
+    places = (ballots.withColumn("_key", key_col).groupBy("rater_ord")
+              .pivot("_key", [f"{j}|{c}" for j, c in keys]).agg(F.first("place")))
+    jobs = sorted({j for j, _ in keys})
+    prom = (ballots.groupBy("job_id", "rater_ord")
+            .agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("promising"), F.col("candidate")))), ";")
+                 .alias("plist")))
+    head = headers.join(prom, ["job_id", "rater_ord"])
+    hw = head.groupBy("rater_ord").pivot("job_id", jobs).agg(F.first("minutes").alias("m"), F.first("plist").alias("p"))
+    wide = places.join(hw, "rater_ord")
+    layout = [{"job_id": j, "minutes": f"{j}_m", "promising": f"{j}_p",
+               "places": [(f"{j}|{c}", f"Place of {c}") for jj, c in keys if jj == j]} for j in jobs]
+    return wide, layout

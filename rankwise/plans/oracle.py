@@ -63,3 +63,93 @@ model AS (
   FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY n DESC, candidate) AS place FROM mvol)
 ),
 run_info AS (SELECT job_id, CAST(30 + sum(n) % 90 AS BIGINT) AS seconds_taken FROM mvol GROUP BY ALL)"""
+
+# consensus of the F2 ballots (majority set + four-key mean ranking)
+CONSENSUS_SQL = """
+nb AS (SELECT job_id, count(DISTINCT rater) AS n_ballots FROM ballots GROUP BY ALL),
+maj AS (
+  SELECT b.job_id, b.candidate, CAST(count(*) FILTER (WHERE b.promising) AS BIGINT) AS votes,
+         CAST(nb.n_ballots AS BIGINT) AS n_ballots, count(*) FILTER (WHERE b.promising) * 2 > nb.n_ballots AS in_majority
+  FROM ballots b JOIN nb USING (job_id) GROUP BY b.job_id, b.candidate, nb.n_ballots
+),
+mode_c AS (SELECT job_id, candidate, place, count(*) AS c, min(rater_ord) AS f FROM ballots GROUP BY ALL),
+modes AS (
+  SELECT job_id, candidate, place AS mode_place FROM (
+    SELECT *, row_number() OVER (PARTITION BY job_id, candidate ORDER BY c DESC, f ASC) AS rn FROM mode_c
+  ) WHERE rn = 1
+),
+stats AS (
+  SELECT job_id, candidate, sum(place) AS ps, count(*) AS pn, min(place) AS min_place, max(place) AS max_place,
+         min(rater_ord) AS first_rater
+  FROM ballots GROUP BY ALL
+),
+cons_rank AS (
+  SELECT s.*, m.mode_place, CAST(s.ps AS DOUBLE) / s.pn AS mean_place,
+         row_number() OVER (PARTITION BY s.job_id ORDER BY CAST(s.ps AS DOUBLE) / s.pn, m.mode_place, s.min_place,
+                            s.max_place, s.first_rater, s.candidate) AS place
+  FROM stats s JOIN modes m USING (job_id, candidate)
+),
+consensus AS (
+  SELECT c.job_id, c.candidate, c.place, j.in_majority AS promising FROM cons_rank c JOIN maj j USING (job_id, candidate)
+),
+model_b AS (SELECT job_id, 'model' AS rater, 1073741824 AS rater_ord, candidate, place, promising FROM model)"""
+
+
+def compare_sql(name: str, x: str, r: str, method: str = "rank") -> str:
+    """CTE ``name(job_id, rater, hamming, tau, n)``: every ballot of ``x`` against
+    the one ballot per job of ``r`` (brute force pairs: the oracle only)."""
+    if method == "rank":
+        pair = (f"FROM {x} x1 JOIN {x} x2 ON x1.job_id = x2.job_id AND x1.rater = x2.rater AND x1.candidate < x2.candidate "
+                f"JOIN {r} r1 ON r1.job_id = x1.job_id AND r1.candidate = x1.candidate "
+                f"JOIN {r} r2 ON r2.job_id = x2.job_id AND r2.candidate = x2.candidate")
+        disc = "sign(x1.place - x2.place) * sign(r1.place - r2.place) < 0"
+        nj = f"FROM {x} x JOIN {r} r ON x.job_id = r.job_id AND x.candidate = r.candidate"
+    else:
+        pair = (f"FROM {x} x1 JOIN {x} x2 ON x1.job_id = x2.job_id AND x1.rater = x2.rater AND x1.place < x2.place "
+                f"JOIN {r} r1 ON r1.job_id = x1.job_id AND r1.place = x1.place "
+                f"JOIN {r} r2 ON r2.job_id = x2.job_id AND r2.place = x2.place")
+        disc = "(x1.candidate < x2.candidate) <> (r1.candidate < r2.candidate)"
+        nj = f"FROM {x} x JOIN {r} r ON x.job_id = r.job_id AND x.place = r.place"
+    return f"""
+{name}_d AS (SELECT x1.job_id, x1.rater, count(*) FILTER (WHERE {disc}) AS d {pair} GROUP BY ALL),
+{name}_n AS (SELECT x.job_id, x.rater, count(*) AS n {nj} GROUP BY ALL),
+{name}_h AS (
+  SELECT x.job_id, x.rater, CAST(count(*) FILTER (WHERE x.promising <> coalesce(r.promising, false)) AS BIGINT) AS hamming
+  FROM {x} x LEFT JOIN {r} r ON x.job_id = r.job_id AND x.candidate = r.candidate GROUP BY ALL
+),
+{name} AS (
+  SELECT h.job_id, h.rater, h.hamming,
+         CASE WHEN n.n >= 2 THEN 1.0 - 4.0 * coalesce(d.d, 0) / (n.n * (n.n - 1)) END AS tau, CAST(n.n AS BIGINT) AS n
+  FROM {name}_h h LEFT JOIN {name}_n n USING (job_id, rater) LEFT JOIN {name}_d d USING (job_id, rater)
+)"""
+
+
+def pairwise_sql(name: str, ents: str, method: str = "rank") -> str:
+    """CTE ``name(job_id, entity_a, entity_b, hamming, tau, n)`` over all entity pairs."""
+    if method == "rank":
+        pair = (f"FROM {ents} a1 JOIN {ents} a2 ON a1.job_id = a2.job_id AND a1.rater = a2.rater AND a1.candidate < a2.candidate "
+                f"JOIN {ents} b1 ON b1.job_id = a1.job_id AND b1.candidate = a1.candidate "
+                f"JOIN {ents} b2 ON b2.job_id = a1.job_id AND b2.rater = b1.rater AND b2.candidate = a2.candidate")
+        disc = "sign(a1.place - a2.place) * sign(b1.place - b2.place) < 0"
+        nj = f"FROM {ents} a JOIN {ents} b ON a.job_id = b.job_id AND a.candidate = b.candidate"
+    else:
+        pair = (f"FROM {ents} a1 JOIN {ents} a2 ON a1.job_id = a2.job_id AND a1.rater = a2.rater AND a1.place < a2.place "
+                f"JOIN {ents} b1 ON b1.job_id = a1.job_id AND b1.place = a1.place "
+                f"JOIN {ents} b2 ON b2.job_id = a1.job_id AND b2.rater = b1.rater AND b2.place = a2.place")
+        disc = "(a1.candidate < a2.candidate) <> (b1.candidate < b2.candidate)"
+        nj = f"FROM {ents} a JOIN {ents} b ON a.job_id = b.job_id AND a.place = b.place"
+    return f"""
+{name}_d AS (SELECT a1.job_id, a1.rater AS entity_a, b1.rater AS entity_b, count(*) FILTER (WHERE {disc}) AS d
+             {pair} GROUP BY ALL),
+{name}_n AS (SELECT a.job_id, a.rater AS entity_a, b.rater AS entity_b, count(*) AS n {nj} GROUP BY ALL),
+{name}_h AS (
+  SELECT a.job_id, a.rater AS entity_a, b.rater AS entity_b,
+         CAST(count(*) FILTER (WHERE a.promising <> b.promising) AS BIGINT) AS hamming
+  FROM {ents} a JOIN {ents} b ON a.job_id = b.job_id AND a.candidate = b.candidate GROUP BY ALL
+),
+{name} AS (
+  SELECT h.job_id, h.entity_a, h.entity_b, h.hamming,
+         CASE WHEN n.n >= 2 THEN 1.0 - 4.0 * coalesce(d.d, 0) / (n.n * (n.n - 1)) END AS tau, CAST(n.n AS BIGINT) AS n
+  FROM {name}_h h JOIN {name}_n n USING (job_id, entity_a, entity_b)
+  LEFT JOIN {name}_d d USING (job_id, entity_a, entity_b)
+)"""
