@@ -109,3 +109,76 @@ def f2_wide(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[dict]]:
     layout = [{"job_id": j, "minutes": f"{j}_m", "promising": f"{j}_p",
                "places": [(f"{j}|{c}", f"Place of {c}") for jj, c in keys if jj == j]} for j in jobs]
     return wide, layout
+
+
+# ------------------------------------------------------------- text adapters
+
+NBSP, ZWSP = "\u00a0", "\u200b"
+
+
+def f5_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` with a no-break space (even ids) or a zero-width space
+    (odd ids) in place of the first blank of every tenth document."""
+    d = table(spark, sf_dir, "documents")
+    inject = F.when(F.col("doc_id") % 2 == 0, F.lit(NBSP)).otherwise(F.lit(ZWSP))
+    text = F.when(F.col("doc_id") % 10 == 0,
+                  F.regexp_replace(F.col("text"), "^([^ ]*) ", F.concat(F.lit("$1"), inject)))
+    return d.select("doc_id", F.coalesce(text, F.col("text")).alias("text"), "lang", "source", "n_chars")
+
+
+def f_front(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Scoring front: jobs are the 20 document sources; candidates are the
+    documents of a source; the requirements of job ``src<k>`` are the
+    ``benchmark`` items with ``item_id % 20 = k`` (type and kind by rule)."""
+    docs = f5_documents(spark, sf_dir).select(F.col("source").alias("job_id"),
+                                              F.col("doc_id").alias("candidate_id"), "text")
+    b = table(spark, sf_dir, "benchmark")
+    reqs = b.select(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("job_id"),
+                    F.col("item_id").alias("requirement_id"),
+                    _type_by_index((F.floor(F.col("item_id") / 20) % 12 + 1).cast("int")).alias("type"),
+                    F.when(F.col("item_id") % 3 == 0, F.lit(KIND_MANDATORY)).otherwise(F.lit(KIND_OPTIONAL))
+                    .alias("kind"),
+                    F.col("text").alias("specification"))
+    return reqs, docs
+
+
+def f5b_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noisy score answers ``(event_id, answer)`` from ``events``; the
+    defect class is ``event_id % 10``."""
+    e = table(spark, sf_dir, "events")
+    v = F.floor("value").cast("bigint").cast("string")
+    t = F.col("event_type")
+    k = F.col("event_id") % 10
+    L = F.lit
+    text = (F.when(k == 0, F.concat(L("Sure: no object here, value "), v))
+            .when(k == 1, F.concat(L('Sure: {"value": "'), v, L('", "explanation": "'), t, L("\nsecond line\"} done")))
+            .when(k == 2, F.concat(L('Sure: {"value": '), v, L('.5, "explanation": "'), t, L('"} done')))
+            .when(k == 3, F.concat(L('Sure: {"value": "high", "explanation": "'), t, L('"} done')))
+            .when(k == 4, F.concat(L('Sure: {"value": '), (F.floor("value") + 100).cast("bigint").cast("string"),
+                                   L(', "explanation": "'), t, L('"} done')))
+            .when(k == 5, F.concat(L('Sure: {"value": '), v, L("} done")))
+            .when(k == 6, F.concat(L('Sure: {"value": '), v, L(', "explanation": "'), t, L('"} {"value": 0} done')))
+            .when(k == 7, F.concat(L('Sure: {"value": '), v, L(', "explanation": "'), t, L('", "extra": '),
+                                   F.col("props"), L("} done")))
+            .when(k == 8, F.concat(L('Sure: {"value": '), v, L(', "explanation": " '), t, L(' "} done')))
+            .otherwise(F.concat(L('Sure: {"value": "'), v, L('.0", "explanation": "'), t, L('"} done'))))
+    return e.select("event_id", text.alias("answer"))
+
+
+def f5c_requirement_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extraction answers ``(event_id, answer)`` from ``events``: defect class
+    ``event_id % 10`` (unknown type, non-list, non-object items, bad kind,
+    missing specification, then clean answers with two requirements)."""
+    e = table(spark, sf_dir, "events")
+    t = _type_by_index((F.col("event_id") % 12 + 1).cast("int"))
+    spec = F.concat(F.col("event_type"), F.lit(" level "), F.floor("value").cast("bigint").cast("string"))
+    k = F.col("event_id") % 10
+    L = F.lit
+    text = (F.when(k == 0, F.concat(L('{"not_a_type": [{"type": "mandatory", "specification": "'), spec, L('"}]}')))
+            .when(k == 1, F.concat(L('{"'), t, L('": "'), spec, L('"}')))
+            .when(k == 2, F.concat(L('{"'), t, L('": ["'), spec, L('", 5]}')))
+            .when(k == 3, F.concat(L('{"'), t, L('": [{"type": "required", "specification": "'), spec, L('"}]}')))
+            .when(k == 4, F.concat(L('{"'), t, L('": [{"type": "optional"}]}')))
+            .otherwise(F.concat(L('Result: {"'), t, L('": [{"type": "mandatory", "specification": " '), spec,
+                                L(' "}, {"type": "optional", "specification": "'), spec, L(' too"}], "notes": "none"} end'))))
+    return e.select("event_id", text.alias("answer"))

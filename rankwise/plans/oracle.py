@@ -153,3 +153,112 @@ def pairwise_sql(name: str, ents: str, method: str = "rank") -> str:
   FROM {name}_h h JOIN {name}_n n USING (job_id, entity_a, entity_b)
   LEFT JOIN {name}_d d USING (job_id, entity_a, entity_b)
 )"""
+
+# Python's str.strip set as a regex class (same text in Java and RE2)
+WS = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def strip_sql(e: str) -> str:
+    return f"regexp_replace({e}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+F5_SQL = """
+f5 AS (
+  SELECT doc_id,
+         CASE WHEN doc_id % 10 = 0 THEN regexp_replace(text, '^([^ ]*) ',
+              '\\1' || CASE WHEN doc_id % 2 = 0 THEN chr(160) ELSE chr(8203) END) ELSE text END AS text,
+         lang, source, n_chars
+  FROM documents
+)"""
+
+FRONT_SQL = F5_SQL + f""",
+types(type, ord, weighting) AS (VALUES {TYPES_VALUES_SQL}),
+reqs AS (
+  SELECT 'src' || CAST(item_id % 20 AS VARCHAR) AS job_id, item_id AS requirement_id,
+         ({TYPE_LIST_SQL})[CAST(floor(item_id / 20) % 12 + 1 AS INTEGER)] AS type,
+         CASE WHEN item_id % 3 = 0 THEN 'mandatory' ELSE 'optional' END AS kind, text AS specification
+  FROM benchmark
+),
+docs AS (SELECT source AS job_id, doc_id AS candidate_id, text FROM f5)"""
+
+
+def ngram_sql(text: str) -> str:
+    """Distinct 1..3-grams of the lower-cased letter/digit tokens of ``text``."""
+    toks = f"list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), x -> length(x) > 0)"
+    return (f"list_distinct(flatten([[array_to_string(t[i:i + n - 1], ' ') FOR i IN range(1, len(t) - n + 2)] "
+            f"FOR n IN [1, 2, 3]])) FROM (SELECT *, {toks} AS t")
+
+
+F5B_SQL = """
+f5b AS (
+  SELECT event_id, CASE event_id % 10
+    WHEN 0 THEN 'Sure: no object here, value ' || CAST(floor(value) AS BIGINT)
+    WHEN 1 THEN 'Sure: {"value": "' || CAST(floor(value) AS BIGINT) || '", "explanation": "' || event_type || chr(10) || 'second line"} done'
+    WHEN 2 THEN 'Sure: {"value": ' || CAST(floor(value) AS BIGINT) || '.5, "explanation": "' || event_type || '"} done'
+    WHEN 3 THEN 'Sure: {"value": "high", "explanation": "' || event_type || '"} done'
+    WHEN 4 THEN 'Sure: {"value": ' || CAST(floor(value) + 100 AS BIGINT) || ', "explanation": "' || event_type || '"} done'
+    WHEN 5 THEN 'Sure: {"value": ' || CAST(floor(value) AS BIGINT) || '} done'
+    WHEN 6 THEN 'Sure: {"value": ' || CAST(floor(value) AS BIGINT) || ', "explanation": "' || event_type || '"} {"value": 0} done'
+    WHEN 7 THEN 'Sure: {"value": ' || CAST(floor(value) AS BIGINT) || ', "explanation": "' || event_type || '", "extra": ' || props || '} done'
+    WHEN 8 THEN 'Sure: {"value": ' || CAST(floor(value) AS BIGINT) || ', "explanation": " ' || event_type || ' "} done'
+    ELSE 'Sure: {"value": "' || CAST(floor(value) AS BIGINT) || '.0", "explanation": "' || event_type || '"} done'
+  END AS answer FROM events
+),
+f5b_p AS (
+  SELECT event_id, answer, obj, replace(obj, chr(10), '\\n') AS objn,
+         regexp_replace(obj, '"(?:[^"\\\\]|\\\\.)*"', '""', 'g') AS bare
+  FROM (SELECT *, regexp_extract(answer, '(?s)\\{.*\\}', 0) AS obj FROM f5b)
+),
+f5b_v AS (
+  SELECT event_id, answer, obj, bare, json_valid(objn) AS ok,
+         CASE WHEN json_valid(objn) THEN json_extract_string(objn, '$.value') END AS v,
+         CASE WHEN json_valid(objn) THEN json_extract_string(objn, '$.explanation') END AS e
+  FROM f5b_p
+),
+parsed AS (
+  SELECT event_id, answer,
+    CASE WHEN regexp_full_match(trim(v), '[+-]?\\d+(\\.0*)?') THEN CAST(regexp_replace(trim(v), '\\.0*$', '') AS BIGINT) END AS value,
+    """ + strip_sql("e") + """ AS explanation,
+    CASE WHEN obj = '' THEN 'no_json'
+         WHEN regexp_matches(bare, '\\}\\s*\\{') THEN 'not_one_object'
+         WHEN NOT ok THEN 'malformed'
+         WHEN v IS NULL THEN 'missing_value'
+         WHEN NOT regexp_full_match(trim(v), '[+-]?\\d+(\\.0*)?') THEN 'bad_value'
+         WHEN e IS NULL THEN 'missing_explanation'
+    END AS reason
+  FROM f5b_v
+)"""
+
+F5C_SQL = f"""
+f5c AS (
+  SELECT event_id, CASE event_id % 10
+    WHEN 0 THEN '{{"not_a_type": [{{"type": "mandatory", "specification": "' || spec || '"}}]}}'
+    WHEN 1 THEN '{{"' || t || '": "' || spec || '"}}'
+    WHEN 2 THEN '{{"' || t || '": ["' || spec || '", 5]}}'
+    WHEN 3 THEN '{{"' || t || '": [{{"type": "required", "specification": "' || spec || '"}}]}}'
+    WHEN 4 THEN '{{"' || t || '": [{{"type": "optional"}}]}}'
+    ELSE 'Result: {{"' || t || '": [{{"type": "mandatory", "specification": " ' || spec || ' "}}, {{"type": "optional", "specification": "' || spec || ' too"}}], "notes": "none"}} end'
+  END AS answer
+  FROM (SELECT event_id, ({TYPE_LIST_SQL})[CAST(event_id % 12 + 1 AS INTEGER)] AS t,
+               event_type || ' level ' || CAST(floor(value) AS BIGINT) AS spec FROM events)
+),
+f5c_obj AS (SELECT event_id, regexp_extract(answer, '(?s)\\{{.*\\}}', 0) AS obj FROM f5c),
+f5c_kv AS (SELECT event_id, obj, unnest(json_keys(obj)) AS req_type FROM f5c_obj WHERE obj <> ''),
+f5c_lists AS (
+  SELECT k.event_id, k.req_type, json_extract(k.obj, '$."' || k.req_type || '"') AS arr
+  FROM f5c_kv k JOIN (VALUES {TYPES_VALUES_SQL}) AS ty(type, ord, weighting) ON ty.type = k.req_type
+  WHERE json_type(k.obj, '$."' || k.req_type || '"') = 'ARRAY'
+),
+f5c_items AS (
+  SELECT event_id, req_type, i AS req_pos, json_extract(arr, '$[' || i || ']') AS item
+  FROM (SELECT *, unnest(range(CAST(json_array_length(arr) AS BIGINT))) AS i FROM f5c_lists)
+),
+reqs_parsed AS (
+  SELECT event_id, req_type, CAST(req_pos AS BIGINT) AS req_pos,
+         {strip_sql("json_extract_string(item, '$.type')")} AS kind,
+         {strip_sql("json_extract_string(item, '$.specification')")} AS specification,
+         CASE WHEN json_extract_string(item, '$.type') IS NULL THEN 'missing_type'
+              WHEN {strip_sql("json_extract_string(item, '$.type')")} NOT IN ('mandatory', 'optional') THEN 'bad_type'
+              WHEN json_extract_string(item, '$.specification') IS NULL THEN 'missing_specification' END AS reason
+  FROM f5c_items WHERE json_type(item) = 'OBJECT'
+)"""
