@@ -62,3 +62,36 @@ def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[Column], name:
     out = ranged.join(offsets.select(*by, "_rk_pid", "_rk_off", "_rk_lo"), on=by + ["_rk_pid"], how="inner")
     out = out.withColumn(name, (F.col("_rk_off") + F.col("_rk_local") - F.col("_rk_lo") + 1).cast("int"))
     return out.drop("_rk_id", "_rk_pid", "_rk_local", "_rk_off", "_rk_lo")
+
+
+def prefix_count(df: DataFrame, by: Sequence[str], order: Sequence[Column], flag: Column, name: str,
+                 method: str = "auto", max_window_group: int = 1_000_000,
+                 num_partitions: int | None = None) -> DataFrame:
+    """Number of earlier rows (strictly before, in ``order``) of the same
+    ``by`` group whose ``flag`` is true - a segmented running count.
+
+    ``window`` path for bounded groups; ``range`` path for hot groups: range
+    partitioning spreads one group over many tasks, each task counts
+    locally (window over its own range partition) and per-(group, partition)
+    totals give the offsets, as in ``rank_within``.
+    """
+    by, order = list(by), list(order)
+    df = df.withColumn("_pc_f", flag.cast("long"))
+    if method == "auto":
+        method = "window" if max_group_size(df, by) <= max_window_group else "range"
+    before = Window.unboundedPreceding
+    if method == "window":
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(before, -1)
+        return df.withColumn(name, F.coalesce(F.sum("_pc_f").over(w), F.lit(0))).drop("_pc_f")
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) for c in by] + order
+    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+              .withColumn("_pc_pid", F.shiftright(F.monotonically_increasing_id(), _LOCAL_BITS)))
+    local_w = Window.partitionBy("_pc_pid", *by).orderBy(*order).rowsBetween(before, -1)
+    local = ranged.withColumn("_pc_local", F.coalesce(F.sum("_pc_f").over(local_w), F.lit(0)))
+    totals = ranged.groupBy(*by, "_pc_pid").agg(F.sum("_pc_f").alias("_pc_n"))
+    prev = Window.partitionBy(*by).orderBy("_pc_pid").rowsBetween(before, -1)
+    offsets = totals.withColumn("_pc_off", F.coalesce(F.sum("_pc_n").over(prev), F.lit(0)))
+    out = local.join(offsets.select(*by, "_pc_pid", "_pc_off"), by + ["_pc_pid"])
+    return out.withColumn(name, F.col("_pc_off") + F.col("_pc_local")).drop("_pc_f", "_pc_pid", "_pc_local", "_pc_off")
