@@ -65,7 +65,7 @@ def tau_to_pair_distance(tau: Column | str, n: Column | str) -> Column:
 
 def elapsed_seconds_ceil(start: Column | str, stop: Column | str) -> Column:
     """Elapsed seconds between two timestamps, rounded up."""
-    micros = F.unix_micros(col_(stop)) - F.unix_micros(col_(start))
+    micros = F.unix_micros(col_(stop).cast("timestamp")) - F.unix_micros(col_(start).cast("timestamp"))
     return F.ceil(micros / F.lit(1_000_000)).cast("bigint")
 
 
