@@ -12,7 +12,7 @@ TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 def tokens(text: Column | str) -> Column:
     """Lower-cased letter/digit runs of the whole text (no empty tokens)."""
-    return F.filter(F.split(F.lower(col_(text)), TOKEN_SPLIT), lambda t: F.length(t) > 0)
+    return F.array_remove(F.split(F.lower(col_(text)), TOKEN_SPLIT), "")
 
 
 def ngrams(toks: Column, max_n: int = 3) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from rankwise.operators.agreement import compare_to_reference
 from rankwise.operators.consensus import consensus_ballots, consensus_header
 from rankwise.schemas import MODEL_ENTITY
+from rankwise.session import checkpointed
 
 JOB_METRIC_COLUMNS = [
     "human_hamming", "human_tau", "model_hamming", "model_tau",
@@ -54,12 +55,15 @@ def better_or_equal(model_err: DataFrame, human_err: DataFrame) -> DataFrame:
 
 
 def job_metrics(ballots: DataFrame, headers: DataFrame, model: DataFrame, run_info: DataFrame,
-                method: str = "label_sequence") -> DataFrame:
+                method: str = "rank", materialize: bool = True) -> DataFrame:
     """One row per job with all reported metrics.
 
-    ``ballots`` feeds four branches; persist it when it is expensive.
+    The consensus feeds five branches; with ``materialize`` it is written
+    once to the checkpoint folder (reliable checkpoint, small table).
     """
     consensus = consensus_ballots(ballots)
+    if materialize:
+        consensus = checkpointed(consensus)
     human_err = compare_to_reference(ballots, consensus, method)                    # J4
     model_err = compare_to_reference(model_as_ballot(model), consensus, method)     # J5
     mean_err = human_err.groupBy("job_id").agg(F.avg("hamming").alias("human_hamming"),

@@ -35,29 +35,42 @@ def assert_scores_in_range(scores: DataFrame, lo: int = MIN_SCORE, hi: int = MAX
                                              F.col("score")))
 
 
-def category_means(scores: DataFrame, lo: int = MIN_SCORE) -> DataFrame:
+def category_stats(scores: DataFrame, lo: int = MIN_SCORE) -> DataFrame:
+    """One pass over the score table: per (job, candidate, type) the exact sum
+    and count of all scores and of the mandatory ones.  Totals, decision and
+    pivot all read this one aggregate (one shuffle, reused)."""
+    mand = F.col("kind") == KIND_MANDATORY
+    return (scores.groupBy(*KEYS, "type")
+            .agg(F.sum(F.col("score").cast("bigint") - lo).alias("sum_above_min"),
+                 F.count("score").alias("n_scores"),
+                 F.sum(F.when(mand, F.col("score").cast("bigint"))).alias("mand_sum"),
+                 F.count(F.when(mand, F.col("score"))).alias("mand_n")))
+
+
+def category_means(scores: DataFrame, lo: int = MIN_SCORE, stats: DataFrame | None = None) -> DataFrame:
     """A1: mean score per (job, candidate, type); types without scores are absent.
 
     Keeps the exact integer sum and count so later steps divide once.
     """
-    return (scores.groupBy(*KEYS, "type")
-            .agg(F.sum(F.col("score").cast("bigint") - lo).alias("sum_above_min"),
-                 F.count("score").alias("n_scores"))
-            .withColumn("mean_score", F.col("sum_above_min") / F.col("n_scores") + F.lit(lo)))
+    stats = stats if stats is not None else category_stats(scores, lo)
+    return stats.withColumn("mean_score", F.col("sum_above_min") / F.col("n_scores") + F.lit(lo))
 
 
 def weighted_totals(scores: DataFrame, types: DataFrame, candidates: DataFrame | None = None,
-                    lo: int = MIN_SCORE) -> DataFrame:
+                    lo: int = MIN_SCORE, stats: DataFrame | None = None) -> DataFrame:
     """A3: ``min + sum_t mean_t(score - min) * w_t / sum_{present t} w_t``.
 
     ``candidates`` (job_id, candidate_id) lets a candidate without any
     score appear with total ``min`` (left join), as the reference does.
+    The weights are the 12-row type dimension (broadcast, fixed size).
     """
+    stats = stats if stats is not None else category_stats(scores, lo)
     weights = F.broadcast(types.select("type", F.col("weighting").cast("double").alias("w")))
-    means = category_means(scores, lo).join(weights, "type", "inner")
+    means = stats.join(weights, "type", "inner")
     totals = (means.groupBy(*KEYS)
               .agg(F.sum(F.col("sum_above_min") / F.col("n_scores") * F.col("w")).alias("_num"),
-                   F.sum("w").alias("_den"))
+                   F.sum("w").alias("_den"),
+                   F.min(F.when(F.col("mand_n") > 0, F.col("mand_sum") / F.col("mand_n"))).alias("mandatory_floor"))
               .withColumn("total_score", F.lit(float(lo)) + F.col("_num") / F.col("_den"))
               .drop("_num", "_den"))
     if candidates is not None:
@@ -68,24 +81,27 @@ def weighted_totals(scores: DataFrame, types: DataFrame, candidates: DataFrame |
 
 def mandatory_floor(scores: DataFrame) -> DataFrame:
     """Lowest per-type mean over mandatory requirements (null if none)."""
-    mand = scores.filter(F.col("kind") == KIND_MANDATORY)
-    return (mand.groupBy(*KEYS, "type").agg(F.avg("score").alias("_m"))
-            .groupBy(*KEYS).agg(F.min("_m").alias("mandatory_floor")))
+    st = category_stats(scores)
+    return (st.groupBy(*KEYS).agg(F.min(F.when(F.col("mand_n") > 0, F.col("mand_sum") / F.col("mand_n")))
+                                  .alias("mandatory_floor")))
 
 
-def decide_promising(totals: DataFrame, scores: DataFrame, total_threshold: float = 50.0,
+def decide_promising(totals: DataFrame, scores: DataFrame | None = None, total_threshold: float = 50.0,
                      mandatory_threshold: float = 25.0) -> DataFrame:
-    """X23 (native rule): promising = total >= t and every mandatory type mean >= m."""
-    floor_ = mandatory_floor(scores)
-    return (totals.join(floor_, KEYS, "left")
-            .withColumn("promising", (F.col("total_score") >= total_threshold)
-                        & F.coalesce(F.col("mandatory_floor") >= mandatory_threshold, F.lit(True)))
+    """X23 (native rule): promising = total >= t and every mandatory type mean >= m.
+
+    ``totals`` from ``weighted_totals`` already carry ``mandatory_floor``."""
+    if "mandatory_floor" not in totals.columns:
+        totals = totals.join(mandatory_floor(scores), KEYS, "left")
+    return (totals.withColumn("promising", (F.col("total_score") >= total_threshold)
+                              & F.coalesce(F.col("mandatory_floor") >= mandatory_threshold, F.lit(True)))
             .drop("mandatory_floor"))
 
 
-def category_pivot(scores: DataFrame, type_names: list[str], lo: int = MIN_SCORE) -> DataFrame:
+def category_pivot(scores: DataFrame, type_names: list[str], lo: int = MIN_SCORE,
+                   stats: DataFrame | None = None) -> DataFrame:
     """A2: one ``score (<type>)`` column per configured type (explicit value list)."""
-    means = category_means(scores, lo)
+    means = category_means(scores, lo, stats)
     wide = means.groupBy(*KEYS).pivot("type", type_names).agg(F.first("mean_score"))
     return wide.select(*KEYS, *[F.col(f"`{t}`").alias(f"score ({t})") for t in type_names])
 
@@ -104,10 +120,9 @@ def overview(scores: DataFrame, types: DataFrame, type_names: list[str], total_t
              mandatory_threshold: float = 25.0, method: str = "auto") -> DataFrame:
     """S8 frame: candidate, place, promising, total_score, score (<type>)...
 
-    ``scores`` is used by three aggregates; callers that run this at scale
-    should persist or checkpoint it first.
-    """
-    totals = weighted_totals(scores, types)
-    decided = decide_promising(totals, scores, total_threshold, mandatory_threshold)
-    wide = category_pivot(scores, type_names)
+    One aggregate of ``scores`` feeds totals, decision and pivot."""
+    stats = category_stats(scores)
+    totals = weighted_totals(scores, types, stats=stats)
+    decided = decide_promising(totals, None, total_threshold, mandatory_threshold)
+    wide = category_pivot(scores, type_names, stats=stats)
     return rank_candidates(decided.join(wide, KEYS, "left"), method=method)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankwise.operators.ranking import rank_within
+from rankwise.session import checkpointed
 from rankwise.schemas import KIND_MANDATORY, KIND_OPTIONAL, REQUIREMENT_TYPES
 from rankwise.sources.tables import table
 
@@ -51,10 +52,12 @@ def _brand_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag", "l_linenumber", "l_quantity")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     joined = li.join(part, li.l_partkey == part.p_partkey, "inner")
-    return (joined.groupBy(F.col("l_returnflag").alias("job_id"),
-                           (F.col("l_linenumber") - 1).cast("int").alias("rater_ord"),
-                           F.col("p_brand").alias("candidate"))
-            .agg(F.sum("l_quantity").alias("qty"), F.count(F.lit(1)).alias("n_rows")))
+    vol = (joined.groupBy(F.col("l_returnflag").alias("job_id"),
+                          (F.col("l_linenumber") - 1).cast("int").alias("rater_ord"),
+                          F.col("p_brand").alias("candidate"))
+           .agg(F.sum("l_quantity").alias("qty"), F.count(F.lit(1)).alias("n_rows")))
+    # the aggregate feeds ballots, headers and model ballots: write it once
+    return checkpointed(vol)
 
 
 def rater_name(ord_col) -> F.Column:
@@ -66,8 +69,9 @@ def f2_ballots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     and headers ``(job_id, rater, rater_ord, minutes)``."""
     vol = _brand_volume(spark, sf_dir)
     ranked = rank_within(vol, ["job_id", "rater_ord"], [F.col("qty").desc(), F.col("candidate").asc()])
-    ballots = ranked.select("job_id", rater_name(F.col("rater_ord")).alias("rater"), "rater_ord", "candidate",
-                            "place", (F.col("place") <= F.col("rater_ord") + 6).alias("promising"))
+    ballots = checkpointed(ranked.select("job_id", rater_name(F.col("rater_ord")).alias("rater"), "rater_ord",
+                                         "candidate", "place",
+                                         (F.col("place") <= F.col("rater_ord") + 6).alias("promising")))
     headers = (vol.groupBy("job_id", "rater_ord").agg(F.sum("n_rows").alias("n"))
                .select("job_id", rater_name(F.col("rater_ord")).alias("rater"), "rater_ord",
                        (F.lit(1) + F.col("n") % 40).cast("double").alias("minutes")))
@@ -79,7 +83,7 @@ def f3_model_ballots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     ``(job_id, seconds_taken)``."""
     vol = _brand_volume(spark, sf_dir).groupBy("job_id", "candidate").agg(F.sum("n_rows").alias("n"))
     ranked = rank_within(vol, ["job_id"], [F.col("n").desc(), F.col("candidate").asc()])
-    ballots = ranked.select("job_id", "candidate", "place", (F.col("place") <= 12).alias("promising"))
+    ballots = checkpointed(ranked.select("job_id", "candidate", "place", (F.col("place") <= 12).alias("promising")))
     info = (vol.groupBy("job_id").agg(F.sum("n").alias("n"))
             .select("job_id", (F.lit(30) + F.col("n") % 90).cast("bigint").alias("seconds_taken")))
     return ballots, info

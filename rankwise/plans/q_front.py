@@ -13,6 +13,7 @@ from rankwise.plans import fixtures as fx
 from rankwise.plans.oracle import F5B_SQL, F5C_SQL, FRONT_SQL, strip_sql
 from rankwise.plans.registry import register
 from rankwise.schemas import REQUIREMENT_DEFINITIONS, requirement_types
+from rankwise.session import checkpointed
 
 
 def _front(spark, sf_dir):
@@ -151,7 +152,8 @@ def _front_scores(spark, sf_dir):
     scores = (valid.join(reqs.select("job_id", "requirement_id", "type", "kind"), ["job_id", "requirement_id"])
               .select("job_id", "candidate_id", "requirement_id", "type", "kind",
                       clamp("value", 0, 100).cast("int").alias("score"), "explanation"))
-    return reqs, docs, scores
+    # the long score table feeds totals, decision and records: write it once
+    return reqs, docs, checkpointed(scores)
 
 
 @register("scored_overview", f"""WITH {NATIVE_SQL},
@@ -174,7 +176,7 @@ FROM dec""")
 def q_scored_overview(spark, sf_dir):
     reqs, docs, scores = _front_scores(spark, sf_dir)
     totals = scoring.weighted_totals(scores, requirement_types(spark))
-    decided = scoring.decide_promising(totals, scores)
+    decided = scoring.decide_promising(totals)
     ranked = scoring.rank_candidates(decided)
     return ranked.select("job_id", "candidate_id", F.col("place").cast("bigint").alias("place"), "promising",
                          round6("total_score").alias("total_score"))

@@ -54,3 +54,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="rankwise-ckpt-")
     spark.sparkContext.setCheckpointDir(configured)
     return spark.sparkContext.getCheckpointDir() or configured
+
+
+def checkpointed(df):
+    """Materialise ``df`` to the checkpoint folder and cut its lineage.
+
+    Used for small derived tables that feed many branches (ballots,
+    consensus, parsed scores): later branches read the written rows instead
+    of recomputing the scans, and a lost executor does not force a
+    recomputation from the base tables.  Reliable checkpoints only.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
