@@ -186,3 +186,25 @@ def f5c_requirement_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(F.concat(L('Result: {"'), t, L('": [{"type": "mandatory", "specification": " '), spec,
                                 L(' "}, {"type": "optional", "specification": "'), spec, L(' too"}], "notes": "none"} end'))))
     return e.select("event_id", text.alias("answer"))
+
+
+# ------------------------------------------------------------- path adapter
+
+F4_SUFFIXES = ["pdf", "docx", "txt", "png"]
+
+
+def f4_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a document tree as paths - ``job_<nation>/applicants/candidate_<cust>.<ext>``
+    (ext by ``c_custkey % 4``) plus ``job_<n>/job_description.<ext>`` for the
+    suffixes ``i`` with ``(n + i) % 3 <> 0``; nations with ``n % 5 = 4`` have
+    no job description."""
+    cust = table(spark, sf_dir, "customer")
+    ext = F.element_at(F.array(*[F.lit(s) for s in F4_SUFFIXES]), (F.col("c_custkey") % 4 + 1).cast("int"))
+    cands = cust.select(F.concat(F.lit("job_"), F.col("c_nationkey").cast("string"), F.lit("/applicants/candidate_"),
+                                 F.col("c_custkey").cast("string"), F.lit("."), ext).alias("path"))
+    nat = table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(F.array(*[F.lit(s) for s in
+                                                                                    F4_SUFFIXES[:3]])).alias("i", "s"))
+    jd = (nat.filter(((F.col("n_nationkey") + F.col("i")) % 3 != 0) & (F.col("n_nationkey") % 5 != 4))
+          .select(F.concat(F.lit("job_"), F.col("n_nationkey").cast("string"), F.lit("/job_description."),
+                           F.col("s")).alias("path")))
+    return cands.unionByName(jd)

@@ -262,3 +262,26 @@ reqs_parsed AS (
               WHEN json_extract_string(item, '$.specification') IS NULL THEN 'missing_specification' END AS reason
   FROM f5c_items WHERE json_type(item) = 'OBJECT'
 )"""
+
+F4_SQL = """
+f4 AS (
+  SELECT 'job_' || c_nationkey || '/applicants/candidate_' || c_custkey || '.' ||
+         (['pdf', 'docx', 'txt', 'png'])[CAST(c_custkey % 4 + 1 AS INTEGER)] AS path FROM customer
+  UNION ALL
+  SELECT 'job_' || n_nationkey || '/job_description.' || (['pdf', 'docx', 'txt'])[i + 1] AS path
+  FROM nation, (SELECT unnest(range(3)) AS i) r
+  WHERE (n_nationkey + i) % 3 <> 0 AND n_nationkey % 5 <> 4
+),
+parsed AS (
+  SELECT path, TRY_CAST(regexp_extract(path, 'job_(\\d+)/', 1) AS INTEGER) AS job_no,
+         CASE WHEN regexp_extract(path, 'candidate_(\\d+)\\.([A-Za-z0-9]+)$', 1) <> ''
+              THEN CAST(regexp_extract(path, 'candidate_(\\d+)\\.([A-Za-z0-9]+)$', 1) AS BIGINT) END AS candidate_no,
+         lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) AS suffix,
+         CASE WHEN regexp_extract(path, 'candidate_(\\d+)\\.([A-Za-z0-9]+)$', 1) <> '' THEN 'candidate'
+              WHEN regexp_extract(path, 'job_(\\d+)/job_description\\.([A-Za-z0-9]+)$', 2) <> '' THEN 'job_description'
+              ELSE 'other' END AS kind
+  FROM f4
+),
+cands AS (SELECT * FROM parsed WHERE kind = 'candidate' AND suffix IN ('pdf', 'docx', 'txt')),
+jd AS (SELECT *, list_position(['pdf', 'docx', 'txt'], suffix) AS prio FROM parsed WHERE kind = 'job_description'),
+best AS (SELECT job_no, arg_min(path, prio) AS job_path, arg_min(suffix, prio) AS suffix FROM jd GROUP BY ALL)"""

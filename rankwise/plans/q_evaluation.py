@@ -306,3 +306,22 @@ FROM run_info GROUP BY GROUPING SETS ((job_id), ())""")
 def q_model_time_table(spark, sf_dir):
     _, info = fx.f3_model_ballots(spark, sf_dir)
     return _round_cols(matrices.model_time_table(info), {"minutes"})
+
+
+@register("candidate_display_names", f"""{W},
+nums AS (SELECT job_id, candidate, row_number() OVER (PARTITION BY job_id ORDER BY candidate) AS candidate_no
+         FROM (SELECT DISTINCT job_id, candidate FROM ballots))
+SELECT m.job_id, CAST(n.candidate_no AS BIGINT) AS candidate_no, n.candidate AS name, CAST(m.place AS BIGINT) AS place
+FROM model m JOIN nums n USING (job_id, candidate)""")
+def q_candidate_display_names(spark, sf_dir):
+    """Model results keyed by candidate number get the display name from
+    the ballot header positions (broadcast dimension built from the layout)."""
+    from rankwise.operators.lookup import candidate_names
+    _, layout = fx.f2_wide(spark, sf_dir)
+    names = candidate_names(layout, spark)
+    m, _ = fx.f3_model_ballots(spark, sf_dir)
+    nums = names.select("job_id", "candidate_no", F.col("name").alias("candidate"))
+    keyed = m.join(F.broadcast(nums), ["job_id", "candidate"]).select("job_id", "candidate_no", "place")
+    return (keyed.join(F.broadcast(names), ["job_id", "candidate_no"])
+            .select("job_id", F.col("candidate_no").cast("bigint").alias("candidate_no"), "name",
+                    F.col("place").cast("bigint").alias("place")))
