@@ -168,7 +168,7 @@ def read_requirement_types(spark: SparkSession, path: str,
     """The JSON object keyed by type -> ``(type, ord, definition,
     weighting)``; ``ord`` keeps the key order of the file (maps keep insertion
     order; a struct schema would sort the keys)."""
-    txt = spark.read.option("wholetext", True).text(path)
+    txt = spark.read.text(path, wholetext=True)
     obj = F.get_json_object("value", json_path)
     m = F.from_json(obj, T.MapType(T.StringType(), T.StructType([
         T.StructField("definition", T.StringType()), T.StructField("weighting", T.IntegerType())])))
