@@ -76,4 +76,6 @@ def is_two_part_name(c: Column | str) -> Column:
 
 
 def round6(c: Column | str) -> Column:
-    return F.round(col_(c), 6)
+    """Round to 6 decimals; a negative zero becomes 0.0 (stable hashes)."""
+    r = F.round(col_(c), 6)
+    return F.when(r == 0, F.abs(r)).otherwise(r)

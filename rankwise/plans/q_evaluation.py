@@ -131,7 +131,7 @@ _cmp_query("model_vs_consensus_label_sequence", "label_sequence", model=True)
 
 
 @register("mean_rater_error", f"""{W},{compare_sql('cmp', 'ballots', 'consensus', 'rank')}
-SELECT job_id, round(avg(hamming), 6) AS human_hamming, round(avg(tau), 6) AS human_tau FROM cmp GROUP BY ALL""")
+SELECT job_id, round(avg(hamming), 6) AS human_hamming, round(avg(tau), 6) + 0.0 AS human_tau FROM cmp GROUP BY ALL""")
 def q_mean_rater_error(spark, sf_dir):
     b, _ = _ballots(spark, sf_dir)
     e = agreement.compare_to_reference(b, consensus.consensus_ballots(b), "rank")
@@ -194,7 +194,7 @@ _METRIC_COLS = metrics.JOB_METRIC_COLUMNS
 
 def _metrics_query(name, method):
     sql = f"""{_metrics_sql(method)}
-SELECT job_id, {", ".join(f"round({c}, 6) AS {c}" for c in _METRIC_COLS)} FROM per_job"""
+SELECT job_id, {", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _METRIC_COLS)} FROM per_job"""
 
     @register(name, sql)
     def q(spark, sf_dir):
@@ -209,7 +209,7 @@ _metrics_query("job_metrics_label_sequence", "label_sequence")
 
 
 @register("overall_metrics", f"""{_metrics_sql('label_sequence')}
-SELECT {", ".join(f"round(avg({c}), 6) AS {c}" for c in _METRIC_COLS)} FROM per_job""")
+SELECT {", ".join(f"round(avg({c}), 6) + 0.0 AS {c}" for c in _METRIC_COLS)} FROM per_job""")
 def q_overall_metrics(spark, sf_dir):
     b, h = fx.f2_ballots(spark, sf_dir)
     m, info = fx.f3_model_ballots(spark, sf_dir)
@@ -245,7 +245,7 @@ _ENTS = """, ents AS (SELECT job_id, rater, rater_ord, candidate, place, promisi
 
 def _margins_sql(cells: str, key: str = "job_id") -> str:
     return f"""SELECT {key}, coalesce(entity_a, 'mean') AS entity_a, coalesce(entity_b, 'mean') AS entity_b,
-       round(avg(value), 6) AS value
+       round(avg(value), 6) + 0.0 AS value
 FROM {cells} GROUP BY GROUPING SETS (({key}, entity_a, entity_b), ({key}, entity_a), ({key}, entity_b), ({key}))"""
 
 
