@@ -38,12 +38,12 @@ def unpivot_wide(wide: DataFrame, layout: list[dict], rater_col: str = "rater_or
     per_slot, per_job = [], []
     for blk in layout:
         per_job.append(F.struct(F.lit(blk["job_id"]).alias("job_id"),
-                                F.col(f"`{blk['minutes']}`").cast("double").alias("minutes"),
+                                F.col(f"`{blk['minutes']}`").try_cast("double").alias("minutes"),
                                 name_set(F.col(f"`{blk['promising']}`")).alias("promising_set")))
         for s, (c, label) in enumerate(blk["places"]):
             per_slot.append(F.struct(F.lit(blk["job_id"]).alias("job_id"), F.lit(s).alias("pos"),
                                      label_suffix(F.lit(label)).alias("candidate"),
-                                     F.col(f"`{c}`").cast("int").alias("place")))
+                                     F.col(f"`{c}`").try_cast("int").alias("place")))
     ts = ballot_timestamp(F.col(f"`{ts_col}`")) if ts_col else F.lit(None).cast("timestamp")
     base = wide.select(F.col(rater_col).cast("int").alias("rater_ord"), ts.alias("submitted"),
                        F.array(*per_job).alias("_jobs"), F.array(*per_slot).alias("_slots"))

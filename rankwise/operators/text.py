@@ -95,7 +95,7 @@ def parse_rules(lines: DataFrame, line_col: str = "value") -> DataFrame:
     parts = F.split(F.col(line_col), ">")
     return body.select(F.col("rule_no") if "rule_no" in lines.columns else F.monotonically_increasing_id()
                        .alias("rule_no"),
-                       parts[0].alias("old"), parts[1].alias("new"),
+                       F.get(parts, 0).alias("old"), F.get(parts, 1).alias("new"),
                        F.when(F.size(parts) != 2, F.lit("bad_rule")).alias("reason"))
 
 
