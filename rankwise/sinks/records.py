@@ -59,16 +59,18 @@ def write_matrices(cells: DataFrame, path: str, metric: str) -> None:
 
 
 def report(per_job: DataFrame, overall: DataFrame) -> DataFrame:
-    """One nested row ``{jobs: [...], overall: {...}}`` from the two
-    metric tables (the job list is small: one entry per job).  Both sides
-    are single-row aggregates joined on a constant key."""
-    jobs = per_job.agg(F.array_sort(F.collect_list(F.struct(*per_job.columns))).alias("jobs"))
-    ov = overall.select(F.struct(*overall.columns).alias("overall"))
-    return (jobs.withColumn("_k", F.lit(1)).join(ov.withColumn("_k", F.lit(1)), "_k").drop("_k"))
+    """The evaluation report as JSON lines - one record per job and one
+    ``overall`` record (``scope``, ``job_id``, ``metrics``); nothing is
+    gathered into a single row or task."""
+    jobs = per_job.select(F.lit("job").alias("scope"), F.col("job_id").cast("string").alias("job_id"),
+                          F.to_json(F.struct(*[c for c in per_job.columns if c != "job_id"])).alias("metrics"))
+    ov = overall.select(F.lit("overall").alias("scope"), F.lit(None).cast("string").alias("job_id"),
+                        F.to_json(F.struct(*overall.columns)).alias("metrics"))
+    return jobs.unionByName(ov)
 
 
 def write_report(per_job: DataFrame, overall: DataFrame, path: str) -> None:
-    report(per_job, overall).coalesce(1).write.mode("overwrite").json(path)
+    report(per_job, overall).write.mode("overwrite").json(path)
 
 
 def run_info(timings: DataFrame) -> DataFrame:

@@ -9,9 +9,11 @@ watermark) are dropped by Spark before they reach the state.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -63,6 +65,11 @@ def _pair_group(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterato
         yield _frame(out)
 
 
+# The state function runs in Python workers; ship this module by value so the
+# workers need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def pair_timers_stream(events: DataFrame, start_value: str = "click", stop_value: str = "purchase",
                        delay: str = "1 hour") -> DataFrame:
     """Streaming form of ``timing.pair_timers`` on ``(event_id, ts, user_id, event_type)``."""

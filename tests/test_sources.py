@@ -91,8 +91,9 @@ def test_sinks_round_trip(spark, tmp_dir):
     vals = {r["job_id"]: r["value"] for r in spark.read.option("header", True).csv(f"{tmp_dir}/m").collect()}
     assert vals == {"a": "1.23", "mean": "1.235"}
     per_job = spark.createDataFrame([("a", 0.5), ("b", 1.0)], "job_id string, m double")
-    rep = sinks.report(per_job, per_job.agg(F.avg("m").alias("m"))).first()
-    assert len(rep["jobs"]) == 2 and rep["overall"]["m"] == 0.75
+    rep = {r["scope"] + str(r["job_id"]): json.loads(r["metrics"])
+           for r in sinks.report(per_job, per_job.agg(F.avg("m").alias("m"))).collect()}
+    assert rep == {"joba": {"m": 0.5}, "jobb": {"m": 1.0}, "overallNone": {"m": 0.75}}
     recs = spark.createDataFrame([("a", 1, '{"x":1}')], "job_id string, candidate_id long, record string")
     resp = sinks.combined_response(ov, recs).filter("job_id = 'a'").first()
     assert len(resp["overview"]) == 2 and resp["records"] == {"1": '{"x":1}'}
