@@ -22,3 +22,18 @@ def test_scan_prunes_columns(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.split("\n") if "FileScan parquet" in line and "lineitem" in line]
     assert scans and all("l_extendedprice" not in s and "l_comment" not in s for s in scans)
+
+
+def test_no_cross_join_or_python_anywhere(spark):
+    """Every registered batch query: no cartesian product, no nested-loop
+    join, no Python evaluation node in the executed plan."""
+    streaming = {"stream_timer_pairs", "stream_task_time_summary", "stream_incremental_scores"}
+    bad = {}
+    for name, fn in catalog.queries().items():
+        if name in streaming:
+            continue
+        plan = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        flags = [k for k in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "ArrowEval") if k in plan]
+        if flags:
+            bad[name] = flags
+    assert bad == {}
