@@ -117,12 +117,22 @@ def rank_candidates(overview: DataFrame, method: str = "auto") -> DataFrame:
 
 
 def overview(scores: DataFrame, types: DataFrame, type_names: list[str], total_threshold: float = 50.0,
-             mandatory_threshold: float = 25.0, method: str = "auto") -> DataFrame:
+             mandatory_threshold: float = 25.0, method: str = "auto", lo: int = MIN_SCORE) -> DataFrame:
     """S8 frame: candidate, place, promising, total_score, score (<type>)...
 
-    One aggregate of ``scores`` feeds totals, decision and pivot."""
-    stats = category_stats(scores)
-    totals = weighted_totals(scores, types, stats=stats)
-    decided = decide_promising(totals, None, total_threshold, mandatory_threshold)
-    wide = category_pivot(scores, type_names, stats=stats)
-    return rank_candidates(decided.join(wide, KEYS, "left"), method=method)
+    Two aggregates in a row: per (job, candidate, type) the exact sums, then
+    per (job, candidate) the weighted total, the mandatory floor and the
+    pivoted type means together - one shuffle each, no join between them."""
+    stats = category_stats(scores, lo)
+    weights = F.broadcast(types.select("type", F.col("weighting").cast("double").alias("w")))
+    mean = F.col("sum_above_min") / F.col("n_scores")
+    per = (stats.join(weights, "type")
+           .groupBy(*KEYS)
+           .agg(F.sum(mean * F.col("w")).alias("_num"), F.sum("w").alias("_den"),
+                F.min(F.when(F.col("mand_n") > 0, F.col("mand_sum") / F.col("mand_n"))).alias("mandatory_floor"),
+                *[F.max(F.when(F.col("type") == t, mean + F.lit(lo))).alias(f"score ({t})") for t in type_names])
+           .withColumn("total_score", F.lit(float(lo)) + F.col("_num") / F.col("_den"))
+           .drop("_num", "_den"))
+    decided = decide_promising(per, None, total_threshold, mandatory_threshold)
+    cols = [*KEYS, "total_score", "promising", *[f"score ({t})" for t in type_names]]
+    return rank_candidates(decided.select(*[F.col(f"`{c}`") for c in cols]), method=method)

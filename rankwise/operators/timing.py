@@ -28,16 +28,19 @@ def pair_timers(events: DataFrame, key: str, kind_col: str, start_value: str, st
           .select(F.col(key).alias("_key"), F.col(id_col).alias("_id"), F.col(ts_col).alias("_ts"),
                   (F.col(kind_col) == stop_value).alias("_stop")))
     seg = prefix_count(ev, ["_key"], [F.col("_ts"), F.col("_id")], F.col("_stop"), "_seg", method=method)
-    starts = (seg.filter(~F.col("_stop")).groupBy("_key", "_seg")
-              .agg(F.max_by(F.struct("_ts", "_id"), F.struct("_ts", "_id")).alias("_start")))
-    stops = seg.filter(F.col("_stop"))
-    joined = stops.join(starts, ["_key", "_seg"], "left")
-    pairs = joined.filter(F.col("_start").isNotNull()).select(
-        F.col("_key").alias(key), F.col("_start._id").alias("start_id"), F.col("_id").alias("stop_id"),
-        F.col("_start._ts").alias("start_ts"), F.col("_ts").alias("stop_ts"),
-        elapsed_seconds_ceil(F.col("_start._ts"), F.col("_ts")).alias("seconds"))
-    rejects = joined.filter(F.col("_start").isNull()).select(
-        F.col("_key").alias(key), F.col("_id").alias("stop_id"), F.col("_ts").alias("stop_ts"),
+    # a segment holds the starts after the previous stop and at most one stop
+    # (the one that closes it): one aggregate finds both, no join
+    ev_key = F.struct("_ts", "_id")
+    segs = seg.groupBy("_key", "_seg").agg(
+        F.max_by(F.when(~F.col("_stop"), ev_key), F.when(~F.col("_stop"), ev_key)).alias("_start"),
+        F.max_by(F.when(F.col("_stop"), ev_key), F.when(F.col("_stop"), ev_key)).alias("_end"))
+    stops = segs.filter(F.col("_end").isNotNull())
+    pairs = stops.filter(F.col("_start").isNotNull()).select(
+        F.col("_key").alias(key), F.col("_start._id").alias("start_id"), F.col("_end._id").alias("stop_id"),
+        F.col("_start._ts").alias("start_ts"), F.col("_end._ts").alias("stop_ts"),
+        elapsed_seconds_ceil(F.col("_start._ts"), F.col("_end._ts")).alias("seconds"))
+    rejects = stops.filter(F.col("_start").isNull()).select(
+        F.col("_key").alias(key), F.col("_end._id").alias("stop_id"), F.col("_end._ts").alias("stop_ts"),
         F.lit("stop_without_start").alias("reason"))
     return pairs, rejects
 
