@@ -33,10 +33,18 @@ def max_group_size(df: DataFrame, by: Sequence[str]) -> int:
 
 def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "place",
                 method: str = "auto", max_window_group: int = 1_000_000,
-                num_partitions: int | None = None) -> DataFrame:
-    """Add ``name`` = 1-based position of each row inside its ``by`` group."""
+                num_partitions: int | None = None, materialize: bool = True) -> DataFrame:
+    """Add ``name`` = 1-based position of each row inside its ``by`` group.
+
+    The size guard (``auto``) and the range partitioner's sampling each read
+    the input once more; with ``materialize`` the input is checkpointed
+    first so those passes read the written rows instead of recomputing an
+    expensive lineage (pass ``False`` for a plain scan)."""
     by = list(by)
     order = list(order)
+    if method in ("auto", "range") and materialize:
+        from rankwise.session import checkpointed
+        df = checkpointed(df)
     if method == "auto":
         method = "window" if max_group_size(df, by) <= max_window_group else "range"
     if method == "window":

@@ -127,7 +127,7 @@ def pseudonyms(ids: DataFrame, id_col: str, forenames: DataFrame, surnames: Data
     tables, no cross product.  Ids beyond F x S get no name (null).
     """
     order = [F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)] if seed is not None else [F.col(id_col)]
-    ranked = rank_within(ids.select(id_col), [], order, name="_r")
+    ranked = rank_within(ids.select(id_col), [], order, name="_r", materialize=False)
     fn = rank_within(forenames.select(F.col(forenames.columns[0]).alias("forename")).distinct(), [],
                      [F.col("forename")], name="_fi", method="window")
     sn = rank_within(surnames.select(F.col(surnames.columns[0]).alias("surname")).distinct(), [],
