@@ -16,24 +16,27 @@ def rank_biased_overlap(ballots: DataFrame, reference: DataFrame, p: float) -> D
     """``(1 - p) * sum_{d=1..K} p^(d-1) * |A[:d] & B[:d]| / d`` per ballot
     against the job's reference ranking, K = the job's ranking depth.
 
-    An element counts at every depth ``d >= max(place_a, place_b)``, so the
-    sum is ``sum_x S(max place of x)`` with ``S(m) = sum_{d>=m} p^(d-1)/d``:
-    a join on candidate, a per-job depth table (K rows) and an aggregate -
-    no position pairs.
+    ``|A[:d] & B[:d]|`` is the number of elements whose larger place is at
+    most ``d``: element rows (key = larger place) and depth rows (key = d) are
+    ordered together and a running count of element rows is read at every
+    depth row (``prefix_count``: exact, and split over tasks for a hot job).
+    No position pairs, no window over a whole job.
     """
+    from rankwise.operators.ranking import prefix_count
     a = ballots.select("job_id", "rater", "candidate", F.col("place").alias("pa"))
     b = reference.select("job_id", "candidate", F.col("place").alias("pb"))
-    m = a.join(b, ["job_id", "candidate"]).select("job_id", "rater", F.greatest("pa", "pb").alias("d"))
-    depth = (ballots.groupBy("job_id").agg(F.max("place").alias("_k"))
+    elems = (a.join(b, ["job_id", "candidate"])
+             .select("job_id", "rater", F.greatest("pa", "pb").alias("key"), F.lit(0).alias("kind")))
+    depth = (ballots.groupBy("job_id", "rater").agg(F.max("place").alias("_k"))
              .join(reference.groupBy("job_id").agg(F.max("place").alias("_k2")), "job_id")
-             .select("job_id", F.greatest("_k", "_k2").alias("k")))
-    steps = depth.select("job_id", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("d"))
-    w = Window.partitionBy("job_id").orderBy(F.col("d").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    tail = steps.withColumn("s", F.sum(F.pow(F.lit(p), F.col("d") - 1) / F.col("d")).over(w))
-    contrib = m.join(tail, ["job_id", "d"]).groupBy("job_id", "rater").agg(F.sum("s").alias("_s"))
-    raters = ballots.select("job_id", "rater").distinct()
-    return (raters.join(contrib, ["job_id", "rater"], "left")
-            .select("job_id", "rater", ((1 - p) * F.coalesce("_s", F.lit(0.0))).alias("rbo")))
+             .select("job_id", "rater", F.greatest("_k", "_k2").alias("k")))
+    depths = depth.select("job_id", "rater", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("key"),
+                          F.lit(1).alias("kind"))
+    both = elems.unionByName(depths)
+    counted = prefix_count(both, ["job_id", "rater"], [F.col("key"), F.col("kind")], F.col("kind") == 0, "_ov")
+    terms = counted.filter(F.col("kind") == 1).select(
+        "job_id", "rater", (F.pow(F.lit(p), F.col("key") - 1) * F.col("_ov") / F.col("key")).alias("t"))
+    return terms.groupBy("job_id", "rater").agg(((1 - p) * F.sum("t")).alias("rbo"))
 
 
 def keyword_distance(candidates: DataFrame, requirements: DataFrame, text_col: str = "text",

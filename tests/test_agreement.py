@@ -93,3 +93,17 @@ def test_hamming_is_symmetric_difference(spark):
     b = _ballots(spark, [("a", ["p", "q", "r", "s"])])       # promising: p, q
     ref = _ballots(spark, [("ref", ["q", "s", "p", "r"])])   # promising: q, s
     assert agreement.compare_to_reference(b, ref).first()["hamming"] == 2
+
+
+@pytest.mark.parametrize("p,a,b,want", [
+    (0.1, ["dog", "cat", "mom"], ["dog", "cat", "mom"], 0.999),
+    (0.1, ["apple", "peach", "mom"], ["dog", "cat", "dad"], 0.0),
+    (0.1, ["dog", "cat", "mom"], ["dog", "cat", "dad"], 0.996),
+    (0.6, ["dog", "cat", "mom"], ["dog", "cat", "dad"], 0.736),
+    (0.6, ["dog", "cat", "mom", "tennis"], ["dog", "cat", "dad", "tennis"], 0.8008),
+    (0.6, ["dog", "cat", "mom", "tennis"], ["dog", "cat", "dad", "golf"], 0.7792),
+])
+def test_rank_biased_overlap_examples(spark, p, a, b, want):
+    from rankwise.operators.described import rank_biased_overlap
+    got = rank_biased_overlap(_ballots(spark, [("a", a)]), _ballots(spark, [("ref", b)]), p).collect()
+    assert (got[0]["rbo"] if got else 0.0) == pytest.approx(want, abs=1e-4)
