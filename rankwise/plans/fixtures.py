@@ -80,7 +80,8 @@ def f2_ballots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """human ballots ``(job_id, rater, rater_ord, candidate, place, promising)``
     and headers ``(job_id, rater, rater_ord, minutes)``."""
     vol = _brand_volume(spark, sf_dir)
-    ranked = rank_within(vol, ["job_id", "rater_ord"], [F.col("qty").desc(), F.col("candidate").asc()])
+    ranked = rank_within(vol, ["job_id", "rater_ord"], [F.col("qty").desc(), F.col("candidate").asc()],
+                         materialize=False)  # vol is already checkpointed
     ballots = checkpointed(ranked.select("job_id", rater_name(F.col("rater_ord")).alias("rater"), "rater_ord",
                                          "candidate", "place",
                                          (F.col("place") <= F.col("rater_ord") + 6).alias("promising")))
@@ -94,7 +95,7 @@ def f3_model_ballots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     """model ballots ``(job_id, candidate, place, promising)`` and run info
     ``(job_id, seconds_taken)``."""
     vol = _brand_volume(spark, sf_dir).groupBy("job_id", "candidate").agg(F.sum("n_rows").alias("n"))
-    ranked = rank_within(vol, ["job_id"], [F.col("n").desc(), F.col("candidate").asc()])
+    ranked = rank_within(vol, ["job_id"], [F.col("n").desc(), F.col("candidate").asc()], materialize=False)
     ballots = checkpointed(ranked.select("job_id", "candidate", "place", (F.col("place") <= 12).alias("promising")))
     info = (vol.groupBy("job_id").agg(F.sum("n").alias("n"))
             .select("job_id", (F.lit(30) + F.col("n") % 90).cast("bigint").alias("seconds_taken")))
