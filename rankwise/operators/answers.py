@@ -159,3 +159,24 @@ def answer(requests: DataFrame, key_cols: Sequence[str],
     distinct = requests.select(*keys).distinct()
     answers = scorer(distinct)
     return requests.join(answers.select(*keys, "answer"), keys, "left")
+
+
+def pandas_scorer(fn: Callable, input_col: str, parallelism: int | None = None) -> Callable[[DataFrame], DataFrame]:
+    """Wrap a caller's pandas function (``Series`` of inputs -> ``Series``
+    of answer texts), e.g. a client for an outside judge, as a scorer for
+    ``answer``.  Arrow batches through ``mapInPandas``; ``parallelism``
+    repartitions first to bound the number of concurrent callers."""
+
+    def scorer(keys: DataFrame) -> DataFrame:
+        df = keys if parallelism is None else keys.repartition(parallelism)
+        schema = T.StructType(df.schema.fields + [T.StructField("answer", T.StringType())])
+
+        def run(batches):
+            for pdf in batches:
+                out = pdf.copy()
+                out["answer"] = fn(pdf[input_col]).astype(str)
+                yield out
+
+        return df.mapInPandas(run, schema)
+
+    return scorer

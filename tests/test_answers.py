@@ -74,3 +74,14 @@ def test_template_order_and_nesting(spark):
     assert json.loads(shapes["EMPTY_SCORE"]) == {"value": 0, "explanation": "explanation of the value"}
     assert set(json.loads(shapes["EMPTY_REQUIREMENTS"])) == {t for t, _ in __import__(
         "rankwise.schemas", fromlist=["x"]).REQUIREMENT_TYPES}
+
+
+def test_pandas_scorer_through_answer_step(spark):
+    req = spark.createDataFrame([(1, "x"), (2, "x"), (3, "yy")], "rid int, prompt string")
+
+    def judge(prompts):
+        return prompts.map(lambda p: '{"value": %d, "explanation": "len"}' % (10 * len(p)))
+
+    out = ans.answer(req, ["prompt"], ans.pandas_scorer(judge, "prompt", parallelism=2))
+    parsed = ans.parse_answers(out, "answer", FIELDS)
+    assert {r["rid"]: r["value"] for r in parsed.collect()} == {1: 10, 2: 10, 3: 20}
