@@ -32,6 +32,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("RANKWISE_DRIVER_MEMORY", "16g"))
         .config("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
+        # JSON answers may repeat a key; like a JSON parser, keep the last one
+        .config("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
