@@ -99,6 +99,20 @@ def parse_rules(lines: DataFrame, line_col: str = "value") -> DataFrame:
                        F.when(F.size(parts) != 2, F.lit("bad_rule")).alias("reason"))
 
 
+def load_rules(spark, path: str, strict: bool = True) -> list[tuple[str, str]]:
+    """Read a replacement-rule file (``old>new`` lines) in file order.
+
+    The rule list is configuration - a short file - and becomes literals in
+    one projection (``redact``); a malformed line is an error in strict mode
+    and skipped otherwise."""
+    lines = spark.read.text(path).withColumn("rule_no", F.monotonically_increasing_id())
+    rules = parse_rules(lines).orderBy("rule_no").collect()
+    bad = [r for r in rules if r["reason"] is not None]
+    if bad and strict:
+        raise ValueError(f"{len(bad)} malformed replacement rule(s), first: {bad[0]['old']!r}")
+    return [(r["old"], r["new"]) for r in rules if r["reason"] is None]
+
+
 def redact(docs: DataFrame, text_col: str, rules: Sequence[tuple[str, str]]) -> DataFrame:
     """Literal, case-sensitive replacements in order over every text,
     plus per-rule hit counts (non-overlapping, on the text as it is when the

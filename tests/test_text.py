@@ -59,3 +59,23 @@ def test_ballot_columns(spark):
     r = df.select(ballot_timestamp("ts").alias("t"), label_suffix("l").alias("n"),
                   F.array_sort(name_set("p")).alias("s")).first()
     assert str(r["t"]) == "2024-03-18 19:40:01" and r["n"] == "Anna Berg" and r["s"] == ["a", "b"]
+
+
+def test_rule_file_and_translation_memory(spark, tmp_dir):
+    import pytest
+    path = f"{tmp_dir}/rules.txt"
+    with open(path, "w") as f:
+        f.write("# names\nAnna>Person A\nBerg>Surname B\n")
+    rules = tx.load_rules(spark, path)
+    assert rules == [("Anna", "Person A"), ("Berg", "Surname B")]
+    with open(f"{tmp_dir}/bad.txt", "w") as f:
+        f.write("Anna>X>Y\n")
+    with pytest.raises(ValueError):
+        tx.load_rules(spark, f"{tmp_dir}/bad.txt")
+    docs = spark.createDataFrame([(1, "hallo welt", "de"), (2, "hello", "en"), (3, "hola", "es")],
+                                 "id int, text string, lang string")
+    memory = docs.filter("id = 1").select(F.md5("text").alias("text_md5"), F.lit("hello world").alias("translated"))
+    todo = tx.translation_work_list(docs, "text", "lang", memory)
+    assert [r["lang"] for r in todo.collect()] == ["es"]
+    out = {r["id"]: r["text"] for r in tx.apply_translations(docs, "text", memory).collect()}
+    assert out == {1: "hello world", 2: "hello", 3: "hola"}
