@@ -61,10 +61,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def checkpointed(df):
     """Materialise ``df`` to the checkpoint folder and cut its lineage.
 
-    Used for small derived tables that feed many branches (ballots,
-    consensus, parsed scores): later branches read the written rows instead
-    of recomputing the scans, and a lost executor does not force a
-    recomputation from the base tables.  Reliable checkpoints only.
+    Used for tables that feed many branches (ballots, consensus, parsed
+    scores, ranking inputs): later branches read the written rows instead
+    of recomputing the plan, and a lost executor does not force a
+    recomputation from the base tables.  Reliable checkpoints only.  The
+    frame is persisted while the checkpoint is written, because writing a
+    reliable checkpoint otherwise evaluates the plan a second time.
     """
+    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist(blocking=False)
