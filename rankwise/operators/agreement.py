@@ -98,9 +98,13 @@ def compare_to_reference(ballots: DataFrame, reference: DataFrame, method: str =
     right = reference.select("job_id", "candidate", F.col("place").alias("place_r"),
                              F.col("promising").alias("prom_r"))
     if method == "label_sequence":
-        left = with_label_rank(ballots).select("job_id", "rater", "place", F.col("lex").alias("lex_l"))
-        right = with_label_rank(reference.withColumn("rater", F.lit("_ref"))).select(
-            "job_id", "place", F.col("lex").alias("lex_r"))
+        # one ranking pass over both sides (the reference tagged as its own ballot)
+        both = (ballots.select("job_id", F.col("rater").alias("_who"), "candidate", "place")
+                .unionByName(reference.select("job_id", F.lit("\u0000ref").alias("_who"), "candidate", "place")))
+        lexed = with_label_rank(both, entity="_who")
+        left = lexed.filter(F.col("_who") != "\u0000ref").select(
+            "job_id", F.col("_who").alias("rater"), "place", F.col("lex").alias("lex_l"))
+        right = lexed.filter(F.col("_who") == "\u0000ref").select("job_id", "place", F.col("lex").alias("lex_r"))
     pos = _pair_positions(left, right, method, ["rater"])
     tau = discordant_pairs(pos, ["job_id", "rater"]).withColumn(
         "tau", tau_from_discordant(F.col("n"), F.col("discordant")))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankwise.operators.agreement import compare_to_reference
+from rankwise.operators.agreement import BALLOT_COLS, compare_to_reference
 from rankwise.operators.consensus import consensus_ballots, consensus_header
 from rankwise.schemas import MODEL_ENTITY
 from rankwise.session import checkpointed
@@ -64,8 +64,13 @@ def job_metrics(ballots: DataFrame, headers: DataFrame, model: DataFrame, run_in
     consensus = consensus_ballots(ballots)
     if materialize:
         consensus = checkpointed(consensus)
-    human_err = compare_to_reference(ballots, consensus, method)                    # J4
-    model_err = compare_to_reference(model_as_ballot(model), consensus, method)     # J5
+    # J4 + J5 in one pass: the model is one more ballot against the consensus
+    everyone = ballots.select(*BALLOT_COLS).unionByName(model_as_ballot(model))
+    errs = compare_to_reference(everyone, consensus, method)
+    if materialize:
+        errs = checkpointed(errs)
+    human_err = errs.filter(F.col("rater") != MODEL_ENTITY)                          # J4
+    model_err = errs.filter(F.col("rater") == MODEL_ENTITY)                          # J5
     mean_err = human_err.groupBy("job_id").agg(F.avg("hamming").alias("human_hamming"),
                                                F.avg("tau").alias("human_tau"))   # A10
     mh = model_err.select("job_id", F.col("hamming").cast("double").alias("model_hamming"),
