@@ -47,7 +47,7 @@ def test_wide_ballot_csv(spark, tmp_dir):
     rows = [["2024/03/18 8:40:01 PM GMT+1", "20", "Anna Berg;Carl Dorn;Anna Berg", "1", "2", "3",
              "10", "Eva Falk", "3", "2", "1"],
             ["2024/03/18 9:00:00 PM GMT+1", "30", "Carl Dorn", "2", "1", "3", "12", "", "1", "2", "3"]]
-    path = f"{tmp_dir}/responses.csv"
+    path = f"{tmp_dir}/ballots.csv"
     import csv
     with open(path, "w", newline="") as f:
         w = csv.writer(f)
