@@ -65,7 +65,8 @@ def tau_to_pair_distance(tau: Column | str, n: Column | str) -> Column:
 
 def elapsed_seconds_ceil(start: Column | str, stop: Column | str) -> Column:
     """Elapsed seconds between two timestamps, rounded up."""
-    micros = F.unix_micros(col_(stop).cast("timestamp")) - F.unix_micros(col_(start).cast("timestamp"))
+    # exact for TIMESTAMP and TIMESTAMP_NTZ alike, no time-zone conversion
+    micros = F.timestamp_diff("MICROSECOND", col_(start), col_(stop))
     return F.ceil(micros / F.lit(1_000_000)).cast("bigint")
 
 

@@ -94,8 +94,7 @@ def q_timer_pairs(spark, sf_dir):
     """A-T1 + X6 + C4 (elapsed = after - before) on F7: click starts, purchase stops."""
     pairs, _ = timing.pair_timers(table(spark, sf_dir, "events"), "user_id", "event_type", "click", "purchase")
     return pairs.select("user_id", "start_id", "stop_id", "seconds",
-                        (F.unix_micros(F.col("stop_ts").cast("timestamp"))
-                         - F.unix_micros(F.col("start_ts").cast("timestamp"))).alias("elapsed_us"))
+                        F.timestamp_diff("MICROSECOND", "start_ts", "stop_ts").alias("elapsed_us"))
 
 
 @register("timer_rejects", f"""WITH {TIMER_SQL}
