@@ -60,6 +60,10 @@ def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[Column], name:
               .withColumn("_rk_id", F.monotonically_increasing_id()))
     ranged = (ranged.withColumn("_rk_pid", F.shiftright("_rk_id", _LOCAL_BITS))
               .withColumn("_rk_local", F.col("_rk_id").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
+    # the numbered rows feed two branches; materialise them once so both see
+    # the same range bounds and ids (sampling bounds are not shared otherwise)
+    from rankwise.session import checkpointed
+    ranged = checkpointed(ranged)
     counts = ranged.groupBy(*by, "_rk_pid").agg(F.count(F.lit(1)).alias("_rk_n"),
                                                 F.min("_rk_local").alias("_rk_lo"))
     # rows of one group live in a contiguous run of partitions; the count
@@ -96,6 +100,9 @@ def prefix_count(df: DataFrame, by: Sequence[str], order: Sequence[Column], flag
     keys = [F.col(c) for c in by] + order
     ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("_pc_pid", F.shiftright(F.monotonically_increasing_id(), _LOCAL_BITS)))
+    # two branches read the partition ids: materialise once (same bounds)
+    from rankwise.session import checkpointed
+    ranged = checkpointed(ranged)
     local_w = Window.partitionBy("_pc_pid", *by).orderBy(*order).rowsBetween(before, -1)
     local = ranged.withColumn("_pc_local", F.coalesce(F.sum("_pc_f").over(local_w), F.lit(0)))
     totals = ranged.groupBy(*by, "_pc_pid").agg(F.sum("_pc_f").alias("_pc_n"))

@@ -37,3 +37,15 @@ def test_rank_and_prefix_paths_agree(spark):
     g = rank_within(df, [], order, method="range", num_partitions=5).agg(F.min("place"), F.max("place"),
                                                                           F.count_distinct("place")).first()
     assert tuple(g) == (1, 500, 500)
+
+
+def test_hot_group_is_spread_over_tasks(spark):
+    """One group holding every row: the range path partitions it by range over
+    several tasks (not one window partition) and still numbers it exactly."""
+    df = spark.range(0, 2000).select(F.lit("hot").alias("g"), ((F.col("id") * 7919) % 2003).alias("v"), "id")
+    r = rank_within(df, ["g"], [F.col("v"), F.col("id")], method="range", num_partitions=6)
+    per_task = (df.repartitionByRange(6, "g", "v", "id").groupBy(F.spark_partition_id().alias("p")).count()
+                .collect())
+    assert len(per_task) > 1
+    got = r.agg(F.min("place"), F.max("place"), F.count_distinct("place")).first()
+    assert tuple(got) == (1, 2000, 2000)
