@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankwise.llm import common, fingerprints, license_scan, mixing
+from rankwise.llm import common, fingerprints, license_scan, mixing, substring_dedup
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +21,11 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(common.documents(spark, sf_dir))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(common.documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_license_scan, op6_document_fingerprints, op7_source_mixing)}
+    f.__name__: f for f in (op2_license_scan, op6_document_fingerprints, op7_source_mixing, op9_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
