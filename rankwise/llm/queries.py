@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankwise.llm import common, fingerprints, license_scan, mixing, substring_dedup
+from rankwise.llm import common, fingerprints, license_scan, mixing, substring_dedup, suffix_dedup
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(common.documents(spark, sf_dir)))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(common.documents(spark, sf_dir))
+
+
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.digest(common.documents(spark, sf_dir))
 
@@ -26,6 +30,6 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_license_scan, op6_document_fingerprints, op7_source_mixing, op9_substring_dedup)}
+    f.__name__: f for f in (op2_license_scan, op4_suffix_array_dedup, op6_document_fingerprints, op7_source_mixing, op9_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -32,9 +32,8 @@ class Poly:
 
     def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self._pw) < n:
-            n = max(n, 1 << 16, 2 * len(self._pw))
             for name, b in (("_pw", self.base), ("_ipw", pow(self.base, -1, 1 << 64))):
-                a = np.full(n, b, U)
+                a = np.full(max(n, 1 << 16, 2 * len(getattr(self, name))), b, U)
                 a[0] = 1
                 setattr(self, name, np.cumprod(a))
         return self._pw[:n], self._ipw[:n]
@@ -52,7 +51,7 @@ class Poly:
 
     def windows(self, prefix: np.ndarray, k: int) -> np.ndarray:
         """Hash of every ``k`` consecutive values."""
-        n = len(prefix) - k
+        n = len(prefix) - k  # windows, as the prefix has one entry more than the values
         if n <= 0:
             return np.zeros(0, U)
         _, ipw = self._powers(len(prefix))
