@@ -38,3 +38,10 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def salted_join(rows: DataFrame, small: DataFrame, keys: list[str], salt_from: str, how: str = "left", salts: int = 16) -> DataFrame:
+    """Join ``rows`` with ``small`` (unique ``keys``, not null), whose hot keys are dealt over ``salts`` tasks."""
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")

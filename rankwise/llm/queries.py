@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankwise.llm import common, fingerprints, license_scan, mixing, substring_dedup, suffix_dedup
+from rankwise.llm import common, embeddings, fingerprints, license_scan, mixing, simhash, substring_dedup, suffix_dedup
+from rankwise.sources.tables import table
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(common.documents(spark, sf_dir)))
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(common.documents(spark, sf_dir))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(common.documents(spark, sf_dir))
 
@@ -29,7 +34,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(common.documents(spark, sf_dir))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_license_scan, op4_suffix_array_dedup, op6_document_fingerprints, op7_source_mixing, op9_substring_dedup)}
+    f.__name__: f for f in (op2_license_scan, op3_simhash_near_dedup, op4_suffix_array_dedup, op6_document_fingerprints, op7_source_mixing, op9_substring_dedup,
+                               op10_embedding_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
