@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankwise.llm import bpe, common, embeddings, fingerprints, license_scan, mixing, simhash, substring_dedup, suffix_dedup
+from rankwise.llm import bpe, common, embeddings, fingerprints, license_scan, mixing, simhash, substring_dedup, suffix_dedup, toxicity
 from rankwise.sources.tables import table
 
 
@@ -22,6 +22,10 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(common.documents(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(common.documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.digest(common.documents(spark, sf_dir))
 
@@ -43,7 +47,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_license_scan, op3_simhash_near_dedup, op4_suffix_array_dedup, op6_document_fingerprints, op7_source_mixing, op8_bpe_encoding, op9_substring_dedup,
+    f.__name__: f for f in (op2_license_scan, op3_simhash_near_dedup, op4_suffix_array_dedup, op5_toxicity, op6_document_fingerprints, op7_source_mixing, op8_bpe_encoding, op9_substring_dedup,
                                op10_embedding_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}

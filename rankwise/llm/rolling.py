@@ -81,10 +81,10 @@ _SPACES[[32, 9, 10, 11, 12, 13]] = True
 _PIECE = 1 << 20
 
 
-def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of every word (ASCII white space between words), in pieces of bounded size."""
+def words(data: bytes, separators: np.ndarray = _SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of every word (between ASCII white space by default), in pieces of bounded size."""
     arr = np.frombuffer(data, np.uint8)
-    space = _SPACES[arr]
+    space = separators[arr]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if len(arr) and not space[0]:
         edge = np.concatenate(([0], edge))
