@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankwise.llm import bpe, common, embeddings, fingerprints, license_scan, mixing, simhash, substring_dedup, suffix_dedup, toxicity
+from rankwise.llm import bpe, common, embeddings, fingerprints, license_scan, mixing, simhash, substring_dedup, suffix_dedup, toxicity, url_filters
 from rankwise.sources.tables import table
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(common.documents(spark, sf_dir)))
 
@@ -47,7 +51,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_license_scan, op3_simhash_near_dedup, op4_suffix_array_dedup, op5_toxicity, op6_document_fingerprints, op7_source_mixing, op8_bpe_encoding, op9_substring_dedup,
+    f.__name__: f for f in (op1_url_filters, op2_license_scan, op3_simhash_near_dedup, op4_suffix_array_dedup, op5_toxicity, op6_document_fingerprints, op7_source_mixing, op8_bpe_encoding, op9_substring_dedup,
                                op10_embedding_near_dedup)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": url_filters.ORACLE_SQL}
