@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 
 from rankwise.llm.common import lower_ascii, text_of
 
-#: Everything in ASCII that is not a digit or a-z separates words.
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Everything in ASCII that is not a digit or a letter separates words (A-Z are lower-cased where it matters).
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` runs over space-joined lower-case words and matches whole words."""
+    """``pattern`` runs over space-joined lower-case words and matches whole words, ``keyword`` among them."""
 
     label: str
     keyword: str
@@ -80,7 +80,7 @@ def _family_rules() -> list[Rule]:
             label = f"{stem}-{v.replace(' ', '.')}"
             rules.append(Rule(label, keyword, rf"(?:gnu )?{lic}{_VERSION}{v}", 2, 0.95))
             rules.append(Rule(label, keyword, rf"{_GRANTS}(?:gnu )?{lic}{_VERSION}{v}", 3, 1.0))
-            rules.append(Rule(label, stem, rf"{stem}(?: v)? ?{v}", 2, 0.8))
+            rules.append(Rule(label, stem, rf"{stem}(?: v)? {v}", 2, 0.8))
     return rules
 
 
@@ -144,10 +144,14 @@ def _quote(s: str) -> str:
 
 
 def _rule_table(rules: Sequence[Rule]) -> str:
-    rows = (f"struct({n} as id, {_quote(r.label)} as label, {_quote(r.keyword)} as keyword, "
-            f"{_quote(rf'(?<![^ ])(?:{r.pattern})(?![^ ])')} as pattern, {r.priority} as priority, "
-            f"cast({r.confidence} as double) as confidence)" for n, r in enumerate(rules))
-    return f"array({', '.join(rows)})"
+    """Array of ``(keyword, rules)``, so that a keyword is looked for once."""
+    groups: dict[str, list[str]] = {}
+    for n, r in enumerate(rules):
+        groups.setdefault(r.keyword, []).append(
+            f"struct({n} as id, {_quote(r.label)} as label, {_quote(rf'(?<![^ ])(?:{r.pattern})(?![^ ])')} as pattern, "
+            f"{r.priority} as priority, cast({r.confidence} as double) as confidence)")
+    return "array(" + ", ".join(f"struct({_quote(f' {k} ')} as keyword, array({', '.join(g)}) as rules)"
+                                for k, g in groups.items()) + ")"
 
 
 def _spaces(x: str) -> str:
@@ -161,7 +165,8 @@ def _detections(rules: Sequence[Rule]) -> Column:
     many words as there are spaces before it.
     """
     found = f"""
-      flatten(transform(filter({_rule_table(rules)}, r -> contains(words, r.keyword)), r ->
+      flatten(transform(flatten(transform(filter({_rule_table(rules)},
+          k -> contains(concat(' ', words, ' '), k.keyword)), k -> k.rules)), r ->
         aggregate(
           zip_with(regexp_extract_all(words, r.pattern, 0), split(words, r.pattern),
                    (m, p) -> struct(m, p)),
@@ -213,16 +218,22 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     that some surviving detection is right, taking confidences as
     independent; with phrases only 0.5; else 0.
     """
-    keywords = "|".join(sorted({r.keyword for r in rules}))
-    words = F.trim(F.regexp_replace(lower_ascii(text_of(text_col)), SEPARATORS, " "))
-    out = docs.select(F.col(id_col), words.alias("words"))
+    # one look at each word decides whether a text is lower-cased and scanned at all
+    starts = sorted({r.keyword for r in rules} | {p.words for p in phrases})
+    gate = f"(?i)(?:^| )(?=[{''.join(sorted({k[0] for k in starts}))}])(?:{'|'.join(starts)})(?: |$)"
+    words = F.trim(F.regexp_replace(text_of(text_col), SEPARATORS, " "))
+    out = docs.select(F.col(id_col), words.alias("all_words"))
+    out = out.select(id_col, F.expr(f"if(all_words = '', 0, {_spaces('all_words')} + 1)").cast("bigint").alias("n_words"),
+                     F.when(F.col("all_words").rlike(gate), lower_ascii(F.col("all_words"))).alias("words"))
     none = F.expr("cast(array() as array<struct<start: bigint, end: bigint, priority: int, id: int, "
                   "label: string, confidence: double>>)")
+    nowhere = F.expr("cast(array() as array<bigint>)")
     out = out.select(
-        id_col, F.expr(f"if(words = '', 0, {_spaces('words')} + 1)").cast("bigint").alias("n_words"),
-        F.array(*[F.struct(F.lit(p.label).alias("label"), _phrase_places(p).alias("at"))
+        id_col, "n_words",
+        F.array(*[F.struct(F.lit(p.label).alias("label"),
+                           F.when(F.col("words").isNotNull(), _phrase_places(p)).otherwise(nowhere).alias("at"))
                   for p in phrases]).alias("places"),
-        F.when(F.col("words").rlike(keywords), _detections(rules)).otherwise(none).alias("detections"))
+        F.when(F.col("words").isNotNull(), _detections(rules)).otherwise(none).alias("detections"))
     out = out.withColumn("detections", F.when(F.size("detections") > 1, _suppressed()).otherwise(F.col("detections")))
     missed = F.expr("aggregate(transform(array_distinct(transform(detections, d -> struct(d.label as l, "
                     "d.confidence as c))), x -> 1D - x.c), 1D, (a, x) -> a * x)")
