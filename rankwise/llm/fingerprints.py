@@ -27,8 +27,9 @@ WHOLE_LANES = 4
 WHOLE_MASK = (1 << 62) - 1
 LANES = 256
 LANE_MOD = 1 << 32
-#: Rows of one range of ids on average, when neighbours are looked up.
-IDS_PER_RANGE = 512
+#: Ranges of ids, when neighbours are looked up: at most so many, and of so many rows at least on average.
+RANGES = 4096
+ROWS_PER_RANGE = 512
 
 _SUM = f"""
   aggregate(array_sort(parts), struct(cast(array() as array<struct<lane: int, sum: bigint>>) as done,
@@ -80,41 +81,32 @@ def likeness(whole_a: str, lanes_a: str, whole_b: str, lanes_b: str) -> Column:
         else size(array_intersect({lanes_a}, {lanes_b})) / cast({used} as double) end""")
 
 
-def _next_range(ranges: DataFrame) -> DataFrame:
-    """``(r)`` distinct -> ``(r, next_r)``: the next smaller range, after the last the first.
-
-    Two levels of windows, so that one task sees a 4096th of the ranges.
-    """
-    level = ranges.withColumn("up", F.floor(F.col("r") / 4096))
-    inner = level.withColumn("next_r", F.lead("r").over(Window.partitionBy("up").orderBy(F.desc("r"))))
-    tops = level.groupBy("up").agg(F.max("r").alias("top"))
-    everything = Window.partitionBy()
-    tops = tops.select("up", F.coalesce(F.lead("top").over(Window.orderBy(F.desc("up"))),
-                                        F.max("top").over(everything)).alias("turn"))
-    return inner.join(tops, "up").select("r", F.coalesce("next_r", "turn").alias("next_r"))
-
-
 def with_next(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """Add ``next_<c>`` of the row with the next smaller id; after the smallest comes the largest.
 
-    Ids are cut into ranges of some hundred rows; rows move once, to their
-    range, and only a range's last row looks up the next range's first.
-    Rows of equal id follow each other by ``columns``; null ids come last.
+    Ids are cut into at most ``RANGES`` ranges of equal width.  The first row
+    of each range also goes to the range before it, as its last row's
+    successor; that table of at most ``RANGES`` rows is all that is collected
+    and broadcast.  Texts are shuffled once, and a range is only streamed
+    through.  Rows of equal id follow each other by ``columns``; null ids come
+    last.
     """
     seen = df.agg(F.count("*"), F.min(id_col), F.max(id_col)).first()
     n, low, high = seen[0], seen[1] or 0, seen[2] or 0
-    width = max(1, (high - low + 1) * IDS_PER_RANGE // max(1, n))
-    placed = df.withColumn("_r", F.coalesce(F.expr(f"({id_col} - {low}L) div {width}L"), F.lit(-1)).cast("bigint"))
-    order = Window.partitionBy("_r").orderBy(F.col(id_col).desc_nulls_last(), *columns)
-    lined = placed.select(
-        "*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns],
-        F.lead(F.lit(1)).over(order).isNull().alias("_last"), F.lag(F.lit(1)).over(order).isNull().alias("_first"))
-    firsts = lined.where("_first").select(F.col("_r").alias("_nr"), *[F.col(c).alias(f"_n_{c}") for c in columns])
-    turns = _next_range(lined.where("_first").select(F.col("_r").alias("r")))
-    lasts = (lined.where("_last").join(turns, F.col("_r") == F.col("r")).join(firsts, F.col("next_r") == F.col("_nr"))
-             .select(*df.columns, *[F.col(f"_n_{c}").alias(f"next_{c}") for c in columns]))
-    inner = lined.where("not _last").select(*df.columns, *[f"next_{c}" for c in columns])
-    return inner.union(lasts)
+    width = max(1, -(-(high - low + 1) // min(RANGES - 1, max(1, n // ROWS_PER_RANGE))))
+    place = F.coalesce(F.expr(f"({id_col} - {low}L) div {width}L"), F.lit(-1)).cast("bigint")
+    tops = sorted(((r["r"], r["top"]) for r in df.select(place.alias("r"), F.col(id_col)).groupBy("r")
+                   .agg(F.max(id_col).alias("top")).collect()), reverse=True)
+    turns = [(r, tops[(i + 1) % len(tops)][1]) for i, (r, _) in enumerate(tops)]
+    before = F.broadcast(df.sparkSession.createDataFrame(turns, "_before bigint, _top bigint"))
+    rows = df.withColumn("_r", place)
+    extra = rows.join(before, F.col(id_col).eqNullSafe(F.col("_top")), "left")
+    both = extra.withColumn("_r", F.explode(F.when(F.col("_before").isNull(), F.array("_r"))
+                                            .otherwise(F.array(F.col("_r"), F.lit(None).cast("bigint")))))
+    both = both.withColumn("_guest", F.col("_r").isNull()).withColumn("_r", F.coalesce("_r", "_before"))
+    order = Window.partitionBy("_r").orderBy("_guest", F.col(id_col).desc_nulls_last(), *columns)
+    lined = both.select(*df.columns, "_guest", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
+    return lined.where("not _guest").drop("_guest")
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
