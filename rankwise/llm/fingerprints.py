@@ -86,8 +86,8 @@ def with_next(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
 
     Ids are cut into at most ``RANGES`` ranges of equal width.  The first row
     of each range also goes to the range before it, as its last row's
-    successor; that table of at most ``RANGES`` rows is all that is collected
-    and broadcast.  Texts are shuffled once, and a range is only streamed
+    successor; that table of at most ``RANGES`` rows is all that is broadcast.
+    Texts are shuffled once, and a range is only streamed
     through.  Rows of equal id follow each other by ``columns``; null ids come
     last.
     """
@@ -95,10 +95,10 @@ def with_next(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     n, low, high = seen[0], seen[1] or 0, seen[2] or 0
     width = max(1, -(-(high - low + 1) // min(RANGES - 1, max(1, n // ROWS_PER_RANGE))))
     place = F.coalesce(F.expr(f"({id_col} - {low}L) div {width}L"), F.lit(-1)).cast("bigint")
-    tops = sorted(((r["r"], r["top"]) for r in df.select(place.alias("r"), F.col(id_col)).groupBy("r")
-                   .agg(F.max(id_col).alias("top")).collect()), reverse=True)
-    turns = [(r, tops[(i + 1) % len(tops)][1]) for i, (r, _) in enumerate(tops)]
-    before = F.broadcast(df.sparkSession.createDataFrame(turns, "_before bigint, _top bigint"))
+    tops = df.select(place.alias("r"), F.col(id_col)).groupBy("r").agg(F.max(id_col).alias("top"))
+    falling = Window.orderBy(F.desc("r"))  # over at most RANGES rows
+    before = F.broadcast(tops.select(F.col("r").alias("_before"), F.when(F.lead(F.lit(1)).over(falling).isNull(), F.first("top").over(
+        falling.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).otherwise(F.lead("top").over(falling)).alias("_top")))
     rows = df.withColumn("_r", place)
     extra = rows.join(before, F.col(id_col).eqNullSafe(F.col("_top")), "left")
     both = extra.withColumn("_r", F.explode(F.when(F.col("_before").isNull(), F.array("_r"))
