@@ -148,7 +148,7 @@ def dedup(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
         reports = got if reports is None else reports.union(got)
     if reports is None:
         return ids.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"),
-                          F.lit(True).alias("kept"))
+                          F.col("vec_id").isNotNull().alias("kept"))
     reports = stored(reports)
     groups = components(reports.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "n"})
     counts = reports.groupBy(F.col("node").alias("c")).agg(F.sum("weight").alias("weight"))

@@ -193,13 +193,17 @@ def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 
 def dedup(docs: DataFrame, *, shingle: int = SHINGLE, max_bits: int = MAX_BITS, carry: list[str] | None = None) -> DataFrame:
-    """``doc_id, fp, component_id`` (and ``carry``); the component is the smallest ``doc_id`` that links reach."""
+    """``doc_id, fp, component, component_id`` and ``carry``.
+
+    ``component`` names the group of linked fingerprints (the smallest, as a
+    signed number), ``component_id`` is the smallest ``doc_id`` in it.
+    """
     fps = stored(fingerprints(docs, shingle=shingle, carry=carry))
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     groups = components(links(distinct.select("fp"), max_bits)).withColumnsRenamed({"node": "fp"})
     named = distinct.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("fp", "component_id")
+    named = named.join(least, "component").select("fp", "component", "component_id")
     return salted_join(fps, named, ["fp"], "doc_id", "inner")
 
 

@@ -220,7 +220,17 @@ def _window_bucket(t: pa.Table) -> pa.Table:
     return ex.replied([(rows[k][0], 3, x.tobytes(), y.tobytes(), None) for k, x, y in ex.by_owner(own, h, g)])
 
 
-def _result_step(window: int, carry: list[str]):
+def _rest(c: _Chunk, doc: int, removed: np.ndarray, spaces: bool) -> bytes:
+    """What is left of a document: words joined by one space, or with the white space that followed each of them."""
+    i, j = c.first[doc], c.first[doc + 1]
+    start, end = c.start[i:j][~removed], c.end[i:j][~removed]
+    if not spaces:
+        return b" ".join([c.buf[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True)])
+    follows = np.append(c.start[i + 1:j], c.end[j - 1])[~removed]
+    return b"".join([c.buf[x:y] for x, y in zip(start.tolist(), follows.tolist(), strict=True)])
+
+
+def _result_step(window: int, carry: list[str], spaces: bool):
     def step(key, t, got):
         c = _Chunk(t, window)
         at, h, g = _candidates(c, got)
@@ -242,11 +252,10 @@ def _result_step(window: int, carry: list[str]):
             n.append(int(j - i))
             lost.append(int(r.sum()))
             if not r.any():
-                kept.append(b" ".join(c.data[d].split()).decode())
+                kept.append((c.data[d] if spaces else b" ".join(c.data[d].split())).decode())
                 spans.append([])
             else:
-                kept.append(b" ".join([c.buf[x:y] for x, y in zip(c.start[i:j][~r].tolist(), c.end[i:j][~r].tolist(),
-                                                                 strict=True)]).decode())
+                kept.append(_rest(c, d, r, spaces).decode())
                 s, e = ro.runs(r)
                 spans.append([{"start": int(x), "end": int(y) + 1} for x, y in zip(s, e, strict=True) if r[x]])
         out = {"doc_id": t["doc_id"]} | {f: t[f] for f in carry}
@@ -256,11 +265,12 @@ def _result_step(window: int, carry: list[str]):
     return step
 
 
-def dedup(docs: DataFrame, *, window: int = WINDOW, carry: list[str] | None = None) -> DataFrame:
+def dedup(docs: DataFrame, *, window: int = WINDOW, carry: list[str] | None = None, spaces: bool = False) -> DataFrame:
     """``doc_id, text`` (and ``carry``) -> ``doc_id, carry..., n_words, n_removed, kept, removed``.
 
-    ``kept`` is the rest joined by single spaces, ``removed`` the maximal
-    removed runs as word positions.
+    ``kept`` is the rest joined by single spaces, or with its own white space
+    (``spaces``; then a text that loses nothing is unchanged); ``removed`` the
+    maximal removed runs as word positions.
     """
     if window < 2 * GRAM:
         raise ValueError(f"window must be at least {2 * GRAM} words")
@@ -278,7 +288,7 @@ def dedup(docs: DataFrame, *, window: int = WINDOW, carry: list[str] | None = No
     three = three.groupBy("bucket").applyInArrow(_window_bucket, ex.REPLY).union(two)
     schema = ", ".join(["doc_id bigint", *[f"`{f}` {kinds[f]}" for f in carry], "n_words bigint", "n_removed bigint",
                         "kept string", "removed array<struct<start: bigint, end: bigint>>"])
-    return rows.groupBy("chunk").cogroup(three.groupBy("chunk")).applyInArrow(_result_step(window, carry), schema)
+    return rows.groupBy("chunk").cogroup(three.groupBy("chunk")).applyInArrow(_result_step(window, carry, spaces), schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
