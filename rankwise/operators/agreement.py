@@ -81,10 +81,9 @@ def _pair_positions(left: DataFrame, right: DataFrame, method: str, pair_keys: S
     raise ValueError(f"unknown tau method {method!r}")
 
 
-def with_label_rank(ballots: DataFrame, entity: str = "rater", materialize: bool = False) -> DataFrame:
-    """Alphabetical (code point) rank of each name inside its ballot (ballot
-    tables are usually materialised already, hence no extra checkpoint)."""
-    return rank_within(ballots, ["job_id", entity], [F.col("candidate").asc()], name="lex", materialize=materialize)
+def with_label_rank(ballots: DataFrame, entity: str = "rater") -> DataFrame:
+    """Alphabetical (code point) rank of each name inside its ballot."""
+    return rank_within(ballots, ["job_id", entity], ["candidate"], name="lex")
 
 
 def compare_to_reference(ballots: DataFrame, reference: DataFrame, method: str = "rank") -> DataFrame:

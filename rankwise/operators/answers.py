@@ -22,7 +22,9 @@ JSON_OPTIONS = {"allowUnquotedControlChars": "true", "mode": "PERMISSIVE",
 TRUE_WORDS = ["1", "on", "t", "true", "y", "yes"]
 FALSE_WORDS = ["0", "f", "false", "n", "no", "off"]
 
-_STRING_LITERAL = r'"(?:[^"\\]|\\.)*"'
+# possessive and unrolled: Java's matcher must not go one call deeper for each character of a long text;
+# an unclosed literal goes to the end, so that none of its quotes is tried as a beginning again
+_STRING_LITERAL = r'"[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+(?:"|\z|\\\z)'
 
 
 def json_object_text(text: Column) -> Column:
@@ -44,29 +46,57 @@ def single_object(obj: Column) -> Column:
     return (F.length(braces) > 0) & (depths["d"] == 0) & (depths["closed"] == 1)
 
 
-def lax_int(s: Column) -> Column:
-    """``85`` / ``"85"`` / ``85.0`` -> 85; ``85.5`` or words -> null."""
-    t = F.trim(s)
-    return F.when(t.rlike(r"^[+-]?\d+(\.0*)?$"),
-                  F.regexp_replace(t, r"\.0*$", "").try_cast("bigint"))
+def _kind(v: Column) -> Column:
+    """JSON type of a variant: ``BIGINT``, ``DECIMAL``, ``STRING``, ``BOOLEAN``, ``VOID`` ..., null if absent."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
 
 
-def lax_bool(s: Column) -> Column:
-    """Lax boolean spellings (case-insensitive) -> boolean, else null."""
-    t = F.lower(F.trim(s))
-    return F.when(t.isin(TRUE_WORDS), F.lit(True)).when(t.isin(FALSE_WORDS), F.lit(False))
+def _text(v: Column) -> Column:
+    return v.try_cast("string")
+
+
+_NUMBERS = ["BIGINT", "DECIMAL", "DOUBLE", "FLOAT"]
+
+
+def lax_int(v: Column) -> Column:
+    """``85`` / ``"85"`` / ``85.0`` -> 85, ``true`` -> 1; ``85.5``, words, lists -> null."""
+    t = F.trim(_text(v))
+    number = F.when(t.rlike(r"^[+-]?\d+(\.0*)?$"), F.regexp_replace(t, r"\.0*$", "").try_cast("bigint"))
+    whole = F.when(v.try_cast("double") == F.floor(v.try_cast("double")), v.try_cast("bigint"))  # 1e2
+    return (F.when(_kind(v) == "BOOLEAN", F.when(t == "true", 1).otherwise(0).cast("bigint"))
+            .when(_kind(v).isin(["DOUBLE", "FLOAT"]), whole)
+            .when(_kind(v).isin([*_NUMBERS, "STRING"]), number))
+
+
+def lax_bool(v: Column) -> Column:
+    """Booleans, their spellings (any case), and the numbers 1 and 0; else null."""
+    t = F.lower(F.trim(_text(v)))
+    words = F.when(t.isin(TRUE_WORDS), F.lit(True)).when(t.isin(FALSE_WORDS), F.lit(False))
+    n = v.try_cast("double")
+    return (F.when(_kind(v).isin(["BOOLEAN", "STRING"]), words)
+            .when(_kind(v).isin(_NUMBERS), F.when(n == 1, F.lit(True)).when(n == 0, F.lit(False))))
+
+
+def strict_text(v: Column) -> Column:
+    """A JSON string, stripped; numbers, lists and objects are no text."""
+    return F.when(_kind(v) == "STRING", strip_unicode(_text(v)))
+
+
+_FIELD = {"int": lax_int, "bool": lax_bool, "str": strict_text}
 
 
 def parse_answers(answers: DataFrame, text_col: str, fields: dict[str, str]) -> DataFrame:
     """Parse ``text_col`` into the declared fields (``int`` / ``bool`` / ``str``).
 
+    Fields are read as variants, so that the JSON type of a value is known.
+
     Adds the typed fields plus ``reason`` (null when the answer is valid):
     ``no_json``, ``not_one_object``, ``malformed``, ``missing_<f>``,
     ``bad_<f>``.  Split with ``valid_answers`` / ``rejected_answers``.
     """
-    schema = T.StructType([T.StructField(f, T.StringType()) for f in fields]
+    schema = T.StructType([T.StructField(f, T.VariantType()) for f in fields]
                           + [T.StructField("_corrupt", T.StringType())])
-    obj = json_object_text(F.col(text_col))
+    obj = F.coalesce(json_object_text(F.col(text_col)), F.lit(""))
     df = (answers.withColumn("_obj", obj)
           .withColumn("_one", single_object(F.col("_obj")))
           .withColumn("_p", F.when(F.length("_obj") > 0, F.from_json(F.col("_obj"), schema, JSON_OPTIONS))))
@@ -77,12 +107,7 @@ def parse_answers(answers: DataFrame, text_col: str, fields: dict[str, str]) ->
     ]
     for f, kind in fields.items():
         raw = F.col(f"_p.{f}")
-        if kind == "int":
-            val = lax_int(raw)
-        elif kind == "bool":
-            val = lax_bool(raw)
-        else:
-            val = strip_unicode(raw)
+        val = _FIELD[kind](raw)
         typed.append(val.alias(f))
         checks.append((raw.isNull(), f"missing_{f}"))
         checks.append((val.isNull(), f"bad_{f}"))
@@ -108,8 +133,8 @@ def raise_on_reject(parsed: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------- requirements
 
-REQUIREMENT_ITEM = T.StructType([T.StructField("type", T.StringType()),
-                                 T.StructField("specification", T.StringType()),
+REQUIREMENT_ITEM = T.StructType([T.StructField("type", T.VariantType()),
+                                 T.StructField("specification", T.VariantType()),
                                  T.StructField("_corrupt", T.StringType())])
 
 
@@ -118,30 +143,37 @@ def parse_requirements(answers: DataFrame, text_col: str, types: DataFrame,
     """P2 + J9: extraction answer ``{type: [{type, specification}, ...]}`` ->
     one row per requirement ``(... , req_type, req_pos, kind, specification, reason)``.
 
-    Unknown or unconfigured types (left semi join to the dimension), values
-    that are not lists and list items that are not objects are dropped; an
-    object with a bad field keeps a ``reason`` (quarantine) - use
-    ``raise_on_reject`` for the strict behaviour.
+    An answer that is not one JSON object keeps one row with the reason
+    (``no_json``, ``not_one_object``, ``malformed``) and null fields.  Unknown
+    types (left semi join to the dimension), values that are not lists and
+    list items that are not objects are dropped; an object with a bad field
+    keeps a ``reason`` - use ``raise_on_reject`` for the strict behaviour.
     """
-    obj = json_object_text(F.col(text_col))
-    m = F.from_json(obj, T.MapType(T.StringType(), T.StringType()), JSON_OPTIONS)
     keys = [c for c in answers.columns if c != text_col]
-    entries = answers.select(*keys, F.explode_outer(m).alias("req_type", "_val"))
-    entries = entries.join(F.broadcast(types.select(F.col("type").alias("req_type"), "ord")), "req_type", "left_semi")
+    entry = T.MapType(T.StringType(), T.StringType())
+    base = (answers.select(*keys, json_object_text(F.col(text_col)).alias("_obj"))
+            .withColumn("_m", F.when(F.length("_obj") > 0, F.from_json(F.col("_obj"), entry, JSON_OPTIONS)))
+            .withColumn("reason", F.when(F.length("_obj") == 0, "no_json").when(F.col("_obj").isNull(), "no_json")
+                        .when(~single_object(F.col("_obj")), "not_one_object").when(F.col("_m").isNull(), "malformed")))
+    bad = base.filter(F.col("reason").isNotNull()).select(
+        *keys, F.lit(None).cast("string").alias("req_type"), F.lit(None).cast("int").alias("req_pos"),
+        F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("specification"), "reason")
+    entries = base.filter(F.col("reason").isNull()).select(*keys, F.explode("_m").alias("req_type", "_val"))
+    entries = entries.join(types.select(F.col("type").alias("req_type"), "ord"), "req_type", "left_semi")
     lists = entries.filter(F.trim("_val").startswith("["))
     items = lists.select(*keys, "req_type",
                          F.posexplode(F.from_json("_val", T.ArrayType(T.StringType()), JSON_OPTIONS))
                          .alias("req_pos", "_item"))
     objs = items.filter(F.trim("_item").startswith("{"))
     parsed = objs.withColumn("_r", F.from_json("_item", REQUIREMENT_ITEM, JSON_OPTIONS))
-    kind = strip_unicode(F.col("_r.type"))
-    spec = strip_unicode(F.col("_r.specification"))
+    kind, spec = strict_text(F.col("_r.type")), strict_text(F.col("_r.specification"))
     reason = (F.when(F.col("_r._corrupt").isNotNull(), F.lit("malformed"))
               .when(F.col("_r.type").isNull(), F.lit("missing_type"))
-              .when(~kind.isin(list(kinds)), F.lit("bad_type"))
-              .when(F.col("_r.specification").isNull(), F.lit("missing_specification")))
-    return parsed.select(*keys, "req_type", "req_pos", kind.alias("kind"), spec.alias("specification"),
-                         reason.alias("reason"))
+              .when(F.coalesce(~kind.isin(list(kinds)), F.lit(True)), F.lit("bad_type"))
+              .when(F.col("_r.specification").isNull(), F.lit("missing_specification"))
+              .when(spec.isNull(), F.lit("bad_specification")))
+    good = parsed.select(*keys, "req_type", "req_pos", kind.alias("kind"), spec.alias("specification"), reason.alias("reason"))
+    return good.unionByName(bad)
 
 
 # ------------------------------------------------------------- answer step

@@ -51,17 +51,17 @@ def place_stats(ballots: DataFrame) -> DataFrame:
             .join(first_seen_mode(ballots), ["job_id", "candidate"]))
 
 
-def consensus_ranking(ballots: DataFrame, method: str = "auto") -> DataFrame:
+def consensus_ranking(ballots: DataFrame) -> DataFrame:
     """A5 + O2 + W1: order by mean, mode, min, max (all ascending), ties by first
     seen; place = position in that order."""
     stats = place_stats(ballots)
-    order = [F.col("mean_place"), F.col("mode_place"), F.col("min_place"), F.col("max_place"), F.col("first_seen")]
-    return rank_within(stats, ["job_id"], order, name="place", method=method)
+    order = ["mean_place", "mode_place", "min_place", "max_place", "first_seen"]
+    return rank_within(stats, ["job_id"], order, name="place")
 
 
-def consensus_ballots(ballots: DataFrame, method: str = "auto") -> DataFrame:
+def consensus_ballots(ballots: DataFrame) -> DataFrame:
     """A4 + A5 as one ballot per job with entity ``consensus``."""
-    ranked = consensus_ranking(ballots, method)
+    ranked = consensus_ranking(ballots)
     maj = majority_set(ballots).select("job_id", "candidate", F.col("in_majority").alias("promising"))
     return (ranked.join(maj, ["job_id", "candidate"])
             .select("job_id", F.lit(CONSENSUS_ENTITY).alias("rater"), F.lit(-1).alias("rater_ord"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankwise.functions.text import tokens
-from rankwise.operators.ranking import rank_within
+from rankwise.operators.ranking import desc, prefix_count, rank_within
 
 
 def rank_biased_overlap(ballots: DataFrame, reference: DataFrame, p: float) -> DataFrame:
@@ -22,7 +22,6 @@ def rank_biased_overlap(ballots: DataFrame, reference: DataFrame, p: float) -> D
     depth row (``prefix_count``: exact, and split over tasks for a hot job).
     No position pairs, no window over a whole job.
     """
-    from rankwise.operators.ranking import prefix_count
     a = ballots.select("job_id", "rater", "candidate", F.col("place").alias("pa"))
     b = reference.select("job_id", "candidate", F.col("place").alias("pb"))
     elems = (a.join(b, ["job_id", "candidate"])
@@ -33,7 +32,7 @@ def rank_biased_overlap(ballots: DataFrame, reference: DataFrame, p: float) -> D
     depths = depth.select("job_id", "rater", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("key"),
                           F.lit(1).alias("kind"))
     both = elems.unionByName(depths)
-    counted = prefix_count(both, ["job_id", "rater"], [F.col("key"), F.col("kind")], F.col("kind") == 0, "_ov")
+    counted = prefix_count(both, ["job_id", "rater"], ["key", "kind"], F.col("kind") == 0, "_ov")
     terms = counted.filter(F.col("kind") == 1).select(
         "job_id", "rater", (F.pow(F.lit(p), F.col("key") - 1) * F.col("_ov") / F.col("key")).alias("t"))
     return terms.groupBy("job_id", "rater").agg(((1 - p) * F.sum("t")).alias("rbo"))
@@ -70,12 +69,11 @@ def cost_estimate(requests: DataFrame, chars_col: str, price_per_million: float,
                              F.count_if(F.col("_tok") > context_tokens).alias("over_context"))
 
 
-def shortlist(scores: DataFrame, k: int, method: str = "auto") -> DataFrame:
+def shortlist(scores: DataFrame, k: int) -> DataFrame:
     """Coarse-to-fine - the k best candidates per job by their mean cheap
     score (ties by id); the limit is the feature (a top-k shortlist)."""
     mean = scores.groupBy("job_id", "candidate_id").agg((F.sum("score") / F.count("score")).alias("mean_score"))
-    ranked = rank_within(mean, ["job_id"], [F.col("mean_score").desc(), F.col("candidate_id")], name="rank",
-                         method=method)
+    ranked = rank_within(mean, ["job_id"], [desc("mean_score"), "candidate_id"], name="rank")
     return ranked.filter(F.col("rank") <= k)
 
 

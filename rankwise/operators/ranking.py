@@ -1,112 +1,141 @@
-"""Exact, distributed row numbering within groups.
+"""Exact, distributed row numbering and running counts within groups.
 
-``row_number().over(Window.partitionBy(g))`` sends every row of a group to
-one task.  That is fine while groups are bounded, and wrong when one job
-holds a third of all candidates.  ``rank_within`` therefore has two exact
-paths and a size guard:
+``row_number().over(Window.partitionBy(g))`` sends every row of a group to one
+task, which fails when one job holds a third of all candidates.  Here a group
+is cut into cells along its order, the same way at every size:
 
-* ``window``: plain window function (groups up to ``max_window_group`` rows);
-* ``range``: range-partition on ``(group, order keys)`` so a hot group is
-  split over many tasks, number rows inside each partition with
-  ``monotonically_increasing_id``, and add per-(group, partition) offsets
-  computed from a small count table (one row per group per partition).
+1. one aggregate finds the least and greatest value of the leading order keys
+   per group;
+2. a row's cell is its place in ``CELLS`` equal steps between them.  Where the
+   steps of a key are single values (booleans, small integers, dates), the
+   cell is refined by the next key, so that ties don't pile up;
+3. rows are numbered inside a cell, and a running sum over the cells' counts
+   (a small table) gives the offset.
 
-Both return the same numbers; the order keys must form a total order
-(callers always end them with a unique id).
+No size guard, no checkpoint, no value on the driver.  Null keys form groups
+of their own.  The order keys must form a total order and be deterministic
+(sums of doubles should be rounded or summed as decimals first); callers end
+them with a unique id.  Keys are column names or expressions, ascending
+unless wrapped in ``desc``; nulls come first ascending and last descending.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_LOCAL_BITS = 33  # monotonically_increasing_id: partition id << 33 | row in partition
+CELLS = 1024
+#: Leading order keys along which a group is cut.
+CUT_KEYS = 3
+#: Copies of a group's row in the table of bounds, so that a hot group's join is dealt over tasks.
+SALTS = 16
 
 
-def max_group_size(df: DataFrame, by: Sequence[str]) -> int:
-    """Size of the largest group (one small aggregate job)."""
-    row = df.groupBy(*by).count().agg(F.max("count").alias("m")).first()
-    return int(row["m"] or 0) if row else 0
+class Key(NamedTuple):
+    expr: Column
+    descending: bool
 
 
-def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "place",
-                method: str = "auto", max_window_group: int = 1_000_000,
-                num_partitions: int | None = None, materialize: bool = True) -> DataFrame:
-    """Add ``name`` = 1-based position of each row inside its ``by`` group.
+def desc(key: str | Column) -> Key:
+    return Key(F.col(key) if isinstance(key, str) else key, True)
 
-    The size guard (``auto``) and the range partitioner's sampling each read
-    the input once more; with ``materialize`` the input is checkpointed
-    first so those passes read the written rows instead of recomputing an
-    expensive lineage (pass ``False`` for a plain scan)."""
+
+def asc(key: str | Column) -> Key:
+    return Key(F.col(key) if isinstance(key, str) else key, False)
+
+
+def _number(c: Column, kind: T.DataType) -> tuple[Column, bool] | None:
+    """A double that never falls where the key rises, and whether whole steps of one are single values."""
+    if isinstance(kind, T.BooleanType):
+        return c.cast("int").cast("double"), True
+    if isinstance(kind, T.IntegralType):
+        return c.cast("double"), True
+    if isinstance(kind, (T.DecimalType, T.FractionalType)):
+        return c.cast("double"), False
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("double"), True
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c).cast("double"), True
+    if isinstance(kind, T.StringType):  # the first six bytes
+        head = F.rpad(F.hex(F.substring(F.encode(c, "utf-8"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double"), False
+    return None
+
+
+def _null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], how: str) -> DataFrame:
+    cond = None
+    for a, b in pairs:
+        eq = left[a].eqNullSafe(right[b])
+        cond = eq if cond is None else cond & eq
+    return left.join(right, cond, how).drop(*[b for _, b in pairs])
+
+
+def _in_cells(df: DataFrame, by: list[str], keys: list[Key]) -> tuple[DataFrame, list[str], list[str]]:
+    """``df`` with group columns and cell columns; their names."""
+    kinds = df.select(*[k.expr.alias(f"_k{i}") for i, k in enumerate(keys)]).schema
+    rows = df.withColumns({f"_rk_o{i}": k.expr for i, k in enumerate(keys)})
+    groups = by or ["_rk_all"]
+    if not by:
+        rows = rows.withColumn("_rk_all", F.lit(0))
+    cuts = []
+    for i in range(min(len(keys), CUT_KEYS)):
+        number = _number(F.col(f"_rk_o{i}"), kinds[i].dataType)
+        if number is None:
+            break
+        cuts.append(number[1])
+        rows = rows.withColumn(f"_rk_s{i}", number[0])
+    rows = rows.withColumn("_rk_salt", F.pmod(F.xxhash64(*[f"_rk_o{i}" for i in range(len(keys))]), F.lit(SALTS)).cast("int"))
+    if not cuts:
+        return rows, groups, []
+    finite = [F.when(F.abs(F.col(f"_rk_s{i}")) < 1.7e308, F.col(f"_rk_s{i}")) for i in range(len(cuts))]
+    bounds = rows.groupBy(*groups).agg(
+        *[F.min(x).alias(f"_rk_lo{i}") for i, x in enumerate(finite)],
+        *[F.max(x).alias(f"_rk_hi{i}") for i, x in enumerate(finite)])
+    bounds = bounds.withColumnsRenamed({g: f"_rk_b{j}" for j, g in enumerate(groups)}).withColumn(
+        "_rk_bs", F.explode(F.array(*[F.lit(s) for s in range(SALTS)])))
+    rows = _null_safe(rows, bounds, [*[(g, f"_rk_b{j}") for j, g in enumerate(groups)], ("_rk_salt", "_rk_bs")], "left")
+    exact = F.lit(True)
+    for i, whole in enumerate(cuts):
+        s, lo, hi = (F.col(f"_rk_{x}{i}") for x in ("s", "lo", "hi"))
+        # whole numbers within few steps: a step is a value (doubles hold them up to 2^53)
+        single = F.coalesce((hi - lo < CELLS) & (F.abs(lo) < 2.0 ** 53) & (F.abs(hi) < 2.0 ** 53), F.lit(True)) if whole else (
+            F.coalesce(lo == hi, F.lit(False)) if not isinstance(kinds[i].dataType, T.StringType) else F.lit(False))
+        step = F.when(single, s - lo).otherwise(F.least(F.floor((s / 2 - lo / 2) / (hi / 2 - lo / 2) * CELLS), F.lit(CELLS - 1)))
+        cell = (F.when(s.isNull(), -1).when(F.isnan(s), CELLS).when(s <= lo, 0).when(s >= hi, F.when(single, hi - lo).otherwise(CELLS - 1))
+                .otherwise(step).cast("int"))
+        cell = F.coalesce(cell, F.lit(0))
+        rows = rows.withColumn(f"_rk_c{i}", F.when(exact, -cell if keys[i].descending else cell).otherwise(0))
+        # infinite values share the outermost cells with finite ones: no refinement below those
+        exact = exact & single & (s.isNull() | F.coalesce(F.abs(s) < 1.7e308, F.lit(False)) if not whole else F.lit(True))
+    return rows, groups, [f"_rk_c{i}" for i in range(len(cuts))]
+
+
+def _running(df: DataFrame, by: Sequence[str], order: Sequence, value: Column | None, name: str) -> DataFrame:
+    """Sum of ``value`` (or the count) over the rows before each row, per group."""
     by = list(by)
-    order = list(order)
-    if method in ("auto", "range") and materialize:
-        from rankwise.session import checkpointed
-        df = checkpointed(df)
-    if method == "auto":
-        method = "window" if max_group_size(df, by) <= max_window_group else "range"
-    if method == "window":
-        w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
-        return df.withColumn(name, F.row_number().over(w).cast("int"))
-    if method != "range":
-        raise ValueError(f"unknown method {method!r}")
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(c) for c in by] + order
-    ranged = (df.repartitionByRange(n, *keys)
-              .sortWithinPartitions(*keys)
-              .withColumn("_rk_id", F.monotonically_increasing_id()))
-    ranged = (ranged.withColumn("_rk_pid", F.shiftright("_rk_id", _LOCAL_BITS))
-              .withColumn("_rk_local", F.col("_rk_id").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
-    # the numbered rows feed two branches; materialise them once so both see
-    # the same range bounds and ids (sampling bounds are not shared otherwise)
-    from rankwise.session import checkpointed
-    ranged = checkpointed(ranged)
-    counts = ranged.groupBy(*by, "_rk_pid").agg(F.count(F.lit(1)).alias("_rk_n"),
-                                                F.min("_rk_local").alias("_rk_lo"))
-    # rows of one group live in a contiguous run of partitions; the count
-    # table has at most (#groups + #partitions) rows
-    before = Window.partitionBy(*by).orderBy("_rk_pid").rowsBetween(Window.unboundedPreceding, -1) \
-        if by else Window.orderBy("_rk_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_rk_off", F.coalesce(F.sum("_rk_n").over(before), F.lit(0)))
-    out = ranged.join(offsets.select(*by, "_rk_pid", "_rk_off", "_rk_lo"), on=by + ["_rk_pid"], how="inner")
-    out = out.withColumn(name, (F.col("_rk_off") + F.col("_rk_local") - F.col("_rk_lo") + 1).cast("int"))
-    return out.drop("_rk_id", "_rk_pid", "_rk_local", "_rk_off", "_rk_lo")
-
-
-def prefix_count(df: DataFrame, by: Sequence[str], order: Sequence[Column], flag: Column, name: str,
-                 method: str = "auto", max_window_group: int = 1_000_000,
-                 num_partitions: int | None = None) -> DataFrame:
-    """Number of earlier rows (strictly before, in ``order``) of the same
-    ``by`` group whose ``flag`` is true - a segmented running count.
-
-    ``window`` path for bounded groups; ``range`` path for hot groups: range
-    partitioning spreads one group over many tasks, each task counts
-    locally (window over its own range partition) and per-(group, partition)
-    totals give the offsets, as in ``rank_within``.
-    """
-    by, order = list(by), list(order)
-    df = df.withColumn("_pc_f", flag.cast("long"))
-    if method == "auto":
-        method = "window" if max_group_size(df, by) <= max_window_group else "range"
-    before = Window.unboundedPreceding
-    if method == "window":
-        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(before, -1)
-        return df.withColumn(name, F.coalesce(F.sum("_pc_f").over(w), F.lit(0))).drop("_pc_f")
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(c) for c in by] + order
-    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_pc_pid", F.shiftright(F.monotonically_increasing_id(), _LOCAL_BITS)))
-    # two branches read the partition ids: materialise once (same bounds)
-    from rankwise.session import checkpointed
-    ranged = checkpointed(ranged)
-    local_w = Window.partitionBy("_pc_pid", *by).orderBy(*order).rowsBetween(before, -1)
-    local = ranged.withColumn("_pc_local", F.coalesce(F.sum("_pc_f").over(local_w), F.lit(0)))
-    totals = ranged.groupBy(*by, "_pc_pid").agg(F.sum("_pc_f").alias("_pc_n"))
-    prev = Window.partitionBy(*by).orderBy("_pc_pid").rowsBetween(before, -1)
-    offsets = totals.withColumn("_pc_off", F.coalesce(F.sum("_pc_n").over(prev), F.lit(0)))
-    out = local.join(offsets.select(*by, "_pc_pid", "_pc_off"), by + ["_pc_pid"])
-    return out.withColumn(name, F.col("_pc_off") + F.col("_pc_local")).drop("_pc_f", "_pc_pid", "_pc_local", "_pc_off")
+    keys = [k if isinstance(k, Key) else asc(k) for k in order]
+    rows, groups, cells = _in_cells(df.withColumn("_rk_v", F.lit(1).cast("bigint") if value is None else value.cast("bigint")), by, keys)
+    sort = [F.col(f"_rk_o{i}").desc() if k.descending else F.col(f"_rk_o{i}").asc() for i, k in enumerate(keys)]
+    inside = Window.partitionBy(*groups, *cells).orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_rk_in", F.coalesce(F.sum("_rk_v").over(inside), F.lit(0)))
+    if cells:
+        sums = rows.groupBy(*groups, *cells).agg(F.sum("_rk_v").alias("_rk_n"))
+        before = Window.partitionBy(*groups).orderBy(*cells).rowsBetween(Window.unboundedPreceding, -1)
+        names = {c: f"_rk_j{j}" for j, c in enumerate([*groups, *cells])}
+        offsets = sums.withColumn("_rk_off", F.coalesce(F.sum("_rk_n").over(before), F.lit(0))).drop("_rk_n").withColumnsRenamed(names)
+        rows = _null_safe(rows, offsets, list(names.items()), "inner").withColumn("_rk_in", F.col("_rk_off") + F.col("_rk_in"))
+    return rows.select(*df.columns, F.col("_rk_in").alias(name))
+
+
+def rank_within(df: DataFrame, by: Sequence[str], order: Sequence, name: str = "place") -> DataFrame:
+    """Add ``name`` = 1-based position of each row inside its ``by`` group (bigint)."""
+    return _running(df, by, order, None, name).withColumn(name, F.col(name) + 1)
+
+
+def prefix_count(df: DataFrame, by: Sequence[str], order: Sequence, flag: Column, name: str) -> DataFrame:
+    """Number of earlier rows (strictly before, in ``order``) of the same ``by`` group whose ``flag`` is true."""
+    return _running(df, by, order, F.coalesce(flag.cast("bigint"), F.lit(0)), name)

@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankwise.functions.columns import clamp
-from rankwise.operators.ranking import rank_within
+from rankwise.operators.ranking import Key, asc, desc, rank_within
 from rankwise.schemas import KIND_MANDATORY, MAX_SCORE, MIN_SCORE
 
 KEYS = ["job_id", "candidate_id"]
+DIGITS = 9
 
 
 def clamp_scores(scores: DataFrame, raw: str = "raw_score", lo: int = MIN_SCORE, hi: int = MAX_SCORE) -> DataFrame:
@@ -63,6 +64,8 @@ def weighted_totals(scores: DataFrame, types: DataFrame, candidates: DataFrame |
     ``candidates`` (job_id, candidate_id) lets a candidate without any
     score appear with total ``min`` (left join), as the reference does.
     The weights are the 12-row type dimension (broadcast, fixed size).
+    Totals are rounded to ``DIGITS`` decimals: equal totals then tie, in
+    whatever order their parts were added.
     """
     stats = stats if stats is not None else category_stats(scores, lo)
     weights = F.broadcast(types.select("type", F.col("weighting").cast("double").alias("w")))
@@ -71,7 +74,7 @@ def weighted_totals(scores: DataFrame, types: DataFrame, candidates: DataFrame |
               .agg(F.sum(F.col("sum_above_min") / F.col("n_scores") * F.col("w")).alias("_num"),
                    F.sum("w").alias("_den"),
                    F.min(F.when(F.col("mand_n") > 0, F.col("mand_sum") / F.col("mand_n"))).alias("mandatory_floor"))
-              .withColumn("total_score", F.lit(float(lo)) + F.col("_num") / F.col("_den"))
+              .withColumn("total_score", _total(lo))
               .drop("_num", "_den"))
     if candidates is not None:
         totals = (candidates.select(*KEYS).distinct().join(totals, KEYS, "left")
@@ -79,6 +82,10 @@ def weighted_totals(scores: DataFrame, types: DataFrame, candidates: DataFrame |
     return totals
 
 
+def _total(lo: int) -> Column:
+    return F.round(F.lit(float(lo)) + F.col("_num") / F.col("_den"), DIGITS)
+
+
 def mandatory_floor(scores: DataFrame) -> DataFrame:
     """Lowest per-type mean over mandatory requirements (null if none)."""
     st = category_stats(scores)
@@ -106,23 +113,25 @@ def category_pivot(scores: DataFrame, type_names: list[str], lo: int = MIN_SCORE
     return wide.select(*KEYS, *[F.col(f"`{t}`").alias(f"score ({t})") for t in type_names])
 
 
-def ranking_order() -> list[Column]:
+def ranking_order() -> list[Key]:
     """O1: promising first, then total descending; candidate id as the tie rule."""
-    return [F.col("promising").desc(), F.col("total_score").desc(), F.col("candidate_id").asc()]
+    return [desc("promising"), desc("total_score"), asc("candidate_id")]
 
 
-def rank_candidates(overview: DataFrame, method: str = "auto") -> DataFrame:
+def rank_candidates(overview: DataFrame) -> DataFrame:
     """O1 + W1: place 1..n per job, without a one-task window on hot jobs."""
-    return rank_within(overview, ["job_id"], ranking_order(), name="place", method=method)
+    return rank_within(overview, ["job_id"], ranking_order(), name="place")
 
 
 def overview(scores: DataFrame, types: DataFrame, type_names: list[str], total_threshold: float = 50.0,
-             mandatory_threshold: float = 25.0, method: str = "auto", lo: int = MIN_SCORE) -> DataFrame:
+             mandatory_threshold: float = 25.0, lo: int = MIN_SCORE, candidates: DataFrame | None = None) -> DataFrame:
     """S8 frame: candidate, place, promising, total_score, score (<type>)...
 
     Two aggregates in a row: per (job, candidate, type) the exact sums, then
     per (job, candidate) the weighted total, the mandatory floor and the
-    pivoted type means together - one shuffle each, no join between them."""
+    pivoted type means together - one shuffle each, no join between them.
+    ``candidates`` (job_id, candidate_id) brings in candidates without any
+    score: total ``lo``, empty type means."""
     stats = category_stats(scores, lo)
     weights = F.broadcast(types.select("type", F.col("weighting").cast("double").alias("w")))
     mean = F.col("sum_above_min") / F.col("n_scores")
@@ -131,8 +140,11 @@ def overview(scores: DataFrame, types: DataFrame, type_names: list[str], total_t
            .agg(F.sum(mean * F.col("w")).alias("_num"), F.sum("w").alias("_den"),
                 F.min(F.when(F.col("mand_n") > 0, F.col("mand_sum") / F.col("mand_n"))).alias("mandatory_floor"),
                 *[F.max(F.when(F.col("type") == t, mean + F.lit(lo))).alias(f"score ({t})") for t in type_names])
-           .withColumn("total_score", F.lit(float(lo)) + F.col("_num") / F.col("_den"))
+           .withColumn("total_score", _total(lo))
            .drop("_num", "_den"))
+    if candidates is not None:
+        per = (candidates.select(*KEYS).distinct().join(per, KEYS, "left")
+               .withColumn("total_score", F.coalesce("total_score", F.lit(float(lo)))))
     decided = decide_promising(per, None, total_threshold, mandatory_threshold)
     cols = [*KEYS, "total_score", "promising", *[f"score ({t})" for t in type_names]]
-    return rank_candidates(decided.select(*[F.col(f"`{c}`") for c in cols]), method=method)
+    return rank_candidates(decided.select(*[F.col(f"`{c}`") for c in cols]))

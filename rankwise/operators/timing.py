@@ -18,7 +18,7 @@ from rankwise.operators.ranking import prefix_count
 
 
 def pair_timers(events: DataFrame, key: str, kind_col: str, start_value: str, stop_value: str,
-                ts_col: str = "ts", id_col: str = "event_id", method: str = "auto") -> tuple[DataFrame, DataFrame]:
+                ts_col: str = "ts", id_col: str = "event_id") -> tuple[DataFrame, DataFrame]:
     """Returns ``(pairs, rejects)``.
 
     pairs: ``(key, start_id, stop_id, start_ts, stop_ts, seconds)``;
@@ -27,7 +27,7 @@ def pair_timers(events: DataFrame, key: str, kind_col: str, start_value: str, st
     ev = (events.filter(F.col(kind_col).isin(start_value, stop_value))
           .select(F.col(key).alias("_key"), F.col(id_col).alias("_id"), F.col(ts_col).alias("_ts"),
                   (F.col(kind_col) == stop_value).alias("_stop")))
-    seg = prefix_count(ev, ["_key"], [F.col("_ts"), F.col("_id")], F.col("_stop"), "_seg", method=method)
+    seg = prefix_count(ev, ["_key"], ["_ts", "_id"], F.col("_stop"), "_seg")
     # a segment holds the starts after the previous stop and at most one stop
     # (the one that closes it): one aggregate finds both, no join
     ev_key = F.struct("_ts", "_id")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwise.operators.ranking import rank_within
+from rankwise.operators.ranking import desc, rank_within
 from rankwise.session import checkpointed
 from rankwise.schemas import KIND_MANDATORY, KIND_OPTIONAL, REQUIREMENT_TYPES
 from rankwise.sources.tables import table
@@ -80,8 +80,7 @@ def f2_ballots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """human ballots ``(job_id, rater, rater_ord, candidate, place, promising)``
     and headers ``(job_id, rater, rater_ord, minutes)``."""
     vol = _brand_volume(spark, sf_dir)
-    ranked = rank_within(vol, ["job_id", "rater_ord"], [F.col("qty").desc(), F.col("candidate").asc()],
-                         materialize=False)  # vol is already checkpointed
+    ranked = rank_within(vol, ["job_id", "rater_ord"], [desc("qty"), "candidate"])
     ballots = checkpointed(ranked.select("job_id", rater_name(F.col("rater_ord")).alias("rater"), "rater_ord",
                                          "candidate", "place",
                                          (F.col("place") <= F.col("rater_ord") + 6).alias("promising")))
@@ -95,7 +94,7 @@ def f3_model_ballots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     """model ballots ``(job_id, candidate, place, promising)`` and run info
     ``(job_id, seconds_taken)``."""
     vol = _brand_volume(spark, sf_dir).groupBy("job_id", "candidate").agg(F.sum("n_rows").alias("n"))
-    ranked = rank_within(vol, ["job_id"], [F.col("n").desc(), F.col("candidate").asc()], materialize=False)
+    ranked = rank_within(vol, ["job_id"], [desc("n"), "candidate"])
     ballots = checkpointed(ranked.select("job_id", "candidate", "place", (F.col("place") <= 12).alias("promising")))
     info = (vol.groupBy("job_id").agg(F.sum("n").alias("n"))
             .select("job_id", (F.lit(30) + F.col("n") % 90).cast("bigint").alias("seconds_taken")))
@@ -201,6 +200,40 @@ def f5c_requirement_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", text.alias("answer"))
 
 
+def f5d_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F5d: decision answers ``(event_id, answer)`` from ``events``; the defect
+    class is ``event_id % 14``, every 97th has an explanation of 100,000 characters."""
+    e = table(spark, sf_dir, "events")
+    L = F.lit
+    said = F.when(F.col("event_id") % 97 == 0, F.repeat(L('\\"so\\" {x} '), 10_000)).otherwise(F.col("event_type"))
+
+    def text(value: str, tail: str = "}") -> F.Column:
+        return F.concat(L('Well: {"promising": ' + value + ', "explanation": "'), said, L('"' + tail + " end"))
+    bodies = [text("true"), text("false"), text('"Yes"'), text('"off"'), text("1"), text("0.0"), text("2"), text('"maybe"'),
+              text("null"), text("[true]"), F.concat(L('{"promising": true, "explanation": '), F.col("event_id").cast("string"), L("}")),
+              F.concat(L("I would say yes to "), F.col("event_type")), text("true", ""), text("true", '} {"promising": false}')]
+    out = F.lit(None).cast("string")
+    for k, body in enumerate(bodies):
+        out = F.when(F.col("event_id") % len(bodies) == k, body).otherwise(out)
+    return e.select("event_id", out.alias("answer"))
+
+
+def f5e_bad_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F5e: extraction answers ``(event_id, answer)`` from ``events``, good and bad by ``event_id % 7``."""
+    e = table(spark, sf_dir, "events")
+    item = lambda kind, spec: F.concat(F.lit('{"type": ' + kind + ', "specification": '), spec, F.lit("}"))
+    spec = F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))
+    one = lambda x: F.concat(F.lit('So {"education": ['), x, F.lit("]}"))
+    bodies = [F.concat(F.lit("no object for "), F.col("event_type")), F.concat(F.lit('{"education": ['), spec),
+              F.concat(one(item('"mandatory"', spec)), F.lit(' {"x": 1}')), F.lit('{"education": [}'),
+              one(item('"mandatory"', F.floor("value").cast("bigint").cast("string"))), one(item("3", spec)),
+              one(item('"optional"', spec))]
+    out = F.lit(None).cast("string")
+    for k, body in enumerate(bodies):
+        out = F.when(F.col("event_id") % len(bodies) == k, body).otherwise(out)
+    return e.select("event_id", out.alias("answer"))
+
+
 # ------------------------------------------------------------- path adapter
 
 F4_SUFFIXES = ["pdf", "docx", "txt", "png"]

@@ -82,6 +82,33 @@ def q_parsed_requirements(spark, sf_dir):
                     "specification", "reason")
 
 
+@register("parsed_decisions", """
+SELECT event_id, CASE WHEN k IN (0, 2, 4) THEN true WHEN k IN (1, 3, 5) THEN false END AS promising,
+       CASE WHEN k < 6 THEN CAST(length(CASE WHEN event_id % 97 = 0 THEN trim(repeat('"so" {x} ', 10000)) ELSE event_type END) AS BIGINT)
+            END AS explanation_chars,
+       CASE WHEN k < 6 THEN NULL WHEN k < 10 THEN 'bad_promising' WHEN k = 10 THEN 'bad_explanation'
+            WHEN k = 11 THEN 'no_json' WHEN k = 12 AND event_id % 97 <> 0 THEN 'no_json' ELSE 'not_one_object' END AS reason
+FROM (SELECT *, event_id % 14 AS k FROM events)""")
+def q_parsed_decisions(spark, sf_dir):
+    """P3 on the decision answer; the SQL names each defect class's outcome."""
+    p = ans.parse_answers(fx.f5d_decisions(spark, sf_dir), "answer", {"promising": "bool", "explanation": "str"})
+    ok = F.col("reason").isNull()
+    return p.select("event_id", F.when(ok, F.col("promising")).alias("promising"),
+                    F.when(ok, F.length("explanation").cast("bigint")).alias("explanation_chars"), "reason")
+
+
+@register("extraction_rejects", """
+SELECT event_id, CASE WHEN k > 3 THEN 'education' END AS req_type, CASE WHEN k IN (4, 6) THEN CASE WHEN k = 4 THEN 'mandatory' ELSE 'optional' END END AS kind,
+       CASE WHEN k IN (5, 6) THEN event_type END AS specification,
+       CASE k WHEN 0 THEN 'no_json' WHEN 1 THEN 'no_json' WHEN 2 THEN 'not_one_object' WHEN 3 THEN 'malformed'
+              WHEN 4 THEN 'bad_specification' WHEN 5 THEN 'bad_type' END AS reason
+FROM (SELECT *, event_id % 7 AS k FROM events)""")
+def q_extraction_rejects(spark, sf_dir):
+    """Every bad extraction answer keeps a row with its reason."""
+    r = ans.parse_requirements(fx.f5e_bad_extractions(spark, sf_dir), "answer", requirement_types(spark))
+    return r.select("event_id", "req_type", "kind", "specification", "reason")
+
+
 # ------------------------------------------------------- fan-out and scorer
 
 @register("requirement_fan_out", f"""WITH {FRONT_SQL}

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from rankwise.functions.columns import round6
 from rankwise.operators import scoring
+from rankwise.operators.ranking import desc, prefix_count, rank_within
 from rankwise.plans import fixtures as fx
 from rankwise.plans.oracle import F1_SQL
 from rankwise.plans.registry import register
 from rankwise.schemas import requirement_types
+from rankwise.sources.tables import table
 
 
 def _scores(spark, sf_dir):
@@ -50,6 +52,20 @@ def q_score_range_violations(spark, sf_dir):
     return v.select("job_id", "candidate_id", "type", F.col("score").cast("bigint").alias("score"))
 
 
+@register("line_places", """
+SELECT l_returnflag, l_orderkey, l_linenumber,
+       row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS place,
+       CAST(count(*) FILTER (WHERE l_linestatus = 'F') OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS filled_before
+FROM lineitem""")
+def q_line_places(spark, sf_dir):
+    """W1 and running counts over three hot groups: every row of ``lineitem``."""
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice", "l_linestatus", "l_shipdate")
+    out = rank_within(li, ["l_returnflag"], [desc("l_extendedprice"), "l_orderkey", "l_linenumber"])
+    out = prefix_count(out, ["l_returnflag"], ["l_shipdate", "l_orderkey", "l_linenumber"], F.col("l_linestatus") == "F", "filled_before")
+    return out.select("l_returnflag", "l_orderkey", "l_linenumber", "place", "filled_before")
+
+
 def _pivot_sql_cols() -> str:
     return ", ".join(
         f"round(CAST(sum(s) FILTER (WHERE type = '{t}') AS DOUBLE) / sum(n) FILTER (WHERE type = '{t}'), 6) "

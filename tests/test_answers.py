@@ -40,6 +40,43 @@ def test_lax_values_and_rejects(spark):
     assert got[9][2] is None and got[10][2] is None
 
 
+def test_field_types(spark):
+    got = _parse(spark, [
+        '{"value": 1, "explanation": 5}', '{"value": 1, "explanation": ["x"]}', '{"value": true, "explanation": "x"}',
+        '{"value": [1], "explanation": "x"}', '{"value": 1e2, "explanation": "x"}', '{"value": null, "explanation": "x"}',
+        '{"value": 1, "explanation": "x"', '{"value": 1, "value": 2, "explanation": "x"}', '{"explanation": "x"}', None, ""])
+    assert [got[i][2] for i in range(9)] == ["bad_explanation", "bad_explanation", None, "bad_value", None, "bad_value",
+                                             "no_json", None, "missing_value"]
+    assert got[2][0] == 1 and got[4][0] == 100 and got[7][0] == 2
+    assert got[9][2] == "no_json" and got[10][2] == "no_json"
+
+
+def test_lax_booleans(spark):
+    texts = ["true", '"Yes"', "1", "1.0", "0.0", '"off"', "2", '"maybe"', "null", "[true]"]
+    df = spark.createDataFrame([(i, '{"promising": %s}' % t) for i, t in enumerate(texts)], "id int, answer string")
+    got = {r["id"]: (r["promising"], r["reason"]) for r in ans.parse_answers(df, "answer", {"promising": "bool"}).collect()}
+    assert [got[i][0] for i in range(10)] == [True, True, True, True, False, False, None, None, None, None]
+    assert all(got[i][1] == "bad_promising" for i in range(6, 10)) and all(got[i][1] is None for i in range(6))
+
+
+def test_long_answers(spark):
+    """An explanation of a megabyte with quotes, braces and backslashes."""
+    long = 'it\'s "quoted" {not} a \\ brace } ' * 40_000
+    text = "Sure: " + json.dumps({"value": 7, "explanation": long}) + " done"
+    assert len(text) > 1_000_000
+    got = _parse(spark, [text, text + " {}"])
+    assert got[0] == (7, long.strip(), None) and got[1][2] == "not_one_object"
+
+
+def test_bad_extraction_answers_keep_a_row(spark):
+    texts = ["nothing", '{"education": [', '{"education": []} {"x": 1}', '{"education": [{"type": "mandatory", "specification": 7}]}',
+             '{"education": [{"type": 3, "specification": "x"}]}', "{}", None, '{"education": [}']
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, answer string")
+    got = {r["id"]: (r["req_type"], r["reason"]) for r in ans.parse_requirements(df, "answer", requirement_types(spark)).collect()}
+    assert got == {0: (None, "no_json"), 1: (None, "no_json"), 2: (None, "not_one_object"), 3: ("education", "bad_specification"),
+                   4: ("education", "bad_type"), 6: (None, "no_json"), 7: (None, "malformed")}
+
+
 def test_requirement_extraction(spark):
     text = json.dumps({"education": [{"type": "mandatory", "specification": " MSc "}, "loose", 3],
                        "travel": "not a list", "unknown": [{"type": "optional", "specification": "x"}],

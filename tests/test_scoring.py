@@ -41,12 +41,21 @@ def test_total_within_range_and_monotone(spark):
     assert 0 <= base <= 100 and raised >= base
 
 
-def test_overview_ranking_both_paths(spark):
+def test_overview_ranks_every_candidate(spark):
     rows = [("j", c, "education", "mandatory", (c * 37) % 101) for c in range(1, 40)] + \
            [("k", c, "travel", "optional", (c * 11) % 101) for c in range(1, 10)]
     s = _scores(spark, rows)
     names = [t for t, _ in __import__("rankwise.schemas", fromlist=["x"]).REQUIREMENT_TYPES]
-    w = scoring.overview(s, requirement_types(spark), names, method="window")
-    r = scoring.overview(s, requirement_types(spark), names, method="range")
-    key = ["job_id", "candidate_id", "place"]
-    assert sorted(map(tuple, w.select(*key).collect())) == sorted(map(tuple, r.select(*key).collect()))
+    cands = s.select("job_id", "candidate_id").union(spark.createDataFrame([("j", 99), ("m", 1)], "job_id string, candidate_id long"))
+    o = scoring.overview(s, requirement_types(spark), names, candidates=cands)
+    got = sorted((r["job_id"], r["place"], r["candidate_id"]) for r in o.collect())
+    by_job = {"j": {c: (c * 37) % 101 for c in range(1, 40)} | {99: 0}, "k": {c: (c * 11) % 101 for c in range(1, 10)}, "m": {1: 0}}
+    # every mandatory type mean reaches 25 for k (no mandatory requirement) and for candidates without scores
+    want = []
+    for j, sc in by_job.items():
+        promising = {c: v >= 50 for c, v in sc.items()}
+        order = sorted(sc, key=lambda c: (not promising[c], -sc[c], c))
+        want += [(j, i + 1, c) for i, c in enumerate(order)]
+    assert got == sorted(want)
+    none = o.filter("candidate_id = 99").first()
+    assert none["total_score"] == 0.0 and none["score (education)"] is None

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from rankwise.operators import timing
-from rankwise.operators.ranking import prefix_count, rank_within
 
 
 def _events(spark, rows):
@@ -17,35 +16,6 @@ def test_pairing_semantics(spark):
             (3, "2024-01-01 00:00:20", 7, "click"),           # overwrites
             (4, "2024-01-01 00:00:30.5", 7, "purchase"),      # pairs with 3, 10.5 s -> 11
             (5, "2024-01-01 00:00:40", 7, "purchase")]        # stop without start
-    for method in ("window", "range"):
-        pairs, rej = timing.pair_timers(_events(spark, rows), "user_id", "event_type", "click", "purchase",
-                                        method=method)
-        assert [(r["start_id"], r["stop_id"], r["seconds"]) for r in pairs.collect()] == [(3, 4, 11)]
-        assert sorted(r["stop_id"] for r in rej.collect()) == [1, 5]
-
-
-def test_rank_and_prefix_paths_agree(spark):
-    df = spark.range(0, 500).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 1000).alias("v"),
-                                    "id", ((F.col("id") % 4) == 0).alias("f"))
-    order = [F.col("v"), F.col("id")]
-    a = rank_within(df, ["g"], order, method="window").select("id", "place")
-    b = rank_within(df, ["g"], order, method="range", num_partitions=7).select("id", "place")
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-    c = prefix_count(df, ["g"], order, F.col("f"), "n", method="window").select("id", "n")
-    d = prefix_count(df, ["g"], order, F.col("f"), "n", method="range", num_partitions=7).select("id", "n")
-    assert sorted(map(tuple, c.collect())) == sorted(map(tuple, d.collect()))
-    g = rank_within(df, [], order, method="range", num_partitions=5).agg(F.min("place"), F.max("place"),
-                                                                          F.count_distinct("place")).first()
-    assert tuple(g) == (1, 500, 500)
-
-
-def test_hot_group_is_spread_over_tasks(spark):
-    """One group holding every row: the range path partitions it by range over
-    several tasks (not one window partition) and still numbers it exactly."""
-    df = spark.range(0, 2000).select(F.lit("hot").alias("g"), ((F.col("id") * 7919) % 2003).alias("v"), "id")
-    r = rank_within(df, ["g"], [F.col("v"), F.col("id")], method="range", num_partitions=6)
-    per_task = (df.repartitionByRange(6, "g", "v", "id").groupBy(F.spark_partition_id().alias("p")).count()
-                .collect())
-    assert len(per_task) > 1
-    got = r.agg(F.min("place"), F.max("place"), F.count_distinct("place")).first()
-    assert tuple(got) == (1, 2000, 2000)
+    pairs, rej = timing.pair_timers(_events(spark, rows), "user_id", "event_type", "click", "purchase")
+    assert [(r["start_id"], r["stop_id"], r["seconds"]) for r in pairs.collect()] == [(3, 4, 11)]
+    assert sorted(r["stop_id"] for r in rej.collect()) == [1, 5]
