@@ -19,8 +19,10 @@ def csv_layout(columns: list[str], block: int = BLOCK, first: int = 1) -> list[d
     """Positional layout of the wide ballot CSV: after ``first`` leading columns,
     per job one block ``[minutes, promising list, place of <name> ...]``.
     Repeated header texts get suffixes on read, so blocks are found by
-    position, never by text."""
+    position, never by text.  Columns that do not fill a block are an error."""
     body = columns[first:]
+    if len(body) % block:
+        raise ValueError(f"{len(body)} columns do not make whole blocks of {block}")
     return [{"job_id": str(j + 1), "minutes": body[j * block], "promising": body[j * block + 1],
              "places": [(c, c) for c in body[j * block + 2:(j + 1) * block]]}
             for j in range(len(body) // block)]
@@ -34,26 +36,27 @@ def unpivot_wide(wide: DataFrame, layout: list[dict], rater_col: str = "rater_or
     and ``(place column, header label)`` pairs (see ``csv_layout``).  The
     candidate name is the label without its first two words.  The fan-out
     is a single projection (``inline`` of arrays of structs): no shuffle.
+    A blank or unreadable place stays as a row with a null place, which
+    makes its ballot invalid (``ballot_checks``).
     """
     per_slot, per_job = [], []
     for blk in layout:
+        listed = name_set(F.col(f"`{blk['promising']}`"))
         per_job.append(F.struct(F.lit(blk["job_id"]).alias("job_id"),
                                 F.col(f"`{blk['minutes']}`").try_cast("double").alias("minutes"),
-                                name_set(F.col(f"`{blk['promising']}`")).alias("promising_set")))
+                                listed.alias("promising_set")))
         for s, (c, label) in enumerate(blk["places"]):
             per_slot.append(F.struct(F.lit(blk["job_id"]).alias("job_id"), F.lit(s).alias("pos"),
                                      label_suffix(F.lit(label)).alias("candidate"),
-                                     F.col(f"`{c}`").try_cast("int").alias("place")))
+                                     F.col(f"`{c}`").try_cast("int").alias("place"),
+                                     F.coalesce(F.array_contains(listed, label_suffix(F.lit(label))), F.lit(False))
+                                     .alias("promising")))
     ts = ballot_timestamp(F.col(f"`{ts_col}`")) if ts_col else F.lit(None).cast("timestamp")
     base = wide.select(F.col(rater_col).cast("int").alias("rater_ord"), ts.alias("submitted"),
                        F.array(*per_job).alias("_jobs"), F.array(*per_slot).alias("_slots"))
-    headers = (base.select("rater_ord", "submitted", F.inline("_jobs"))
-               .withColumn("rater", F.concat(F.lit("human_id: "), F.col("rater_ord").cast("string"))))
-    slots = base.select("rater_ord", F.inline("_slots")).filter(F.col("place").isNotNull())
-    ballots = (slots.join(headers.select("job_id", "rater_ord", "rater", "promising_set"), ["job_id", "rater_ord"])
-               .withColumn("promising", F.coalesce(F.array_contains("promising_set", F.col("candidate")),
-                                                   F.lit(False)))
-               .drop("promising_set"))
+    rater = F.concat(F.lit("human_id: "), F.col("rater_ord").cast("string"))
+    headers = base.select("rater_ord", "submitted", F.inline("_jobs")).withColumn("rater", rater)
+    ballots = base.select("rater_ord", F.inline("_slots")).withColumn("rater", rater)
     return (ballots.select("job_id", "rater", "rater_ord", "candidate", "pos", "place", "promising"),
             headers.select("job_id", "rater", "rater_ord", "submitted", "minutes", "promising_set"))
 
@@ -69,7 +72,7 @@ def rater_ids(raw: DataFrame, ts_col: str) -> DataFrame:
 def ballot_checks(ballots: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     """P4 + U4: one row per ballot with the four invariants and ``valid``.
 
-    * places are exactly 1..n, all distinct
+    * places are exactly 1..n, all distinct; a missing place (null) breaks it
     * candidates distinct
     * promising set is a subset of the ballot's candidates (needs ``headers``
       with ``promising_set``; long-form ballots satisfy it by construction)
@@ -94,8 +97,8 @@ def ballot_checks(ballots: DataFrame, headers: DataFrame | None = None) -> DataF
         subset = F.lit(True)
     out = per.select(
         "job_id", "rater", F.col("n").cast("bigint").alias("n"), F.col("k").cast("bigint").alias("k"),
-        ((F.col("n_places") == F.col("n")) & (F.col("min_place") == 1) & (F.col("max_place") == F.col("n")))
-        .alias("places_complete"),
+        F.coalesce((F.col("n_places") == F.col("n")) & (F.col("min_place") == 1) & (F.col("max_place") == F.col("n")),
+                   F.lit(False)).alias("places_complete"),
         (F.col("n_candidates") == F.col("n")).alias("candidates_distinct"),
         subset.alias("promising_subset"),
         (F.col("max_promising_place") == F.col("k")).alias("promising_is_prefix"))

@@ -138,21 +138,24 @@ def pseudonyms(ids: DataFrame, id_col: str, forenames: DataFrame, surnames: Data
     Ids are ranked (by ``xxhash64(id, seed)`` or by id) with the exact
     distributed ranking; rank r maps to forename ``r // S`` and surname
     ``r % S`` (S = number of surnames) - two equi joins with the small name
-    tables, no cross product.  Ids beyond F x S get no name (null).
+    tables, no cross product.  Only one-word names enter the pools.  Beyond
+    F x S ids the names go round again with a number on the surname
+    (``Ann Poe``, ``Ann Poe-2``), so every id has a name of its own.
     """
+    one_word = lambda df, name: (df.select(F.col(df.columns[0]).alias(name))
+                                 .filter((F.length(name) > 0) & ~F.col(name).rlike(r"\s")).distinct())
     order = [F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)] if seed is not None else [F.col(id_col)]
-    ranked = rank_within(ids.select(id_col), [], order, name="_r", materialize=False)
-    fn = rank_within(forenames.select(F.col(forenames.columns[0]).alias("forename")).distinct(), [],
-                     [F.col("forename")], name="_fi", method="window")
-    sn = rank_within(surnames.select(F.col(surnames.columns[0]).alias("surname")).distinct(), [],
-                     [F.col("surname")], name="_si", method="window")
-    n_s = sn.agg(F.count(F.lit(1))).first()[0]
-    keyed = ranked.select(id_col, ((F.col("_r") - 1) / F.lit(n_s)).cast("int").alias("_fi0"),
-                          ((F.col("_r") - 1) % F.lit(n_s)).cast("int").alias("_si0"))
-    out = (keyed.join(F.broadcast(fn.select((F.col("_fi") - 1).alias("_fi0"), "forename")), "_fi0", "left")
-           .join(F.broadcast(sn.select((F.col("_si") - 1).alias("_si0"), "surname")), "_si0", "left"))
-    return out.select(id_col, F.when(F.col("forename").isNotNull() & F.col("surname").isNotNull(),
-                                     F.concat_ws(" ", "forename", "surname")).alias("name"))
+    ranked = rank_within(ids.select(id_col).distinct(), [], order, name="_r")
+    fn = rank_within(one_word(forenames, "forename"), [], ["forename"], name="_fi")
+    sn = rank_within(one_word(surnames, "surname"), [], ["surname"], name="_si")
+    n_f, n_s = (p.agg(F.count(F.lit(1))).first()[0] for p in (fn, sn))
+    if not n_f or not n_s:
+        raise ValueError("a name pool has no one-word name")
+    keyed = ranked.select(id_col, F.expr(f"((_r - 1) div {n_s}) % {n_f} + 1").alias("_fi"),
+                          F.expr(f"(_r - 1) % {n_s} + 1").alias("_si"), F.expr(f"(_r - 1) div {n_s * n_f} + 1").alias("_round"))
+    out = keyed.join(fn, "_fi").join(sn, "_si")
+    again = F.when(F.col("_round") > 1, F.concat(F.lit("-"), F.col("_round").cast("string"))).otherwise("")
+    return out.select(id_col, F.concat("forename", F.lit(" "), "surname", again).alias("name"))
 
 
 def name_checks(names: DataFrame, name_col: str = "name") -> DataFrame:

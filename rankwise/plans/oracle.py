@@ -14,12 +14,11 @@ TYPES_VALUES_SQL = ", ".join(f"('{t}', {i}, {w})" for i, (t, w) in enumerate(REQ
 F1_SQL = f"""
 types(type, ord, weighting) AS (VALUES {TYPES_VALUES_SQL}),
 f1 AS (
-  SELECT l_returnflag AS job_id, CAST(l_suppkey AS BIGINT) AS candidate_id,
+  SELECT l_returnflag AS job_id, CAST(l_partkey AS BIGINT) AS candidate_id,
          ({TYPE_LIST_SQL})[l_linenumber] AS type,
          CASE WHEN l_linestatus = 'F' THEN 'mandatory' ELSE 'optional' END AS kind,
          CAST(floor(l_quantity * 2.5 - 10) AS INTEGER) AS raw_score
   FROM lineitem
-  WHERE NOT (l_returnflag = 'A' AND l_linenumber = 3) AND (l_suppkey + l_linenumber) % 5 <> 0
 ),
 scores AS (SELECT *, least(100, greatest(0, raw_score)) AS score FROM f1),
 cat AS (
@@ -28,7 +27,7 @@ cat AS (
 ),
 totals AS (
   SELECT c.job_id, c.candidate_id,
-         0.0 + sum(CAST(c.s AS DOUBLE) / c.n * t.weighting) / sum(CAST(t.weighting AS DOUBLE)) AS total_score
+         round(sum(CAST(c.s AS DOUBLE) / c.n * t.weighting) / sum(CAST(t.weighting AS DOUBLE)), 9) AS total_score
   FROM cat c JOIN types t USING (type) GROUP BY ALL
 ),
 mand AS (

@@ -32,9 +32,10 @@ def _round_cols(df, cols):
 # ------------------------------------------------------------------ ballots
 
 @register("wide_ballots_unpivot", f"""{W}
-SELECT b.job_id, b.rater, CAST(b.rater_ord AS BIGINT) AS rater_ord, b.candidate, CAST(b.place AS BIGINT) AS place,
-       b.promising, h.minutes
-FROM ballots b JOIN headers h USING (job_id, rater)""")
+SELECT h.job_id, h.rater, CAST(h.rater_ord AS BIGINT) AS rater_ord, c.candidate, CAST(b.place AS BIGINT) AS place,
+       coalesce(b.promising, false) AS promising, h.minutes
+FROM headers h JOIN (SELECT DISTINCT job_id, candidate FROM ballots) c USING (job_id)
+LEFT JOIN ballots b ON b.job_id = h.job_id AND b.rater = h.rater AND b.candidate = c.candidate""")
 def q_wide_ballots_unpivot(spark, sf_dir):
     wide, layout = fx.f2_wide(spark, sf_dir)
     b, h = bl.unpivot_wide(wide, layout)
@@ -57,6 +58,36 @@ def q_ballot_checks(spark, sf_dir):
     return bl.ballot_checks(b)
 
 
+@register("broken_ballot_checks", f"""{W}, broken AS (
+  SELECT job_id, rater, rater_ord % 6 AS c,
+         CASE WHEN rater_ord % 6 = 0 AND place = 2 THEN NULL WHEN rater_ord % 6 = 1 AND place = 2 THEN 1 ELSE place END AS place,
+         CASE WHEN rater_ord % 6 = 4 AND place = 2 THEN first_value(candidate) OVER (PARTITION BY job_id, rater ORDER BY place)
+              ELSE candidate END AS candidate,
+         promising AND NOT (rater_ord % 6 = 3 AND place = 1) AS promising
+  FROM ballots
+)
+SELECT job_id, rater, c NOT IN (0, 1) AS places_complete, c <> 4 AS candidates_distinct, c <> 2 AS promising_subset,
+       max(place) FILTER (WHERE promising) = count(*) FILTER (WHERE promising) AS promising_is_prefix,
+       c = 5 AS valid
+FROM broken GROUP BY ALL""")
+def q_broken_ballot_checks(spark, sf_dir):
+    """P4 + U4 on ballots with one defect each, by rater: a missing place, a place given twice, a name that is not
+    on the ballot, a list that is no prefix, a candidate named twice, none."""
+    b, _ = _ballots(spark, sf_dir)
+    kind = F.col("rater_ord") % 6
+    best = b.filter("place = 1").select("job_id", "rater", F.col("candidate").alias("_best"))
+    broken = (b.join(best, ["job_id", "rater"], "left")
+              .withColumn("candidate", F.when((kind == 4) & (F.col("place") == 2), F.col("_best")).otherwise(F.col("candidate")))
+              .withColumn("promising", F.col("promising") & ~((kind == 3) & (F.col("place") == 1)))
+              .withColumn("place", F.when((kind == 0) & (F.col("place") == 2), F.lit(None))
+                          .when((kind == 1) & (F.col("place") == 2), F.lit(1)).otherwise(F.col("place"))))
+    listed = broken.groupBy("job_id", "rater", "rater_ord").agg(
+        F.collect_set(F.when(F.col("promising"), F.col("candidate"))).alias("s"))
+    headers = listed.select("job_id", "rater", F.when(kind == 2, F.array_append("s", F.lit("nobody"))).otherwise(F.col("s"))
+                            .alias("promising_set"))
+    return bl.ballot_checks(broken, headers).drop("n", "k")
+
+
 @register("top_k_prefix", f"""{W}
 SELECT job_id, rater, candidate, CAST(place AS BIGINT) AS place FROM ballots b
 WHERE place <= (SELECT count(*) FROM ballots c WHERE c.job_id = b.job_id AND c.rater = b.rater AND c.promising)""")

@@ -189,7 +189,7 @@ sc AS (SELECT n.job_id, n.candidate_id, r.type, r.kind, least(100, greatest(0, n
 cat AS (SELECT job_id, candidate_id, type, sum(score) AS s, count(*) AS n FROM sc GROUP BY ALL),
 totals AS (
   SELECT c.job_id, c.candidate_id,
-         0.0 + sum(CAST(c.s AS DOUBLE) / c.n * t.weighting) / sum(CAST(t.weighting AS DOUBLE)) AS total_score
+         round(sum(CAST(c.s AS DOUBLE) / c.n * t.weighting) / sum(CAST(t.weighting AS DOUBLE)), 9) AS total_score
   FROM cat c JOIN types t USING (type) GROUP BY ALL
 ),
 mand AS (SELECT job_id, candidate_id, min(m) AS mf FROM (

@@ -121,23 +121,24 @@ def q_links_removed(spark, sf_dir):
 
 
 _PSEUDO_SQL = """
-fn AS (SELECT f, row_number() OVER (ORDER BY f) - 1 AS fi FROM (SELECT DISTINCT upper(left(lower(n_name), 1)) || substr(lower(n_name), 2) AS f FROM nation)),
-sn AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS si FROM (SELECT DISTINCT 'Size' || p_size AS s FROM part)),
-ns AS (SELECT count(*) AS n FROM sn),
+fn AS (SELECT f, row_number() OVER (ORDER BY f) - 1 AS fi FROM (SELECT DISTINCT upper(left(lower(n_name), 1)) || substr(lower(n_name), 2) AS f FROM nation
+        WHERE strpos(n_name, ' ') = 0)),
+sn AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS si FROM (SELECT DISTINCT 'Size' || p_size AS s FROM part WHERE p_size <= 3)),
+ns AS (SELECT (SELECT count(*) FROM sn) AS n, (SELECT count(*) FROM fn) AS f),
 ids AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS r FROM supplier),
 named AS (
-  SELECT ids.s_suppkey, CASE WHEN fn.f IS NOT NULL AND sn.s IS NOT NULL THEN fn.f || ' ' || sn.s END AS name
-  FROM ids, ns LEFT JOIN fn ON fn.fi = CAST(floor(ids.r / ns.n) AS BIGINT) LEFT JOIN sn ON sn.si = ids.r % ns.n
+  SELECT ids.s_suppkey, fn.f || ' ' || sn.s || CASE WHEN r >= ns.n * ns.f THEN '-' || (r // (ns.n * ns.f) + 1) ELSE '' END AS name
+  FROM ids, ns JOIN fn ON fn.fi = (ids.r // ns.n) % ns.f JOIN sn ON sn.si = ids.r % ns.n
 )"""
 
 
 def _pseudonyms(spark, sf_dir):
     """F8: forenames from ``nation`` (capitalised), surnames ``Size<p_size>``
-    from ``part``, ids from ``supplier``."""
+    up to 3 from ``part``, ids from ``supplier``: a pool so small that names go round."""
     nation = table(spark, sf_dir, "nation")
     fn = nation.select(F.concat(F.upper(F.substring(F.lower("n_name"), 1, 1)),
                                 F.substring(F.lower("n_name"), 2, 1000)).alias("forename"))
-    sn = table(spark, sf_dir, "part").select(F.concat(F.lit("Size"), F.col("p_size").cast("string")).alias("surname"))
+    sn = table(spark, sf_dir, "part").filter("p_size <= 3").select(F.concat(F.lit("Size"), F.col("p_size").cast("string")).alias("surname"))
     return tx.pseudonyms(table(spark, sf_dir, "supplier"), "s_suppkey", fn, sn)
 
 

@@ -33,5 +33,5 @@ def test_ties_broken_by_four_keys_then_first_seen(spark):
     # x and y both mean 1.5, mode: x -> 1 (first seen), y -> 2; so x first
     rows = [("j", "a", 0, "x", 1, True), ("j", "a", 0, "y", 2, True),
             ("j", "b", 1, "x", 2, True), ("j", "b", 1, "y", 1, True)]
-    r = consensus.consensus_ranking(_b(spark, rows), method="window").orderBy("place").collect()
+    r = consensus.consensus_ranking(_b(spark, rows)).orderBy("place").collect()
     assert [x["candidate"] for x in r] == ["x", "y"]
