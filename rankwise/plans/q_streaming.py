@@ -21,15 +21,19 @@ from rankwise.streaming.timers import pair_timers_stream
 
 def _scratch(spark, name: str) -> str:
     """A fresh folder under the cluster's checkpoint location."""
-    root = ensure_checkpoint_dir(spark)
-    root = root[len("file:"):] if root.startswith("file:") else root
-    return os.path.join(root, "streams", f"{name}-{uuid.uuid4().hex}")
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
 
 
-def _events_stream(spark, sf_dir):
-    schema = spark.read.parquet(os.path.join(sf_dir, "events.parquet")).schema
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-            .option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+def _events_stream(spark, sf_dir, base):
+    """The events as a stream, and one closing record far in the future: rows come out when the watermark has
+    passed them, and this start, of a user that doesn't exist, takes it past the last event."""
+    schema = spark.read.parquet(os.path.join(sf_dir, "events.parquet")).select("event_id", "ts", "user_id", "event_type").schema
+    closing = base + "/closing_event"
+    (spark.range(1).select(F.lit(-1).alias("event_id"), F.lit("2200-01-01").alias("ts"), F.lit(-1).alias("user_id"),
+                           F.lit("click").alias("event_type"))
+     .select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.parquet(closing))
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return events.unionByName(spark.readStream.schema(schema).parquet(closing))
 
 
 @register("stream_timer_pairs", f"""WITH {TIMER_SQL}
@@ -38,9 +42,9 @@ SELECT user_id, start_id, stop_id,
 FROM paired WHERE start_id IS NOT NULL""")
 def q_stream_timer_pairs(spark, sf_dir):
     """ST2: stateful pairing over the events stream (memory of pending starts
-    per user, event-time expiry); equals the batch pairing."""
+    per user); equals the batch pairing."""
     base = _scratch(spark, "timers")
-    out = pair_timers_stream(_events_stream(spark, sf_dir))
+    out = pair_timers_stream(_events_stream(spark, sf_dir, base))
     q = (out.writeStream.format("parquet").option("path", base + "/out")
          .option("checkpointLocation", base + "/ckpt").outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
@@ -56,24 +60,26 @@ SELECT strftime(date_trunc('day', stop_ts), '%Y-%m-%d %H:%M:%S') AS window_start
 FROM p GROUP BY ALL""")
 def q_stream_task_time_summary(spark, sf_dir):
     """ST3: the pairs of ST2 written as a stream are read as a stream and
-    summarised in tumbling one-day windows (append mode, watermark)."""
+    summarised in tumbling one-day windows (append mode, watermark).  A window
+    comes out when the watermark has passed it, so one closing record far in
+    the future follows the pairs; its own window stays open."""
     base = _scratch(spark, "summary")
-    pairs = pair_timers_stream(_events_stream(spark, sf_dir))
+    pairs = pair_timers_stream(_events_stream(spark, sf_dir, base))
     q1 = (pairs.writeStream.format("parquet").option("path", base + "/pairs")
           .option("checkpointLocation", base + "/ckpt1").outputMode("append").trigger(availableNow=True).start())
     q1.awaitTermination()
     schema = spark.read.parquet(base + "/pairs").schema
     done = (spark.readStream.schema(schema).parquet(base + "/pairs").filter(F.col("reason").isNull())
             .withColumn("task", F.lit("purchase")))
-    summary = task_time_summary_stream(done, "task")
+    closing = base + "/closing"
+    (spark.range(1).select(F.lit("2200-01-01").cast("timestamp").alias("stop_ts"), F.lit(0).cast("long").alias("seconds"),
+                           F.lit("closing").alias("task")).write.parquet(closing))
+    end = spark.readStream.schema("stop_ts timestamp, seconds long, task string").parquet(closing)
+    summary = task_time_summary_stream(done.select("stop_ts", "seconds", "task").unionByName(end), "task")
     q2 = (summary.writeStream.format("parquet").option("path", base + "/summary")
           .option("checkpointLocation", base + "/ckpt2").outputMode("append").trigger(availableNow=True).start())
     q2.awaitTermination()
-    # append mode emits a window once the watermark passes its end; the last
-    # open windows are flushed by the batch form over the same pairs
-    from rankwise.operators.timing import task_time_summary
-    s = task_time_summary(spark.read.parquet(base + "/pairs").filter(F.col("reason").isNull())
-                          .withColumn("task", F.lit("purchase")), "task")
+    s = spark.read.parquet(base + "/summary")
     return s.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "task",
                     F.round("mean_seconds", 6).alias("mean_seconds"), "max_seconds",
                     F.col("n").cast("bigint").alias("n"))

@@ -1,16 +1,17 @@
 """ST1: incremental scoring of newly arrived candidate documents.
 
 ``readStream`` over the arrival folder -> ``foreachBatch``: duplicates in
-the micro-batch are dropped, documents already scored (stored result) are
-removed with a ``left_anti`` join, the rest is scored against the job's
-stored requirements (static side) and appended.  Exactly-once per
-(job, candidate) with a checkpointed stream and an idempotent anti join.
+the micro-batch are dropped (of different texts the smallest stays),
+documents already scored are removed with a ``left_anti`` join against the
+table of scored keys, the rest is scored against the job's stored
+requirements (static side).  Each micro-batch writes its own ``epoch=<n>``
+folder, scores first and keys second, and a repeated micro-batch overwrites
+it: every (job, candidate) is scored once, whatever fails in between.
 """
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,28 +21,32 @@ from rankwise.operators.text import normalise_documents
 KEYS = ["job_id", "candidate_id"]
 
 
-def _stored_keys(spark: SparkSession, out_dir: str) -> DataFrame | None:
-    if not os.path.exists(out_dir) and "://" not in out_dir:
-        return None
+def _scored_keys(spark: SparkSession, keys_dir: str, epoch_id: int) -> DataFrame | None:
+    """Keys of earlier micro-batches; None if none was written yet (any other failure is an error)."""
     try:
-        return spark.read.parquet(out_dir).select(*KEYS).distinct()
-    except Exception:  # noqa: BLE001 - empty or not yet written
-        return None
+        return spark.read.parquet(keys_dir).filter(F.col("epoch") < epoch_id).select(*KEYS)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def start_incremental_scoring(spark: SparkSession, arrivals: DataFrame, requirements: DataFrame, out_dir: str,
                               checkpoint_dir: str, available_now: bool = True):
     """Start the stream; ``arrivals`` is a streaming frame with
-    ``(job_id, candidate_id, text)``; returns the ``StreamingQuery``."""
+    ``(job_id, candidate_id, text)``; returns the ``StreamingQuery``.  The keys of scored
+    documents are kept beside the scores, in ``<out_dir>_keys``."""
+    keys_dir = out_dir.rstrip("/") + "_keys"
 
     def score_batch(batch: DataFrame, epoch_id: int) -> None:
-        new = batch.dropDuplicates(KEYS)
-        stored = _stored_keys(batch.sparkSession, out_dir)
-        if stored is not None:
-            new = new.join(stored, KEYS, "left_anti")
+        new = batch.groupBy(*KEYS).agg(F.min("text").alias("text"))
+        scored = _scored_keys(batch.sparkSession, keys_dir, epoch_id)
+        if scored is not None:
+            new = new.join(scored, KEYS, "left_anti")
         scores = overlap_scores(requirements, normalise_documents(new, "text"))
         (scores.select("job_id", "requirement_id", "candidate_id", "hits", "total", "score")
-         .withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(out_dir))
+         .write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch_id}"))
+        new.select(*KEYS).write.mode("overwrite").parquet(f"{keys_dir}/epoch={epoch_id}")
 
     writer = (arrivals.writeStream.foreachBatch(score_batch).option("checkpointLocation", checkpoint_dir))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")

@@ -1,10 +1,16 @@
-"""ST2: streaming timer pairing with per-key state and event-time expiry.
+"""ST2: streaming timer pairing, the same for every cut into micro-batches.
 
-State per key: the pending start ``(ts, id)``.  Within a micro-batch the
-events of a key are ordered by ``(ts, event_id)``; a start overwrites the
-pending one, a stop consumes it (pair) or is rejected.  Pending starts
-expire once the watermark passes ``ts + expiry``.  Late events (behind the
-watermark) are dropped by Spark before they reach the state.
+State per key: the pending start and the events that are not final yet.  An
+event is final once the watermark has passed it; only then are the events of
+a key replayed in ``(ts, id)`` order, so that an event which arrives late but
+within the allowed delay still takes its place.  Events behind the watermark
+are dropped by Spark.  A start overwrites the pending one, a stop consumes it
+(pair) or is rejected.
+
+With ``expiry_seconds`` a start counts for that long: a later stop doesn't
+find it, and the start leaves a row with the reason ``expired``, as soon as
+the watermark or the next event of its key shows it.  Without it starts wait
+for ever, like the batch form.
 """
 
 from __future__ import annotations
@@ -15,54 +21,67 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUTPUT_SCHEMA = ("user_id long, start_id long, stop_id long, start_ts timestamp, stop_ts timestamp, "
-                 "seconds long, reason string")
-STATE_SCHEMA = "start_ts timestamp, start_id long"
+STATE_SCHEMA = "start_us long, start_id long, us array<long>, ids array<long>, stops array<boolean>"
 
 
-COLUMNS = ["user_id", "start_id", "stop_id", "start_ts", "stop_ts", "seconds", "reason"]
-EXPIRY_MS = 24 * 3600 * 1000  # a pending start is dropped one day (event time) after it began
+def _frame(key_col: str, rows: list) -> pd.DataFrame:
+    cols = [key_col, "start_id", "stop_id", "start_us", "stop_us", "seconds", "reason"]
+    df = pd.DataFrame({c: [r[i] for r in rows] for i, c in enumerate(cols)})
+    for c in cols[1:6]:
+        df[c] = pd.array(df[c], dtype="Int64")
+    for c in ("start_us", "stop_us"):
+        df[c[:-3] + "_ts"] = pd.to_datetime(df[c], unit="us")
+    return df[[key_col, "start_id", "stop_id", "start_ts", "stop_ts", "seconds", "reason"]]
 
 
-def _frame(rows: list) -> pd.DataFrame:
-    df = pd.DataFrame(rows, columns=COLUMNS)
-    for c in ("user_id", "start_id", "stop_id", "seconds"):
-        df[c] = pd.array(df[c], dtype="Int64")
-    for c in ("start_ts", "stop_ts"):
-        df[c] = pd.to_datetime(df[c])
-    return df
-
-
-def _pair_group(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    pending = state.get if state.exists else None
-    p_ts, p_id = (pending[0], pending[1]) if pending else (None, None)
-    frames = [f for f in pdfs]
-    ev = pd.concat(frames).sort_values(["ts", "event_id"], kind="mergesort") if frames else pd.DataFrame()
-    out = []
-    for ts, eid, is_stop in zip(ev["ts"], ev["event_id"], ev["is_stop"]):
-        if not is_stop:
-            p_ts, p_id = ts, eid
-        elif p_ts is not None:
-            micros = (pd.Timestamp(ts) - pd.Timestamp(p_ts)).value // 1000
-            secs = -((-micros) // 1_000_000)  # ceil
-            out.append((key[0], p_id, eid, p_ts, ts, int(secs), None))
-            p_ts, p_id = None, None
-        else:
-            out.append((key[0], None, eid, None, ts, None, "stop_without_start"))
-    if p_ts is not None:
-        start = pd.Timestamp(p_ts)
-        state.update((start.to_pydatetime(), int(p_id)))
-        start_ms = int(start.value // 1_000_000)
-        state.setTimeoutTimestamp(max(start_ms + EXPIRY_MS, state.getCurrentWatermarkMs() + 1))
-    elif state.exists:
-        state.remove()
-    if out:
-        yield _frame(out)
+def _pairing(key_col: str, expiry_us: int | None):
+    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        p_us, p_id, us, ids, stops = state.get if state.exists else (None, None, [], [], [])
+        events = list(zip(us or [], ids or [], stops or [], strict=True))
+        if not state.hasTimedOut:
+            for f in pdfs:
+                events += zip((f["ts"].astype("datetime64[us]").astype("int64")).tolist(), f["id"].tolist(),
+                              f["is_stop"].tolist(), strict=True)
+        events.sort()
+        mark = state.getCurrentWatermarkMs() * 1000
+        out = []
+
+        def expired(now: int) -> bool:
+            return p_us is not None and expiry_us is not None and now - p_us > expiry_us
+
+        done = 0
+        for at, eid, is_stop in events:
+            if at > mark:
+                break
+            done += 1
+            if expired(at):
+                out.append((key[0], p_id, None, p_us, None, None, "expired"))
+                p_us = p_id = None
+            if not is_stop:
+                p_us, p_id = at, eid
+            elif p_us is not None:
+                out.append((key[0], p_id, eid, p_us, at, -((p_us - at) // 1_000_000), None))  # whole seconds, up
+                p_us = p_id = None
+            else:
+                out.append((key[0], None, eid, None, at, None, "stop_without_start"))
+        events = events[done:]
+        if expired(min([mark, *(e[0] for e in events[:1])])):
+            out.append((key[0], p_id, None, p_us, None, None, "expired"))
+            p_us = p_id = None
+        if events or p_us is not None:
+            state.update((p_us, p_id, *([e[i] for e in events] for i in range(3))))
+            waits = [events[0][0]] if events else []
+            waits += [p_us + expiry_us] if p_us is not None and expiry_us is not None else []
+            if waits:  # woken once the watermark has passed
+                state.setTimeoutTimestamp(max(min(waits) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield _frame(key_col, out)
+    return step
 
 
 # The state function runs in Python workers; ship this module by value so the
@@ -70,13 +89,20 @@ def _pair_group(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterato
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def pair_timers_stream(events: DataFrame, start_value: str = "click", stop_value: str = "purchase",
-                       delay: str = "1 hour") -> DataFrame:
-    """Streaming form of ``timing.pair_timers`` on ``(event_id, ts, user_id, event_type)``."""
-    from pyspark.sql import functions as F
-    ev = (events.filter(F.col("event_type").isin(start_value, stop_value))
-          .select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"),
-                  (F.col("event_type") == stop_value).alias("is_stop"))
+def pair_timers_stream(events: DataFrame, start_value: str = "click", stop_value: str = "purchase", *,
+                       key: str = "user_id", kind_col: str = "event_type", ts_col: str = "ts",
+                       id_col: str = "event_id", delay: str = "1 hour",
+                       expiry_seconds: int | None = None) -> DataFrame:
+    """Streaming form of ``timing.pair_timers``: pairs (``reason`` null) and rejects in one frame.
+
+    ``delay`` is how far behind the latest event others may arrive; rows
+    come out once the watermark has passed their last event."""
+    ev = (events.filter(F.col(kind_col).isin(start_value, stop_value))
+          .select(key, F.col(id_col).cast("long").alias("id"), F.col(ts_col).cast("timestamp").alias("ts"),
+                  (F.col(kind_col) == stop_value).alias("is_stop"))
           .withWatermark("ts", delay))
-    return ev.groupBy("user_id").applyInPandasWithState(
-        _pair_group, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    kind = dict(ev.dtypes)[key]
+    schema = f"{key} {kind}, start_id long, stop_id long, start_ts timestamp, stop_ts timestamp, seconds long, reason string"
+    expiry = None if expiry_seconds is None else expiry_seconds * 1_000_000
+    return ev.groupBy(key).applyInPandasWithState(
+        _pairing(key, expiry), schema, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)

@@ -1,7 +1,9 @@
 """Streaming equals batch (ST1, ST2)."""
 
+import glob
 import os
-import shutil
+import random
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -38,6 +40,9 @@ def test_timer_stream_equals_batch(spark, tmp_dir):
     src = f"{tmp_dir}/events"
     ev.write.parquet(src)
     stream = spark.readStream.schema(ev.schema).parquet(src)
+    ev.limit(1).select(*[F.lit({"ts": "2200-01-01", "user_id": "-1", "event_type": "click"}[f.name]).cast(f.dataType).alias(f.name)
+                         if f.name in ("ts", "user_id", "event_type") else F.col(f.name) for f in ev.schema]
+                       ).write.mode("append").parquet(src)
     out = pair_timers_stream(stream)
     q = (out.writeStream.format("parquet").option("path", f"{tmp_dir}/pairs")
          .option("checkpointLocation", f"{tmp_dir}/ck").trigger(availableNow=True).start())
@@ -48,3 +53,58 @@ def test_timer_stream_equals_batch(spark, tmp_dir):
     b = sorted((r["start_id"], r["stop_id"], r["seconds"]) for r in pairs.collect())
     assert a == b
     assert got.filter("reason IS NOT NULL").count() == rej.count()
+
+
+def _run(spark, tmp_dir, rows, cuts, **options):
+    """The stream over one file per cut, then a file that takes the watermark far ahead."""
+    import uuid
+    base = f"{tmp_dir}/{uuid.uuid4().hex}"
+    schema = "event_id long, ts timestamp, user_id long, event_type string"
+    parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])] + [[(10**9, datetime(2030, 1, 1), -1, "click")]]
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{base}/in/p{i}")
+        os.utime(next(p for p in glob.glob(f"{base}/in/p{i}/part-*")), (1_000_000 + i, 1_000_000 + i))
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+              .parquet(f"{base}/in"))
+    q = (pair_timers_stream(stream, **options).writeStream.format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return sorted(((r.user_id, r.start_id or 0, r.stop_id or 0, r.seconds or 0, r.reason or "")
+                   for r in spark.read.parquet(f"{base}/out").collect()))
+
+
+def _events(n, seed, jitter):
+    r = random.Random(seed)
+    t0 = datetime(2024, 1, 1)
+    rows = [(i, t0 + timedelta(minutes=7 * i, microseconds=r.randrange(10**6)), r.randrange(3), r.choice(["click", "purchase", "view"]))
+            for i in range(n)]
+    return sorted(rows, key=lambda x: x[1] + timedelta(minutes=r.uniform(0, jitter)))  # arrival order
+
+
+def test_every_cut_gives_the_batch_rows(spark, tmp_dir):
+    """Events arrive up to 50 minutes out of order, within the delay of an hour."""
+    rows = _events(60, 1, 50)
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string")
+    pairs, rej = timing.pair_timers(df, "user_id", "event_type", "click", "purchase")
+    want = sorted([(r.user_id, r.start_id, r.stop_id, r.seconds, "") for r in pairs.collect()]
+                  + [(r.user_id, 0, r.stop_id, 0, r.reason) for r in rej.collect()])
+    for cuts in ([], [30], [7, 20, 21, 45]):
+        assert _run(spark, tmp_dir, rows, cuts) == want
+
+
+def test_a_stop_that_arrives_before_its_start(spark, tmp_dir):
+    t = datetime(2024, 1, 1)
+    rows = [(1, t + timedelta(minutes=30), 1, "click"), (2, t + timedelta(minutes=10), 1, "purchase"),
+            (3, t + timedelta(hours=80), 1, "purchase")]
+    assert _run(spark, tmp_dir, rows, [1]) == [(1, 0, 2, 0, "stop_without_start"), (1, 1, 3, 79 * 3600 + 1800, "")]
+
+
+def test_expiry_does_not_depend_on_the_cut(spark, tmp_dir):
+    t = datetime(2024, 1, 1)
+    rows = [(1, t, 1, "click"), (2, t + timedelta(hours=5), 2, "click"), (3, t + timedelta(hours=30), 1, "purchase"),
+            (4, t + timedelta(hours=31), 1, "click"), (5, t + timedelta(hours=32), 1, "purchase"), (6, t + timedelta(hours=40), 2, "click")]
+    want = sorted([(1, 1, 0, 0, "expired"), (1, 0, 3, 0, "stop_without_start"), (1, 4, 5, 3600, ""), (2, 2, 0, 0, "expired"),
+                   (2, 6, 0, 0, "expired")])
+    for cuts in ([], [2], [1, 2, 3, 4, 5]):
+        got = _run(spark, tmp_dir, rows, cuts, expiry_seconds=24 * 3600)
+        assert got == want, cuts
