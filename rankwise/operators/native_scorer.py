@@ -6,17 +6,19 @@ share of the requirement's distinct 1-3-grams that occur in the document,
 scaled to 0-100, with an explanation naming the counts.  It is an honest
 simple replacement, not a claim of equal judgement quality.
 
-Plan: document n-grams are exploded once and semi-joined to the n-grams of
-the requirements **of the same job** (key ``(job_id, ngram)``); hits are
-then joined to requirement n-grams on the same key and counted per
-``(job, requirement, candidate)``.  No document text travels with the
-pairs; pairs without a hit keep score 0 through a left join from the
-fan-out.
+Plan: every token of a requirement n-gram is itself a requirement token, so
+document tokens are exploded with their positions and semi-joined to the
+tokens of the requirements **of the same job** first; n-grams are built only
+from surviving neighbours, and distinct ones are joined to the requirement
+n-grams and counted per ``(job, requirement, candidate)``.  What is shuffled
+is the survivors, not all n-grams of all texts.  No document text travels
+with the pairs; pairs without a hit keep score 0 through a left join from
+the fan-out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankwise.functions.text import ngrams, tokens
@@ -34,9 +36,19 @@ def requirement_ngrams(requirements: DataFrame, text_col: str = "specification",
     return toks.select("job_id", "requirement_id", F.explode(F.array_distinct(ngrams(F.col("_t"), max_n))).alias("ngram"))
 
 
-def document_ngrams(candidates: DataFrame, text_col: str = "text", max_n: int = 3) -> DataFrame:
-    toks = candidates.select("job_id", "candidate_id", tokens(text_col).alias("_t"))
-    return toks.select("job_id", "candidate_id", F.explode(F.array_distinct(ngrams(F.col("_t"), max_n))).alias("ngram"))
+def document_ngrams(candidates: DataFrame, vocabulary: DataFrame, text_col: str = "text", max_n: int = 3) -> DataFrame:
+    """Distinct 1..max_n-grams of each document whose tokens are all in ``vocabulary`` ``(job_id, token)``."""
+    toks = (candidates.select("job_id", "candidate_id", F.posexplode(tokens(text_col)).alias("pos", "token"))
+            .join(vocabulary, ["job_id", "token"], "left_semi"))
+    line = Window.partitionBy("job_id", "candidate_id").orderBy("pos")  # the survivors of one document
+    grams, gram, unbroken = [F.col("token")], F.col("token"), F.lit(True)
+    for k in range(1, max_n):
+        toks = toks.withColumn(f"_t{k}", F.lead("token", k).over(line)).withColumn(f"_p{k}", F.lead("pos", k).over(line))
+        unbroken = unbroken & (F.col(f"_p{k}") == F.col("pos") + k)
+        gram = F.concat(gram, F.lit(" "), F.col(f"_t{k}"))
+        grams.append(F.when(unbroken, gram))
+    found = toks.select("job_id", "candidate_id", F.explode(F.array(*grams)).alias("ngram"))
+    return found.filter(F.col("ngram").isNotNull()).distinct()
 
 
 def overlap_scores(requirements: DataFrame, candidates: DataFrame, max_n: int = 3,
@@ -44,8 +56,8 @@ def overlap_scores(requirements: DataFrame, candidates: DataFrame, max_n: int =
     """``(job_id, requirement_id, candidate_id, hits, total, score, explanation)``."""
     rq = requirement_ngrams(requirements, max_n=max_n)
     totals = rq.groupBy("job_id", "requirement_id").agg(F.count(F.lit(1)).alias("total"))
-    vocab = rq.select("job_id", "ngram").distinct()
-    dn = document_ngrams(candidates, max_n=max_n).join(vocab, ["job_id", "ngram"], "left_semi")
+    vocab = requirements.select("job_id", F.explode(tokens("specification")).alias("token")).distinct()
+    dn = document_ngrams(candidates, vocab, max_n=max_n)
     hits = (dn.join(rq, ["job_id", "ngram"])
             .groupBy("job_id", "requirement_id", "candidate_id").agg(F.count(F.lit(1)).alias("hits")))
     pairs = fan_out(requirements, candidates)

@@ -165,24 +165,38 @@ def q_match_requests(spark, sf_dir):
 # ---------------------------------------------------------------- end to end
 
 def _front_scores(spark, sf_dir):
-    """X21 (distinct requests, native scorer) -> X15/P3 parse -> X1 clamp ->
-    J3 join back -> long score table for the aggregation operators."""
+    """X22 -> X1 clamp -> long score table for the aggregation operators.  The
+    native scorer's columns are taken as they are; ``answered_scores`` goes
+    through answer texts."""
     reqs, docs = _front(spark, sf_dir)
-    requests = ns.fan_out(reqs, docs)
-
-    def scorer(keys):
-        return ns.native_answers(reqs, docs).join(keys, ["job_id", "requirement_id", "candidate_id"], "left_semi")
-
-    answered = ans.answer(requests, ["job_id", "requirement_id", "candidate_id"], scorer)
-    parsed = ans.parse_answers(answered, "answer", {"value": "int", "explanation": "str"})
-    valid = ans.valid_answers(parsed)
-    scores = (valid.join(reqs.select("job_id", "requirement_id", "type", "kind"), ["job_id", "requirement_id"])
+    scores = (ns.overlap_scores(reqs, docs).join(reqs.select("job_id", "requirement_id", "type", "kind"), ["job_id", "requirement_id"])
               .select("job_id", "candidate_id", "requirement_id", "type", "kind",
-                      clamp("value", 0, 100).cast("int").alias("score"), "explanation"))
+                      clamp("score", 0, 100).cast("int").alias("score"), "explanation"))
     # the long score table feeds totals, decision and records: write it once
     return reqs, docs, checkpointed(scores)
 
 
+@register("answered_scores", f"""WITH {NATIVE_SQL}
+SELECT job_id, requirement_id, candidate_id, score, CAST(NULL AS VARCHAR) AS reason FROM native""")
+def q_answered_scores(spark, sf_dir):
+    """X21 + X15 + P3 + J3: one request per distinct (job, requirement text, document text), answered as text by the
+    scorer, parsed, and joined back to every pair."""
+    reqs, docs = _front(spark, sf_dir)
+    reqs, docs = reqs.withColumn("spec_key", F.md5("specification")), docs.withColumn("text_key", F.md5("text"))
+    pairs = (reqs.select("job_id", "requirement_id", "spec_key")
+             .join(docs.select("job_id", "candidate_id", "text_key"), "job_id"))
+
+    def scorer(keys):
+        r = reqs.groupBy("job_id", F.col("spec_key").alias("requirement_id")).agg(F.min("specification").alias("specification"))
+        d = docs.groupBy("job_id", F.col("text_key").alias("candidate_id")).agg(F.min("text").alias("text"))
+        a = ns.native_answers(r, d).withColumnsRenamed({"requirement_id": "spec_key", "candidate_id": "text_key"})
+        return keys.join(a, ["job_id", "spec_key", "text_key"])
+
+    answered = ans.answer(pairs, ["job_id", "spec_key", "text_key"], scorer)
+    p = ans.parse_answers(answered, "answer", {"value": "int", "explanation": "str"})
+    return p.select("job_id", "requirement_id", "candidate_id", F.col("value").alias("score"), "reason")
+
+
 @register("scored_overview", f"""WITH {NATIVE_SQL},
 sc AS (SELECT n.job_id, n.candidate_id, r.type, r.kind, least(100, greatest(0, n.score)) AS score
        FROM native n JOIN reqs r USING (job_id, requirement_id)),
