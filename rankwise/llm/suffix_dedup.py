@@ -90,7 +90,8 @@ class _Chunk:
         keep = ok[first]
         first, last = first[keep], last[keep]
         end = last + self.length
-        yield (first + a, last + a, grams[m[first]], ro.FIRST.spans(p, first, end), ro.SECOND.spans(q, first, end))
+        # least grams are small numbers; mixed again they spread over the buckets
+        yield (first + a, last + a, ro.mix(grams[m[first]]), ro.FIRST.spans(p, first, end), ro.SECOND.spans(q, first, end))
 
     def suffixes(self, which: np.ndarray):
         """Positions and tokens of all suffixes that start in the given stretches."""
