@@ -58,15 +58,20 @@ def language_profile(spark) -> DataFrame:
 
 
 def detect_language(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """X10 (re-aimed): tokens of the whole text joined to the broadcast
-    function-word profile; the language with most hits wins (ties: smaller
-    code); no hit -> null (the caller treats it as an error)."""
-    prof = F.broadcast(language_profile(docs.sparkSession))
-    toks = docs.select(id_col, F.explode(tokens(text_col)).alias("token"))
-    hits = toks.join(prof, "token").groupBy(id_col, "lang", "lang_rank").agg(F.count(F.lit(1)).alias("hits"))
-    best = hits.groupBy(id_col).agg(F.max_by("lang", F.struct(F.col("hits"), -F.col("lang_rank")))
-                                    .alias("detected"), F.max("hits").alias("hits"))
-    return docs.select(id_col).join(best, id_col, "left")
+    """X10 (re-aimed): tokens of the whole text that are function words of
+    each language are counted in the row, without a shuffle; the language
+    with most hits wins (ties: smaller code); no hit -> null (the caller
+    treats it as an error)."""
+    langs = sorted(LANGUAGE_PROFILES)
+    known = sorted({w for words in LANGUAGE_PROFILES.values() for w in words})
+    among = lambda words: lambda t: t.isin(words)
+    found = docs.select(id_col, F.filter(tokens(text_col), among(known)).alias("_w"))
+    counted = found.select(id_col, F.array(*[F.struct(
+        F.size(F.filter("_w", among(LANGUAGE_PROFILES[lang]))).cast("bigint").alias("hits"),
+        F.lit(-i).alias("rank"), F.lit(lang).alias("lang")) for i, lang in enumerate(langs)]).alias("_h"))
+    best = counted.select(id_col, F.array_max("_h").alias("_b"))
+    return best.select(id_col, F.when(F.col("_b.hits") > 0, F.col("_b.lang")).alias("detected"),
+                       F.when(F.col("_b.hits") > 0, F.col("_b.hits")).alias("hits"))
 
 
 def translation_work_list(docs: DataFrame, text_col: str, lang_col: str, memory: DataFrame | None,

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: A file of a sink holds so many rows at most.
+ROWS_PER_FILE = 1_000_000
+
+
 def match_records(scores: DataFrame, decided: DataFrame) -> DataFrame:
     """X16 + S9: ``(job_id, candidate_id, record)`` where ``record`` is the
     JSON of ``{total_score, promising_result, requirement_matches: {type:
@@ -37,16 +41,18 @@ def match_records(scores: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 def write_overview(overview: DataFrame, path: str, decimals: int = 2) -> None:
-    """One CSV per job (partition folder), doubles rounded, place kept."""
+    """A folder of CSV files per job, doubles rounded, place kept.  Rows are dealt by (job, place), so a
+    large job is written by many tasks."""
     cols = [F.round(c, decimals).alias(c) if t == "double" else F.col(f"`{c}`")
             for c, t in overview.dtypes]
-    (overview.select(*cols).repartition("job_id").write.mode("overwrite")
-     .partitionBy("job_id").option("header", True).csv(path))
+    (overview.select(*cols).repartitionByRange("job_id", "place").sortWithinPartitions("job_id", "place")
+     .write.mode("overwrite").partitionBy("job_id").option("header", True).option("maxRecordsPerFile", ROWS_PER_FILE).csv(path))
 
 
 def write_records(records: DataFrame, path: str) -> None:
     """JSON lines, one record per candidate, partitioned by job."""
-    records.repartition("job_id").write.mode("overwrite").partitionBy("job_id").json(path)
+    (records.repartitionByRange("job_id", "candidate_id").write.mode("overwrite").partitionBy("job_id")
+     .option("maxRecordsPerFile", ROWS_PER_FILE).json(path))
 
 
 def write_matrices(cells: DataFrame, path: str, metric: str) -> None:
@@ -54,8 +60,8 @@ def write_matrices(cells: DataFrame, path: str, metric: str) -> None:
     (``job_id = 'mean'``) keeps 3 decimals, the others 2."""
     out = cells.withColumn("metric", F.lit(metric)).withColumn(
         "value", F.when(F.col("job_id") == "mean", F.round("value", 3)).otherwise(F.round("value", 2)))
-    out.repartition("metric", "job_id").write.mode("overwrite").partitionBy("metric", "job_id") \
-        .option("header", True).csv(path)
+    out.repartitionByRange("job_id", F.xxhash64(*out.columns)).write.mode("overwrite").partitionBy("metric", "job_id") \
+        .option("header", True).option("maxRecordsPerFile", ROWS_PER_FILE).csv(path)
 
 
 def report(per_job: DataFrame, overall: DataFrame) -> DataFrame:
@@ -73,15 +79,17 @@ def write_report(per_job: DataFrame, overall: DataFrame, path: str) -> None:
     report(per_job, overall).write.mode("overwrite").json(path)
 
 
+def write_run_info(timings: DataFrame, path: str) -> None:
+    """Run info of each job as JSON lines."""
+    run_info(timings).write.mode("overwrite").json(path)
+
+
 def run_info(timings: DataFrame) -> DataFrame:
     """``{"seconds_taken": ceil}`` per job from the paired timers."""
     return timings.groupBy("job_id").agg(F.ceil(F.sum("seconds")).cast("bigint").alias("seconds_taken"))
 
 
 def combined_response(overview: DataFrame, records: DataFrame) -> DataFrame:
-    """Per job the overview rows and a map candidate -> record (one row
-    per job; bounded by the candidates of one request)."""
-    o = overview.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct(*overview.columns))).alias("overview"))
-    r = records.groupBy("job_id").agg(F.map_from_entries(F.collect_list(
-        F.struct(F.col("candidate_id").cast("string"), F.col("record")))).alias("records"))
-    return o.join(r, "job_id", "left")
+    """The overview rows of each request with their records, a row per (job, candidate); nothing is gathered
+    per job."""
+    return overview.join(records.select("job_id", "candidate_id", "record"), ["job_id", "candidate_id"], "left")

@@ -1,9 +1,9 @@
 """File sources: candidate documents (S1-S4, P6), the wide ballot CSV (S5),
 model result tables and run info (S6), the requirement-type config (S7).
 
-Paths are parsed with expressions on the ``path`` column so that selection
-(S2) runs before any content is read: ``binaryFile`` reads contents lazily
-and Catalyst prunes the ``content`` column when it is not selected.
+Paths are parsed with expressions on the ``path`` column.  A scan with
+contents reads only files whose names can be candidate or job documents of a
+supported suffix (``pathGlobFilter``), in the job folders that are asked for.
 """
 
 from __future__ import annotations
@@ -16,17 +16,20 @@ from pyspark.sql import types as T
 
 from rankwise.operators.ballots import BLOCK, csv_layout, unpivot_wide
 from rankwise.functions.columns import ballot_timestamp
+from rankwise.operators.ranking import desc, rank_within
 
 # Document suffixes in priority order (pdf before docx before txt).
 DOCUMENT_SUFFIXES = ["pdf", "docx", "txt"]
 
 _JOB_RE = r"job_(\d+)/"
-_CAND_RE = r"candidate_(\d+)\.([A-Za-z0-9]+)$"
+_FOLDER_RE = r"^(.*job_\d+)/"
+_CAND_RE = r"candidate_([^/]+)\.([A-Za-z0-9]+)$"
 _JOBDOC_RE = r"job_(\d+)/job_description\.([A-Za-z0-9]+)$"
 
 
 def parse_paths(paths: DataFrame, path_col: str = "path") -> DataFrame:
-    """Adds ``job_no``, ``candidate_no``, ``suffix``, ``kind`` (candidate /
+    """Adds ``job_no``, ``job_folder``, ``candidate_name``, ``candidate_no`` (null
+    unless the name is a number), ``suffix``, ``kind`` (candidate /
     job_description / other) from the path text."""
     p = F.col(path_col)
     cand = F.regexp_extract(p, _CAND_RE, 1)
@@ -34,7 +37,9 @@ def parse_paths(paths: DataFrame, path_col: str = "path") -> DataFrame:
     suffix = F.lower(F.regexp_extract(p, r"\.([A-Za-z0-9]+)$", 1))
     return paths.select("*",
                         F.regexp_extract(p, _JOB_RE, 1).try_cast("int").alias("job_no"),
-                        F.when(cand != "", cand.try_cast("bigint")).alias("candidate_no"),
+                        F.regexp_extract(p, _FOLDER_RE, 1).alias("job_folder"),
+                        F.when(cand != "", cand).alias("candidate_name"),
+                        F.when(cand.rlike(r"^\d+$"), cand.try_cast("bigint")).alias("candidate_no"),
                         suffix.alias("suffix"),
                         F.when(cand != "", F.lit("candidate")).when(jobdoc != "", F.lit("job_description"))
                         .otherwise(F.lit("other")).alias("kind"))
@@ -74,39 +79,44 @@ def select_paths(parsed: DataFrame, jobs: Sequence[int] = (), candidates: Sequen
 
 
 def resolve_job_documents(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """S3: per job folder the job description with the best suffix (pdf,
-    docx, txt); jobs with candidates but no description go to ``missing``."""
+    """S3: per job folder (two trees may have a job of the same number) the
+    job description with the best suffix (pdf, docx, txt); folders with
+    candidates but no description go to ``missing``."""
     prio = F.array_position(F.array(*[F.lit(s) for s in DOCUMENT_SUFFIXES]), F.col("suffix"))
     docs = parsed.filter((F.col("kind") == "job_description") & (prio > 0)).withColumn("_prio", prio)
-    best = (docs.groupBy("job_no").agg(F.min_by("path", "_prio").alias("job_path"),
-                                       F.min("_prio").alias("_p"))
-            .join(docs.select("job_no", F.col("_prio").alias("_p"), "suffix"), ["job_no", "_p"])
-            .drop("_p"))
-    cand_jobs = candidate_documents(parsed).select("job_no").distinct()
-    missing = cand_jobs.join(best.select("job_no"), "job_no", "left_anti").withColumn("reason",
-                                                                                        F.lit("no_job_description"))
+    best = (docs.groupBy("job_no", "job_folder")
+            .agg(F.min(F.struct("_prio", "path", "suffix")).alias("b"))
+            .select("job_no", "job_folder", F.col("b.path").alias("job_path"), F.col("b.suffix").alias("suffix")))
+    cand_jobs = candidate_documents(parsed).select("job_no", "job_folder").distinct()
+    missing = (cand_jobs.join(best.select("job_no", "job_folder"), ["job_no", "job_folder"], "left_anti")
+               .withColumn("reason", F.lit("no_job_description")))
     return best, missing
 
 
 def workloads(job_docs: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidate documents grouped under their job (an equi join, ids and
     paths only - contents are read after selection)."""
-    return candidates.select("job_no", "candidate_no", F.col("path").alias("candidate_path")) \
-        .join(job_docs.select("job_no", "job_path"), "job_no")
+    return (candidates.select("job_no", "job_folder", "candidate_no", F.col("path").alias("candidate_path"))
+            .join(job_docs.select("job_folder", "job_path"), "job_folder").drop("job_folder"))
 
 
 def workload_checks(job_docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Per job exactly one job document and at least one candidate."""
-    j = job_docs.groupBy("job_no").agg(F.count(F.lit(1)).alias("n_job_docs"))
-    c = candidates.groupBy("job_no").agg(F.count(F.lit(1)).alias("n_candidates"))
-    out = j.join(c, "job_no", "full").na.fill(0, ["n_job_docs", "n_candidates"])
+    """Per job folder exactly one job document and at least one candidate."""
+    key = ["job_no", "job_folder"]
+    j = job_docs.groupBy(*key).agg(F.count(F.lit(1)).alias("n_job_docs"))
+    c = candidates.groupBy(*key).agg(F.count(F.lit(1)).alias("n_candidates"))
+    out = j.join(c, key, "full").na.fill(0, ["n_job_docs", "n_candidates"])
     return out.withColumn("valid", (F.col("n_job_docs") == 1) & (F.col("n_candidates") >= 1))
 
 
-def scan_documents(spark: SparkSession, root: str, with_content: bool = True) -> DataFrame:
+def scan_documents(spark: SparkSession, root: str, with_content: bool = True, jobs: Sequence[int] = ()) -> DataFrame:
     """S1 on real files: recursive ``binaryFile`` scan of ``candidate_*`` and
-    ``job_description.*`` files; text documents decoded as UTF-8."""
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    ``job_description.*`` files; text documents decoded as UTF-8.
+
+    ``jobs`` restricts the scan to the folders ``job_<n>`` below ``root``."""
+    names = "{candidate_*,job_description}.{%s}" % ",".join(x for s in DOCUMENT_SUFFIXES for x in (s, s.upper()))
+    paths = [f"{root.rstrip('/')}/job_{j}" for j in jobs] or [root]
+    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(paths)
           .select("path", "length", *(["content"] if with_content else [])))
     parsed = parse_paths(df)
     if with_content:
@@ -140,27 +150,32 @@ def read_ballot_csv(spark: SparkSession, path: str, block: int = BLOCK) -> tuple
 
 # ------------------------------------------------------------ model results
 
-RESULT_ROW = T.StructType([T.StructField("candidate", T.StringType()), T.StructField("promising", T.BooleanType()),
-                           T.StructField("total_score", T.DoubleType())])
-
-
 def read_model_results(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """S6 + P10: every job's ranked result table and run info in one scan
-    each; ``job_no`` from the path; place = row position is **not** used -
-    the file must carry a ``place`` column or the rows are ranked by
-    (promising desc, total desc, candidate)."""
+    each; ``job_no`` from the path.  ``place`` is the file's column, or else
+    the position by (promising desc, total desc, candidate); the position of
+    a row in the file is not used."""
     res = (spark.read.option("header", True).option("inferSchema", False)
            .csv(f"{root}/job_*/result/job_match_result.csv")
            .withColumn("job_no", F.regexp_extract(F.input_file_name(), _JOB_RE, 1).try_cast("int")))
     res = res.select("job_no", "candidate", F.col("promising").try_cast("boolean").alias("promising"),
                      F.col("total_score").try_cast("double").alias("total_score"),
-                     *([F.col("place").try_cast("int").alias("place")] if "place" in res.columns else []))
+                     *([F.col("place").try_cast("bigint").alias("place")] if "place" in res.columns else []))
+    if "place" not in res.columns:
+        res = rank_within(res, ["job_no"], [desc("promising"), desc("total_score"), "candidate"])
     info = (spark.read.schema("seconds_taken long").option("multiLine", True)
             .json(f"{root}/job_*/result/additional_info.json")
             .withColumn("job_no", F.regexp_extract(F.input_file_name(), _JOB_RE, 1).try_cast("int")))
     return res, info.select("job_no", "seconds_taken")
 
 
+def read_overview(spark: SparkSession, path: str) -> DataFrame:
+    """S6 on the layout that ``sinks.write_overview`` writes (S8): the overview with its types; ``place`` as written."""
+    raw = spark.read.option("header", True).csv(path)
+    kinds = {"candidate_id": "bigint", "place": "bigint", "promising": "boolean", "total_score": "double", "job_id": "string"}
+    return raw.select(*[F.col(f"`{c}`").try_cast(kinds.get(c, "double")).alias(c) for c in raw.columns])
+
+
 # ------------------------------------------------------ requirement types
 
 def read_requirement_types(spark: SparkSession, path: str,

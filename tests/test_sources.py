@@ -37,6 +37,22 @@ def test_document_tree(spark, tmp_dir):
     chk = {r["job_no"]: r["valid"] for r in files.workload_checks(best, cands).collect()}
     assert chk == {1: True, 2: False, 10: False}
     assert files.workloads(best, cands).count() == 2
+    assert files.scan_documents(spark, tmp_dir, jobs=[10]).count() == 1
+
+
+def test_names_and_equal_numbers(spark, tmp_dir):
+    """Candidates need no number; two trees may have a job of the same number."""
+    for tree, suffix in (("x", "txt"), ("y", "pdf")):
+        _write(f"{tmp_dir}/{tree}/job_1/applicants/candidate_anna.{suffix}", tree)
+        _write(f"{tmp_dir}/{tree}/job_1/job_description.{suffix}", tree)
+    scan = files.scan_documents(spark, tmp_dir)
+    cands = files.candidate_documents(scan)
+    assert sorted((r["candidate_name"], r["candidate_no"], r["suffix"]) for r in cands.collect()) == [
+        ("anna", None, "pdf"), ("anna", None, "txt")]
+    best, missing = files.resolve_job_documents(scan)
+    assert sorted(r["suffix"] for r in best.collect()) == ["pdf", "txt"] and missing.count() == 0
+    pairs = files.workloads(best, cands).collect()
+    assert len(pairs) == 2 and all(r["candidate_path"].split("/")[-4] == r["job_path"].split("/")[-3] for r in pairs)
 
 
 def test_wide_ballot_csv(spark, tmp_dir):
@@ -69,7 +85,8 @@ def test_result_tables_and_config(spark, tmp_dir):
                "candidate,promising,total_score\ncandidate_2,true,70.5\ncandidate_1,false,40.25\n")
         _write(f"{tmp_dir}/job_{j}/result/additional_info.json", json.dumps({"seconds_taken": secs}))
     res, info = files.read_model_results(spark, tmp_dir)
-    assert res.count() == 4 and res.filter("promising").count() == 2
+    assert sorted((r["job_no"], r["candidate"], r["place"]) for r in res.collect()) == [
+        (1, "candidate_1", 2), (1, "candidate_2", 1), (2, "candidate_1", 2), (2, "candidate_2", 1)]
     assert {r["job_no"]: r["seconds_taken"] for r in info.collect()} == {1: 61, 2: 30}
     cfg = {"generic_config": {"job_requirements_config": {
         "work_experience": {"definition": "w", "weighting": 60}, "education": {"definition": "e", "weighting": 40}}}}
@@ -95,7 +112,16 @@ def test_sinks_round_trip(spark, tmp_dir):
            for r in sinks.report(per_job, per_job.agg(F.avg("m").alias("m"))).collect()}
     assert rep == {"joba": {"m": 0.5}, "jobb": {"m": 1.0}, "overallNone": {"m": 0.75}}
     recs = spark.createDataFrame([("a", 1, '{"x":1}')], "job_id string, candidate_id long, record string")
-    resp = sinks.combined_response(ov, recs).filter("job_id = 'a'").first()
-    assert len(resp["overview"]) == 2 and resp["records"] == {"1": '{"x":1}'}
+    resp = {(r["job_id"], r["candidate_id"]): r["record"] for r in sinks.combined_response(ov, recs).collect()}
+    assert resp == {("a", 1): '{"x":1}', ("a", 2): None, ("b", 3): None}
+    again = files.read_overview(spark, f"{tmp_dir}/overview")
+    assert sorted((r["job_id"], r["candidate_id"], r["place"], r["promising"], r["total_score"]) for r in again.collect()) == [
+        ("a", 1, 1, True, 70.12), ("a", 2, 2, False, 40.0), ("b", 3, 1, True, 55.56)]
+    sinks.write_records(recs, f"{tmp_dir}/records")
+    assert [(r["job_id"], r["candidate_id"], r["record"]) for r in spark.read.json(f"{tmp_dir}/records").collect()] == [
+        ("a", 1, '{"x":1}')]
+    sinks.write_report(per_job, per_job.agg(F.avg("m").alias("m")), f"{tmp_dir}/report")
+    assert spark.read.json(f"{tmp_dir}/report").count() == 3
     pairs = spark.createDataFrame([("a", 1.2), ("a", 3.1)], "job_id string, seconds double")
-    assert sinks.run_info(pairs).first()["seconds_taken"] == 5
+    sinks.write_run_info(pairs, f"{tmp_dir}/info")
+    assert [(r["job_id"], r["seconds_taken"]) for r in spark.read.json(f"{tmp_dir}/info").collect()] == [("a", 5)]

@@ -42,8 +42,12 @@ def test_pseudonyms_unique_and_valid(spark):
     fn = spark.createDataFrame([("Anna",), ("Bert",), ("Cleo",)], "f string")
     sn = spark.createDataFrame([(f"Size{i}",) for i in range(8)], "s string")
     out = tx.name_checks(tx.pseudonyms(ids, "sid", fn, sn, seed=42)).collect()
-    names = [r["name"] for r in out if r["name"] is not None]
-    assert len(names) == 24 and len(set(names)) == 24 and all(r["valid_name"] for r in out if r["name"])
+    names = [r["name"] for r in out]
+    # 3 x 8 names, then the names go round with a number
+    assert len(set(names)) == 30 and all(r["valid_name"] for r in out)
+    assert sum(n.endswith("-2") for n in names) == 6
+    two_words = spark.createDataFrame([("Saudi arabia",), ("Anna",)], "f string")
+    assert {r["name"].split()[0] for r in tx.pseudonyms(ids, "sid", two_words, sn).collect()} == {"Anna"}
     again = tx.pseudonyms(ids, "sid", fn, sn, seed=42).collect()
     assert {r["sid"]: r["name"] for r in again} == {r["sid"]: r["name"] for r in out}
 
