@@ -83,7 +83,7 @@ class _Chunk:
                 m = ro.sliding_argmin(grams[a:b - GRAM + 1], w - GRAM + 1)
                 out[a:a + len(m)] = m + a
         out[self.left < w] = -1
-        self.grams = grams
+        self.grams = ro.mix(grams)  # least grams are small numbers; mixed again they spread over the buckets
         return out
 
 
