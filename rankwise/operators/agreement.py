@@ -60,9 +60,9 @@ def discordant_pairs(df: DataFrame, by: Sequence[str], a: str = "a", b: str = "b
     across = (Window.partitionBy(*by, "_L", "_p").orderBy("_blk")
               .rowsBetween(Window.unboundedPreceding, -1))
     blocks = blocks.withColumn("_cross", F.col("_zeros") * F.coalesce(F.sum("_ones").over(across), F.lit(0)))
-    d = blocks.groupBy(*by).agg(F.sum(F.col("_within") + F.col("_cross")).cast("bigint").alias("discordant"))
-    n = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return n.join(d, by, "left").withColumn("discordant", F.coalesce("discordant", F.lit(0)).cast("bigint"))
+    at_bottom = F.when(F.col("_L") == 0, F.col("_ones") + F.col("_zeros"))  # every row once
+    return blocks.groupBy(*by).agg(F.sum(at_bottom).cast("bigint").alias("n"),
+                                   F.sum(F.col("_within") + F.col("_cross")).cast("bigint").alias("discordant"))
 
 
 def tau_from_discordant(n: Column, d: Column) -> Column:
@@ -158,17 +158,29 @@ def pairwise(ballots: DataFrame, method: str = "rank") -> DataFrame:
     pr = p.select("job_id", F.col("entity").alias("entity_b"), F.col("ord").alias("ord_b"), "candidate")
     both = (pl.join(pr, ["job_id", "candidate"]).filter(F.col("ord_a") < F.col("ord_b"))
             .groupBy("job_id", "entity_a", "entity_b").agg(F.count(F.lit(1)).alias("_both")))
-    sizes = b.groupBy("job_id", "entity").agg(F.count_if("promising").alias("_k"), F.count(F.lit(1)).alias("_n"))
-    sa = sizes.select("job_id", F.col("entity").alias("entity_a"), F.col("_k").alias("_ka"))
-    sb = sizes.select("job_id", F.col("entity").alias("entity_b"), F.col("_k").alias("_kb"))
-    upper = (tau.join(both, ["job_id", "entity_a", "entity_b"], "left")
-             .join(sa, ["job_id", "entity_a"]).join(sb, ["job_id", "entity_b"])
+    sizes = b.groupBy("job_id", "entity").agg(F.min("ord").alias("_o"), F.count_if("promising").alias("_k"),
+                                              F.count(F.lit(1)).alias("_n"))
+    sa = sizes.select("job_id", F.col("entity").alias("entity_a"), F.col("_k").alias("_ka"), F.col("_o").alias("_oa"))
+    sb = sizes.select("job_id", F.col("entity").alias("entity_b"), F.col("_k").alias("_kb"), F.col("_o").alias("_ob"))
+    # the m x m grid first: two entities without a common candidate have a cell too (no tau, n = 0)
+    grid = sa.join(sb, "job_id").filter(F.col("_oa") < F.col("_ob"))
+    upper = (grid.join(tau, ["job_id", "entity_a", "entity_b"], "left").join(both, ["job_id", "entity_a", "entity_b"], "left")
              .select("job_id", "entity_a", "entity_b",
                      (F.col("_ka") + F.col("_kb") - 2 * F.coalesce("_both", F.lit(0))).cast("bigint").alias("hamming"),
-                     "tau", "n"))
+                     "tau", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
     mirror = upper.select("job_id", F.col("entity_b").alias("entity_a"), F.col("entity_a").alias("entity_b"),
                           "hamming", "tau", "n")
     diag = sizes.select("job_id", F.col("entity").alias("entity_a"), F.col("entity").alias("entity_b"),
                         F.lit(0).cast("bigint").alias("hamming"),
                         tau_from_discordant(F.col("_n"), F.lit(0)).alias("tau"), F.col("_n").alias("n"))
     return upper.unionByName(mirror).unionByName(diag)
+
+
+def pairwise_metric(ballots: DataFrame, metric: Column, name: str = "value") -> DataFrame:
+    """Any pair metric.  ``metric`` is an aggregate over the candidates that both ballots rank, in terms of
+    ``place_a``, ``place_b``, ``promising_a`` and ``promising_b``; cells ``(job_id, entity_a, entity_b, name)`` for
+    every ordered pair with a common candidate, the diagonal included."""
+    side = lambda x: ballots.select("job_id", "candidate", F.col("rater").alias(f"entity_{x}"),
+                                    F.col("place").alias(f"place_{x}"), F.col("promising").alias(f"promising_{x}"))
+    return (side("a").join(side("b"), ["job_id", "candidate"]).groupBy("job_id", "entity_a", "entity_b")
+            .agg(metric.alias(name)))

@@ -8,10 +8,10 @@ conversation), ordered by ``turn`` explicitly.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankwise.functions.columns import strip_unicode
+from rankwise.functions.columns import elapsed_seconds_ceil, strip_unicode
 
 ROLE_SEP, MSG_SEP = "\u001f", "\u001e"
 
@@ -75,8 +75,14 @@ def layout_instruction(conv: DataFrame) -> DataFrame:
                     .when(~F.coalesce(F.col("_ok"), F.lit(True)), F.lit("unknown_role")).alias("error")))
 
 
-def message_records(conv: DataFrame) -> DataFrame:
-    """C4: text stripped, author in {user, model, system}."""
+def message_records(conv: DataFrame, created_col: str | None = None) -> DataFrame:
+    """C4: text stripped, author in {user, model, system}.  With the time of each message (``created_col``) also
+    ``created`` and ``elapsed``: whole seconds, rounded up, since the message before it in its conversation."""
     author = (F.when(F.col("role") == "assistant", F.lit("model"))
               .when(F.col("role").isin("user", "system"), F.col("role")))
-    return conv.select("conv_id", "turn", author.alias("author"), strip_unicode("text").alias("text"))
+    cols = ["conv_id", "turn", author.alias("author"), strip_unicode("text").alias("text")]
+    if created_col is None:
+        return conv.select(*cols)
+    made = F.col(created_col).cast("timestamp")
+    before = F.lag(made).over(Window.partitionBy("conv_id").orderBy("turn"))  # the turns of one conversation
+    return conv.select(*cols, made.alias("created"), elapsed_seconds_ceil(before, made).alias("elapsed"))

@@ -7,7 +7,9 @@ the label ``mean`` for the aggregated side.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankwise.functions.columns import tau_to_pair_distance
@@ -53,6 +55,11 @@ def matrix_cells(pairs: DataFrame, metric: str, include_model: bool = True,
     return df.select("job_id", "entity_a", "entity_b", F.col(metric).cast("double").alias("value"))
 
 
+def transform_cells(cells: DataFrame, transform: Callable[[Column], Column], value: str = "value") -> DataFrame:
+    """The matrix with ``transform`` applied to every cell."""
+    return cells.withColumn(value, transform(F.col(value)))
+
+
 def tau_distance_cells(tau_cells: DataFrame, ballot_size: DataFrame) -> DataFrame:
     """X5 + E3: tau -> number of discordant pairs, floor with a 1e-9 guard."""
     return (tau_cells.join(ballot_size, "job_id")

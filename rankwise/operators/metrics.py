@@ -7,7 +7,7 @@ ballots, model run info (seconds).  Everything is joins on ``job_id`` and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankwise.operators.agreement import BALLOT_COLS, compare_to_reference
@@ -44,14 +44,19 @@ def filter_accuracy(ballots: DataFrame, consensus: DataFrame) -> DataFrame:
                       .alias("filter_accuracy"))
 
 
-def better_or_equal(model_err: DataFrame, human_err: DataFrame) -> DataFrame:
-    """A11 + J6: share of raters the model ties or beats (tau: >=, Hamming: <=)."""
-    m = model_err.select("job_id", F.col("hamming").alias("_mh"), F.col("tau").alias("_mt"))
-    j = human_err.join(m, "job_id")
-    return j.groupBy("job_id").agg(
-        F.avg(F.when(F.col("_mt") >= F.col("tau"), 1.0).otherwise(0.0)).alias("model_ranking_better_or_equal"),
-        F.avg(F.when(F.col("_mh") <= F.col("hamming"), 1.0).otherwise(0.0))
-        .alias("model_categorization_better_or_equal"))
+#: Output column -> the error column and whether a higher value is better.
+BETTER = {"model_ranking_better_or_equal": ("tau", True), "model_categorization_better_or_equal": ("hamming", False)}
+
+
+def better_or_equal(model_err: DataFrame, human_err: DataFrame, measures: dict[str, tuple[str, bool]] = BETTER) -> DataFrame:
+    """A11 + J6 + E4: share of raters the model ties or beats, for each measure in its direction."""
+    m = model_err.select("job_id", *[F.col(c).alias(f"_m_{c}") for c in dict.fromkeys(c for c, _ in measures.values())])
+
+    def share(column: str, higher: bool) -> Column:
+        mine, theirs = F.col(f"_m_{column}"), F.col(column)
+        return F.avg(F.when(mine >= theirs if higher else mine <= theirs, 1.0).otherwise(0.0))
+
+    return human_err.join(m, "job_id").groupBy("job_id").agg(*[share(*v).alias(k) for k, v in measures.items()])
 
 
 def job_metrics(ballots: DataFrame, headers: DataFrame, model: DataFrame, run_info: DataFrame,

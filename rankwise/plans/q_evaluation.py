@@ -280,6 +280,16 @@ def _margins_sql(cells: str, key: str = "job_id") -> str:
 FROM {cells} GROUP BY GROUPING SETS (({key}, entity_a, entity_b), ({key}, entity_a), ({key}, entity_b), ({key}))"""
 
 
+@register("footrule_matrix", f"""{W}
+SELECT a.job_id, a.rater AS entity_a, b.rater AS entity_b, round(avg(abs(a.place - b.place)), 6) AS value
+FROM ballots a JOIN ballots b USING (job_id, candidate) GROUP BY ALL""")
+def q_footrule_matrix(spark, sf_dir):
+    """E2 + E3: a pair metric of the caller's (mean difference of places), rounded by a cell transform."""
+    b, _ = _ballots(spark, sf_dir)
+    cells = agreement.pairwise_metric(b, F.avg(F.abs(F.col("place_a") - F.col("place_b"))))
+    return matrices.transform_cells(cells, lambda c: F.round(c, 6))
+
+
 @register("hamming_matrix", f"""{W}{_ENTS},{pairwise_sql('pw', 'ents', 'rank')},
 cells AS (SELECT job_id, entity_a, entity_b, CAST(hamming AS DOUBLE) AS value FROM pw)
 {_margins_sql('cells')}""")
