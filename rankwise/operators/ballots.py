@@ -7,9 +7,10 @@ first-seen order of the reference) and ``place`` its rank (1 = best).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankwise.operators.ranking import rank_within
 from rankwise.functions.columns import ballot_timestamp, label_suffix, name_set
 
 BLOCK = 10  # wide CSV: per job 1 minutes column, 1 promising list, 8 places
@@ -40,20 +41,21 @@ def unpivot_wide(wide: DataFrame, layout: list[dict], rater_col: str = "rater_or
     makes its ballot invalid (``ballot_checks``).
     """
     per_slot, per_job = [], []
-    for blk in layout:
+    for k, blk in enumerate(layout):
         listed = name_set(F.col(f"`{blk['promising']}`"))
         per_job.append(F.struct(F.lit(blk["job_id"]).alias("job_id"),
                                 F.col(f"`{blk['minutes']}`").try_cast("double").alias("minutes"),
                                 listed.alias("promising_set")))
+        on_list = F.col("_jobs")[k]["promising_set"]
         for s, (c, label) in enumerate(blk["places"]):
             per_slot.append(F.struct(F.lit(blk["job_id"]).alias("job_id"), F.lit(s).alias("pos"),
                                      label_suffix(F.lit(label)).alias("candidate"),
                                      F.col(f"`{c}`").try_cast("int").alias("place"),
-                                     F.coalesce(F.array_contains(listed, label_suffix(F.lit(label))), F.lit(False))
+                                     F.coalesce(F.array_contains(on_list, label_suffix(F.lit(label))), F.lit(False))
                                      .alias("promising")))
     ts = ballot_timestamp(F.col(f"`{ts_col}`")) if ts_col else F.lit(None).cast("timestamp")
-    base = wide.select(F.col(rater_col).cast("int").alias("rater_ord"), ts.alias("submitted"),
-                       F.array(*per_job).alias("_jobs"), F.array(*per_slot).alias("_slots"))
+    base = wide.select("*", F.col(rater_col).cast("int").alias("_rater"), ts.alias("submitted"), F.array(*per_job).alias("_jobs"))
+    base = base.select(F.col("_rater").alias("rater_ord"), "submitted", "_jobs", F.array(*per_slot).alias("_slots"))
     rater = F.concat(F.lit("human_id: "), F.col("rater_ord").cast("string"))
     headers = base.select("rater_ord", "submitted", F.inline("_jobs")).withColumn("rater", rater)
     ballots = base.select("rater_ord", F.inline("_slots")).withColumn("rater", rater)
@@ -63,10 +65,11 @@ def unpivot_wide(wide: DataFrame, layout: list[dict], rater_col: str = "rater_or
 
 def rater_ids(raw: DataFrame, ts_col: str) -> DataFrame:
     """Rater id = row index in the file (0-based), taken from the time stamp
-    order (the file is written in submission order).  One row per rater:
-    the window has no partition but the input is the tiny header table."""
-    return raw.withColumn("rater_ord", (F.row_number().over(Window.orderBy(ballot_timestamp(F.col(ts_col)))) - 1)
-                          .cast("int"))
+    order (the file is written in submission order; equal time stamps by the
+    rest of the row)."""
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in raw.columns]))
+    ranked = rank_within(raw, [], [ballot_timestamp(F.col(f"`{ts_col}`")), rest], name="rater_ord")
+    return ranked.withColumn("rater_ord", (F.col("rater_ord") - 1).cast("int"))
 
 
 def ballot_checks(ballots: DataFrame, headers: DataFrame | None = None) -> DataFrame:

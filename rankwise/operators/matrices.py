@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankwise.functions.columns import tau_to_pair_distance
@@ -42,8 +42,14 @@ def shape_report(cells: DataFrame) -> DataFrame:
 
 
 def mean_matrix(cells: DataFrame, value: str = "value") -> DataFrame:
-    """Cell-wise mean over jobs, labelled ``job_id = 'mean'``."""
-    return (cells.groupBy("entity_a", "entity_b").agg(F.avg(value).alias(value))
+    """Cell-wise mean over jobs, labelled ``job_id = 'mean'``.
+
+    P7 is enforced: the query fails if some cell is missing in some job's
+    matrix (checked over the m x m cells of the result)."""
+    per = cells.groupBy("entity_a", "entity_b").agg(F.avg(value).alias(value), F.count(F.lit(1)).alias("_jobs"))
+    every = F.max("_jobs").over(Window.partitionBy())
+    same = F.assert_true(F.col("_jobs") == every, F.lit("the job matrices differ in shape"))
+    return (per.withColumn(value, F.when(same.isNull(), F.col(value)))
             .select(F.lit(MEAN_LABEL).alias("job_id"), "entity_a", "entity_b", value))
 
 

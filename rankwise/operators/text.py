@@ -51,12 +51,6 @@ def normalise_documents(docs: DataFrame, text_col: str = "text",
     return docs.withColumn(text_col, replace_chain(text_col, replacements))
 
 
-def language_profile(spark) -> DataFrame:
-    langs = sorted(LANGUAGE_PROFILES)
-    rows = [(lang, langs.index(lang), w) for lang, words in LANGUAGE_PROFILES.items() for w in words]
-    return spark.createDataFrame(rows, "lang string, lang_rank int, token string")
-
-
 def detect_language(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """X10 (re-aimed): tokens of the whole text that are function words of
     each language are counted in the row, without a shuffle; the language

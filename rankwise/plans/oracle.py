@@ -181,13 +181,6 @@ reqs AS (
 docs AS (SELECT source AS job_id, doc_id AS candidate_id, text FROM f5)"""
 
 
-def ngram_sql(text: str) -> str:
-    """Distinct 1..3-grams of the lower-cased letter/digit tokens of ``text``."""
-    toks = f"list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), x -> length(x) > 0)"
-    return (f"list_distinct(flatten([[array_to_string(t[i:i + n - 1], ' ') FOR i IN range(1, len(t) - n + 2)] "
-            f"FOR n IN [1, 2, 3]])) FROM (SELECT *, {toks} AS t")
-
-
 F5B_SQL = """
 f5b AS (
   SELECT event_id, CASE event_id % 10

@@ -14,6 +14,7 @@ from rankwise.plans.oracle import F5B_SQL, F5C_SQL, FRONT_SQL, strip_sql
 from rankwise.plans.registry import register
 from rankwise.schemas import REQUIREMENT_DEFINITIONS, requirement_types
 from rankwise.session import checkpointed
+from rankwise.sources.tables import table
 
 
 def _front(spark, sf_dir):
@@ -131,14 +132,14 @@ def _defs_values() -> str:
     return ", ".join("('{}', '{}')".format(t, d.replace("'", "''")) for t, d in REQUIREMENT_DEFINITIONS.items())
 
 
-def _render_sql() -> str:
-    """The match request built with nested replace() in the same order."""
+def _render_sql(template: str = "match", dyn: dict[str, str] | None = None) -> str:
+    """A request built with nested replace() in the same order."""
     static = templates.static_values()
-    out = "'" + templates.TEMPLATES["match"].replace("'", "''") + "'"
+    out = "'" + templates.TEMPLATES[template].replace("'", "''") + "'"
     for name in templates.STATIC_ORDER:
         out = f"replace({out}, '{{{name}}}', '{static[name].strip().replace(chr(39), chr(39) * 2)}')"
-    dyn = {"CV_TEXT": "d.text", "REQUIREMENT_SPECIFICATION": "r.specification", "REQUIREMENT_TYPE_NAME": "r.type",
-           "REQUIREMENT_TYPE_DEFINITION": "df.definition"}
+    dyn = dyn or {"CV_TEXT": "d.text", "REQUIREMENT_SPECIFICATION": "r.specification", "REQUIREMENT_TYPE_NAME": "r.type",
+                  "REQUIREMENT_TYPE_DEFINITION": "df.definition"}
     for name in templates.DYNAMIC_ORDER:
         if name in dyn:
             out = f"replace({out}, '{{{name}}}', coalesce({strip_sql(dyn[name])}, ''))"
@@ -162,6 +163,20 @@ def q_match_requests(spark, sf_dir):
                        F.md5(prompt).alias("prompt_md5"))
 
 
+@register("other_requests", f"""
+SELECT doc_id, md5({_render_sql("extract", {"JOB_TEXT": "text"})}) AS extract_md5,
+       md5({_render_sql("prettify", {"TEXT": "text"})}) AS prettify_md5,
+       md5({_render_sql("decide", {"REQUIREMENT_MATCHES": "'[' || doc_id || ']'"})}) AS decide_md5
+FROM documents""")
+def q_other_requests(spark, sf_dir):
+    """The extraction, clean-up and decision requests."""
+    d = table(spark, sf_dir, "documents")
+    matches = F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("]"))
+    return d.select("doc_id", F.md5(templates.extract_request(F.col("text"))).alias("extract_md5"),
+                    F.md5(templates.prettify_request(F.col("text"))).alias("prettify_md5"),
+                    F.md5(templates.decide_request(matches)).alias("decide_md5"))
+
+
 # ---------------------------------------------------------------- end to end
 
 def _front_scores(spark, sf_dir):

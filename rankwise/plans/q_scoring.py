@@ -46,9 +46,11 @@ def q_weighted_totals(spark, sf_dir):
 
 
 @register("score_range_violations", f"""WITH {F1_SQL}
-SELECT job_id, candidate_id, type, CAST(score AS BIGINT) AS score FROM scores WHERE score < 0 OR score > 100""")
+SELECT job_id, candidate_id, type, CAST(raw_score AS BIGINT) AS score FROM f1 WHERE raw_score < 0 OR raw_score > 100""")
 def q_score_range_violations(spark, sf_dir):
-    v = scoring.score_range_violations(_scores(spark, sf_dir))
+    """P8 on the raw answers, before any clamp."""
+    raw = fx.f1_requirement_scores(spark, sf_dir).withColumnRenamed("raw_score", "score")
+    v = scoring.score_range_violations(raw)
     return v.select("job_id", "candidate_id", "type", F.col("score").cast("bigint").alias("score"))
 
 

@@ -59,50 +59,6 @@ REQUIREMENT_TYPE_SCHEMA = T.StructType([
     T.StructField("weighting", T.IntegerType(), False),
 ])
 
-# requirement scores, long form: one row per (job, candidate, requirement)
-SCORE_SCHEMA = T.StructType([
-    T.StructField("job_id", T.StringType(), False),
-    T.StructField("candidate_id", T.LongType(), False),
-    T.StructField("type", T.StringType(), False),
-    T.StructField("kind", T.StringType(), True),
-    T.StructField("score", T.IntegerType(), True),
-])
-
-# ballots, long form: one row per (job, rater, candidate)
-BALLOT_SCHEMA = T.StructType([
-    T.StructField("job_id", T.StringType(), False),
-    T.StructField("rater", T.StringType(), False),
-    T.StructField("rater_ord", T.IntegerType(), False),
-    T.StructField("candidate", T.StringType(), False),
-    T.StructField("place", T.IntegerType(), False),
-    T.StructField("promising", T.BooleanType(), False),
-])
-
-BALLOT_HEADER_SCHEMA = T.StructType([
-    T.StructField("job_id", T.StringType(), False),
-    T.StructField("rater", T.StringType(), False),
-    T.StructField("rater_ord", T.IntegerType(), False),
-    T.StructField("minutes", T.DoubleType(), True),
-])
-
-MATCH_RECORD_SCHEMA = T.StructType([
-    T.StructField("total_score", T.DoubleType()),
-    T.StructField("promising_result", T.StructType([
-        T.StructField("promising", T.BooleanType()),
-        T.StructField("explanation", T.StringType()),
-    ])),
-    T.StructField("requirement_matches", T.MapType(T.StringType(), T.ArrayType(T.StructType([
-        T.StructField("score", T.StructType([
-            T.StructField("value", T.IntegerType()),
-            T.StructField("explanation", T.StringType()),
-        ])),
-        T.StructField("requirement", T.StructType([
-            T.StructField("type", T.StringType()),
-            T.StructField("specification", T.StringType()),
-        ])),
-    ])))),
-])
-
 
 def requirement_types(spark: SparkSession,
                       weights: list[tuple[str, int]] | None = None) -> DataFrame:

@@ -10,12 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankwise.operators.ballots import BLOCK, csv_layout, unpivot_wide
-from rankwise.functions.columns import ballot_timestamp
+from rankwise.operators.ballots import BLOCK, csv_layout, rater_ids, unpivot_wide
 from rankwise.operators.ranking import desc, rank_within
 
 # Document suffixes in priority order (pdf before docx before txt).
@@ -139,8 +138,7 @@ def read_ballot_csv(spark: SparkSession, path: str, block: int = BLOCK) -> tuple
     cols = raw.columns
     header_line = spark.read.text(path).first()[0]
     labels = next(_csv.reader([header_line]))
-    ordered = raw.withColumn("rater_ord", (F.row_number().over(Window.orderBy(
-        ballot_timestamp(F.col(f"`{cols[0]}`")))) - 1).cast("int"))
+    ordered = rater_ids(raw, cols[0])
     layout = csv_layout(cols, block)
     by_pos = dict(zip(cols, labels))
     for blk in layout:

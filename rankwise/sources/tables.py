@@ -18,9 +18,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise KeyError(name)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-
-
-def register_views(spark: SparkSession, sf_dir: str) -> None:
-    """Register every table as a temp view (for ``spark.sql``)."""
-    for name in TABLES:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
