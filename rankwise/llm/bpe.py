@@ -27,11 +27,14 @@ import codecs
 import hashlib
 import json
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from rankwise.llm.common import text_slices
+
 #: How a byte-level vocabulary cuts text before merging (a fixed value of the file format).
 PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bounds of what is remembered, in entries.
@@ -81,8 +84,9 @@ class Coder:
         self.cut = regex.compile(PRETOKENS).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") \
             if self.special else None
-        self.words: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.decimal = list(map(str, range(size)))
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def merge(self, data: bytes) -> list[int]:
@@ -156,20 +160,18 @@ class Coder:
             ends.add(top - len(self.bytes_of[last[top - 1]]))
         return max(0, ends.pop())
 
-    def word(self, w: str) -> tuple[tuple[int, ...], str]:
+    def word(self, w: str) -> tuple[int, ...]:
         """Ids of a pretoken.  When the memory is full it becomes the older one, from which words in use come back."""
-        got = self.older.get(w)
-        if got is None:
+        ids = self.older.get(w)
+        if ids is None:
             data = w.encode()
             if len(data) > 4 * self.horizon:
-                ids = tuple(self.stream(data))
-                return ids, ",".join(map(str, ids))
+                return tuple(self.stream(data))
             ids = tuple(self.merge(data))
-            got = (ids, ",".join(map(str, ids)))
         if len(self.words) >= WORDS:
             self.words, self.older = {}, self.words
-        self.words[w] = got
-        return got
+        self.words[w] = ids
+        return ids
 
     def slices(self, text: str) -> Iterator[str]:
         """Slices that end where a pretoken surely ends: before a space that follows something else."""
@@ -181,21 +183,19 @@ class Coder:
             yield text[at:end]
             at = end
 
-    def blocks(self, text: str) -> Iterator[tuple[list[tuple[int, ...]], list[str]]]:
-        """Ids of a whole text, pretoken by pretoken, as numbers and as decimal text."""
+    def blocks(self, text: str) -> Iterator[list[int]]:
+        """Ids of a whole text, slice by slice."""
         word = self.word
         for part in self.split.split(text) if self.split else (text,):
             if part in self.special:
-                i = self.special[part]
-                yield [(i,)], [str(i)]
+                yield [self.special[part]]
                 continue
             for piece in self.slices(part):
                 known = self.words.get
-                found = [known(w) or word(w) for w in self.cut(piece)]
-                yield [f[0] for f in found], [f[1] for f in found]
+                yield list(chain.from_iterable([known(w) or word(w) for w in self.cut(piece)]))
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self.blocks(text) for t in ids for i in t]
+        return list(chain.from_iterable(self.blocks(text)))
 
     def decoder(self) -> Callable[[Iterable[int], bool], str]:
         """A function that turns the next ids into the text that is complete by then."""
@@ -232,7 +232,7 @@ def _map(docs: DataFrame, path: str | None, one, schema: str, names: list[str],
 
     def apply(batches):
         coder = _coder(file.value)
-        for b in batches:
+        for b in text_slices(batches, 1):
             out = [one(coder, x or "") for x in b.column(1).to_pylist()]
             cols = [pa.array(c) for c in zip(*out, strict=True)] if out else [pa.array([], t) for t in _TYPES[schema]]
             cols = [c.cast(t) for c, t in zip(cols, _TYPES[schema], strict=True)]
@@ -271,13 +271,13 @@ def decode(encoded: DataFrame, *, path: str | None = None) -> DataFrame:
 def _digest(coder: Coder, text: str) -> tuple[int, str, str]:
     """Hashes of the ids and of the decoded text, both taken as they come."""
     n, written, read, decoder = 0, hashlib.sha256(), hashlib.sha256(), coder.decoder()
-    for ids, decimal in coder.blocks(text):
-        flat = [i for t in ids for i in t]
-        if n and flat:
+    decimal = coder.decimal.__getitem__
+    for ids in coder.blocks(text):
+        if n and ids:
             written.update(b",")
-        written.update(",".join(decimal).encode())
-        read.update(decoder(flat).encode())
-        n += len(flat)
+        written.update(",".join(map(decimal, ids)).encode())
+        read.update(decoder(ids).encode())
+        n += len(ids)
     read.update(decoder((), True).encode())
     return n, written.hexdigest(), read.hexdigest()
 

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +44,21 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Text that a Python worker takes in hand at once, in bytes (a single longer text is taken alone).
+SLICE_BYTES = 1 << 21
+
+
+def text_slices(batches, column: int) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that each piece holds little text: Arrow batches are bounded by rows only."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def salted_join(rows: DataFrame, small: DataFrame, keys: list[str], salt_from: str, how: str = "left", salts: int = 16) -> DataFrame:
     """Join ``rows`` with ``small`` (unique ``keys``, not null), whose hot keys are dealt over ``salts`` tasks."""
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int"))

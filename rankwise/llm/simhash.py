@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankwise.llm.common import salted_join, stored
+from rankwise.llm.common import salted_join, stored, text_slices
 from rankwise.llm.components import components
 from rankwise.llm.rolling import runs
 
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, carry: list[str] |
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def apply(batches):
-        for b in batches:
+        for b in text_slices(batches, 1):
             fp = np.array([fingerprint(x, shingle) for x in b.column(1).to_pylist()], U).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), *b.columns[2:]],
                                              names=["doc_id", "fp", *carry])

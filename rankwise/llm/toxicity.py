@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankwise.llm import rolling as ro
+from rankwise.llm.common import text_slices
 
 U = np.uint64
 FOLDS = 5
@@ -150,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unlab
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def words(batches):
-        for b in batches:
+        for b in text_slices(batches, 0):
             h, at = _words(b.column(0).to_pylist())
             cut = np.searchsorted(at, np.arange(b.num_rows + 1))
             found = [np.unique(h[i:j]).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
@@ -172,7 +173,7 @@ def score(docs: DataFrame, model: Model, *, carry: list[str] | None = None) -> D
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def apply(batches):
-        for b in batches:
+        for b in text_slices(batches, 1):
             s = _sigmoid(_logit(b.column(1).to_pylist(), model))
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(s, pa.float64())],
                                              names=["doc_id", *carry, "score"])
