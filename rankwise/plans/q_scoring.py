@@ -55,17 +55,20 @@ def q_score_range_violations(spark, sf_dir):
 
 
 @register("line_places", """
-SELECT l_returnflag, l_orderkey, l_linenumber,
-       row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS place,
-       CAST(count(*) FILTER (WHERE l_linestatus = 'F') OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber
+SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                                                             l_shipdate) AS place,
+       CAST(count(*) FILTER (WHERE l_linestatus = 'F') OVER (PARTITION BY l_returnflag
+            ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS filled_before
 FROM lineitem""")
 def q_line_places(spark, sf_dir):
     """W1 and running counts over three hot groups: every row of ``lineitem``."""
-    li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice", "l_linestatus", "l_shipdate")
-    out = rank_within(li, ["l_returnflag"], [desc("l_extendedprice"), "l_orderkey", "l_linenumber"])
-    out = prefix_count(out, ["l_returnflag"], ["l_shipdate", "l_orderkey", "l_linenumber"], F.col("l_linestatus") == "F", "filled_before")
-    return out.select("l_returnflag", "l_orderkey", "l_linenumber", "place", "filled_before")
+    ids = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]  # line numbers repeat within orders of these tables
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", *ids, "l_extendedprice", "l_linestatus", "l_shipdate")
+    out = rank_within(li, ["l_returnflag"], [desc("l_extendedprice"), *ids, "l_shipdate"])
+    out = prefix_count(out, ["l_returnflag"], ["l_shipdate", *ids, "l_extendedprice"], F.col("l_linestatus") == "F", "filled_before")
+    return out.select("l_returnflag", *ids, "place", "filled_before")
 
 
 def _pivot_sql_cols() -> str:
