@@ -4,7 +4,7 @@ Suffixes are sorted in buckets.  Sampled splitters cut the range of their
 leading tokens into buckets, a bucket sorts its suffixes by multikey
 quicksort (token by token, each time only what is still tied), and
 neighbours in that order that agree in their first ``length`` bytes are
-repeats.  A suffix's tokens are its first eight bytes and two fingerprints
+repeats.  A suffix's tokens are its first four bytes and two fingerprints
 of its first ``length`` bytes.  Splitters are whole token sequences, so equal
 suffixes never straddle buckets and the comparison across a boundary is
 settled by the splitter; a common leading token is cut into many buckets.
@@ -116,10 +116,10 @@ class _Chunk:
 
 
 def leads(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The first eight bytes as a number that sorts like them."""
-    out = np.zeros(len(at), U)
-    for k in range(8):
-        out = (out << U(8)) | buf[at + k]
+    """The first four bytes as a number that sorts like them."""
+    out = np.zeros(len(at), np.uint32)
+    for k in range(4):
+        out = (out << np.uint32(8)) | buf[at + k]
     return out
 
 
@@ -143,7 +143,7 @@ def _cuts(lead: np.ndarray, h: np.ndarray, splitters: list[tuple[int, int]]) ->
     """Where the sorted suffixes ``(lead, h)`` are cut by the splitters."""
     out = []
     for a, b in splitters:
-        i, j = np.searchsorted(lead, U(a), "left"), np.searchsorted(lead, U(a), "right")
+        i, j = np.searchsorted(lead, np.uint32(a), "left"), np.searchsorted(lead, np.uint32(a), "right")
         out.append(i + np.searchsorted(h[i:j], U(b), "left"))
     return np.concatenate(([0], out, [len(lead)])).astype(np.int64)
 
@@ -226,9 +226,9 @@ def _suffix_step(length: int, splitters: list[tuple[int, int]]):
         _, lead, h, g = c.suffixes(sort)
         o, first, n = _classes(lead, h, g)
         at = o[first]
-        lead, h, g, many = lead[at], h[at], g[at].astype("<u4"), (n > 1).astype(np.uint8)
+        lead, h, g, many = lead[at].astype("<u4"), h[at], g[at].astype("<u4"), n > 1
         cut = _cuts(lead, h, splitters)
-        return ex.sent([(x, key[0].as_py(), lead[i:j].tobytes(), h[i:j].tobytes(), g[i:j].tobytes() + many[i:j].tobytes())
+        return ex.sent([(x, key[0].as_py(), lead[i:j].tobytes(), h[i:j].tobytes(), g[i:j].tobytes() + np.packbits(many[i:j]).tobytes())
                         for x, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i])
     return step
 
@@ -238,9 +238,10 @@ def _suffix_bucket(t: pa.Table) -> pa.Table:
     rows = list(ex.received(t))
     parts = [ex.u64(r[2]) for r in rows]
     h, own = np.concatenate(parts), ex.owners(parts)
-    lead = np.concatenate([ex.u64(r[1]) for r in rows])
+    lead = np.concatenate([np.frombuffer(r[1], "<u4") for r in rows])
     g = np.concatenate([np.frombuffer(r[3], "<u4", len(p)) for r, p in zip(rows, parts, strict=True)])
-    many = np.concatenate([np.frombuffer(r[3], np.uint8, len(p), 4 * len(p)) for r, p in zip(rows, parts, strict=True)])
+    many = np.concatenate([np.unpackbits(np.frombuffer(r[3], np.uint8, -1, 4 * len(p)), count=len(p))
+                           for r, p in zip(rows, parts, strict=True)])
     o = multikey_order([lead, h, g.astype(U)])
     lead, h, g, many, own = lead[o], h[o], g[o], many[o], own[o]
     same = (lead[1:] == lead[:-1]) & (h[1:] == h[:-1]) & (g[1:] == g[:-1])
@@ -296,7 +297,7 @@ def _sampled_splitters(rows: DataFrame, length: int, buckets: int) -> list[tuple
                     lead = leads(part, np.zeros(1, np.int64))[0]
                     p = ro.FIRST.prefix(ro.FIRST.table[part])
                     h = ro.FIRST.spans(p, np.zeros(1, np.int64), np.full(1, length))[0]
-                    got.append((int(lead).to_bytes(8, "big"), int(h).to_bytes(8, "big")))
+                    got.append((int(lead).to_bytes(4, "big"), int(h).to_bytes(8, "big")))
             yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in got], pa.binary()),
                                               "b": pa.array([x[1] for x in got], pa.binary())})
 
