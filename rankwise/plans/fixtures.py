@@ -74,6 +74,16 @@ def f2_ballots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return ballots, headers
 
 
+def f2_part_ballots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 with parts as candidates: ballots whose length grows with the data (thousands of places each)."""
+    li = table(spark, sf_dir, "lineitem")
+    vol = (li.groupBy(F.col("l_returnflag").alias("job_id"), (F.col("l_linenumber") - 1).cast("int").alias("rater_ord"),
+                      F.col("l_partkey").cast("bigint").alias("candidate")).agg(F.sum("l_quantity").alias("qty")))
+    ranked = rank_within(vol, ["job_id", "rater_ord"], [desc("qty"), "candidate"])
+    return checkpointed(ranked.select("job_id", rater_name(F.col("rater_ord")).alias("rater"), "rater_ord", "candidate", "place",
+                                      (F.col("place") <= F.col("rater_ord") * 50 + 100).alias("promising")))
+
+
 def f3_model_ballots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """model ballots ``(job_id, candidate, place, promising)`` and run info
     ``(job_id, seconds_taken)``."""

@@ -63,6 +63,18 @@ model AS (
 ),
 run_info AS (SELECT job_id, CAST(30 + sum(n) % 90 AS BIGINT) AS seconds_taken FROM mvol GROUP BY ALL)"""
 
+# ballots whose candidates are parts
+F2_PART_SQL = """
+vol AS (
+  SELECT l_returnflag AS job_id, CAST(l_linenumber - 1 AS INTEGER) AS rater_ord, CAST(l_partkey AS BIGINT) AS candidate,
+         sum(l_quantity) AS qty FROM lineitem GROUP BY ALL
+),
+ballots AS (
+  SELECT job_id, 'human_id: ' || rater_ord AS rater, rater_ord, candidate, place, place <= rater_ord * 50 + 100 AS promising
+  FROM (SELECT *, row_number() OVER (PARTITION BY job_id, rater_ord ORDER BY qty DESC, candidate) AS place FROM vol)
+),
+model AS (SELECT job_id, candidate, place, promising FROM ballots WHERE false)"""
+
 # consensus of the F2 ballots (majority set + four-key mean ranking)
 CONSENSUS_SQL = """
 nb AS (SELECT job_id, count(DISTINCT rater) AS n_ballots FROM ballots GROUP BY ALL),
@@ -113,8 +125,11 @@ def compare_sql(name: str, x: str, r: str, method: str = "rank") -> str:
 {name}_d AS (SELECT x1.job_id, x1.rater, count(*) FILTER (WHERE {disc}) AS d {pair} GROUP BY ALL),
 {name}_n AS (SELECT x.job_id, x.rater, count(*) AS n {nj} GROUP BY ALL),
 {name}_h AS (
-  SELECT x.job_id, x.rater, CAST(count(*) FILTER (WHERE x.promising <> coalesce(r.promising, false)) AS BIGINT) AS hamming
-  FROM {x} x LEFT JOIN {r} r ON x.job_id = r.job_id AND x.candidate = r.candidate GROUP BY ALL
+  SELECT s.job_id, s.rater, CAST(s.k + coalesce(t.k, 0) - 2 * s.both_k AS BIGINT) AS hamming
+  FROM (SELECT x.job_id, x.rater, count(*) FILTER (WHERE x.promising) AS k,
+               count(*) FILTER (WHERE x.promising AND r.promising) AS both_k
+        FROM {x} x LEFT JOIN {r} r ON x.job_id = r.job_id AND x.candidate = r.candidate GROUP BY ALL) s
+  LEFT JOIN (SELECT job_id, count(*) FILTER (WHERE promising) AS k FROM {r} GROUP BY ALL) t USING (job_id)
 ),
 {name} AS (
   SELECT h.job_id, h.rater, h.hamming,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankwise.functions.columns import round6
 from rankwise.operators import agreement, ballots as bl, consensus, matrices, metrics
 from rankwise.plans import fixtures as fx
-from rankwise.plans.oracle import CONSENSUS_SQL, F2_SQL, compare_sql, pairwise_sql
+from rankwise.plans.oracle import CONSENSUS_SQL, F2_PART_SQL, F2_SQL, compare_sql, pairwise_sql
 from rankwise.plans.registry import register
 
 W = f"WITH {F2_SQL},{CONSENSUS_SQL}"
@@ -161,6 +161,26 @@ _cmp_query("model_vs_consensus", "rank", model=True)
 _cmp_query("model_vs_consensus_label_sequence", "label_sequence", model=True)
 
 
+_PARTS = f"WITH {F2_PART_SQL},{CONSENSUS_SQL}"
+
+
+@register("part_consensus_ranking", f"""{_PARTS}
+SELECT job_id, candidate, CAST(place AS BIGINT) AS place, round(mean_place, 6) AS mean_place FROM cons_rank""")
+def q_part_consensus_ranking(spark, sf_dir):
+    """A5 on ballots of thousands of candidates, three hot jobs."""
+    r = consensus.consensus_ranking(fx.f2_part_ballots(spark, sf_dir))
+    return r.select("job_id", "candidate", "place", round6("mean_place").alias("mean_place"))
+
+
+@register("part_rater_vs_consensus", f"""{_PARTS},{compare_sql('cmp', 'ballots', 'consensus', 'rank')}
+SELECT job_id, rater, hamming, round(tau, 6) + 0.0 AS tau, CAST(n AS BIGINT) AS n FROM cmp""")
+def q_part_rater_vs_consensus(spark, sf_dir):
+    """J4 + A8 + A9 on them: discordant pairs without candidate pairs, across blocks."""
+    b = fx.f2_part_ballots(spark, sf_dir)
+    out = agreement.compare_to_reference(b, consensus.consensus_ballots(b), "rank")
+    return out.select("job_id", "rater", "hamming", round6("tau").alias("tau"), F.col("n").cast("bigint").alias("n"))
+
+
 @register("mean_rater_error", f"""{W},{compare_sql('cmp', 'ballots', 'consensus', 'rank')}
 SELECT job_id, round(avg(hamming), 6) AS human_hamming, round(avg(tau), 6) + 0.0 AS human_tau FROM cmp GROUP BY ALL""")
 def q_mean_rater_error(spark, sf_dir):
