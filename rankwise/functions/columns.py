@@ -38,7 +38,7 @@ def replace_chain(c: Column | str, pairs: Iterable[tuple[str, str]]) -> Column:
 
 
 def ballot_timestamp(c: Column | str) -> Column:
-    """``2024/03/18 8:40:01 PM GMT+1`` -> timestamp (session zone UTC)."""
+    """``2025/05/02 7:15:09 AM GMT+1`` -> timestamp (session zone UTC)."""
     c = col_(c)
     sign = F.regexp_extract(c, r"GMT([+-])(\d{1,2})$", 1)
     hours = F.lpad(F.regexp_extract(c, r"GMT([+-])(\d{1,2})$", 2), 2, "0")

@@ -1,7 +1,8 @@
 """Query registry: name -> (Spark builder, DuckDB oracle SQL or None).
 
-Every builder takes ``(spark, sf_dir)`` and returns a lazy DataFrame over
-the whole tables.  Output columns are aliased identically in both engines;
+Every builder takes ``(spark, sf_dir)`` and returns a DataFrame over the
+whole tables.  Most are lazy; some write a shared intermediate table
+(checkpoint) or run a stream while they are built.  Output columns are aliased identically in both engines;
 doubles are rounded to 6 decimals and integers cast to bigint so values
 hash equally.
 """

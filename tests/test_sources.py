@@ -60,9 +60,9 @@ def test_wide_ballot_csv(spark, tmp_dir):
     header = ["Timestamp"]
     for _ in range(2):
         header += ["Minutes for this job?", "Promising candidates?"] + [f"Place of {n}" for n in names]
-    rows = [["2024/03/18 8:40:01 PM GMT+1", "20", "Anna Berg;Carl Dorn;Anna Berg", "1", "2", "3",
+    rows = [["2025/05/02 7:15:09 AM GMT+1", "20", "Anna Berg;Carl Dorn;Anna Berg", "1", "2", "3",
              "10", "Eva Falk", "3", "2", "1"],
-            ["2024/03/18 9:00:00 PM GMT+1", "30", "Carl Dorn", "2", "1", "3", "12", "", "1", "2", "3"]]
+            ["2025/05/02 9:30:00 AM GMT+1", "30", "Carl Dorn", "2", "1", "3", "12", "", "1", "2", "3"]]
     path = f"{tmp_dir}/ballots.csv"
     import csv
     with open(path, "w", newline="") as f:
