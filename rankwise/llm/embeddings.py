@@ -119,7 +119,8 @@ def _compare(shared: int, least: float, near: int):
 def dedup(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", least: float = LEAST,
           near: int = NEAR, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row."""
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"  # compared as doubles
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast(kind).alias("v"))
     usable = F.coalesce(_usable("v"), F.lit(False))
     ids = rows.select("vec_id", F.when(usable, F.xxhash64("v")).alias("node"), F.when(usable, F.xxhash64(F.lit(1), "v")).alias("mark"))
     classes = stored(rows.where(usable).groupBy(F.xxhash64("v").alias("node"), F.xxhash64(F.lit(1), "v").alias("mark"))
@@ -132,7 +133,7 @@ def dedup(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
         sample = mine.orderBy("node").limit(count).select("embedding").toArrow()
         pivots = _matrix(sample["embedding"])
         lists = stored(mine.mapInArrow(_postings(pivots, near, shared),
-                                       "pivot int, node bigint, embedding array<double>, copies bigint, perm array<int>"))
+                                       f"pivot int, node bigint, embedding {kind}, copies bigint, perm array<int>"))
         # a row per pivot at most
         long = {r["pivot"]: -(-r["n"] // block) for r in
                 lists.groupBy("pivot").agg(F.count("*").alias("n")).where(F.col("n") > block).collect()}
@@ -166,3 +167,24 @@ def dedup(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
 def digest(vectors: DataFrame) -> DataFrame:
     """The contract's columns."""
     return dedup(vectors)
+
+
+#: All pairs in DuckDB (every link, where the index may miss some).
+ORACLE_SQL = """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+pairs as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+    and list_cosine_similarity(a.e, b.e) >= 0.95
+),
+reach(a, b) as (
+  select vec_id, vec_id from embeddings union select r.a, p.b from reach r join pairs p on p.a = r.b
+),
+names as (select a as vec_id, min(b) as component_id from reach group by a),
+links as (select a as vec_id, count(*) as n from pairs group by a)
+select vec_id, cast(coalesce(n, 0) as bigint) as n_links, component_id, vec_id = component_id as kept
+from embeddings left join links using (vec_id) join names using (vec_id)
+"""
