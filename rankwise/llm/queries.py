@@ -54,4 +54,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filters, op2_license_scan, op3_simhash_near_dedup, op4_suffix_array_dedup, op5_toxicity, op6_document_fingerprints, op7_source_mixing, op8_bpe_encoding, op9_substring_dedup,
                                op10_embedding_near_dedup)}
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filters": url_filters.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filters": url_filters.ORACLE_SQL,
+    "op9_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op10_embedding_near_dedup": embeddings.ORACLE_SQL,
+}

@@ -294,3 +294,21 @@ def dedup(docs: DataFrame, *, window: int = WINDOW, carry: list[str] | None = No
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns."""
     return dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same in DuckDB, window by window.
+ORACLE_SQL = r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+           from documents),
+starts as (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50),
+windows as (select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as k from starts),
+firsts as (select k, min(doc_id) as m from windows group by k),
+gone as (select distinct doc_id, unnest(range(i, i + 50)) as p from windows join firsts using (k) where m < doc_id),
+words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+kept as (select words.doc_id, count(gone.p) as n_removed,
+                string_agg(word, ' ' order by words.p) filter (where gone.p is null) as t
+         from words left join gone on gone.doc_id = words.doc_id and gone.p = words.p group by words.doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+       sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (doc_id)
+"""
