@@ -38,7 +38,7 @@ def f1_requirement_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.floor(F.col("l_quantity") * 2.5 - 10).cast("int").alias("raw_score")))
 
 
-def _brand_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+def brand_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem join part aggregated to (job, rater_ord, brand).
 
     The join shuffles on the part key (AQE broadcasts ``part`` when its
@@ -60,10 +60,11 @@ def rater_name(ord_col) -> F.Column:
     return F.concat(F.lit("human_id: "), ord_col.cast("string"))
 
 
-def f2_ballots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def f2_ballots(spark: SparkSession, sf_dir: str, vol: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """human ballots ``(job_id, rater, rater_ord, candidate, place, promising)``
-    and headers ``(job_id, rater, rater_ord, minutes)``."""
-    vol = _brand_volume(spark, sf_dir)
+    and headers ``(job_id, rater, rater_ord, minutes)``.  A query that also
+    needs F3 takes both from one ``vol`` (``brand_volume``)."""
+    vol = brand_volume(spark, sf_dir) if vol is None else vol
     ranked = rank_within(vol, ["job_id", "rater_ord"], [desc("qty"), "candidate"])
     ballots = checkpointed(ranked.select("job_id", rater_name(F.col("rater_ord")).alias("rater"), "rater_ord",
                                          "candidate", "place",
@@ -84,10 +85,10 @@ def f2_part_ballots(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       (F.col("place") <= F.col("rater_ord") * 50 + 100).alias("promising")))
 
 
-def f3_model_ballots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def f3_model_ballots(spark: SparkSession, sf_dir: str, vol: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """model ballots ``(job_id, candidate, place, promising)`` and run info
     ``(job_id, seconds_taken)``."""
-    vol = _brand_volume(spark, sf_dir).groupBy("job_id", "candidate").agg(F.sum("n_rows").alias("n"))
+    vol = (brand_volume(spark, sf_dir) if vol is None else vol).groupBy("job_id", "candidate").agg(F.sum("n_rows").alias("n"))
     ranked = rank_within(vol, ["job_id"], [desc("n"), "candidate"])
     ballots = checkpointed(ranked.select("job_id", "candidate", "place", (F.col("place") <= 12).alias("promising")))
     info = (vol.groupBy("job_id").agg(F.sum("n").alias("n"))

@@ -20,8 +20,9 @@ def _ballots(spark, sf_dir):
 
 def _entities(spark, sf_dir):
     """Human ballots plus the model as one more entity."""
-    b, _ = fx.f2_ballots(spark, sf_dir)
-    m, _ = fx.f3_model_ballots(spark, sf_dir)
+    vol = fx.brand_volume(spark, sf_dir)
+    b, _ = fx.f2_ballots(spark, sf_dir, vol)
+    m, _ = fx.f3_model_ballots(spark, sf_dir, vol)
     return b.select(*agreement.BALLOT_COLS).unionByName(metrics.model_as_ballot(m))
 
 
@@ -249,8 +250,9 @@ SELECT job_id, {", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _METRIC_COLS)}
 
     @register(name, sql)
     def q(spark, sf_dir):
-        b, h = fx.f2_ballots(spark, sf_dir)
-        m, info = fx.f3_model_ballots(spark, sf_dir)
+        vol = fx.brand_volume(spark, sf_dir)
+        b, h = fx.f2_ballots(spark, sf_dir, vol)
+        m, info = fx.f3_model_ballots(spark, sf_dir, vol)
         return _round_cols(metrics.job_metrics(b, h, m, info, method), set(_METRIC_COLS))
     return q
 
@@ -262,8 +264,9 @@ _metrics_query("job_metrics_label_sequence", "label_sequence")
 @register("overall_metrics", f"""{_metrics_sql('label_sequence')}
 SELECT {", ".join(f"round(avg({c}), 6) + 0.0 AS {c}" for c in _METRIC_COLS)} FROM per_job""")
 def q_overall_metrics(spark, sf_dir):
-    b, h = fx.f2_ballots(spark, sf_dir)
-    m, info = fx.f3_model_ballots(spark, sf_dir)
+    vol = fx.brand_volume(spark, sf_dir)
+    b, h = fx.f2_ballots(spark, sf_dir, vol)
+    m, info = fx.f3_model_ballots(spark, sf_dir, vol)
     per_job = metrics.job_metrics(b, h, m, info, "label_sequence")
     return _round_cols(metrics.overall_metrics(per_job), set(_METRIC_COLS))
 
@@ -271,8 +274,9 @@ def q_overall_metrics(spark, sf_dir):
 @register("filter_accuracy", f"""{_metrics_sql('rank')}
 SELECT job_id, rater, CAST(rej AS BIGINT) AS rejected, round(acc, 6) AS filter_accuracy FROM fa2""")
 def q_filter_accuracy(spark, sf_dir):
-    b, _ = fx.f2_ballots(spark, sf_dir)
-    m, _ = fx.f3_model_ballots(spark, sf_dir)
+    vol = fx.brand_volume(spark, sf_dir)
+    b, _ = fx.f2_ballots(spark, sf_dir, vol)
+    m, _ = fx.f3_model_ballots(spark, sf_dir, vol)
     cons = consensus.consensus_ballots(b)
     both = b.select(*agreement.BALLOT_COLS).unionByName(metrics.model_as_ballot(m))
     return metrics.filter_accuracy(both, cons).select("job_id", "rater", "rejected",
@@ -283,8 +287,9 @@ def q_filter_accuracy(spark, sf_dir):
 SELECT DISTINCT job_id FROM consensus WHERE job_id NOT IN (SELECT job_id FROM model)""")
 def q_missing_model_jobs(spark, sf_dir):
     """J5 error path: jobs with a consensus but without a model result."""
-    b, _ = fx.f2_ballots(spark, sf_dir)
-    m, _ = fx.f3_model_ballots(spark, sf_dir)
+    vol = fx.brand_volume(spark, sf_dir)
+    b, _ = fx.f2_ballots(spark, sf_dir, vol)
+    m, _ = fx.f3_model_ballots(spark, sf_dir, vol)
     return metrics.missing_model_jobs(consensus.consensus_ballots(b), m)
 
 
