@@ -33,7 +33,7 @@ from rankwise.llm.common import text_slices
 
 U = np.uint64
 FOLDS = 5
-POSITIVES, UNLABELLED = 8_000, 16_000
+POSITIVES, UNLABELLED = 5_000, 10_000
 VOCABULARY = 4_096
 #: Least z value of a word's difference in frequency, and least number of toxic texts with it.
 LEAST_Z, LEAST_TEXTS = 4.0, 4
@@ -82,22 +82,27 @@ def fit_words(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: f
     none = Model(np.zeros(0, U), np.zeros(0), -50.0)
     if not positive or not unlabelled or prior <= 0:
         return none
-    both = np.concatenate([*positive, *unlabelled])
-    row = np.repeat(np.arange(len(positive) + len(unlabelled)), [len(x) for x in [*positive, *unlabelled]])
-    vocab, col = np.unique(both, return_inverse=True)
     n_p, n_u = len(positive), len(unlabelled)
-    in_p = np.bincount(col[row < n_p], minlength=len(vocab))
-    in_u = np.bincount(col[row >= n_p], minlength=len(vocab))
+    (has_p, times_p), (has_u, times_u) = (np.unique(np.concatenate(x), return_counts=True) for x in (positive, unlabelled))
+    vocab = np.union1d(has_p, has_u)
+    in_p, in_u = np.zeros(len(vocab), np.int32), np.zeros(len(vocab), np.int32)
+    in_p[np.searchsorted(vocab, has_p)] = times_p
+    in_u[np.searchsorted(vocab, has_u)] = times_u
     share = (in_p + in_u + 1) / (n_p + n_u + 2)
     z = (in_p / n_p - in_u / n_u) / np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
     keep = np.flatnonzero((np.abs(z) >= LEAST_Z) & ((in_p >= LEAST_TEXTS) | (z < 0)))
     keep = np.sort(keep[np.argsort(-np.abs(z[keep]), kind="stable")[:VOCABULARY]])
     if not len(keep):
         return none
-    place = np.full(len(vocab), -1)
-    place[keep] = np.arange(len(keep))
-    ok = place[col] >= 0
-    row, col = row[ok], place[col][ok]
+    vocab = vocab[keep]
+    rows, cols = [], []
+    for i, x in enumerate([*positive, *unlabelled]):
+        at = np.searchsorted(vocab, x)
+        at[at == len(vocab)] = 0
+        known = at[vocab[at] == x]
+        rows.append(np.full(len(known), i))
+        cols.append(known)
+    row, col = np.concatenate(rows), np.concatenate(cols)
     w, b = np.zeros(len(keep)), np.log(prior / (1 - prior)) if prior < 1 else 0.0
     moments = np.zeros((2, len(keep) + 1))
     is_p = np.arange(n_p + n_u) < n_p
@@ -118,7 +123,7 @@ def fit_words(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: f
         move = RATE * (moments[0] / (1 - 0.9 ** step)) / (np.sqrt(moments[1] / (1 - 0.999 ** step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
     g = np.bincount(row, w[col], n_p + n_u)
-    return Model(vocab[keep], w, -_threshold(g[is_p], g[~is_p]))
+    return Model(vocab, w, -_threshold(g[is_p], g[~is_p]))
 
 
 def _threshold(p: np.ndarray, u: np.ndarray) -> float:
@@ -169,14 +174,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unlab
 def score(docs: DataFrame, model: Model, *, carry: list[str] | None = None) -> DataFrame:
     """``doc_id, text`` -> ``doc_id, carry..., score`` (0 to 1)."""
     carry = carry or []
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("_text"), *carry)
+    names = ["doc_id", *carry]
+    at = names.index("text") if "text" in names else len(names)  # a carried text isn't sent twice
+    rows = docs.withColumn("text", F.col("text").cast("string")).select(*names, *["text"][:at == len(names)])
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def apply(batches):
-        for b in text_slices(batches, 1):
-            s = _sigmoid(_logit(b.column(1).to_pylist(), model))
-            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(s, pa.float64())],
-                                             names=["doc_id", *carry, "score"])
+        for b in text_slices(batches, at):
+            s = _sigmoid(_logit(b.column(at).to_pylist(), model))
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(names)], pa.array(s, pa.float64())], names=[*names, "score"])
 
     return rows.mapInArrow(apply, ", ".join([f"doc_id {kinds['doc_id']}", *[f"`{c}` {kinds[c]}" for c in carry], "score double"]))
 
