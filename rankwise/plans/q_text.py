@@ -79,6 +79,35 @@ def q_translation_work_list(spark, sf_dir):
         "text_md5", "lang", F.col("n_docs").cast("bigint").alias("n_docs"))
 
 
+_MEMORY_SQL = """mem AS (SELECT DISTINCT md5(text) AS text_md5, 'T:' || left(text, 40) AS translated FROM documents
+         WHERE lang <> 'en' AND doc_id % 3 = 0)"""
+
+
+def _memory(spark, sf_dir):
+    """A translation memory: every third foreign document's text is known, by a rule."""
+    d = table(spark, sf_dir, "documents").filter("lang <> 'en' and doc_id % 3 = 0")
+    return d.select(F.md5("text").alias("text_md5"), F.concat(F.lit("T:"), F.substring("text", 1, 40)).alias("translated")).distinct()
+
+
+@register("translation_left_to_do", f"""WITH {_MEMORY_SQL}
+SELECT md5(text) AS text_md5, lang, CAST(count(*) AS BIGINT) AS n_docs FROM documents
+WHERE lang <> 'en' AND md5(text) NOT IN (SELECT text_md5 FROM mem) GROUP BY ALL""")
+def q_translation_left_to_do(spark, sf_dir):
+    """X11: the work list against a memory (anti join)."""
+    w = tx.translation_work_list(table(spark, sf_dir, "documents"), "text", "lang", _memory(spark, sf_dir))
+    return w.select("text_md5", "lang", F.col("n_docs").cast("bigint").alias("n_docs"))
+
+
+@register("translated_documents", f"""WITH {_MEMORY_SQL}
+SELECT doc_id, md5(coalesce(translated, text)) AS text_md5, translated IS NOT NULL AS from_memory
+FROM documents d LEFT JOIN mem ON mem.text_md5 = md5(d.text)""")
+def q_translated_documents(spark, sf_dir):
+    """X11: texts replaced from the memory, the others as they are."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("before"))
+    t = tx.apply_translations(d, "text", _memory(spark, sf_dir))
+    return t.select("doc_id", F.md5("text").alias("text_md5"), (F.col("text") != F.col("before")).alias("from_memory"))
+
+
 # Fixed rule list for the redaction query (configuration, applied in order).
 REDACTION_RULES = [("the", "[A]"), ("[A] and", "[B]"), ("de", "[C]"), ("la", "[D]"), ("und", "[E]")]
 
