@@ -38,7 +38,7 @@ from rankwise.llm.common import text_slices
 #: How a byte-level vocabulary cuts text before merging (a fixed value of the file format).
 PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bounds of what is remembered, in entries.
-WORDS, PAIRS = 100_000, 100_000
+WORDS, PAIRS = 200_000, 100_000
 #: Characters cut into pretokens at once.
 SLICE = 1 << 18
 
