@@ -1,8 +1,9 @@
 """Embedding near-dedup by a pivot-permutation index.
 
 Reference points (pivots) are a bounded sample of the vectors.  A vector is
-described by its ``near`` nearest pivots in order of nearness.  Each pivot has
-an inverted list of the vectors that name it; two vectors are retrieved for
+described by its nearest pivots in order of nearness: ``near`` of them, and one
+more for each doubling of the pivots past ``NEAR_PIVOTS``, as near vectors have
+fewer of them in common the more there are.  Each pivot has an inverted list of the vectors that name it; two vectors are retrieved for
 each other if they name at least ``shared`` pivots in common, and linked if
 their cosine, in double precision, reaches ``least``.
 
@@ -34,11 +35,15 @@ from rankwise.llm.simhash import stars
 LEAST = 0.95
 NEAR = 8
 SHARED = 3
+#: Pivots for which ``near`` are enough.
+NEAR_PIVOTS = 1024
 #: Pivots: one for this many distinct vectors, between the bounds (the upper one bounds the sample, which is sent to every task).
 VECTORS_PER_PIVOT = 64
 MIN_PIVOTS, MAX_PIVOTS = 16, 65_536
 #: Vectors of a list that one task compares, all with all.
 BLOCK = 2048
+#: Bytes of nearness (8 for each vector and pivot) that a task works out at once.
+NEARNESS_BYTES = 8 << 20
 
 
 def _usable(v: str) -> F.Column:
@@ -54,12 +59,25 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
+def nearest(pivots: int, near: int = NEAR) -> int:
+    """Pivots that describe a vector, out of so many."""
+    return min(pivots, near + max(0, -(-pivots // NEAR_PIVOTS) - 1).bit_length())
+
+
 def describe(vectors: np.ndarray, pivots: np.ndarray, near: int) -> np.ndarray:
     """The nearest pivots of each row, nearest first; equal nearness by pivot number."""
     near = min(near, len(pivots))
+    step = max(1, NEARNESS_BYTES // (8 * max(1, len(pivots))))
     out = []
-    for a in range(0, len(vectors), 4096):
-        out.append(np.argsort(-np.round(vectors[a:a + 4096] @ pivots.T, 12), axis=1, kind="stable")[:, :near])
+    for a in range(0, len(vectors), step):
+        away = -np.round(vectors[a:a + step] @ pivots.T, 12)
+        within = away <= np.partition(away, near - 1, axis=1)[:, near - 1:near]
+        if (within.sum(axis=1) == near).all():
+            at = np.nonzero(within)[1].reshape(-1, near)
+            order = np.argsort(np.take_along_axis(away, at, axis=1), axis=1, kind="stable")
+            out.append(np.take_along_axis(at, order, axis=1))
+        else:  # pivots tie for the last place
+            out.append(np.argsort(away, axis=1, kind="stable")[:, :near])
     return np.concatenate(out) if out else np.zeros((0, near), np.int64)
 
 
@@ -132,7 +150,8 @@ def dedup(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
         count = min(MAX_PIVOTS, max(MIN_PIVOTS, n // VECTORS_PER_PIVOT))
         sample = mine.orderBy("node").limit(count).select("embedding").toArrow()
         pivots = _matrix(sample["embedding"])
-        lists = stored(mine.mapInArrow(_postings(pivots, near, shared),
+        named_by = nearest(len(pivots), near)
+        lists = stored(mine.mapInArrow(_postings(pivots, named_by, shared),
                                        f"pivot int, node bigint, embedding {kind}, copies bigint, perm array<int>"))
         # a row per pivot at most
         long = {r["pivot"]: -(-r["n"] // block) for r in
@@ -145,7 +164,7 @@ def dedup(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
             "pivot", F.least("block", "with").alias("mine"), F.greatest("block", "with").alias("other"),
             "node", "embedding", "copies", "perm", "block")
         got = placed.groupBy("pivot", "mine", "other").applyInArrow(
-            _compare(shared, least, near), "node bigint, weight bigint, root bigint")
+            _compare(shared, least, named_by), "node bigint, weight bigint, root bigint")
         reports = got if reports is None else reports.union(got)
     if reports is None:
         return ids.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"),

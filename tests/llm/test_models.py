@@ -1,6 +1,7 @@
 """BPE, toxicity and embeddings against the library, held-out labels and brute force."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -182,6 +183,31 @@ def test_embeddings_recall(spark, block):
     assert np.mean([tuple(r) == least[r.vec_id] for r in got]) > 0.95
 
 
+@pytest.mark.parametrize("pivots", [800, 8192, 32_768])
+def test_embeddings_recall_keeps_up_with_the_pivots(pivots):
+    """Pairs at the threshold share enough pivots, however many pivots there are."""
+    r = np.random.default_rng(pivots)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    index, a, o = (unit(r.normal(size=(n, 64))) for n in (pivots, 400, 400))
+    b = 0.95 * a + np.sqrt(1 - 0.95 ** 2) * unit(o - (o * a).sum(axis=1, keepdims=True) * a)
+    x, y = (embeddings.describe(m, index, embeddings.nearest(pivots)) for m in (a, b))
+    assert ((x[:, :, None] == y[:, None, :]).any(axis=2).sum(axis=1) >= embeddings.SHARED).mean() > 0.97
+
+
+def test_describe_in_bounded_memory():
+    """Nearness to many pivots is taken some rows at a time, and ties still go by pivot number."""
+    r = np.random.default_rng(0)
+    vectors, pivots = r.normal(size=(2048, 4)), r.normal(size=(8192, 4))
+    tracemalloc.start()
+    got = embeddings.describe(vectors, pivots, 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20
+    assert (got == np.argsort(-np.round(vectors @ pivots.T, 12), axis=1, kind="stable")[:, :8]).all()
+    twice = np.concatenate((pivots[:20], pivots[:20]))
+    assert (embeddings.describe(vectors, twice, 7) == np.argsort(-np.round(vectors @ twice.T, 12), axis=1, kind="stable")[:, :7]).all()
+
+
 def test_embeddings_of_odd_tables(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(9, [1.0, 0.0]), (3, [2.0, 0.0]), (4, [1.0, 0.05]), (5, None), (6, []), (7, [0.0, 0.0]), (8, [1.0, None]),
