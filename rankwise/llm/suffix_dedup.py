@@ -266,6 +266,7 @@ def _result_step(length: int, carry: list[str]):
         for d, data in enumerate(c.data):
             f = int(c.first[d])
             spans = [(max(int(x) - f, 0), min(int(y) - f, len(data))) for x, y in zip(s[lo[d]:hi[d]], e[lo[d]:hi[d]], strict=True)]
+            spans = [(x, y) for x, y in spans if y > x]  # an empty text may lie inside a span of its neighbours
             kept, at = [], 0
             for x, y in spans:
                 kept.append(data[at:x])

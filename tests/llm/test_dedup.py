@@ -105,6 +105,17 @@ def test_suffix_dedup(spark, name):
     assert Counter(tuple(r) for r in suffix_dedup.digest(frame(spark, rows)).collect()) == want
 
 
+@pytest.mark.parametrize("nothing", ["", None])
+def test_suffix_dedup_nothing_between_copies(nothing):
+    """An empty text whose neighbours in the chunk are removed whole loses nothing."""
+    copy = "".join(random.Random(4).choice("abcdefgh ") for _ in range(1000))
+    t = pa.table({"doc_id": pa.array([1, 2, 3], pa.int64()), "text": pa.array([copy, nothing, copy])})
+    key = (pa.scalar(0, pa.int32()),)
+    one = suffix_dedup._stretch_bucket(suffix_dedup._stretch_step(400, 1)(key, t))
+    got = suffix_dedup._result_step(400, [])(key, t, one).to_pylist()  # the copies are settled whole: no suffixes are left
+    assert [(r["n_bytes"], r["n_removed"], r["kept"], len(r["removed"])) for r in got] == [(1000, 1000, b"", 1), (0, 0, b"", 0), (1000, 1000, b"", 1)]
+
+
 def test_suffix_dedup_ends_of_repeats(spark):
     """Overlapping passages of many lengths, of which few strings repeat."""
     r = random.Random(3)
