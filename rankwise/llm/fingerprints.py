@@ -8,9 +8,16 @@ subtracting its vector (``combine``).  The vector has two parts:
 
 * ``whole``: four dense lanes modulo 2^62 hashed from the entire paragraph;
   equal lanes mean equal multisets up to hash collisions;
-* ``lanes``: a sparse row of 256 lanes modulo 2^32 to which each sentence of
-  the paragraph adds in one lane, so that documents which share most
-  sentences share most lanes; this gives the likeness.
+* ``lanes``: a sparse row of lanes modulo 2^62 to which each part (sentence or
+  clause; a long one is cut at words that its content chooses) of the
+  paragraph adds in one lane; this gives the likeness.  A part's hash puts it
+  on one of 16 levels, which take 1/2, 1/4, ... of all parts, with 1,024 lanes
+  each.  A part adds its hash and, in the low bits, one, so that a lane with a
+  single part tells how often it occurs.
+
+Likeness is the parts shared by two documents, with their counts, over the
+parts of both, taken from the first level on that isn't crowded, so that it
+does not depend on length.
 
 All of it is column expressions in one row.  Defined results: a null or blank
 text has the zero vector; repeated rows get equal fingerprints.
@@ -25,8 +32,16 @@ from rankwise.llm.common import text_of
 
 WHOLE_LANES = 4
 WHOLE_MASK = (1 << 62) - 1
-LANES = 256
-LANE_MOD = 1 << 32
+LEVELS = 16
+LANES = 1024
+#: A lane holds the sum of hashes above the number of parts (right up to 2^24 - 1 of them).
+COUNT_BITS = 24
+HASH_MOD = 1 << 38
+LANE_MOD = 1 << 62
+#: Lanes in use on either side from which on a level is too crowded to compare.
+CROWDED = 128
+#: Characters of a part from which on it is cut; words or characters with one hash in so many end a piece; longest piece of one run.
+LONG, EVERY, RUN = 64, 8, 64
 #: Ranges of ids, when neighbours are looked up: at most so many, and of so many rows at least on average.
 RANGES = 4096
 ROWS_PER_RANGE = 512
@@ -41,15 +56,28 @@ _SUM = f"""
     acc -> if(acc.lane < 0, acc.done, concat(acc.done, array(struct(acc.lane as lane, acc.sum as sum)))))"""
 
 
+def _pieces(part: str, on: str, between: str) -> str:
+    """SQL: ``part`` cut after the words or characters that their own hash chooses."""
+    return (f"split(array_join(transform(split({part}, '{on}'), w -> if(pmod(xxhash64(w, 3), {EVERY}) = 0, concat(w, chr(0)), w)), "
+            f"'{between}'), concat(chr(0), '{between}'))")
+
+
+def _cut(parts: str) -> str:
+    """SQL: the parts that are not empty, the long ones in pieces: at words, then at characters, then by length."""
+    for pieces in (_pieces("s", "\\\\s+", " "), _pieces("s", "", ""), f"regexp_extract_all(s, '(?s).{{1,{RUN}}}', 0)"):
+        parts = f"flatten(transform({parts}, s -> if(char_length(s) <= {LONG}, array(s), {pieces})))"
+    return f"filter({parts}, s -> s <> '')"
+
+
 def with_vector(df: DataFrame, text_col: str, whole: str, lanes: str) -> DataFrame:
     """Add the two parts of the vector of ``text_col``."""
     kept = df.columns
     out = df.withColumn("_paras", F.filter(F.split(text_of(text_col), "\n"), lambda p: F.trim(p) != ""))
     dense = ", ".join(f"aggregate(_paras, 0L, (a, p) -> (a + (xxhash64(p, {j}) & {WHOLE_MASK}L)) & {WHOLE_MASK}L)"
                       for j in range(WHOLE_LANES))
-    parts = F.expr(f"""flatten(transform(_paras, p -> transform(
-        filter(split(p, '(?<=[.!?,])\\\\s+'), s -> s <> ''),
-        s -> struct(cast(xxhash64(s) & {LANES - 1} as int) as lane, xxhash64(s, 1) & {LANE_MOD - 1}L as sum))))""")
+    parts = F.expr(f"""transform({_cut("flatten(transform(_paras, p -> split(p, '(?<=[.!?,])\\\\s+')))")}, s -> struct(
+        cast(least(bit_count(((xxhash64(s, 2) & {(1 << LEVELS - 1) - 1}L) & -(xxhash64(s, 2) & {(1 << LEVELS - 1) - 1}L)) - 1L), {LEVELS - 1}) * {LANES} + (xxhash64(s) & {LANES - 1}) as int) as lane,
+        shiftleft(xxhash64(s, 1) & {HASH_MOD - 1}L, {COUNT_BITS}) + 1L as sum))""")
     return (out.select(*kept, F.expr(f"array({dense})").alias(whole), parts.alias("parts"))
             .select(*kept, whole, F.expr(_SUM).alias(lanes)))
 
@@ -71,14 +99,31 @@ def fingerprint(whole: str, lanes: str) -> Column:
     """Text form: the dense lanes, then ``lane`` and ``sum`` of each lane in use, in hex."""
     return F.expr(f"""lower(concat(
         array_join(transform({whole}, x -> lpad(hex(x), 16, '0')), ''),
-        array_join(transform({lanes}, x -> concat(lpad(hex(x.lane), 2, '0'), lpad(hex(x.sum), 8, '0'))), '')))""")
+        array_join(transform({lanes}, x -> concat(lpad(hex(x.lane), 4, '0'), lpad(hex(x.sum), 16, '0'))), '')))""")
+
+
+def _alike(lanes_a: str, lanes_b: str, level: str) -> str:
+    """SQL: parts in common over the parts of both, with their counts, from ``level`` on."""
+    count, mask = f"& {(1 << COUNT_BITS) - 1}L", f"& {HASH_MOD - 1}L"
+    entry = f"x -> struct(x.lane as lane, x.sum {count} as n, shiftright(x.sum, {COUNT_BITS}) as h)"
+    rows = f"array_sort(concat(transform({lanes_a}, {entry}), transform({lanes_b}, {entry})))"
+    # entries of one lane follow each other; with one and the same part in both, the sums are in the ratio of the counts
+    return f"""aggregate(filter({rows}, x -> x.lane >= {level} * {LANES}),
+        struct(-1 as lane, 0L as n, 0L as h, 0L as both, 0L as all),
+        (acc, x) -> struct(x.lane as lane, x.n as n, x.h as h,
+            if(acc.lane = x.lane and ((acc.n * x.h) {mask}) = ((x.n * acc.h) {mask}), acc.both + least(acc.n, x.n), acc.both) as both,
+            acc.all + x.n as all),
+        acc -> if(acc.all = 0, 0D, acc.both / cast(acc.all - acc.both as double)))"""
 
 
 def likeness(whole_a: str, lanes_a: str, whole_b: str, lanes_b: str) -> Column:
-    """0 to 1: share of the lanes in use on either side that hold the same sum; 1 for equal vectors."""
-    used = f"size(array_union(transform({lanes_a}, x -> x.lane), transform({lanes_b}, x -> x.lane)))"
-    return F.expr(f"""case when {whole_a} = {whole_b} then 1D when {used} = 0 then 0D
-        else size(array_intersect({lanes_a}, {lanes_b})) / cast({used} as double) end""")
+    """0 to 1: share of the parts of either side that both have; 1 for equal vectors only."""
+    used = f"array_union(transform({lanes_a}, x -> x.lane), transform({lanes_b}, x -> x.lane))"
+    level = f"""element_at(filter(sequence(0, {LEVELS - 1}), v -> v = {LEVELS - 1}
+        or size(filter({used}, k -> k div {LANES} = v)) <= {CROWDED}), 1)"""
+    return F.expr(f"""case when {whole_a} = {whole_b} then 1D
+        when size({lanes_a}) + size({lanes_b}) <= {CROWDED} then least({_alike(lanes_a, lanes_b, "0")}, 0.999999D)
+        else least(element_at(transform(array({level}), v -> {_alike(lanes_a, lanes_b, "v")}), 1), 0.999999D) end""")
 
 
 def with_next(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:

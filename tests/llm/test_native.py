@@ -156,6 +156,19 @@ def test_fingerprint_order_and_increments(spark):
     assert (r.pw, r.pl) == (rows[1].w, rows[1].l) and (r.mw, r.ml) == (rows[3].w, rows[3].l)
 
 
+def test_likeness_of_any_length_and_kind(spark):
+    """Two thirds are kept and a third of another text is put on: about half of the parts of both are shared, more where the kept ones are shorter."""
+    said = lambda seed, n: " ".join(passage(10_000 * seed + i, 8) + "." for i in range(n))
+    pairs = [(said(1, 20), said(2, 20)), (said(3, 300), said(4, 300)), (said(5, 5000), said(6, 5000)),
+             (passage(7, 300), passage(8, 300)), ("Say it again. " * 300, said(9, 100)), ("a, b. " * 700, said(10, 100)),
+             (passage(11, 2000).replace(" ", ""), passage(12, 2000).replace(" ", "")), ("x" * 5000, said(13, 100))]
+    rows = [(2 * k + 1 - j, t) for k, pair in enumerate(pairs) for j, t in enumerate(pair)]
+    got = {r.doc_id: r for r in fingerprints.digest(frame(spark, rows)).collect()}
+    assert [k for k in range(len(pairs)) if not 0.35 < got[2 * k + 1].near_edited < 0.7] == []
+    # two runs of random letters without a blank also share short pieces by chance
+    assert [k for k in range(len(pairs)) if k != 6 and got[2 * k + 1].near_next > 0.05] == []
+
+
 # mixing
 
 def _targets(sizes, share=1.5):
