@@ -8,19 +8,22 @@ subtracting its vector (``combine``).  The vector has two parts:
 
 * ``whole``: four dense lanes modulo 2^62 hashed from the entire paragraph;
   equal lanes mean equal multisets up to hash collisions;
-* ``lanes``: a sparse row of lanes modulo 2^62 to which each part (sentence or
-  clause; a long one is cut at words that its content chooses) of the
-  paragraph adds in one lane; this gives the likeness.  A part's hash puts it
-  on one of 16 levels, which take 1/2, 1/4, ... of all parts, with 1,024 lanes
-  each.  A part adds its hash and, in the low bits, one, so that a lane with a
-  single part tells how often it occurs.
+* ``lanes``: a sparse row of lanes modulo 2^50 to which each part of the
+  paragraph adds in one lane; this gives the likeness.  A part ends with a
+  sentence or clause, after a word whose last two characters are of a fixed class (so its
+  content chooses, wherever it stands), or after ``WORDS`` words.  One hash of the
+  part puts it on one of 16 levels, which take 1/2, 1/4, ... of all parts, and
+  there in one of 512 lanes.  A part adds its hash and, in the low bits, one, so
+  that a lane with a single part tells how often it occurs.  Lane and sum are
+  packed into one long.
 
 Likeness is the parts shared by two documents, with their counts, over the
 parts of both, taken from the first level on that isn't crowded, so that it
 does not depend on length.
 
-All of it is column expressions in one row.  Defined results: a null or blank
-text has the zero vector; repeated rows get equal fingerprints.
+All of it is column expressions in one row, linear in the text but for a sort
+of longs.  Defined results: a null or blank text has the zero vector; repeated
+rows get equal fingerprints.
 """
 
 from __future__ import annotations
@@ -33,119 +36,131 @@ from rankwise.llm.common import text_of
 WHOLE_LANES = 4
 WHOLE_MASK = (1 << 62) - 1
 LEVELS = 16
-LANES = 1024
-#: A lane holds the sum of hashes above the number of parts (right up to 2^24 - 1 of them).
-COUNT_BITS = 24
-HASH_MOD = 1 << 38
-LANE_MOD = 1 << 62
-#: Lanes in use on either side from which on a level is too crowded to compare.
-CROWDED = 128
-#: Characters of a part from which on it is cut; words or characters with one hash in so many end a piece; longest piece of one run.
-LONG, EVERY, RUN = 64, 8, 64
+LANES = 512
+#: A lane's sum: hashes of 26 bits above the number of parts (right up to 2^24 - 1 of them).
+COUNT_BITS, HASH_BITS = 24, 26
+SUM_BITS = COUNT_BITS + HASH_BITS
+SUM_MASK = (1 << SUM_BITS) - 1
+LEVEL_SHIFT = SUM_BITS + LANES.bit_length() - 1
+#: Lanes in use from which on a level is too crowded to compare.
+CROWDED = 64
+#: Most words of a part; runs of more than ``LONG`` characters without a blank are cut after a character of the class, at ``RUN`` at the latest.
+WORDS, LONG, RUN = 6, 256, 64
+#: Every third Latin letter or digit and a third of some other alphabets: one word in nine or so ends with two of them.
+_CLASS = "".join(chr(c) for c in range(0x30, 0x100) if c % 3 == 0 and chr(c).isalnum()) + "α-θа-и"
+_PART = rf"(?:\S++(?<![.!?,]|[{_CLASS}][{_CLASS}])\s++){{0,{WORDS - 1}}}+\S++"
+_RUN = rf"(?s)[^{_CLASS}]{{0,{RUN - 1}}}+[{_CLASS}]|.{{1,{RUN}}}"
 #: Ranges of ids, when neighbours are looked up: at most so many, and of so many rows at least on average.
 RANGES = 4096
 ROWS_PER_RANGE = 512
 
-_SUM = f"""
-  aggregate(array_sort(parts), struct(cast(array() as array<struct<lane: int, sum: bigint>>) as done,
-                                      -1 as lane, 0L as sum),
-    (acc, x) -> if(x.lane = acc.lane,
-      struct(acc.done as done, acc.lane as lane, (acc.sum + x.sum) % {LANE_MOD}L as sum),
-      struct(if(acc.lane < 0, acc.done, concat(acc.done, array(struct(acc.lane as lane, acc.sum as sum)))) as done,
-             x.lane as lane, x.sum as sum)),
-    acc -> if(acc.lane < 0, acc.done, concat(acc.done, array(struct(acc.lane as lane, acc.sum as sum)))))"""
 
+def _parts(paras: Column, text: Column) -> Column:
+    words = F.flatten(F.transform(paras, lambda p: F.regexp_extract_all(p, F.lit(_PART), F.lit(0))))
+    cut = F.flatten(F.transform(words, lambda s: F.when(F.char_length(s) > LONG, F.regexp_extract_all(s, F.lit(_RUN), F.lit(0)))
+                                .otherwise(F.array(s))))
+    return F.when(text.rlike(rf"\S{{{LONG + 1}}}"), cut).otherwise(words)
 
-def _pieces(part: str, on: str, between: str) -> str:
-    """SQL: ``part`` cut after the words or characters that their own hash chooses."""
-    return (f"split(array_join(transform(split({part}, '{on}'), w -> if(pmod(xxhash64(w, 3), {EVERY}) = 0, concat(w, chr(0)), w)), "
-            f"'{between}'), concat(chr(0), '{between}'))")
 
-
-def _cut(parts: str) -> str:
-    """SQL: the parts that are not empty, the long ones in pieces: at words, then at characters, then by length."""
-    for pieces in (_pieces("s", "\\\\s+", " "), _pieces("s", "", ""), f"regexp_extract_all(s, '(?s).{{1,{RUN}}}', 0)"):
-        parts = f"flatten(transform({parts}, s -> if(char_length(s) <= {LONG}, array(s), {pieces})))"
-    return f"filter({parts}, s -> s <> '')"
+def _entry(part: str) -> str:
+    """SQL: lane and summand of a part, packed."""
+    low = f"(h & {(1 << LEVELS - 1) - 1}L)"
+    level = f"cast(least(bit_count(({low} & -{low}) - 1L), {LEVELS - 1}) as bigint)"
+    return (f"element_at(transform(array(xxhash64({part})), h -> shiftleft({level}, {LEVEL_SHIFT}) | "
+            f"shiftleft(shiftrightunsigned(h, {LEVELS - 1}) & {LANES - 1}L, {SUM_BITS}) | "
+            f"shiftleft(shiftrightunsigned(h, {LEVELS + 9}) & {(1 << HASH_BITS) - 1}L, {COUNT_BITS}) | 1L), 1)")
 
 
 def with_vector(df: DataFrame, text_col: str, whole: str, lanes: str) -> DataFrame:
-    """Add the two parts of the vector of ``text_col``."""
+    """Add the two parts of the vector of ``text_col``: arrays of longs."""
     kept = df.columns
-    out = df.withColumn("_paras", F.filter(F.split(text_of(text_col), "\n"), lambda p: F.trim(p) != ""))
+    text = text_of(text_col)
+    out = df.withColumn("_paras", F.filter(F.split(text, "\n"), lambda p: F.trim(p) != ""))
     dense = ", ".join(f"aggregate(_paras, 0L, (a, p) -> (a + (xxhash64(p, {j}) & {WHOLE_MASK}L)) & {WHOLE_MASK}L)"
                       for j in range(WHOLE_LANES))
-    parts = F.expr(f"""transform({_cut("flatten(transform(_paras, p -> split(p, '(?<=[.!?,])\\\\s+')))")}, s -> struct(
-        cast(least(bit_count(((xxhash64(s, 2) & {(1 << LEVELS - 1) - 1}L) & -(xxhash64(s, 2) & {(1 << LEVELS - 1) - 1}L)) - 1L), {LEVELS - 1}) * {LANES} + (xxhash64(s) & {LANES - 1}) as int) as lane,
-        shiftleft(xxhash64(s, 1) & {HASH_MOD - 1}L, {COUNT_BITS}) + 1L as sum))""")
-    return (out.select(*kept, F.expr(f"array({dense})").alias(whole), parts.alias("parts"))
-            .select(*kept, whole, F.expr(_SUM).alias(lanes)))
+    out = out.select(*kept, F.expr(f"array({dense})").alias(whole), _parts(F.col("_paras"), text).alias("_parts"))
+    # each of these columns is used more than once by the next step, which keeps Spark from computing it again
+    out = out.select(*kept, whole, F.expr(f"sort_array(transform(_parts, s -> {_entry('s')}))").alias("_a"))
+    out = out.select(*kept, whole, "_a", F.expr(f"""if(size(_a) = 0, cast(array() as array<int>), filter(sequence(0, size(_a) - 1),
+        i -> i = size(_a) - 1 or shiftright(_a[i], {SUM_BITS}) <> shiftright(_a[i + 1], {SUM_BITS})))""").alias("_e"))
+    start = "if(i = 0, 0, _e[i - 1] + 1)"
+    return out.select(*kept, whole, F.expr(f"""transform(_e, (e, i) -> if(e = {start}, _a[e],
+        (_a[e] & ~{SUM_MASK}L) | aggregate(slice(_a, {start} + 1, e - {start} + 1), 0L, (s, x) -> (s + (x & {SUM_MASK}L)) & {SUM_MASK}L)))
+        """).alias(lanes))
 
 
 def combine(whole_a: Column, lanes_a: Column, whole_b: Column, lanes_b: Column, sign: int = 1) -> tuple[Column, Column]:
     """Vector of the union (``sign=1``) or of ``a`` without ``b``'s paragraphs (``sign=-1``)."""
     whole = F.zip_with(whole_a, whole_b, lambda x, y: (x + F.lit(sign) * y).bitwiseAND(F.lit(WHOLE_MASK)))
-    keys = F.array_sort(F.array_union(F.transform(lanes_a, lambda x: x["lane"]), F.transform(lanes_b, lambda x: x["lane"])))
+    lane = lambda x: x.bitwiseAND(F.lit(~SUM_MASK))
+    keys = F.sort_array(F.array_union(F.transform(lanes_a, lane), F.transform(lanes_b, lane)))
 
-    def at(lanes: Column, lane: Column) -> Column:
-        return F.aggregate(F.filter(lanes, lambda x: x["lane"] == lane), F.lit(0).cast("bigint"), lambda a, x: a + x["sum"])
+    def at(lanes: Column, k: Column) -> Column:
+        return F.aggregate(F.filter(lanes, lambda x: lane(x) == k), F.lit(0).cast("bigint"), lambda a, x: a + x.bitwiseAND(F.lit(SUM_MASK)))
 
-    summed = F.transform(keys, lambda k: F.struct(
-        k.alias("lane"), F.pmod(at(lanes_a, k) + F.lit(sign) * at(lanes_b, k), F.lit(LANE_MOD)).alias("sum")))
-    return whole, F.filter(summed, lambda x: x["sum"] != 0)
+    summed = F.transform(keys, lambda k: k.bitwiseOR((at(lanes_a, k) + F.lit(sign) * at(lanes_b, k)).bitwiseAND(F.lit(SUM_MASK))))
+    return whole, F.filter(summed, lambda x: x.bitwiseAND(F.lit(SUM_MASK)) != 0)
 
 
 def fingerprint(whole: str, lanes: str) -> Column:
-    """Text form: the dense lanes, then ``lane`` and ``sum`` of each lane in use, in hex."""
-    return F.expr(f"""lower(concat(
-        array_join(transform({whole}, x -> lpad(hex(x), 16, '0')), ''),
-        array_join(transform({lanes}, x -> concat(lpad(hex(x.lane), 4, '0'), lpad(hex(x.sum), 16, '0'))), '')))""")
+    """Text form: the dense lanes, then the packed lanes in use, as decimal numbers."""
+    return F.expr(f"concat_ws('.', cast({whole} as array<string>), cast({lanes} as array<string>))")
+
+
+def _open_level(lanes: str) -> str:
+    """SQL: the first level with at most ``CROWDED`` lanes in use (lanes come by level)."""
+    return f"""if(size({lanes}) <= {CROWDED}, 0L, aggregate({lanes}, struct(0L as v, 0 as n),
+        (acc, x) -> if(shiftright(x, {LEVEL_SHIFT}) = acc.v, struct(acc.v as v, acc.n + 1 as n),
+            if(acc.n > {CROWDED} and shiftright(x, {LEVEL_SHIFT}) = acc.v + 1, struct(acc.v + 1 as v, 1 as n), acc)),
+        acc -> least(if(acc.n > {CROWDED}, acc.v + 1, acc.v), {LEVELS - 1}L)))"""
 
 
 def _alike(lanes_a: str, lanes_b: str, level: str) -> str:
     """SQL: parts in common over the parts of both, with their counts, from ``level`` on."""
-    count, mask = f"& {(1 << COUNT_BITS) - 1}L", f"& {HASH_MOD - 1}L"
-    entry = f"x -> struct(x.lane as lane, x.sum {count} as n, shiftright(x.sum, {COUNT_BITS}) as h)"
-    rows = f"array_sort(concat(transform({lanes_a}, {entry}), transform({lanes_b}, {entry})))"
-    # entries of one lane follow each other; with one and the same part in both, the sums are in the ratio of the counts
-    return f"""aggregate(filter({rows}, x -> x.lane >= {level} * {LANES}),
-        struct(-1 as lane, 0L as n, 0L as h, 0L as both, 0L as all),
-        (acc, x) -> struct(x.lane as lane, x.n as n, x.h as h,
-            if(acc.lane = x.lane and ((acc.n * x.h) {mask}) = ((x.n * acc.h) {mask}), acc.both + least(acc.n, x.n), acc.both) as both,
-            acc.all + x.n as all),
+    rows = " , ".join(f"filter({x}, x -> x >= shiftleft({level}, {LEVEL_SHIFT}))" for x in (lanes_a, lanes_b))
+    count, hashed = f"& {(1 << COUNT_BITS) - 1}L", f"& {(1 << HASH_BITS) - 1}L"
+    # entries of one lane follow each other; with one and the same part in both, the hashes' sums are in the ratio of the counts
+    same = (f"shiftright(x, {SUM_BITS}) = shiftright(acc.x, {SUM_BITS}) and "
+            f"((shiftright(x, {COUNT_BITS}) * (acc.x {count})) {hashed}) = ((shiftright(acc.x, {COUNT_BITS}) * (x {count})) {hashed})")
+    return f"""aggregate(sort_array(concat({rows})), struct(-1L as x, 0L as both, 0L as all),
+        (acc, x) -> struct(x as x, if({same}, acc.both + least(acc.x {count}, x {count}), acc.both) as both, acc.all + (x {count}) as all),
         acc -> if(acc.all = 0, 0D, acc.both / cast(acc.all - acc.both as double)))"""
 
 
 def likeness(whole_a: str, lanes_a: str, whole_b: str, lanes_b: str) -> Column:
     """0 to 1: share of the parts of either side that both have; 1 for equal vectors only."""
-    used = f"array_union(transform({lanes_a}, x -> x.lane), transform({lanes_b}, x -> x.lane))"
-    level = f"""element_at(filter(sequence(0, {LEVELS - 1}), v -> v = {LEVELS - 1}
-        or size(filter({used}, k -> k div {LANES} = v)) <= {CROWDED}), 1)"""
-    return F.expr(f"""case when {whole_a} = {whole_b} then 1D
-        when size({lanes_a}) + size({lanes_b}) <= {CROWDED} then least({_alike(lanes_a, lanes_b, "0")}, 0.999999D)
-        else least(element_at(transform(array({level}), v -> {_alike(lanes_a, lanes_b, "v")}), 1), 0.999999D) end""")
+    level = f"greatest({_open_level(lanes_a)}, {_open_level(lanes_b)})"
+    return F.expr(f"""if({whole_a} = {whole_b}, 1D,
+        least(element_at(transform(array({level}), v -> {_alike(lanes_a, lanes_b, "v")}), 1), 0.999999D))""")
 
 
 def with_next(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """Add ``next_<c>`` of the row with the next smaller id; after the smallest comes the largest.
 
-    Ids are cut into at most ``RANGES`` ranges of equal width.  The first row
-    of each range also goes to the range before it, as its last row's
-    successor; that table of at most ``RANGES`` rows is all that is broadcast.
-    Texts are shuffled once, and a range is only streamed
-    through.  Rows of equal id follow each other by ``columns``; null ids come
-    last.
+    Ids are cut into at most ``RANGES`` ranges at approximate quantiles of all
+    ids, so that an outlier doesn't matter; rows without an id likewise by the
+    beginning of their first column.  The first row of each range also goes to
+    the range before it, as its last row's successor; that table of at most
+    twice ``RANGES`` rows is all that is broadcast.  Texts are shuffled once, and a
+    range is only streamed through.  Rows of equal id follow each other by
+    ``columns``; null ids come last.
     """
-    seen = df.agg(F.count("*"), F.min(id_col), F.max(id_col)).first()
-    n, low, high = seen[0], seen[1] or 0, seen[2] or 0
-    width = max(1, -(-(high - low + 1) // min(RANGES - 1, max(1, n // ROWS_PER_RANGE))))
-    place = F.coalesce(F.expr(f"({id_col} - {low}L) div {width}L"), F.lit(-1)).cast("bigint")
-    tops = df.select(place.alias("r"), F.col(id_col)).groupBy("r").agg(F.max(id_col).alias("top"))
-    falling = Window.orderBy(F.desc("r"))  # over at most RANGES rows
-    before = F.broadcast(tops.select(F.col("r").alias("_before"), F.when(F.lead(F.lit(1)).over(falling).isNull(), F.first("top").over(
-        falling.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).otherwise(F.lead("top").over(falling)).alias("_top")))
+    first, has_id = F.col(columns[0]), F.col(id_col).isNotNull()
+    head = F.rpad(F.hex(F.substring(F.encode(first, "utf-8"), 1, 6)), 12, "0")
+    head = F.when(~has_id, F.conv(head, 16, 10).cast("bigint"))
+    parts = min(RANGES - 1, max(1, df.count() // ROWS_PER_RANGE))
+    share = [(i + 1) / (parts + 1) for i in range(parts)]
+    cuts = df.agg(F.percentile_approx(id_col, share, 10 * RANGES), F.percentile_approx(head, share, 10 * RANGES)).first()  # two rows of RANGES numbers
+    by_id, by_head = ([int(x) for x in dict.fromkeys(c or [])] for c in cuts)
+    place = F.when(has_id, _cell(F.col(id_col), by_id)).otherwise(-1 - _cell(head, by_head))
     rows = df.withColumn("_r", place)
-    extra = rows.join(before, F.col(id_col).eqNullSafe(F.col("_top")), "left")
+    tops = rows.groupBy("_r").agg(F.max(id_col).alias("top"), F.xxhash64(F.min(F.when(~has_id, first))).alias("hash"))
+    falling = Window.orderBy(F.desc("_r"))  # over at most twice RANGES rows
+    around = falling.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    is_last = F.lead(F.lit(1)).over(falling).isNull()
+    before = F.broadcast(tops.select(F.col("_r").alias("_before"), *[
+        F.when(is_last, F.first(c).over(around)).otherwise(F.lead(c).over(falling)).alias(f"_{c}") for c in ("top", "hash")]))
+    extra = rows.join(before, F.col(id_col).eqNullSafe(F.col("_top")) & (has_id | (F.xxhash64(first) == F.col("_hash"))), "left")
     both = extra.withColumn("_r", F.explode(F.when(F.col("_before").isNull(), F.array("_r"))
                                             .otherwise(F.array(F.col("_r"), F.lit(None).cast("bigint")))))
     both = both.withColumn("_guest", F.col("_r").isNull()).withColumn("_r", F.coalesce("_r", "_before"))
@@ -154,6 +169,17 @@ def with_next(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     return lined.where("not _guest").drop("_guest")
 
 
+def _cell(value: Column, cuts: list[int], step: int = 64) -> Column:
+    """How many of the sorted ``cuts`` are at most ``value``; looked up in two steps."""
+    def below(numbers: Column) -> Column:
+        return F.size(F.filter(numbers, lambda c: c <= value)).cast("bigint")
+
+    def of(numbers: list[int]) -> Column:
+        return F.lit(numbers).cast("array<bigint>") if numbers else F.array().cast("array<bigint>")
+    coarse = below(of(cuts[step - 1::step])) * step
+    return coarse + below(F.slice(of(cuts), (coarse + 1).cast("int"), F.lit(step)))
+
+
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The contract's comparison of each text with its edited form and with the next text."""
     base = docs.select(F.col(id_col), text_of(text_col).alias("text"))

@@ -147,8 +147,8 @@ def test_fingerprint_order_and_increments(spark):
                               (5, f"{a}\n{a}\n{b}\n{c}"), (6, f"{a}\n{b}\n{c}x")])
     assert rows[1].fp == rows[2].fp and len({rows[i].fp for i in (1, 3, 4, 5, 6)}) == 5
     df = spark.createDataFrame([(rows[3].w, rows[3].l, rows[4].w, rows[4].l, rows[1].w, rows[1].l)],
-                               "w3 array<bigint>, l3 array<struct<lane:int,sum:bigint>>, w4 array<bigint>, "
-                               "l4 array<struct<lane:int,sum:bigint>>, w1 array<bigint>, l1 array<struct<lane:int,sum:bigint>>")
+                               "w3 array<bigint>, l3 array<bigint>, w4 array<bigint>, "
+                               "l4 array<bigint>, w1 array<bigint>, l1 array<bigint>")
     c_ = F.col
     plus = fingerprints.combine(c_("w3"), c_("l3"), c_("w4"), c_("l4"))
     minus = fingerprints.combine(c_("w1"), c_("l1"), c_("w4"), c_("l4"), -1)
