@@ -6,7 +6,9 @@ its distinct hashes sorted and packed, one row per bucket; the bucket's task
 compares what all chunks sent and replies, packed, to the chunks.  A hash
 that is everywhere is sent once per chunk, so no bucket is hot; chunks are
 equal because documents are dealt by hash.  The number of chunks grows with
-the input, so that neither a chunk nor a bucket does.
+the input, so that neither a chunk nor a bucket does.  A bucket takes the
+hashes of ``CHUNKS_PER_BUCKET`` chunks (some 10 MB packed), which keeps the rows
+few: ``chunks ** 2 / 32`` of them, and never more than there are hashes.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from rankwise.llm.rolling import runs
 
 U = np.uint64
 CHUNK_BYTES = 4 << 20
+#: Chunks whose hashes one bucket takes, and buckets at least, so that small inputs use all cores.
+CHUNKS_PER_BUCKET, MIN_BUCKETS = 32, 48
 
 SENT = "bucket int, chunk int, a binary, b binary, c binary"
 REPLY = "chunk int, kind int, a binary, b binary, c binary"
@@ -35,6 +39,10 @@ def chunked(docs: DataFrame, text_col: str = "text", chunk_bytes: int = CHUNK_BY
     return docs.withColumn("uid", uid).withColumn("chunk", F.pmod("uid", F.lit(n)).cast("int")), n
 
 
+def bucket_count(chunks: int) -> int:
+    return max(min(MIN_BUCKETS, max(12, chunks // 2)), chunks // CHUNKS_PER_BUCKET)
+
+
 def pack48(h: np.ndarray) -> bytes:
     return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 

@@ -278,7 +278,7 @@ def dedup(docs: DataFrame, *, window: int = WINDOW, carry: list[str] | None = No
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     rows, chunks = ex.chunked(rows)
     rows = rows.drop("uid")
-    buckets = max(12, chunks // 2)
+    buckets = ex.bucket_count(chunks)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     one = rows.groupBy("chunk").applyInArrow(_grams_step(window, buckets), ex.SENT).groupBy("bucket").applyInArrow(
         ex.shared48, ex.REPLY)

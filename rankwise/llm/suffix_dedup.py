@@ -23,7 +23,7 @@ Texts stay in their chunk; packed hashes move (``exchange``).
 
 Defined results: a null text is empty; strings never cross documents; equal
 rows (same ``doc_id`` and text) are one document listed more than once and
-get the same result; texts shorter than ``length`` lose nothing.  ``kept``
+get the same result; rows without ``doc_id`` are documents of their own; texts shorter than ``length`` lose nothing.  ``kept``
 is bytes: a removed span may begin or end inside a character.
 """
 
@@ -54,8 +54,8 @@ class _Chunk:
         self.length = length
         texts, ids = t["text"].to_pylist(), t["doc_id"].to_pylist()
         index: dict = {}
-        self.row = [index.setdefault((i, x), len(index)) for i, x in zip(ids, texts, strict=True)]
-        self.data = [(x or "").encode() for _, x in index]
+        self.row = [index.setdefault((i, x, k if i is None else -1), len(index)) for k, (i, x) in enumerate(zip(ids, texts, strict=True))]
+        self.data = [(x or "").encode() for _, x, _ in index]
         self.buf = np.frombuffer(b"".join(self.data), np.uint8)
         self.first = np.cumsum([0] + [len(d) for d in self.data])
         found = [s for a, b in self._pieces() for s in self._stretches(a, b)]
@@ -141,11 +141,15 @@ def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
 
 def _cuts(lead: np.ndarray, h: np.ndarray, splitters: list[tuple[int, int]]) -> np.ndarray:
     """Where the sorted suffixes ``(lead, h)`` are cut by the splitters."""
-    out = []
-    for a, b in splitters:
-        i, j = np.searchsorted(lead, np.uint32(a), "left"), np.searchsorted(lead, np.uint32(a), "right")
-        out.append(i + np.searchsorted(h[i:j], U(b), "left"))
-    return np.concatenate(([0], out, [len(lead)])).astype(np.int64)
+    def keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Both as one string of bytes, in the order of the pair."""
+        out = np.empty((len(a), 12), np.uint8)
+        out[:, :4] = np.asarray(a, ">u4").reshape(-1, 1).view(np.uint8)
+        out[:, 4:] = np.asarray(b, ">u8").reshape(-1, 1).view(np.uint8)
+        return out.reshape(-1).view("S12")
+
+    at = np.searchsorted(keys(lead, h), keys(*np.array(splitters, object).reshape(-1, 2).T), "left")
+    return np.concatenate(([0], at, [len(lead)])).astype(np.int64)
 
 
 def _stretch_step(length: int, buckets: int):
@@ -317,7 +321,7 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, carry: list[str] | None = No
     carry = carry or []
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     rows, chunks = ex.chunked(rows)
-    buckets = max(12, chunks // 2)
+    buckets = ex.bucket_count(chunks)
     splitters = _sampled_splitters(rows, length, buckets)
     rows = rows.drop("uid")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
@@ -331,6 +335,6 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, carry: list[str] | None = No
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns."""
+    """The contract's columns, and what is left as text (bytes of a cut character as U+FFFD)."""
     return dedup(docs).select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"),
-                              F.sha2("kept", 256).alias("kept_sha256"))
+                              F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))

@@ -83,9 +83,9 @@ def windows_removed(rows, window=50):
 
 
 def strings_removed(rows, length=400):
-    """(bytes, removed mask) of each row; equal rows are one document."""
+    """(bytes, removed mask) of each row; equal rows are one document, but rows without an id are each one."""
     seen, twice = set(), set()
-    for _, t in dict.fromkeys(rows):
+    for _, t in [*dict.fromkeys(x for x in rows if x[0] is not None), *[x for x in rows if x[0] is None]]:
         b = (t or "").encode()
         for s in range(len(b) - length + 1):
             x = b[s:s + length]
