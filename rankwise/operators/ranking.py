@@ -1,22 +1,26 @@
 """Exact, distributed row numbering and running counts within groups.
 
 ``row_number().over(Window.partitionBy(g))`` sends every row of a group to one
-task, which fails when one job holds a third of all candidates.  Here a group
-is cut into cells along its order, the same way at every size:
-
-1. one aggregate finds the least and greatest value of the leading order keys
-   per group;
-2. a row's cell is its place in ``CELLS`` equal steps between them.  Where the
-   steps of a key are single values (booleans, small integers, dates), the
-   cell is refined by the next key, so that ties don't pile up;
+task, which fails when one job holds a third of all candidates.  Here a large
+group is cut into cells at quantiles of its order:
+
+1. one row in ``SAMPLE``, chosen by the hash of its order keys, goes into the
+   table of bounds.  A group's sampled keys are sorted and thinned by dealt
+   parts, and every ``PER_CELL``-th of them becomes a bound (``MOST`` at most): the
+   number of cells follows the group's count, and a small group has none;
+2. a row's cell is the number of bounds before it, searched in two steps.  Bounds
+   are whole tuples of order keys, so neither an outlier nor a pile of ties in
+   the leading keys fills a cell, whatever the keys' types are;
 3. rows are numbered inside a cell, and a running sum over the cells' counts
-   (a small table) gives the offset.
-
-No size guard, no checkpoint, no value on the driver.  Null keys form groups
-of their own.  The order keys must form a total order and be deterministic
-(sums of doubles should be rounded or summed as decimals first); callers end
-them with a unique id.  Keys are column names or expressions, ascending
-unless wrapped in ``desc``; nulls come first ascending and last descending.
+   (a small table, of cut groups only) gives the offset.
+
+Which rows are sampled depends on their keys alone, so every branch of a plan
+sees the same cells.  No size guard, no checkpoint, no value on the driver.
+Null keys form groups of their own.  The order keys must form a total order and
+be deterministic (sums of doubles should be rounded or summed as decimals
+first); callers end them with a unique id.  Keys are column names or
+expressions, ascending unless wrapped in ``desc``; nulls come first ascending
+and last descending.
 """
 
 from __future__ import annotations
@@ -26,11 +30,11 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-CELLS = 1024
-#: Leading order keys along which a group is cut.
-CUT_KEYS = 3
+#: One row in so many is sampled; sampled rows of a cell; bounds of a group at most.
+SAMPLE, PER_CELL, MOST = 1024, 8, 4095
+#: Parts that a group's sampled rows are dealt into, and keys that each part passes on.
+PARTS, PART_KEYS = 64, 512
 #: Copies of a group's row in the table of bounds, so that a hot group's join is dealt over tasks.
 SALTS = 16
 
@@ -48,24 +52,6 @@ def asc(key: str | Column) -> Key:
     return Key(F.col(key) if isinstance(key, str) else key, False)
 
 
-def _number(c: Column, kind: T.DataType) -> tuple[Column, bool] | None:
-    """A double that never falls where the key rises, and whether whole steps of one are single values."""
-    if isinstance(kind, T.BooleanType):
-        return c.cast("int").cast("double"), True
-    if isinstance(kind, T.IntegralType):
-        return c.cast("double"), True
-    if isinstance(kind, (T.DecimalType, T.FractionalType)):
-        return c.cast("double"), False
-    if isinstance(kind, T.DateType):
-        return F.unix_date(c).cast("double"), True
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(c).cast("double"), True
-    if isinstance(kind, T.StringType):  # the first six bytes
-        head = F.rpad(F.hex(F.substring(F.encode(c, "utf-8"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double"), False
-    return None
-
-
 def _null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], how: str) -> DataFrame:
     cond = None
     for a, b in pairs:
@@ -74,44 +60,72 @@ def _null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str
     return left.join(right, cond, how).drop(*[b for _, b in pairs])
 
 
+def _before(x: Column, y: Column, keys: list[Key]) -> Column:
+    """Whether the tuple of keys ``x`` comes before ``y``."""
+    out = F.lit(False)
+    for i, k in reversed(list(enumerate(keys))):
+        a, b = x[f"_rk_o{i}"], y[f"_rk_o{i}"]
+        if k.descending:
+            less = F.coalesce(a > b, a.isNotNull() & b.isNull())
+        else:
+            less = F.coalesce(a < b, a.isNull() & b.isNotNull())
+        out = less | (a.eqNullSafe(b) & out)
+    return out
+
+
+def _bounds(rows: DataFrame, groups: list[str], keys: list[Key]) -> DataFrame:
+    """``_rk_bounds`` of the groups that are cut."""
+    names = [f"_rk_o{i}" for i in range(len(keys))]
+
+    def in_order(tuples: Column) -> Column:
+        return F.array_sort(tuples, lambda x, y: F.when(_before(x, y, keys), -1).when(_before(y, x, keys), 1).otherwise(0))
+
+    picked = rows.where(F.pmod(F.xxhash64(F.lit(5), *names), F.lit(SAMPLE)) == 0)
+    part = F.pmod(F.xxhash64(F.lit(6), *names), F.lit(PARTS)).alias("_rk_part")
+    dealt = picked.groupBy(*groups, part).agg(in_order(F.collect_list(F.struct(*names))).alias("_rk_t"))
+    n = F.size("_rk_t")
+    every = F.ceil(n / PART_KEYS)
+    dealt = dealt.select(*groups, n.alias("_rk_n"), F.filter("_rk_t", lambda x, i: i % every == 0).alias("_rk_t"))
+    whole = dealt.groupBy(*groups).agg(F.flatten(F.collect_list("_rk_t")).alias("_rk_t"), F.sum("_rk_n").alias("_rk_n"))
+    whole = whole.withColumn("_rk_n", F.least(F.lit(MOST), F.floor(F.col("_rk_n") / PER_CELL)).cast("int")).where("_rk_n > 0")
+    whole = whole.withColumn("_rk_t", in_order(F.col("_rk_t")))
+    at = lambda j: F.get("_rk_t", F.floor(j * F.size("_rk_t") / (F.col("_rk_n") + 1)).cast("int"))
+    return whole.select(*groups, F.transform(F.sequence(F.lit(1), F.col("_rk_n")), at).alias("_rk_bounds"))
+
+
+def _in_blocks(bounds: DataFrame, groups: list[str]) -> DataFrame:
+    """The bounds in blocks of their number's square root, and each block's first, for a search in two steps."""
+    bounds = bounds.withColumn("_rk_m", F.ceil(F.sqrt(F.size("_rk_bounds"))).cast("int"))
+    starts = F.sequence(F.lit(1), F.size("_rk_bounds"), F.col("_rk_m"))
+    bounds = bounds.select(*groups, "_rk_m", F.transform(starts, lambda i: F.slice("_rk_bounds", i, F.col("_rk_m"))).alias("_rk_blocks"))
+    return bounds.withColumn("_rk_heads", F.transform("_rk_blocks", lambda b: F.get(b, F.lit(0))))
+
+
+def _cell(keys: list[Key]) -> Column:
+    """Number of bounds before the row (0 in a group that isn't cut)."""
+    row = F.struct(*[f"_rk_o{i}" for i in range(len(keys))])
+
+    def count(bounds: Column) -> Column:
+        return F.size(F.filter(bounds, lambda b: _before(b, row, keys)))
+
+    at = count(F.col("_rk_heads")) - 1
+    found = F.transform(F.array(at), lambda h: F.when(h < 0, 0).otherwise(h * F.col("_rk_m") + count(F.get("_rk_blocks", h))))
+    return F.when(F.col("_rk_m").isNull(), 0).otherwise(F.get(found, F.lit(0)))
+
+
 def _in_cells(df: DataFrame, by: list[str], keys: list[Key]) -> tuple[DataFrame, list[str], list[str]]:
-    """``df`` with group columns and cell columns; their names."""
-    kinds = df.select(*[k.expr.alias(f"_k{i}") for i, k in enumerate(keys)]).schema
+    """``df`` with group columns, ``_rk_cut`` (whether the group is cut) and the cell; names of group and cell columns."""
     rows = df.withColumns({f"_rk_o{i}": k.expr for i, k in enumerate(keys)})
     groups = by or ["_rk_all"]
     if not by:
         rows = rows.withColumn("_rk_all", F.lit(0))
-    cuts = []
-    for i in range(min(len(keys), CUT_KEYS)):
-        number = _number(F.col(f"_rk_o{i}"), kinds[i].dataType)
-        if number is None:
-            break
-        cuts.append(number[1])
-        rows = rows.withColumn(f"_rk_s{i}", number[0])
-    rows = rows.withColumn("_rk_salt", F.pmod(F.xxhash64(*[f"_rk_o{i}" for i in range(len(keys))]), F.lit(SALTS)).cast("int"))
-    if not cuts:
-        return rows, groups, []
-    finite = [F.when(F.abs(F.col(f"_rk_s{i}")) < 1.7e308, F.col(f"_rk_s{i}")) for i in range(len(cuts))]
-    bounds = rows.groupBy(*groups).agg(
-        *[F.min(x).alias(f"_rk_lo{i}") for i, x in enumerate(finite)],
-        *[F.max(x).alias(f"_rk_hi{i}") for i, x in enumerate(finite)])
-    bounds = bounds.withColumnsRenamed({g: f"_rk_b{j}" for j, g in enumerate(groups)}).withColumn(
+    bounds = _in_blocks(_bounds(rows, groups, keys), groups).withColumnsRenamed({g: f"_rk_b{j}" for j, g in enumerate(groups)}).withColumn(
         "_rk_bs", F.explode(F.array(*[F.lit(s) for s in range(SALTS)])))
+    rows = rows.withColumn("_rk_salt", F.pmod(F.xxhash64(*[f"_rk_o{i}" for i in range(len(keys))]), F.lit(SALTS)).cast("int"))
     rows = _null_safe(rows, bounds, [*[(g, f"_rk_b{j}") for j, g in enumerate(groups)], ("_rk_salt", "_rk_bs")], "left")
-    exact = F.lit(True)
-    for i, whole in enumerate(cuts):
-        s, lo, hi = (F.col(f"_rk_{x}{i}") for x in ("s", "lo", "hi"))
-        # whole numbers within few steps: a step is a value (doubles hold them up to 2^53)
-        single = F.coalesce((hi - lo < CELLS) & (F.abs(lo) < 2.0 ** 53) & (F.abs(hi) < 2.0 ** 53), F.lit(True)) if whole else (
-            F.coalesce(lo == hi, F.lit(False)) if not isinstance(kinds[i].dataType, T.StringType) else F.lit(False))
-        step = F.when(single, s - lo).otherwise(F.least(F.floor((s / 2 - lo / 2) / (hi / 2 - lo / 2) * CELLS), F.lit(CELLS - 1)))
-        cell = (F.when(s.isNull(), -1).when(F.isnan(s), CELLS).when(s <= lo, 0).when(s >= hi, F.when(single, hi - lo).otherwise(CELLS - 1))
-                .otherwise(step).cast("int"))
-        cell = F.coalesce(cell, F.lit(0))
-        rows = rows.withColumn(f"_rk_c{i}", F.when(exact, -cell if keys[i].descending else cell).otherwise(0))
-        # infinite values share the outermost cells with finite ones: no refinement below those
-        exact = exact & single & (s.isNull() | F.coalesce(F.abs(s) < 1.7e308, F.lit(False)) if not whole else F.lit(True))
-    return rows, groups, [f"_rk_c{i}" for i in range(len(cuts))]
+    rows = rows.withColumn("_rk_cell", _cell(keys)).withColumn("_rk_cut", F.col("_rk_m").isNotNull()).drop(
+        "_rk_m", "_rk_blocks", "_rk_heads", "_rk_salt")
+    return rows, groups, ["_rk_cell"]
 
 
 def _running(df: DataFrame, by: Sequence[str], order: Sequence, value: Column | None, name: str) -> DataFrame:
@@ -121,14 +135,13 @@ def _running(df: DataFrame, by: Sequence[str], order: Sequence, value: Column |
     rows, groups, cells = _in_cells(df.withColumn("_rk_v", F.lit(1).cast("bigint") if value is None else value.cast("bigint")), by, keys)
     sort = [F.col(f"_rk_o{i}").desc() if k.descending else F.col(f"_rk_o{i}").asc() for i, k in enumerate(keys)]
     inside = Window.partitionBy(*groups, *cells).orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.where("_rk_cut").groupBy(*groups, *cells).agg(F.sum("_rk_v").alias("_rk_n"))
+    before = Window.partitionBy(*groups).orderBy(*cells).rowsBetween(Window.unboundedPreceding, -1)
+    names = {c: f"_rk_j{j}" for j, c in enumerate([*groups, *cells])}
+    offsets = sums.withColumn("_rk_off", F.coalesce(F.sum("_rk_n").over(before), F.lit(0))).drop("_rk_n").withColumnsRenamed(names)
     rows = rows.withColumn("_rk_in", F.coalesce(F.sum("_rk_v").over(inside), F.lit(0)))
-    if cells:
-        sums = rows.groupBy(*groups, *cells).agg(F.sum("_rk_v").alias("_rk_n"))
-        before = Window.partitionBy(*groups).orderBy(*cells).rowsBetween(Window.unboundedPreceding, -1)
-        names = {c: f"_rk_j{j}" for j, c in enumerate([*groups, *cells])}
-        offsets = sums.withColumn("_rk_off", F.coalesce(F.sum("_rk_n").over(before), F.lit(0))).drop("_rk_n").withColumnsRenamed(names)
-        rows = _null_safe(rows, offsets, list(names.items()), "inner").withColumn("_rk_in", F.col("_rk_off") + F.col("_rk_in"))
-    return rows.select(*df.columns, F.col("_rk_in").alias(name))
+    rows = _null_safe(rows, offsets, list(names.items()), "left")
+    return rows.select(*df.columns, (F.coalesce("_rk_off", F.lit(0)) + F.col("_rk_in")).alias(name))
 
 
 def rank_within(df: DataFrame, by: Sequence[str], order: Sequence, name: str = "place") -> DataFrame:

@@ -30,7 +30,8 @@ def _orders():
 
 @pytest.mark.parametrize("by", [["g"], ["g", "h"], []], ids=str)
 @pytest.mark.parametrize("k", range(11))
-def test_equal_to_a_window(spark, by, k):
+def test_equal_to_a_window(spark, by, k, monkeypatch):
+    monkeypatch.setattr(ranking, "SAMPLE", 1024 if k == 0 else 4)
     df = spark.createDataFrame(_rows(), "g string, h int, v double, f boolean, s string, id long, n long")
     order = _orders()[k]
     keys = [x.expr.desc() if isinstance(x, ranking.Key) else (F.col(x) if isinstance(x, str) else x).asc() for x in order]
@@ -53,9 +54,41 @@ def test_place_is_bigint_and_nothing_is_collected(spark):
     df = spark.range(5000).select(F.lit("hot").alias("g"), (F.col("id") * 7919 % 5003).alias("v"), "id")
     out = rank_within(df, ["g"], [desc("v"), "id"])
     assert dict(out.dtypes)["place"] == "bigint" and out.columns == ["g", "v", "id", "place"]
-    rows, groups, cells = ranking._in_cells(df, ["g"], [ranking.desc("v"), ranking.asc("id")])
-    largest = rows.groupBy(*groups, *cells).count().agg(F.max("count")).first()[0]
-    assert largest <= 16  # the hot group is cut into many cells
-    tied = df.withColumn("v", F.lit(1))
-    rows, groups, cells = ranking._in_cells(tied, ["g"], [ranking.desc("v"), ranking.asc("id")])
-    assert rows.groupBy(*groups, *cells).count().agg(F.max("count")).first()[0] <= 16  # ties go by the next key
+
+
+def _largest(df, by, order):
+    rows, groups, cells = ranking._in_cells(df, by, order)
+    return rows.groupBy(*groups, *cells).count().agg(F.max("count")).first()[0]
+
+
+@pytest.mark.parametrize("kind", ["spread", "tied", "outlier", "text", "two groups"])
+def test_cells_are_even(spark, monkeypatch, kind):
+    """A hot group's rows are spread whatever the order key looks like; no cell holds 5 % of them."""
+    monkeypatch.setattr(ranking, "SAMPLE", 8)
+    v = {"spread": F.col("id") * 7919 % 5003, "tied": F.lit(1).cast("bigint"), "text": F.concat(F.lit("https://www.example.org/"), F.col("id")),
+         "outlier": F.when(F.col("id") % 4000 == 7, F.lit(10**12)).otherwise(F.col("id") % 97)}.get(kind, F.col("id"))
+    df = spark.range(20_000).select((F.col("id") % 3 == 0 if kind == "two groups" else F.lit("hot")).alias("g"), v.alias("v"), "id")
+    assert _largest(df, ["g"], [ranking.desc("v"), ranking.asc("id")]) <= 1000
+    got = rank_within(df, ["g"], [desc("v"), "id"])
+    want = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("v"), "id"))
+    assert got.withColumn("want", want).where("place <> want").count() == 0
+
+
+def test_many_bounds_are_thinned(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "SAMPLE", 1)
+    monkeypatch.setattr(ranking, "PART_KEYS", 16)
+    monkeypatch.setattr(ranking, "MOST", 63)
+    df = spark.range(9000).select(F.lit(1).alias("g"), "id")
+    bounds = ranking._bounds(df.withColumn("_rk_o0", F.col("id")), ["g"], [ranking.asc("id")]).first()._rk_bounds
+    assert len(bounds) == 63 and bounds == sorted(bounds)
+    assert _largest(df, ["g"], [ranking.asc("id")]) <= 450
+
+
+def test_lineitem_with_outliers(spark):
+    """Three hot groups of ``lineitem``, a few rows of which cost 10^12: no task above a twentieth of the rows."""
+    li = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")
+    cost = F.when(F.pmod(F.xxhash64("l_orderkey", "l_partkey"), F.lit(50_000)) == 0, F.lit(1e12)).otherwise(F.col("l_extendedprice").cast("double"))
+    df = li.select("l_returnflag", cost.alias("cost"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    assert df.agg(F.max("cost")).first()[0] == 1e12
+    keys = [ranking.desc("cost"), *[ranking.asc(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")]]
+    assert _largest(df, ["l_returnflag"], keys) <= 0.05 * df.count()
