@@ -1,16 +1,19 @@
 """ST2: streaming timer pairing, the same for every cut into micro-batches.
 
-State per key: the pending start and the events that are not final yet.  An
-event is final once the watermark has passed it; only then are the events of
-a key replayed in ``(ts, id)`` order, so that an event which arrives late but
-within the allowed delay still takes its place.  Events behind the watermark
+State per key (``transformWithStateInPandas`` on RocksDB): the pending start, and
+the events that are not final yet in slots of ``slot_ms``.  A micro-batch reads and
+writes only the slots that its events fall in.  Each slot has an event-time
+timer: once the watermark has passed the slot's end, its events are replayed in
+``(ts, id)`` order, so that an event which arrives late but within the allowed
+delay still takes its place, and the slot goes.  Events behind the watermark
 are dropped by Spark.  A start overwrites the pending one, a stop consumes it
 (pair) or is rejected.
 
 With ``expiry_seconds`` a start counts for that long: a later stop doesn't
-find it, and the start leaves a row with the reason ``expired``, as soon as
-the watermark or the next event of its key shows it.  Without it starts wait
-for ever, like the batch form.
+find it, and the start leaves a row with the reason ``expired``, as soon as the
+next event of its key or a timer shows it.  Without it starts wait for ever,
+like the batch form.  (State's own time to live goes by the clock, not by event
+time, and would make results depend on when a stream runs.)
 """
 
 from __future__ import annotations
@@ -22,9 +25,12 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-STATE_SCHEMA = "start_us long, start_id long, us array<long>, ids array<long>, stops array<boolean>"
+PENDING = "us long, id long"
+SLOT, SLOT_EVENTS = "slot long", "us array<long>, ids array<long>, stops array<boolean>"
+SLOT_MS = 1000
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _frame(key_col: str, rows: list) -> pd.DataFrame:
@@ -37,54 +43,77 @@ def _frame(key_col: str, rows: list) -> pd.DataFrame:
     return df[[key_col, "start_id", "stop_id", "start_ts", "stop_ts", "seconds", "reason"]]
 
 
-def _pairing(key_col: str, expiry_us: int | None):
-    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        p_us, p_id, us, ids, stops = state.get if state.exists else (None, None, [], [], [])
-        events = list(zip(us or [], ids or [], stops or [], strict=True))
-        if not state.hasTimedOut:
-            for f in pdfs:
-                events += zip((f["ts"].astype("datetime64[us]").astype("int64")).tolist(), f["id"].tolist(),
-                              f["is_stop"].tolist(), strict=True)
-        events.sort()
-        mark = state.getCurrentWatermarkMs() * 1000
-        out = []
+class _Pairing(StatefulProcessor):
+    def __init__(self, key_col: str, expiry_us: int | None, slot_ms: int) -> None:
+        self.key_col, self.expiry_us, self.slot_ms = key_col, expiry_us, slot_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getValueState("pending", PENDING)
+        self.slots = handle.getMapState("slots", SLOT, SLOT_EVENTS)
+
+    def _slot(self, us: int) -> int:
+        return us // (1000 * self.slot_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        found: dict[int, list] = {}
+        for f in rows:
+            for at, eid, stop in zip(f["ts"].astype("datetime64[us]").astype("int64").tolist(), f["id"].tolist(), f["is_stop"].tolist(), strict=True):
+                found.setdefault(self._slot(at), []).append((at, eid, stop))
+        for slot, events in found.items():
+            if self.slots.containsKey((slot,)):
+                events += zip(*self.slots.getValue((slot,)), strict=True)
+            else:
+                self.handle.registerTimer((slot + 1) * self.slot_ms)
+            self.slots.updateValue((slot,), tuple(list(c) for c in zip(*events, strict=True)))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        slot, out = end // self.slot_ms - 1, []
+        start = tuple(self.pending.get()) if self.pending.exists() else None
+        before = start
 
         def expired(now: int) -> bool:
-            return p_us is not None and expiry_us is not None and now - p_us > expiry_us
-
-        done = 0
-        for at, eid, is_stop in events:
-            if at > mark:
-                break
-            done += 1
-            if expired(at):
-                out.append((key[0], p_id, None, p_us, None, None, "expired"))
-                p_us = p_id = None
-            if not is_stop:
-                p_us, p_id = at, eid
-            elif p_us is not None:
-                out.append((key[0], p_id, eid, p_us, at, -((p_us - at) // 1_000_000), None))  # whole seconds, up
-                p_us = p_id = None
+            return start is not None and self.expiry_us is not None and now - start[0] > self.expiry_us
+
+        if self.slots.containsKey((slot,)):
+            for at, eid, stop in sorted(zip(*self.slots.getValue((slot,)), strict=True)):
+                if expired(at):
+                    out.append((key[0], start[1], None, start[0], None, None, "expired"))
+                    start = None
+                if not stop:
+                    start = (at, eid)
+                elif start is not None:
+                    out.append((key[0], start[1], eid, start[0], at, -((start[0] - at) // 1_000_000), None))  # whole seconds, up
+                    start = None
+                else:
+                    out.append((key[0], None, eid, None, at, None, "stop_without_start"))
+            self.slots.removeKey((slot,))
+        if expired(end * 1000 - 1):  # no event up to the slot's end is open
+            out.append((key[0], start[1], None, start[0], None, None, "expired"))
+            start = None
+        if start is None:
+            self.pending.clear()
+        elif start != before:
+            due = None if self.expiry_us is None else self._slot(start[0] + self.expiry_us)
+            if due is None or (due + 1) * self.slot_ms > timerValues.getCurrentWatermarkInMs():
+                self.pending.update(start)
+                if due is not None:
+                    self.handle.registerTimer((due + 1) * self.slot_ms)
+            elif any(k[0] <= due for k in self.slots.keys()):  # a slot whose timer is still to come in this micro-batch
+                self.pending.update(start)
             else:
-                out.append((key[0], None, eid, None, at, None, "stop_without_start"))
-        events = events[done:]
-        if expired(min([mark, *(e[0] for e in events[:1])])):
-            out.append((key[0], p_id, None, p_us, None, None, "expired"))
-            p_us = p_id = None
-        if events or p_us is not None:
-            state.update((p_us, p_id, *([e[i] for e in events] for i in range(3))))
-            waits = [events[0][0]] if events else []
-            waits += [p_us + expiry_us] if p_us is not None and expiry_us is not None else []
-            if waits:  # woken once the watermark has passed
-                state.setTimeoutTimestamp(max(min(waits) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
+                out.append((key[0], start[1], None, start[0], None, None, "expired"))
+                self.pending.clear()
         if out:
-            yield _frame(key_col, out)
-    return step
+            yield _frame(self.key_col, out)
+
+    def close(self) -> None:
+        pass
 
 
-# The state function runs in Python workers; ship this module by value so the
+# The state's code runs in Python workers; ship this module by value so the
 # workers need no installed copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -92,11 +121,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 def pair_timers_stream(events: DataFrame, start_value: str = "click", stop_value: str = "purchase", *,
                        key: str = "user_id", kind_col: str = "event_type", ts_col: str = "ts",
                        id_col: str = "event_id", delay: str = "1 hour",
-                       expiry_seconds: int | None = None) -> DataFrame:
+                       expiry_seconds: int | None = None, slot_ms: int = SLOT_MS) -> DataFrame:
     """Streaming form of ``timing.pair_timers``: pairs (``reason`` null) and rejects in one frame.
 
     ``delay`` is how far behind the latest event others may arrive; rows
-    come out once the watermark has passed their last event."""
+    come out once the watermark has passed the slot of their last event.  The
+    session's state store becomes RocksDB, which this kind of state asks for."""
     ev = (events.filter(F.col(kind_col).isin(start_value, stop_value))
           .select(key, F.col(id_col).cast("long").alias("id"), F.col(ts_col).cast("timestamp").alias("ts"),
                   (F.col(kind_col) == stop_value).alias("is_stop"))
@@ -104,5 +134,10 @@ def pair_timers_stream(events: DataFrame, start_value: str = "click", stop_value
     kind = dict(ev.dtypes)[key]
     schema = f"{key} {kind}, start_id long, stop_id long, start_ts timestamp, stop_ts timestamp, seconds long, reason string"
     expiry = None if expiry_seconds is None else expiry_seconds * 1_000_000
-    return ev.groupBy(key).applyInPandasWithState(
-        _pairing(key, expiry), schema, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return ev.groupBy(key).transformWithStateInPandas(_Pairing(key, expiry, slot_ms), schema, "append", "EventTime")
+
+
+def state_bytes(query) -> int:
+    """State held by a running or finished query, as its last progress tells."""
+    return sum(op["memoryUsedBytes"] for op in (query.lastProgress or {"stateOperators": []})["stateOperators"])

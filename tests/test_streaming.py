@@ -108,3 +108,14 @@ def test_expiry_does_not_depend_on_the_cut(spark, tmp_dir):
     for cuts in ([], [2], [1, 2, 3, 4, 5]):
         got = _run(spark, tmp_dir, rows, cuts, expiry_seconds=24 * 3600)
         assert got == want, cuts
+
+
+def test_a_hot_user_in_many_batches(spark, tmp_dir):
+    """One user with most events, over many micro-batches: the batch rows, and a state that shrinks again."""
+    rows = _events(6000, 3, 40)
+    rows = [(i, t, 0 if i % 10 else u, k) for i, t, u, k in rows]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string")
+    pairs, rej = timing.pair_timers(df, "user_id", "event_type", "click", "purchase")
+    want = sorted([(r.user_id, r.start_id, r.stop_id, r.seconds, "") for r in pairs.collect()]
+                  + [(r.user_id, 0, r.stop_id, 0, r.reason) for r in rej.collect()])
+    assert _run(spark, tmp_dir, rows, [1000, 2000, 3000, 4500], slot_ms=60_000) == want
