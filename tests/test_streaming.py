@@ -119,3 +119,32 @@ def test_a_hot_user_in_many_batches(spark, tmp_dir):
     want = sorted([(r.user_id, r.start_id, r.stop_id, r.seconds, "") for r in pairs.collect()]
                   + [(r.user_id, 0, r.stop_id, 0, r.reason) for r in rej.collect()])
     assert _run(spark, tmp_dir, rows, [1000, 2000, 3000, 4500], slot_ms=60_000) == want
+
+
+def test_scoring_repeats_inside_and_beyond_the_delay(spark, tmp_dir):
+    """Repeats in one micro-batch, within the delay (state store) and long after it (table of keys): each document is scored once."""
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(60).select(
+        F.col("source").alias("job_id"), F.col("doc_id").alias("candidate_id"), "text")
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    reqs = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").select(
+        F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("job_id"),
+        F.col("item_id").alias("requirement_id"), F.col("text").alias("specification"))
+    t0 = datetime(2024, 1, 1)
+    ids = sorted(r.candidate_id for r in docs.collect())
+    batches = [(0, ids[:20] + ids[:5]), (1, ids[10:30]), (300, ids[25:50]), (301, ids[:10]), (900, ids[5:60])]  # hours, ids
+    for i, (hour, part) in enumerate(batches):
+        some = spark.createDataFrame([(x, k) for k, x in enumerate(part)], "candidate_id long, k int")
+        rows = docs.join(some, "candidate_id").withColumn("arrived", F.lit(t0 + timedelta(hours=hour)) + F.expr("make_interval(0, 0, 0, 0, 0, 0, k)"))
+        rows.drop("k").coalesce(1).write.parquet(f"{tmp_dir}/in/p{i}")
+        os.utime(glob.glob(f"{tmp_dir}/in/p{i}/part-*")[0], (1_000_000 + i, 1_000_000 + i))
+    stream = (spark.readStream.schema(rows.drop("k").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+              .parquet(f"{tmp_dir}/in"))
+    q = start_incremental_scoring(spark, stream, reqs, f"{tmp_dir}/out", f"{tmp_dir}/ck", arrived="arrived", delay="24 hours")
+    q.awaitTermination()
+    keys = spark.read.parquet(f"{tmp_dir}/out_keys")
+    assert keys.count() == keys.select("job_id", "candidate_id").distinct().count() == 60
+    want = ns.overlap_scores(reqs, docs).select("job_id", "requirement_id", "candidate_id", "score")
+    got = spark.read.parquet(f"{tmp_dir}/out").select(*want.columns)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    # the state store saw the repeat within the delay, the keys the others
+    assert sum(op.get("customMetrics", {}).get("numDroppedDuplicateRows", 0) for p in q.recentProgress for op in p["stateOperators"]) >= 10
