@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankwise.functions.columns import DEFAULT_TEXT_REPLACEMENTS, is_two_part_name, replace_chain, strip_unicode
@@ -56,16 +56,22 @@ def detect_language(docs: DataFrame, id_col: str, text_col: str = "text") -> Dat
     each language are counted in the row, without a shuffle; the language
     with most hits wins (ties: smaller code); no hit -> null (the caller
     treats it as an error)."""
+    best = docs.select(id_col, language_of(text_col).alias("_b"))
+    return best.select(id_col, F.col("_b.lang").alias("detected"), F.col("_b.hits").alias("hits"))
+
+
+def language_of(text_col: str) -> Column:
+    """``struct<hits, rank, lang>`` of a text, ``lang`` and ``hits`` null without a hit."""
     langs = sorted(LANGUAGE_PROFILES)
     known = sorted({w for words in LANGUAGE_PROFILES.values() for w in words})
     among = lambda words: lambda t: t.isin(words)
-    found = docs.select(id_col, F.filter(tokens(text_col), among(known)).alias("_w"))
-    counted = found.select(id_col, F.array(*[F.struct(
-        F.size(F.filter("_w", among(LANGUAGE_PROFILES[lang]))).cast("bigint").alias("hits"),
-        F.lit(-i).alias("rank"), F.lit(lang).alias("lang")) for i, lang in enumerate(langs)]).alias("_h"))
-    best = counted.select(id_col, F.array_max("_h").alias("_b"))
-    return best.select(id_col, F.when(F.col("_b.hits") > 0, F.col("_b.lang")).alias("detected"),
-                       F.when(F.col("_b.hits") > 0, F.col("_b.hits")).alias("hits"))
+
+    def counted(words: Column) -> Column:
+        return F.array_max(F.array(*[F.struct(F.size(F.filter(words, among(LANGUAGE_PROFILES[lang]))).cast("bigint").alias("hits"),
+                                              F.lit(-i).alias("rank"), F.lit(lang).alias("lang")) for i, lang in enumerate(langs)]))
+    found = F.transform(F.array(F.filter(tokens(text_col), among(known))), counted)
+    best = F.filter(found, lambda b: b["hits"] > 0)
+    return F.get(best, F.lit(0))
 
 
 def translation_work_list(docs: DataFrame, text_col: str, lang_col: str, memory: DataFrame | None,
@@ -87,6 +93,77 @@ def apply_translations(docs: DataFrame, text_col: str, memory: DataFrame) -> Dat
             .withColumn(text_col, F.coalesce("translated", text_col)).drop("translated", "text_md5"))
 
 
+#: A match record as the record sink writes it, and the fields of it that are shown to people.
+RECORD = ("struct<total_score: double, promising_result: struct<promising: boolean, explanation: string>, requirement_matches: "
+          "map<string, array<struct<score: struct<value: int, explanation: string>, requirement: struct<type: string, specification: string>>>>>")
+#: Copies of the memory, so that a text which every record holds is joined by several tasks.
+MEMORY_SALTS = 16
+
+
+def record_texts(record: str = "r") -> Column:
+    """X11: all texts of a record's output fields (explanation of the decision, specification and explanation of each
+    match), distinct and without nulls."""
+    matches = F.flatten(F.coalesce(F.map_values(f"{record}.requirement_matches"), F.array()))
+    each = F.flatten(F.transform(matches, lambda m: F.array(m["requirement"]["specification"], m["score"]["explanation"])))
+    return F.filter(F.array_distinct(F.concat(F.array(f"{record}.promising_result.explanation"), each)), lambda t: t.isNotNull())
+
+
+def record_work_list(records: DataFrame, memory: DataFrame | None, record: str = "r") -> DataFrame:
+    """X11: distinct texts of the records (``text_md5, text, n_records``) that the memory doesn't hold."""
+    found = records.select(F.explode(record_texts(record)).alias("text")).groupBy(F.md5("text").alias("text_md5")).agg(
+        F.min("text").alias("text"), F.count(F.lit(1)).alias("n_records"))
+    return found if memory is None else found.join(memory.select("text_md5"), "text_md5", "left_anti")
+
+
+def translate_records(records: DataFrame, keys: Sequence[str], memory: DataFrame, output_language: str,
+                      native_language: str = "en", record: str = "r") -> DataFrame:
+    """X11: the three output fields of nested match records (``RECORD``) out of a memory ``(text_md5, translated)``.
+
+    Each record's distinct texts leave it, are joined to the memory, and come
+    back as one map a record, by which the nested arrays are rewritten in
+    place, position by position.  Texts that the memory doesn't hold stay; in
+    the native language nothing is done.  ``keys`` name a record.
+    """
+    if output_language == native_language:
+        return records
+    keys = list(keys)
+    texts = records.select(*keys, F.explode(record_texts(record)).alias("_text")).withColumn("_md5", F.md5("_text"))
+    texts = texts.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(MEMORY_SALTS)).cast("int"))
+    known = memory.groupBy("text_md5").agg(F.min("translated").alias("_new")).select(
+        F.col("text_md5").alias("_md5"), "_new", F.explode(F.sequence(F.lit(0), F.lit(MEMORY_SALTS - 1))).alias("_salt"))
+    found = texts.join(known, ["_md5", "_salt"]).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_text", "_new"))).alias("_map"))
+    names = {k: f"_key{i}" for i, k in enumerate(keys)}
+    found = found.withColumnsRenamed(names)
+    same = [records[k].eqNullSafe(found[n]) for k, n in names.items()]
+    out = records.join(found, same, "left").drop(*names.values())
+    new = lambda t: F.coalesce(F.try_element_at("_map", t), t)
+    decision = F.col(f"{record}.promising_result")
+    matches = F.transform_values(f"{record}.requirement_matches", lambda _, ms: F.transform(ms, lambda m: F.struct(
+        F.struct(m["score"]["value"].alias("value"), new(m["score"]["explanation"]).alias("explanation")).alias("score"),
+        F.struct(m["requirement"]["type"].alias("type"), new(m["requirement"]["specification"]).alias("specification")).alias("requirement"))))
+    whole = F.struct(F.col(f"{record}.total_score").alias("total_score"),
+                     F.when(decision.isNotNull(), F.struct(decision["promising"].alias("promising"), new(decision["explanation"]).alias("explanation")))
+                     .alias("promising_result"), matches.alias("requirement_matches"))
+    return out.withColumn(record, F.when(F.col(record).isNotNull(), whole)).drop("_map")
+
+
+def document_texts(pages: DataFrame, key: Sequence[str], order_col: str, text_col: str, memory: DataFrame,
+                   working_language: str = "en", replacements: Sequence[tuple[str, str]] = DEFAULT_TEXT_REPLACEMENTS) -> DataFrame:
+    """X9 as one chain: pages to a text (X7), replacements (X8), language (X10), other languages through the memory
+    (X11), replacements again.  Returns ``key..., text, detected``; a text of unknown language stays as it is.
+
+    The language is a column of the same row, so that the routed branch needs no
+    join of the documents with themselves; only texts to translate look for a
+    key in the memory.
+    """
+    docs = normalise_documents(assemble_pages(pages, key, order_col, text_col), "text", replacements)
+    docs = docs.withColumn("detected", language_of("text")["lang"])
+    foreign = F.when(F.col("detected") != working_language, F.md5("text"))
+    known = memory.groupBy(F.col("text_md5").alias("_md5")).agg(F.min("translated").alias("_new"))
+    routed = docs.withColumn("_md5", foreign).join(known, "_md5", "left").withColumn("text", F.coalesce("_new", "text"))
+    return normalise_documents(routed, "text", replacements).select(*key, "text", "detected")
+
+
 def parse_rules(lines: DataFrame, line_col: str = "value") -> DataFrame:
     """``old>new`` lines, ``#`` comments and blank lines skipped; a line
     without exactly two parts gets ``reason = 'bad_rule'``."""

@@ -261,3 +261,48 @@ def q_match_records(spark, sf_dir):
                          F.size(matches).cast("bigint").alias("n_matches"),
                          F.aggregate(matches, F.lit(0).cast("bigint"),
                                      lambda acc, m: acc + m["score"]["value"]).alias("score_sum"))
+
+
+_ABOVE, _BELOW = "total and mandatory requirements above the thresholds", "total or a mandatory requirement below its threshold"
+
+
+@register("translated_records", f"""WITH {NATIVE_SQL},
+sc AS (SELECT n.job_id, n.candidate_id, r.type, r.kind, least(100, greatest(0, n.score)) AS score
+       FROM native n JOIN reqs r USING (job_id, requirement_id)),
+cat AS (SELECT job_id, candidate_id, type, sum(score) AS s, count(*) AS n FROM sc GROUP BY ALL),
+totals AS (
+  SELECT c.job_id, c.candidate_id,
+         round(sum(CAST(c.s AS DOUBLE) / c.n * t.weighting) / sum(CAST(t.weighting AS DOUBLE)), 9) AS total_score
+  FROM cat c JOIN types t USING (type) GROUP BY ALL
+),
+mand AS (SELECT job_id, candidate_id, min(m) AS mf FROM (
+           SELECT job_id, candidate_id, type, avg(score) AS m FROM sc WHERE kind = 'mandatory' GROUP BY ALL) GROUP BY ALL),
+dec AS (SELECT t.*, (t.total_score >= 50.0 AND coalesce(m.mf >= 25.0, true)) AS promising
+        FROM totals t LEFT JOIN mand m USING (job_id, candidate_id)),
+texts AS (
+  SELECT n.job_id, n.candidate_id, r.type, r.requirement_id,
+         CASE WHEN r.requirement_id % 2 = 0 THEN 'T:' || r.specification ELSE r.specification END AS spec,
+         CASE WHEN n.hits = 0 THEN 'N:' ELSE '' END || n.hits || ' of ' || n.total || ' requirement n-grams found in the document' AS said
+  FROM native n JOIN reqs r USING (job_id, requirement_id))
+SELECT t.job_id, t.candidate_id, CASE WHEN any_value(d.promising) THEN '{_ABOVE}' ELSE 'P:{_BELOW}' END AS explanation,
+       md5(string_agg(spec || '|' || said, chr(10) ORDER BY t.type, requirement_id)) AS matches_md5
+FROM texts t JOIN dec d USING (job_id, candidate_id) GROUP BY ALL""")
+def q_translated_records(spark, sf_dir):
+    """X11: the output fields of every match record out of a memory that knows half of the specifications, the
+    explanations of matches without a hit and one of the decision; the others stay."""
+    from rankwise.operators import text as tx
+    from rankwise.sinks.records import match_records
+    reqs, docs, scores = _front_scores(spark, sf_dir)
+    decided = scoring.decide_promising(scoring.weighted_totals(scores, requirement_types(spark)))
+    rec = match_records(scores.join(reqs.select("job_id", "requirement_id", "specification"), ["job_id", "requirement_id"]), decided)
+    rec = rec.select("job_id", "candidate_id", F.from_json("record", tx.RECORD).alias("r"))
+    known = [reqs.where("requirement_id % 2 = 0").select(F.col("specification").alias("text"), F.lit("T:").alias("mark")),
+             scores.where("explanation like '0 of %'").select(F.col("explanation").alias("text"), F.lit("N:").alias("mark")),
+             spark.createDataFrame([(_BELOW, "P:")], "text string, mark string")]
+    memory = known[0].union(known[1]).union(known[2]).distinct().select(F.md5("text").alias("text_md5"), F.concat("mark", "text").alias("translated"))
+    out = tx.translate_records(rec, ["job_id", "candidate_id"], memory, "de")
+    by_type = F.array_sort(F.map_entries("r.requirement_matches"))
+    lines = F.flatten(F.transform(by_type, lambda e: F.transform(e["value"], lambda m: F.concat_ws(
+        "|", m["requirement"]["specification"], m["score"]["explanation"]))))
+    return out.select("job_id", "candidate_id", F.col("r.promising_result.explanation").alias("explanation"),
+                      F.md5(F.array_join(lines, "\n")).alias("matches_md5"))

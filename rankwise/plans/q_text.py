@@ -187,3 +187,27 @@ def q_name_checks(spark, sf_dir):
     names = _pseudonyms(spark, sf_dir).select(F.col("s_suppkey").alias("id"), "name")
     cust = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     return tx.name_checks(names.unionByName(cust))
+
+
+def _clean_sql(x: str) -> str:
+    return f"replace(replace({x}, chr(160), ' '), chr(8203), ' ')"
+
+
+@register("document_texts", f"""WITH prof(lang, lang_rank, token) AS (VALUES {_profile_sql()}),
+doc AS (SELECT conv_id, {_clean_sql(f"string_agg({strip_sql('text')}, chr(10) ORDER BY turn)")} AS text FROM conversations GROUP BY conv_id),
+tk AS (SELECT conv_id, unnest({_TOKS.format(x='text')}) AS token FROM doc),
+h AS (SELECT conv_id, lang, lang_rank, count(*) AS hits FROM tk JOIN prof USING (token) GROUP BY ALL),
+best AS (SELECT conv_id, lang AS detected FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY hits DESC, lang_rank) AS rn FROM h) WHERE rn = 1),
+mem AS (SELECT DISTINCT text, 'T:' || chr(160) || left(text, 40) AS translated FROM doc WHERE conv_id % 3 = 0),
+out AS (SELECT conv_id, detected, {_clean_sql("CASE WHEN detected <> 'en' THEN coalesce(translated, doc.text) ELSE doc.text END")} AS text
+        FROM doc LEFT JOIN best USING (conv_id) LEFT JOIN mem ON mem.text = doc.text)
+SELECT conv_id, detected, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS n_chars FROM out""")
+def q_document_texts(spark, sf_dir):
+    """X9 as a chain: turns as pages, replacements, language, a memory that knows every third text (also English ones, which
+    must stay), replacements once more."""
+    conv = table(spark, sf_dir, "conversations")
+    known = tx.normalise_documents(tx.assemble_pages(conv.where("conv_id % 3 = 0"), ["conv_id"], "turn", "text"))
+    memory = known.select(F.md5("text").alias("text_md5"), F.concat(F.lit("T:" + fx.NBSP), F.substring("text", 1, 40)).alias("translated"))
+    out = tx.document_texts(conv, ["conv_id"], "turn", "text", memory)
+    return out.select("conv_id", "detected", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"))

@@ -83,3 +83,31 @@ def test_rule_file_and_translation_memory(spark, tmp_dir):
     assert [r["lang"] for r in todo.collect()] == ["es"]
     out = {r["id"]: r["text"] for r in tx.apply_translations(docs, "text", memory).collect()}
     assert out == {1: "hello world", 2: "hello", 3: "hola"}
+
+
+def test_records_are_translated_in_place(spark):
+    """Nulls, empty lists, repeated and unknown texts; nothing happens in the native language; null keys are records too."""
+    m = lambda v, e, t, s: ((v, e), (t, s))
+    rows = [(1, (0.5, (True, "yes"), {"a": [m(1, "why", "must", "spec"), m(2, "spec", "may", None)], "b": []})),
+            (2, (0.5, (False, None), None)), (3, (None, None, {"a": None})), (4, None), (None, (1.0, (True, "why"), {}))]
+    df = spark.createDataFrame(rows, f"k long, r {tx.RECORD}")
+    memory = spark.createDataFrame([("yes", "ja"), ("why", "warum"), ("spec", "Angabe"), ("spec", "Angabe")], "text string, translated string").select(
+        F.md5("text").alias("text_md5"), "translated")
+    got = {r.k: r.r for r in tx.translate_records(df, ["k"], memory, "de").collect()}
+    assert got[1].promising_result == (True, "ja") and got[1].total_score == 0.5 and got[1].requirement_matches["b"] == []
+    assert got[1].requirement_matches["a"] == [((1, "warum"), ("must", "Angabe")), ((2, "Angabe"), ("may", None))]
+    assert got[2].requirement_matches is None and got[2].promising_result == (False, None) and got[3].promising_result is None
+    assert got[4] is None and got[None].promising_result.explanation == "warum" and len(got) == 5
+    assert tx.translate_records(df, ["k"], memory, "en") is df
+    left = tx.record_work_list(df, memory.where("translated <> 'ja'")).collect()
+    assert [(r.text, r.n_records) for r in left] == [("yes", 1)]
+
+
+def test_document_chain(spark):
+    nb = " "
+    pages = [(1, 2, "und der"), (1, 1, f" das{nb}ist "), (2, 1, "the and of"), (3, 1, "zzz"), (4, 1, "le la les")]
+    df = spark.createDataFrame(pages, "d long, p int, t string")
+    memory = spark.createDataFrame([("das ist\nund der", f"that{nb}is"), ("the and of", "no"), ("zzz", "no")], "text string, translated string").select(
+        F.md5("text").alias("text_md5"), "translated")
+    got = {r.d: (r.text, r.detected) for r in tx.document_texts(df, ["d"], "p", "t", memory).collect()}
+    assert got == {1: ("that is", "de"), 2: ("the and of", "en"), 3: ("zzz", None), 4: ("le la les", "fr")}
