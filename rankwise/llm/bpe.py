@@ -7,8 +7,10 @@ transducer keeps the one token that would end there (a prefix's encoding is
 decided by its last token, and two tokens may stand side by side exactly if
 merging their bytes gives them back).  Where the chains of all those
 positions run together, everything before is stable and is emitted.  Between
-pretokens the state is empty.  Most pretokens are shorter than the horizon;
-they reach their end first, and are merged by rank and remembered.
+pretokens the state is empty.  Every pretoken goes through the transducer;
+most are shorter than the horizon and reach their end first, and the ids of
+those are remembered.  Merging by rank only answers, once for each token and
+each pair of neighbours, whether they stay as they are.
 
 Decoding turns ids to bytes, and bytes to text by an incremental UTF-8 state
 machine that holds at most an unfinished character.
@@ -79,6 +81,11 @@ class Coder:
             self.ranks.setdefault((vocab[a], vocab[b]), rank)
             self.merged.append(vocab[a + b])
         self.none = len(self.merged)
+        self.made, self.parts = [-1] * size, [(0, 0)] * size
+        for pair, rank in self.ranks.items():
+            self.made[self.merged[rank]], self.parts[self.merged[rank]] = rank, pair
+        if len(set(self.merged)) < self.none or any(self.made[p] >= r for r, m in enumerate(self.merged) for p in self.parts[m]):
+            raise ValueError("a token with two merges, or made before its parts")
         #: Longest token that merging can make: what is read later can't reach back further.
         self.horizon = max(len(self.bytes_of[i]) for i in self.merged)
         self.cut = regex.compile(PRETOKENS).findall
@@ -87,7 +94,25 @@ class Coder:
         self.decimal = list(map(str, range(size)))
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.alone: dict[int, bool] = {}
+        #: Tree of the tokens' bytes: node << 8 | byte -> node; each node's parent and byte, and its token or -1.
+        self.tree: dict[int, int] = {}
+        self.above: list[tuple[int, int]] = [(0, 0)]
+        self.token_at = [-1]
+        for data, i in self.id_of.items():
+            node = 0
+            for byte in data:
+                step = node << 8 | byte
+                if step not in self.tree:
+                    self.tree[step] = len(self.above)
+                    self.above.append((node, byte))
+                    self.token_at.append(-1)
+                node = self.tree[step]
+            self.token_at[node] = i
+        self.shorter = [-1] * len(self.above)
+        self.endings: list[tuple[tuple[int, int], ...] | None] = [None] * len(self.above)
+        self.jumps: dict[int, int] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """Merges by rank, the leftmost first: the definition, for short strings."""
@@ -108,29 +133,82 @@ class Coder:
         return ids
 
     def side_by_side(self, a: int, b: int) -> bool:
-        key = (a, b)
-        ok = self.pairs.get(key)
+        """Whether merging the bytes of both gives both; remembered.
+
+        Their last merges are taken back one by one, the later first: nothing
+        may have joined the two sides before it.  (Of two equal merges the left
+        one is made first.)"""
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        key, ok = a << 20 | b, True
+        made, parts, none = self.made, self.parts, self.none
+        before = none  # the rank of the merge taken back last
+        while ok := self.ranks.get((a, b), none) >= before:
+            if made[a] > made[b]:
+                before, a = made[a], parts[a][1]
+            elif made[b] >= 0:
+                before, b = made[b] + 1, parts[b][0]
+            else:
+                break
+        self.pairs[key] = ok
+        return ok
+
+    def jump(self, node: int, byte: int) -> int:
+        """The longest end of the bytes read, ``byte`` included, that begins a token."""
+        key = node << 8 | byte
+        to = self.tree.get(key)
+        if to is None:
+            to = self.jumps.get(key)
+        if to is None:
+            to = self.jump(self.shorter_of(node), byte) if node else 0
+            if len(self.jumps) >= PAIRS:
+                self.jumps.clear()
+            self.jumps[key] = to
+        return to
+
+    def shorter_of(self, node: int) -> int:
+        """The longest proper end of a node's bytes that begins a token."""
+        if self.shorter[node] < 0:
+            parent, byte = self.above[node]
+            self.shorter[node] = self.jump(self.shorter_of(parent), byte) if parent else 0
+        return self.shorter[node]
+
+    def ending(self, node: int) -> tuple[tuple[int, int], ...]:
+        """Tokens (with their sizes) that a node's bytes end with, the longest first."""
+        out = self.endings[node]
+        if out is None:
+            out = self.ending(self.shorter_of(node)) if node else ()
+            token = self.token_at[node]
+            if token >= 0:
+                out = ((token, len(self.bytes_of[token])), *out)
+            self.endings[node] = out
+        return out
+
+    def stands_alone(self, token: int) -> bool:
+        """Whether merging the token's bytes gives the token."""
+        ok = self.alone.get(token)
         if ok is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            ok = self.pairs[key] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            ok = self.alone[token] = self.merge(self.bytes_of[token]) == [token]
         return ok
 
     def stream(self, data: Iterable[int]) -> Iterator[int]:
         """Tokens of one pretoken's bytes, each as soon as it is stable."""
         held = bytearray()  # bytes that are not emitted
         last: list[int] = []  # last[i]: the token that ends after held[i]
+        edge, endings, known = self.tree.get, self.endings, self.pairs.get
+        n = node = 0
         for byte in data:
             held.append(byte)
-            n = len(held)
-            for size in range(min(n, self.horizon), 0, -1):
-                token = self.id_of.get(bytes(held[n - size:]))
-                if token is None:
-                    continue
-                if size == n:
-                    if self.merge(held) == [token]:
+            n += 1
+            after = edge(node << 8 | byte)
+            node = self.jump(node, byte) if after is None else after
+            for token, size in endings[node] or self.ending(node):
+                if size < n:
+                    left = last[n - size - 1]
+                    ok = known(left << 20 | token)
+                    if self.side_by_side(left, token) if ok is None else ok:
                         break
-                elif self.side_by_side(last[n - size - 1], token):
+                elif size == n and self.stands_alone(token):
                     break
             last.append(token)
             if n >= 4 * self.horizon and n % self.horizon == 0:
@@ -142,6 +220,7 @@ class Coder:
                     keep = len(self.bytes_of[done[-1]])
                     held, last = held[stable - keep:], last[stable - keep:]
                     last[:keep] = [-1] * (keep - 1) + [done[-1]]
+                    n = len(held)
         yield from self._chain(last, len(last))
 
     def _chain(self, last: list[int], end: int) -> list[int]:
@@ -165,9 +244,9 @@ class Coder:
         ids = self.older.get(w)
         if ids is None:
             data = w.encode()
+            ids = tuple(self.stream(data))
             if len(data) > 4 * self.horizon:
-                return tuple(self.stream(data))
-            ids = tuple(self.merge(data))
+                return ids
         if len(self.words) >= WORDS:
             self.words, self.older = {}, self.words
         self.words[w] = ids

@@ -39,6 +39,15 @@ def test_bpe_equals_the_library(spark, name):
     assert Counter(tuple(r) for r in bpe.digest(frame(spark, rows)).collect()) == want
 
 
+def test_neighbours_stay_as_merging_leaves_them():
+    """The pair test of the transducer against merging, on pairs of tokens and on pairs that do merge."""
+    rng = random.Random(5)
+    ids = sorted(CODER.id_of.values())
+    pairs = [(rng.choice(ids), rng.choice(ids)) for _ in range(5_000)] + rng.sample(sorted(CODER.ranks), 5_000)
+    for a, b in pairs:
+        assert CODER.side_by_side(a, b) == (CODER.merge(CODER.bytes_of[a] + CODER.bytes_of[b]) == [a, b]), (a, b)
+
+
 @given(st.text(max_size=60) | st.text(alphabet="ab  \n\t'sreltdIm1.é中<|endoftext|>", max_size=80))
 @settings(max_examples=300, deadline=None)
 def test_bpe_of_any_text(text):
