@@ -37,17 +37,22 @@ BALLOT_COLS = ["job_id", "rater", "rater_ord", "candidate", "place", "promising"
 
 
 def discordant_pairs(df: DataFrame, by: Sequence[str], a: str = "a", b: str = "b",
-                     block_bits: int = 12) -> DataFrame:
+                     block_bits: int = 12, top: str | None = None) -> DataFrame:
     """Exact count of discordant pairs per group: ``(by..., n, discordant)``.
 
     ``a`` and ``b`` must be distinct positive integers within a group
-    (positions of the same element in two rankings).
+    (positions of the same element in two rankings).  ``top`` names a column
+    that is the same for all rows of a group and no ``b`` of it exceeds (the
+    size of the ranking); without it each group's highest ``b`` is joined.
     """
     by = list(by)
-    base = df.select(*by, F.col(a).cast("long").alias("_a"), (F.col(b).cast("long") - 1).alias("_b0"))
-    top = base.agg(F.max("_b0").alias("m")).first()["m"]  # one scalar: highest position
-    levels = max(int(top or 0).bit_length(), 1)
-    x = (base.withColumn("_L", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    if top is None:
+        tops = df.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.max(b).alias("_top"))
+        same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+        df, top = df.join(tops, same).drop(*[f"_by_{c}" for c in by]), "_top"
+    base = df.select(*by, F.col(a).cast("long").alias("_a"), (F.col(b).cast("long") - 1).alias("_b0"),
+                     F.greatest(F.col(top).cast("long") - 1, F.lit(1).cast("long")).alias("_high"))
+    x = (base.withColumn("_L", F.explode(F.sequence(F.lit(0), F.length(F.bin("_high")) - 1))).drop("_high")
          .withColumn("_bit", F.expr("shiftright(_b0, _L) & 1"))
          .withColumn("_p", F.expr("shiftright(_b0, _L + 1)"))
          .withColumn("_blk", F.shiftright("_a", block_bits)))
@@ -70,14 +75,21 @@ def tau_from_discordant(n: Column, d: Column) -> Column:
     return F.when(n >= 2, F.lit(1.0) - F.lit(4.0) * d / (n * (n - 1)))
 
 
+def _ballot_tops(ballots: DataFrame, entity: Sequence[str] = ()) -> DataFrame:
+    """``(job_id, top)``: what no place and no rank of a name on a ballot of the job exceeds."""
+    per = ballots.groupBy("job_id", *entity).agg(F.max("place").cast("long").alias("_p"), F.count(F.lit(1)).alias("_n"))
+    high = F.greatest("_p", "_n")
+    return per.groupBy("job_id").agg(F.max(high).alias("top")) if entity else per.select("job_id", high.alias("top"))
+
+
 def _pair_positions(left: DataFrame, right: DataFrame, method: str, pair_keys: Sequence[str]) -> DataFrame:
-    """Rows ``(job_id, <pair keys>, a, b)`` for one comparison per pair of ballots."""
+    """Rows ``(job_id, <pair keys>, a, b, top)`` for one comparison per pair of ballots."""
     if method == "rank":
         j = left.join(right, ["job_id", "candidate"])
-        return j.select("job_id", *pair_keys, F.col("place_l").alias("a"), F.col("place_r").alias("b"))
+        return j.select("job_id", *pair_keys, F.col("place_l").alias("a"), F.col("place_r").alias("b"), "top")
     if method == "label_sequence":
         j = left.join(right, ["job_id", "place"])
-        return j.select("job_id", *pair_keys, F.col("lex_l").alias("a"), F.col("lex_r").alias("b"))
+        return j.select("job_id", *pair_keys, F.col("lex_l").alias("a"), F.col("lex_r").alias("b"), "top")
     raise ValueError(f"unknown tau method {method!r}")
 
 
@@ -104,8 +116,8 @@ def compare_to_reference(ballots: DataFrame, reference: DataFrame, method: str =
         left = lexed.filter(F.col("_who") != "\u0000ref").select(
             "job_id", F.col("_who").alias("rater"), "place", F.col("lex").alias("lex_l"))
         right = lexed.filter(F.col("_who") == "\u0000ref").select("job_id", "place", F.col("lex").alias("lex_r"))
-    pos = _pair_positions(left, right, method, ["rater"])
-    tau = discordant_pairs(pos, ["job_id", "rater"]).withColumn(
+    pos = _pair_positions(left, right.join(_ballot_tops(reference), "job_id"), method, ["rater"])
+    tau = discordant_pairs(pos, ["job_id", "rater"], top="top").withColumn(
         "tau", tau_from_discordant(F.col("n"), F.col("discordant")))
     ham = hamming_to_reference(ballots, reference)
     return ham.join(tau.select("job_id", "rater", "tau", "n"), ["job_id", "rater"], "left")
@@ -146,11 +158,12 @@ def pairwise(ballots: DataFrame, method: str = "rank") -> DataFrame:
         right = b.select("job_id", F.col("entity").alias("entity_b"), F.col("ord").alias("ord_b"), "candidate",
                          F.col("place").alias("place_r"))
     key = "place" if method == "label_sequence" else "candidate"
+    right = right.join(_ballot_tops(b, ["entity"]), "job_id")
     j = left.join(right, ["job_id", key]).filter(F.col("ord_a") < F.col("ord_b"))
     pos = j.select("job_id", "entity_a", "entity_b",
                    F.col("lex_l" if method == "label_sequence" else "place_l").alias("a"),
-                   F.col("lex_r" if method == "label_sequence" else "place_r").alias("b"))
-    tau = discordant_pairs(pos, ["job_id", "entity_a", "entity_b"]).withColumn(
+                   F.col("lex_r" if method == "label_sequence" else "place_r").alias("b"), "top")
+    tau = discordant_pairs(pos, ["job_id", "entity_a", "entity_b"], top="top").withColumn(
         "tau", tau_from_discordant(F.col("n"), F.col("discordant")))
     # Hamming from promising rows only
     p = b.filter("promising")

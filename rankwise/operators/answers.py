@@ -145,7 +145,7 @@ def parse_requirements(answers: DataFrame, text_col: str, types: DataFrame,
 
     An answer that is not one JSON object keeps one row with the reason
     (``no_json``, ``not_one_object``, ``malformed``) and null fields.  Unknown
-    types (left semi join to the dimension), values that are not lists and
+    types (join to the dimension, one row a type), values that are not lists and
     list items that are not objects are dropped; an object with a bad field
     keeps a ``reason`` - use ``raise_on_reject`` for the strict behaviour.
     """
@@ -155,25 +155,22 @@ def parse_requirements(answers: DataFrame, text_col: str, types: DataFrame,
             .withColumn("_m", F.when(F.length("_obj") > 0, F.from_json(F.col("_obj"), entry, JSON_OPTIONS)))
             .withColumn("reason", F.when(F.length("_obj") == 0, "no_json").when(F.col("_obj").isNull(), "no_json")
                         .when(~single_object(F.col("_obj")), "not_one_object").when(F.col("_m").isNull(), "malformed")))
-    bad = base.filter(F.col("reason").isNotNull()).select(
-        *keys, F.lit(None).cast("string").alias("req_type"), F.lit(None).cast("int").alias("req_pos"),
-        F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("specification"), "reason")
-    entries = base.filter(F.col("reason").isNull()).select(*keys, F.explode("_m").alias("req_type", "_val"))
-    entries = entries.join(types.select(F.col("type").alias("req_type"), "ord"), "req_type", "left_semi")
-    lists = entries.filter(F.trim("_val").startswith("["))
-    items = lists.select(*keys, "req_type",
-                         F.posexplode(F.from_json("_val", T.ArrayType(T.StringType()), JSON_OPTIONS))
-                         .alias("req_pos", "_item"))
-    objs = items.filter(F.trim("_item").startswith("{"))
+    # one pass: an answer with a reason keeps one row of nulls through both explodes
+    entries = base.select(*keys, "reason", F.explode_outer(F.when(F.col("reason").isNull(), F.col("_m"))).alias("req_type", "_val"))
+    known = types.select(F.col("type").alias("req_type"), F.lit(True).alias("_known"))
+    entries = entries.join(known, "req_type", "left").filter(F.col("reason").isNotNull() | F.col("_known"))
+    listed = F.when(F.trim("_val").startswith("["), F.from_json("_val", T.ArrayType(T.StringType()), JSON_OPTIONS))
+    items = entries.select(*keys, "req_type", F.col("reason").alias("_whole"), F.posexplode_outer(listed).alias("req_pos", "_item"))
+    objs = items.filter(F.col("_whole").isNotNull() | F.trim("_item").startswith("{"))
     parsed = objs.withColumn("_r", F.from_json("_item", REQUIREMENT_ITEM, JSON_OPTIONS))
     kind, spec = strict_text(F.col("_r.type")), strict_text(F.col("_r.specification"))
-    reason = (F.when(F.col("_r._corrupt").isNotNull(), F.lit("malformed"))
+    reason = (F.when(F.col("_whole").isNotNull(), F.col("_whole"))
+              .when(F.col("_r._corrupt").isNotNull(), F.lit("malformed"))
               .when(F.col("_r.type").isNull(), F.lit("missing_type"))
               .when(F.coalesce(~kind.isin(list(kinds)), F.lit(True)), F.lit("bad_type"))
               .when(F.col("_r.specification").isNull(), F.lit("missing_specification"))
               .when(spec.isNull(), F.lit("bad_specification")))
-    good = parsed.select(*keys, "req_type", "req_pos", kind.alias("kind"), spec.alias("specification"), reason.alias("reason"))
-    return good.unionByName(bad)
+    return parsed.select(*keys, "req_type", "req_pos", kind.alias("kind"), spec.alias("specification"), reason.alias("reason"))
 
 
 # ------------------------------------------------------------- answer step

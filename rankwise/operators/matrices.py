@@ -25,8 +25,12 @@ def with_margins(cells: DataFrame, value: str = "value", key: str = "job_id") ->
     g = cells.groupingSets([[key, "entity_a", "entity_b"], [key, "entity_a"], [key, "entity_b"], [key]],
                            key, "entity_a", "entity_b")
     out = g.agg(F.avg(value).alias(value), F.grouping_id().alias("_gid"))
-    return out.select(key, F.coalesce("entity_a", F.lit(MEAN_LABEL)).alias("entity_a"),
-                      F.coalesce("entity_b", F.lit(MEAN_LABEL)).alias("entity_b"), value)
+    return out.select(key, _label("entity_a", 2), _label("entity_b", 1), value)
+
+
+def _label(column: str, bit: int) -> Column:
+    """A grouping column, or the label where it is aggregated (``bit`` of ``_gid``); a null of the data stays null."""
+    return F.when(F.col("_gid").bitwiseAND(bit) > 0, F.lit(MEAN_LABEL)).otherwise(F.col(column)).alias(column)
 
 
 def entity_sets(cells: DataFrame) -> DataFrame:
@@ -77,17 +81,15 @@ def time_table(headers: DataFrame) -> DataFrame:
     """Job x rater minutes with a mean column (per job) and a mean row
     (per rater) and the corner, long form ``(job_id, rater, minutes)``."""
     g = headers.groupingSets([["job_id", "rater"], ["job_id"], ["rater"], []], "job_id", "rater")
-    out = g.agg(F.avg("minutes").alias("minutes"))
-    return out.select(F.coalesce("job_id", F.lit(MEAN_LABEL)).alias("job_id"),
-                      F.coalesce("rater", F.lit(MEAN_LABEL)).alias("rater"), "minutes")
+    out = g.agg(F.avg("minutes").alias("minutes"), F.grouping_id().alias("_gid"))
+    return out.select(_label("job_id", 2), _label("rater", 1), "minutes")
 
 
 def model_time_table(run_info: DataFrame) -> DataFrame:
     """A19 (model): minutes = seconds / 60 per job plus a mean row."""
     m = run_info.select("job_id", (F.col("seconds_taken") / 60.0).alias("minutes"))
     g = m.groupingSets([["job_id"], []], "job_id")
-    return g.agg(F.avg("minutes").alias("minutes")).select(
-        F.coalesce("job_id", F.lit(MEAN_LABEL)).alias("job_id"), "minutes")
+    return g.agg(F.avg("minutes").alias("minutes"), F.grouping_id().alias("_gid")).select(_label("job_id", 1), "minutes")
 
 
 def wide(cells: DataFrame, value: str = "value") -> DataFrame:

@@ -78,7 +78,7 @@ def q_clamped_answers(spark, sf_dir):
 @register("parsed_requirements", f"""WITH {F5C_SQL}
 SELECT event_id, req_type, req_pos, kind, specification, reason FROM reqs_parsed""")
 def q_parsed_requirements(spark, sf_dir):
-    r = ans.parse_requirements(fx.f5c_requirement_answers(spark, sf_dir), "answer", requirement_types(spark))
+    r = ans.parse_requirements(fx.f5c_requirement_answers(spark, sf_dir), "answer", F.broadcast(requirement_types(spark)))
     return r.select("event_id", "req_type", F.col("req_pos").cast("bigint").alias("req_pos"), "kind",
                     "specification", "reason")
 
@@ -106,7 +106,7 @@ SELECT event_id, CASE WHEN k > 3 THEN 'education' END AS req_type, CASE WHEN k I
 FROM (SELECT *, event_id % 7 AS k FROM events)""")
 def q_extraction_rejects(spark, sf_dir):
     """Every bad extraction answer keeps a row with its reason."""
-    r = ans.parse_requirements(fx.f5e_bad_extractions(spark, sf_dir), "answer", requirement_types(spark))
+    r = ans.parse_requirements(fx.f5e_bad_extractions(spark, sf_dir), "answer", F.broadcast(requirement_types(spark)))
     return r.select("event_id", "req_type", "kind", "specification", "reason")
 
 
