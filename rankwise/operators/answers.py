@@ -162,8 +162,9 @@ def parse_requirements(answers: DataFrame, text_col: str, types: DataFrame,
     listed = F.when(F.trim("_val").startswith("["), F.from_json("_val", T.ArrayType(T.StringType()), JSON_OPTIONS))
     items = entries.select(*keys, "req_type", F.col("reason").alias("_whole"), F.posexplode_outer(listed).alias("req_pos", "_item"))
     objs = items.filter(F.col("_whole").isNotNull() | F.trim("_item").startswith("{"))
-    parsed = objs.withColumn("_r", F.from_json("_item", REQUIREMENT_ITEM, JSON_OPTIONS))
-    kind, spec = strict_text(F.col("_r.type")), strict_text(F.col("_r.specification"))
+    parsed = (objs.withColumn("_r", F.from_json("_item", REQUIREMENT_ITEM, JSON_OPTIONS))
+              .withColumns({"_type": strict_text(F.col("_r.type")), "_spec": strict_text(F.col("_r.specification"))}))
+    kind, spec = F.col("_type"), F.col("_spec")
     reason = (F.when(F.col("_whole").isNotNull(), F.col("_whole"))
               .when(F.col("_r._corrupt").isNotNull(), F.lit("malformed"))
               .when(F.col("_r.type").isNull(), F.lit("missing_type"))
