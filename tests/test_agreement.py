@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from rankwise.operators import agreement
+from rankwise.operators import agreement, matrices
 
 BASE = ["dog", "cat", "mom", "tennis"]
 # worked examples: (second ranking, tau rank mode, tau label-sequence mode)
@@ -107,3 +107,18 @@ def test_rank_biased_overlap_examples(spark, p, a, b, want):
     from rankwise.operators.described import rank_biased_overlap
     got = rank_biased_overlap(_ballots(spark, [("a", a)]), _ballots(spark, [("ref", b)]), p).collect()
     assert (got[0]["rbo"] if got else 0.0) == pytest.approx(want, abs=1e-4)
+
+
+def test_margins_are_told_from_null_labels(spark):
+    cells = spark.createDataFrame([("j", None, "a", 1.0), ("j", None, None, 3.0), ("j", "a", "a", 5.0), ("j", "a", None, 7.0)],
+                                  "job_id string, entity_a string, entity_b string, value double")
+    got = {(r["entity_a"], r["entity_b"]): r["value"] for r in matrices.with_margins(cells).collect()}
+    assert got == {(None, "a"): 1.0, (None, None): 3.0, ("a", "a"): 5.0, ("a", None): 7.0, (None, "mean"): 2.0,
+                   ("a", "mean"): 6.0, ("mean", "a"): 3.0, ("mean", None): 5.0, ("mean", "mean"): 4.0}
+
+
+def test_discordant_pairs_with_a_bound_of_the_group(spark):
+    df = spark.createDataFrame([(None, 1, 3, 9), (None, 2, 1, 9), (None, 3, 2, 9), ("g", 1, 1, 1)], "g string, a int, b int, n int")
+    for top in (None, "n"):
+        got = {r["g"]: (r["n"], r["discordant"]) for r in agreement.discordant_pairs(df, ["g"], top=top).collect()}
+        assert got == {None: (3, 2), "g": (1, 0)}
