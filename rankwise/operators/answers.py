@@ -210,3 +210,66 @@ def pandas_scorer(fn: Callable, input_col: str, parallelism: int | None = None)
         return df.mapInPandas(run, schema)
 
     return scorer
+
+
+#: Rows of an answer table: what was asked by hash, the answer or why there is none, how often the caller was tried.
+ANSWER_TABLE = "request_key string, answer string, reason string, tries int, run int"
+
+
+def judge(requests: DataFrame, input_col: str, fn: Callable, store: str, *, callers: int = 8, tries: int = 3) -> DataFrame:
+    """E1 with a memory: every distinct request is asked once, whatever number of runs share ``store``.
+
+    ``store`` is a folder of answers keyed by the hash of the request.  A run
+    asks only requests without an answer there (an anti join), at most
+    ``callers`` at a time, in Arrow batches of the caller's ``fn`` (``Series``
+    of texts -> sequence of answers).  A batch that fails is asked text by
+    text, each at most ``tries`` times; what still fails, and a null answer,
+    is a row with a ``reason`` and is asked again by the next run.  Answers
+    are written before they are joined back, so that a lost executor
+    or a second action never asks again what was written.
+
+    Returns the requests with ``answer, reason, run`` (the number of the run
+    that got the answer); a null request is an empty text.
+    """
+    spark = requests.sparkSession
+    spark.createDataFrame([], ANSWER_TABLE).write.mode("ignore").parquet(store)
+    keyed = requests.withColumn("request_key", F.sha2(F.coalesce(F.col(input_col), F.lit("")), 256))
+    known = spark.read.schema(ANSWER_TABLE).parquet(store)
+    run = known.agg(F.coalesce(F.max("run"), F.lit(0))).first()[0] + 1
+    todo = (keyed.groupBy("request_key").agg(F.coalesce(F.min(input_col), F.lit("")).alias("_input"))
+            .join(known.where("reason is null").select("request_key"), "request_key", "left_anti"))
+
+    def ask(batches):
+        for rows in batches:
+            out = rows[["request_key"]].copy()
+            out["answer"], out["reason"], out["tries"] = _asked(fn, rows["_input"], tries)
+            out["run"] = run
+            yield out
+
+    todo.repartition(callers).mapInPandas(ask, ANSWER_TABLE).write.mode("append").parquet(store)
+    best = F.struct((F.col("reason").isNull()).alias("ok"), "run", "answer", "reason")
+    got = spark.read.schema(ANSWER_TABLE).parquet(store).groupBy("request_key").agg(F.max(best).alias("_got"))
+    return (keyed.join(got, "request_key", "left")
+            .select(*requests.columns, *[F.col(f"_got.{c}").alias(c) for c in ("answer", "reason", "run")]))
+
+
+def _asked(fn: Callable, texts, tries: int) -> tuple[list, list, list]:
+    """Answers, reasons and tries of one batch."""
+    try:
+        answers = list(fn(texts))
+        if len(answers) == len(texts):
+            return [None if a is None else str(a) for a in answers], ["no_answer" if a is None else None for a in answers], [1] * len(answers)
+    except Exception:  # noqa: BLE001 - the caller's code; each text gets its own turn below
+        pass
+    out = [], [], []
+    for i in range(len(texts)):
+        answer, reason, n = None, None, 0
+        while answer is None and n < tries:
+            n += 1
+            try:
+                answer, reason = next(iter(fn(texts.iloc[i:i + 1]))), "no_answer"
+            except Exception as failed:  # noqa: BLE001
+                reason = f"failed: {type(failed).__name__}"
+        for column, value in zip(out, (None if answer is None else str(answer), None if answer is not None else reason, n), strict=True):
+            column.append(value)
+    return out

@@ -72,9 +72,8 @@ def transform_cells(cells: DataFrame, transform: Callable[[Column], Column], val
 
 def tau_distance_cells(tau_cells: DataFrame, ballot_size: DataFrame) -> DataFrame:
     """X5 + E3: tau -> number of discordant pairs, floor with a 1e-9 guard."""
-    return (tau_cells.join(ballot_size, "job_id")
-            .withColumn("value", tau_to_pair_distance(F.col("value"), F.col("n")).cast("double"))
-            .drop("n"))
+    return transform_cells(tau_cells.join(ballot_size, "job_id"),
+                           lambda tau: tau_to_pair_distance(tau, F.col("n")).cast("double")).drop("n")
 
 
 def time_table(headers: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankwise.plans import q_chat, q_described, q_evaluation, q_front, q_scoring, q_sources, q_streaming, q_text  # noqa: F401
+from rankwise.plans import q_chat, q_described, q_evaluation, q_files, q_front, q_scoring, q_sources, q_streaming, q_text  # noqa: F401
 from rankwise.plans.registry import REGISTRY, Builder
 
 

@@ -249,3 +249,28 @@ def f4_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
           .select(F.concat(F.lit("job_"), F.col("n_nationkey").cast("string"), F.lit("/job_description."),
                            F.col("s")).alias("path")))
     return cands.unionByName(jd)
+
+
+def f4_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F4 with contents ``(path, content)``: a candidate's file holds the document of the same number (or a fixed
+    sentence where there is none), a job description the name of its nation."""
+    from rankwise.sources.files import parse_paths
+    paths = parse_paths(f4_paths(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("candidate_no"), F.col("text").alias("_cv"))
+    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("job_no"), F.col("n_name").alias("_job"))
+    text = F.when(F.col("kind") == "candidate", F.coalesce("_cv", F.lit("no text"))).otherwise(F.col("_job"))
+    return paths.join(docs, "candidate_no", "left").join(names, "job_no", "left").select("path", text.alias("content"))
+
+
+def f3_result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F3 as the files of a model run ``(path, content)``: per job a table of the candidates without places, and the run info.
+
+    A job's number is the code of its letter; a job has as many candidates as there are brands (25)."""
+    model, info = f3_model_ballots(spark, sf_dir)
+    folder = F.concat(F.lit("job_"), F.ascii("job_id").cast("string"), F.lit("/result/"))
+    line = F.concat_ws(",", "candidate", F.col("promising").cast("string"), (F.lit(100) - F.col("place")).cast("string"))
+    tables = (model.groupBy("job_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("_lines"))
+              .select(F.concat(folder, F.lit("job_match_result.csv")).alias("path"),
+                      F.concat(F.lit("candidate,promising,total_score\n"), "_lines").alias("content")))
+    infos = info.select(F.concat(folder, F.lit("additional_info.json")).alias("path"), F.to_json(F.struct("seconds_taken")).alias("content"))
+    return tables.unionByName(infos)

@@ -7,6 +7,8 @@ to a new location; nothing is collected to the driver.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,3 +95,64 @@ def combined_response(overview: DataFrame, records: DataFrame) -> DataFrame:
     """The overview rows of each request with their records, a row per (job, candidate); nothing is gathered
     per job."""
     return overview.join(records.select("job_id", "candidate_id", "record"), ["job_id", "candidate_id"], "left")
+
+
+# ------------------------------------------------------------------ named files
+
+def write_files(contents: DataFrame, root: str, path_col: str = "path", content_col: str = "content") -> None:
+    """A file of its own for each row: ``root/<path>`` with the row's bytes or text (null: an empty file).
+
+    Spark's writers name their files themselves; a document tree (S1), a
+    configuration (S7) or a result folder of other programs (S6) needs given
+    names.  The tasks write, to a name of their own that no scan reads, and
+    move the file to its place when it is whole: a task that runs again, or
+    twice, leaves the same files.  Rows of equal path overwrite each other.
+    """
+    rows = contents.select(F.col(path_col).cast("string").alias("path"), F.col(content_col).cast("binary").alias("content"))
+
+    def write(batches):
+        import pyarrow as pa
+        store, base = _file_system(root)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                place = f"{base}/{path}"
+                folder, name = place.rsplit("/", 1)
+                store.create_dir(folder, recursive=True)
+                part = f"{folder}/_{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(content or b"")
+                store.move(part, place)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    rows.mapInArrow(write, "n bigint").write.format("noop").mode("overwrite").save()
+
+
+def _file_system(root: str):
+    """Arrow's file system for a folder as Spark names it, and the folder's path on it."""
+    from urllib.parse import urlparse
+
+    from pyarrow import fs
+    at = urlparse(root)
+    if at.scheme in ("", "file"):
+        return fs.LocalFileSystem(), at.path.rstrip("/")
+    return fs.FileSystem.from_uri(root.rstrip("/"))
+
+
+def write_ballot_csv(wide: DataFrame, layout: list[dict], path: str, ts_col: str, order_col: str) -> None:
+    """The questionnaire file that S5 reads: time stamp, then a block per job, in the order of ``order_col``.
+
+    Labels repeat from block to block, which Spark's CSV writer refuses, so
+    lines are made by ``to_csv`` and written as text.  One file by nature: a
+    line per rater of one questionnaire.
+    """
+    cols, labels = [ts_col], ["Timestamp"]
+    for blk in layout:
+        cols += [blk["minutes"], blk["promising"], *[c for c, _ in blk["places"]]]
+        labels += ["Minutes for this job?", "Promising candidates?", *[label for _, label in blk["places"]]]
+    quoting = {"escape": '"', "nullValue": ""}
+    line = lambda values: F.to_csv(F.struct(*[v.cast("string").alias(f"c{i}") for i, v in enumerate(values)]), quoting)
+    body = wide.select(F.lit(1).alias("k"), F.col(f"`{order_col}`").alias("t"), line([F.col(f"`{c}`") for c in cols]).alias("value"))
+    head = wide.sparkSession.range(1).select(F.lit(0).alias("k"), F.lit(None).cast(dict(wide.dtypes)[order_col]).alias("t"),
+                                             line([F.lit(x) for x in labels]).alias("value"))
+    body.unionByName(head).repartition(1).sortWithinPartitions("k", "t", "value") \
+        .select("value").write.mode("overwrite").text(path)

@@ -112,7 +112,8 @@ def scan_documents(spark: SparkSession, root: str, with_content: bool = True, jo
     """S1 on real files: recursive ``binaryFile`` scan of ``candidate_*`` and
     ``job_description.*`` files; text documents decoded as UTF-8.
 
-    ``jobs`` restricts the scan to the folders ``job_<n>`` below ``root``."""
+    ``jobs`` restricts the scan to the folders ``job_<n>`` below ``root``.
+    Files without a byte are not seen: Spark's file sources pass over them."""
     names = "{candidate_*,job_description}.{%s}" % ",".join(x for s in DOCUMENT_SUFFIXES for x in (s, s.upper()))
     paths = [f"{root.rstrip('/')}/job_{j}" for j in jobs] or [root]
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(paths)
@@ -167,11 +168,41 @@ def read_model_results(spark: SparkSession, root: str) -> tuple[DataFrame, DataF
     return res, info.select("job_no", "seconds_taken")
 
 
-def read_overview(spark: SparkSession, path: str) -> DataFrame:
-    """S6 on the layout that ``sinks.write_overview`` writes (S8): the overview with its types; ``place`` as written."""
+#: Types of an overview's fixed columns; every ``score (<type>)`` is a double, other columns stay text.
+OVERVIEW_TYPES = {"candidate_id": "bigint", "place": "bigint", "promising": "boolean", "total_score": "double", "job_id": "string"}
+
+
+def read_overview(spark: SparkSession, path: str, types: dict[str, str] | None = None) -> DataFrame:
+    """S6 on the layout that ``sinks.write_overview`` writes (S8): the overview with its types; ``place`` as written.
+
+    ``types`` adds to ``OVERVIEW_TYPES`` or overrides it; a value that isn't of its column's type becomes null."""
+    kinds = OVERVIEW_TYPES | (types or {})
+    raw = spark.read.option("header", True).csv(path)
+    of = lambda c: kinds.get(c, "double" if c.startswith("score (") else "string")
+    return raw.select(*[F.col(f"`{c}`").try_cast(of(c)).alias(c) for c in raw.columns])
+
+
+def read_matrices(spark: SparkSession, path: str) -> DataFrame:
+    """Matrix cells as ``sinks.write_matrices`` writes them (S10): ``metric, job_id, entity_a, entity_b, value``."""
     raw = spark.read.option("header", True).csv(path)
-    kinds = {"candidate_id": "bigint", "place": "bigint", "promising": "boolean", "total_score": "double", "job_id": "string"}
-    return raw.select(*[F.col(f"`{c}`").try_cast(kinds.get(c, "double")).alias(c) for c in raw.columns])
+    return raw.select(*[F.col(c).cast("string").alias(c) for c in ("metric", "job_id", "entity_a", "entity_b")],
+                      F.col("value").try_cast("double").alias("value"))
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """The evaluation report of S11 in long form: ``scope, job_id, metric, value``; a metric without a value has no row."""
+    rows = spark.read.schema("scope string, job_id string, metrics string").json(path)
+    return rows.select("scope", "job_id", F.explode(F.from_json("metrics", "map<string, double>")).alias("metric", "value"))
+
+
+def read_run_info(spark: SparkSession, path: str) -> DataFrame:
+    """Run info as ``sinks.write_run_info`` writes it (S12): ``job_id, seconds_taken``."""
+    return spark.read.schema("job_id string, seconds_taken bigint").json(path)
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Match records as ``sinks.write_records`` writes them (S9): ``job_id, candidate_id, record``."""
+    return spark.read.schema("candidate_id bigint, record string, job_id string").json(path).select("job_id", "candidate_id", "record")
 
 
 # ------------------------------------------------------ requirement types
