@@ -29,7 +29,7 @@ import codecs
 import hashlib
 import json
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import batched, chain
 
 import pyarrow as pa
 import regex
@@ -40,7 +40,9 @@ from rankwise.llm.common import text_slices
 #: How a byte-level vocabulary cuts text before merging (a fixed value of the file format).
 PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bounds of what is remembered, in entries.
-WORDS, PAIRS = 100_000, 100_000
+WORDS, PAIRS = 100_000, 200_000
+#: First bytes of a pretoken after which the state is remembered.
+HEAD = 5
 #: Characters cut into pretokens at once.
 SLICE = 1 << 18
 
@@ -72,6 +74,7 @@ class Coder:
             self.bytes_of[i] = in_bytes[t]
         for t, i in self.special.items():
             self.bytes_of[i] = t.encode()
+        self.sizes = list(map(len, self.bytes_of))
         self.id_of = {b: vocab[t] for t, b in in_bytes.items()}
         self.single = [self.id_of[bytes([b])] for b in range(256)]
         self.ranks: dict[tuple[int, int], int] = {}
@@ -96,6 +99,7 @@ class Coder:
         self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
+        self.begun: dict[bytes, tuple[int, list[int]]] = {}
         #: Tree of the tokens' bytes: node << 8 | byte -> node; each node's parent and byte, and its token or -1.
         self.tree: dict[int, int] = {}
         self.above: list[tuple[int, int]] = [(0, 0)]
@@ -191,43 +195,62 @@ class Coder:
             ok = self.alone[token] = self.merge(self.bytes_of[token]) == [token]
         return ok
 
-    def stream(self, data: Iterable[int]) -> Iterator[int]:
-        """Tokens of one pretoken's bytes, each as soon as it is stable."""
-        held = bytearray()  # bytes that are not emitted
-        last: list[int] = []  # last[i]: the token that ends after held[i]
-        edge, endings, known = self.tree.get, self.endings, self.pairs.get
-        n = node = 0
+    def read(self, data: Iterable[int], last: list[int], node: int) -> int:
+        """Reads bytes from the state ``(last, node)``: ``last`` grows by the token that ends after each byte, the node
+        (the longest end of the bytes read that begins a token) is returned."""
+        edge, jumped, endings, known, alone = self.tree.get, self.jumps.get, self.endings, self.pairs.get, self.alone.get
+        n = len(last)
         for byte in data:
-            held.append(byte)
+            key = node << 8 | byte
+            # every byte begins a token, so no step leads to the root (0)
+            node = edge(key) or jumped(key) or self.jump(node, byte)
             n += 1
-            after = edge(node << 8 | byte)
-            node = self.jump(node, byte) if after is None else after
             for token, size in endings[node] or self.ending(node):
                 if size < n:
-                    left = last[n - size - 1]
+                    left = last[-size]
                     ok = known(left << 20 | token)
-                    if self.side_by_side(left, token) if ok is None else ok:
+                    if ok or ok is None and self.side_by_side(left, token):
+                        break
+                elif size == n:
+                    ok = alone(token)
+                    if ok or ok is None and self.stands_alone(token):
                         break
-                elif size == n and self.stands_alone(token):
-                    break
             last.append(token)
-            if n >= 4 * self.horizon and n % self.horizon == 0:
+        return node
+
+    def stream(self, data: Iterable[int]) -> Iterator[int]:
+        """Tokens of one pretoken's bytes, each as soon as it is stable."""
+        last: list[int] = []  # last[i]: the token that ends after byte i of those that are not emitted
+        node = 0
+        for part in batched(data, self.horizon):
+            node = self.read(part, last, node)
+            if len(last) >= 4 * self.horizon:
                 stable = self._common(last)
                 if stable:
                     done = self._chain(last, stable)
                     yield from done[:-1]
                     # the last stable token stays, as the left neighbour of what comes
-                    keep = len(self.bytes_of[done[-1]])
-                    held, last = held[stable - keep:], last[stable - keep:]
-                    last[:keep] = [-1] * (keep - 1) + [done[-1]]
-                    n = len(held)
+                    keep = self.sizes[done[-1]]
+                    last = [-1] * (keep - 1) + [done[-1]] + last[stable:]
         yield from self._chain(last, len(last))
 
+    def begin(self, head: bytes) -> tuple[int, list[int]]:
+        """The state after a pretoken's first bytes; remembered, as many pretokens begin alike."""
+        state = self.begun.get(head)
+        if state is None:
+            last: list[int] = []
+            state = self.read(head, last, 0), last
+            if len(self.begun) >= PAIRS:
+                self.begun.clear()
+            self.begun[head] = state
+        return state
+
     def _chain(self, last: list[int], end: int) -> list[int]:
-        out = []
+        out, sizes = [], self.sizes
         while end > 0:
-            out.append(last[end - 1])
-            end -= len(self.bytes_of[last[end - 1]])
+            token = last[end - 1]
+            out.append(token)
+            end -= sizes[token]
         return out[::-1]
 
     def _common(self, last: list[int]) -> int:
@@ -236,7 +259,7 @@ class Coder:
         while len(ends) > 1:
             top = max(ends)
             ends.remove(top)
-            ends.add(top - len(self.bytes_of[last[top - 1]]))
+            ends.add(top - self.sizes[last[top - 1]])
         return max(0, ends.pop())
 
     def word(self, w: str) -> tuple[int, ...]:
@@ -244,9 +267,13 @@ class Coder:
         ids = self.older.get(w)
         if ids is None:
             data = w.encode()
-            ids = tuple(self.stream(data))
             if len(data) > 4 * self.horizon:
-                return ids
+                return tuple(self.stream(data))
+            # its end comes before anything would be emitted: one reading, then the chain back from the end
+            node, last = self.begin(data[:HEAD])
+            last = last.copy()
+            self.read(data[HEAD:], last, node)
+            ids = tuple(self._chain(last, len(last)))
         if len(self.words) >= WORDS:
             self.words, self.older = {}, self.words
         self.words[w] = ids

@@ -63,6 +63,16 @@ def test_stream_equals_merging_by_rank(seed, letters, n):
     assert list(CODER.stream(data)) == CODER.merge(data)
 
 
+@given(st.integers(0, 10**6), st.integers(1, 60))
+@settings(max_examples=60, deadline=None)
+def test_words_that_begin_alike_equal_merging_by_rank(seed, n):
+    r = random.Random(seed)
+    begin = "".join(r.choice(" theéÃ") for _ in range(r.randrange(8)))
+    for _ in range(8):
+        w = begin + "".join(r.choice("etaoin thé=-0") for _ in range(r.randrange(n)))
+        assert list(CODER.word(w)) == CODER.merge(w.encode())
+
+
 def test_stream_memory_is_bounded_and_emits_early():
     r = random.Random(1)
     fed = 0
