@@ -8,6 +8,7 @@ joins against small dimension tables with a fixed, proven size.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -175,14 +176,22 @@ def parse_rules(lines: DataFrame, line_col: str = "value") -> DataFrame:
                        F.when(F.size(parts) != 2, F.lit("bad_rule")).alias("reason"))
 
 
-def load_rules(spark, path: str, strict: bool = True) -> list[tuple[str, str]]:
-    """Read a replacement-rule file (``old>new`` lines) in file order.
+#: Bytes of rules that one job takes: they travel with the plan as one constant.
+MAX_RULE_BYTES = 16 << 20
+
 
-    The rule list is configuration - a short file - and becomes literals in
-    one projection (``redact``); a malformed line is an error in strict mode
-    and skipped otherwise."""
-    lines = spark.read.text(path).withColumn("rule_no", F.monotonically_increasing_id())
-    rules = parse_rules(lines).orderBy("rule_no").collect()
+def load_rules(spark, path: str, strict: bool = True) -> list[tuple[str, str]]:
+    """Replacement rules (``old>new`` lines) of a file or a folder, files by path and lines as they stand.
+
+    A rule file is configuration; rules of more than ``MAX_RULE_BYTES`` in all
+    are an error, found before anything is read to the driver.  A malformed
+    line is an error in strict mode and skipped otherwise."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    size = whole.agg(F.coalesce(F.sum(F.octet_length("value")), F.lit(0))).first()[0]
+    if size > MAX_RULE_BYTES:
+        raise ValueError(f"{size} bytes of replacement rules, at most {MAX_RULE_BYTES} are taken")
+    lines = whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    rules = parse_rules(lines.withColumn("rule_no", F.struct("file", "line"))).orderBy("rule_no").collect()
     bad = [r for r in rules if r["reason"] is not None]
     if bad and strict:
         raise ValueError(f"{len(bad)} malformed replacement rule(s), first: {bad[0]['old']!r}")
@@ -202,6 +211,34 @@ def redact(docs: DataFrame, text_col: str, rules: Sequence[tuple[str, str]]) ->
     return docs.select("*", cur.alias("redacted"), *hits)
 
 
+def redact_by_rules(docs: DataFrame, text_col: str, rules: Sequence[tuple[str, str]]) -> DataFrame:
+    """X18 for rule lists of any length: the rules are data, one constant array that a fold goes through, so that the
+    plan doesn't grow with them.
+
+    Each rule is tried only where its text occurs at that point (a plain
+    search).  Adds ``redacted`` and ``hits``, an array of ``(rule_no, n)`` in
+    order, of the rules that occur: non-overlapping places in the text as it is
+    when the rule applies.  A rule with an empty left side does nothing; a null
+    text stays null and has no hits.  Rules of more than ``MAX_RULE_BYTES`` are
+    an error.
+    """
+    size = sum(len(old.encode()) + len(new.encode()) for old, new in rules)
+    if size > MAX_RULE_BYTES:
+        raise ValueError(f"{size} bytes of replacement rules, at most {MAX_RULE_BYTES} are taken")
+    listed = json.dumps([{"rule_no": i, "old": old, "new": new} for i, (old, new) in enumerate(rules) if old])
+    table = F.from_json(F.lit(listed), "array<struct<rule_no: int, old: string, new: string>>")
+    state = "struct<t: string, hits: array<struct<rule_no: int, n: bigint>>>"
+
+    def step(acc: Column, rule: Column) -> Column:
+        n = ((F.length(acc["t"]) - F.length(F.replace(acc["t"], rule["old"], F.lit("")))) / F.length(rule["old"])).cast("bigint")
+        hit = F.array(F.struct(rule["rule_no"].alias("rule_no"), n.alias("n")))
+        after = F.struct(F.replace(acc["t"], rule["old"], rule["new"]).alias("t"), F.concat(acc["hits"], hit).alias("hits")).cast(state)
+        return F.when(F.contains(acc["t"], rule["old"]), after).otherwise(acc)
+    start = F.struct(F.col(text_col).cast("string").alias("t"), F.array().alias("hits")).cast(state)
+    folded = docs.withColumn("_folded", F.aggregate(table, start, step))
+    return folded.select(*docs.columns, F.col("_folded.t").alias("redacted"), F.col("_folded.hits").alias("hits"))
+
+
 def strip_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Anchors replaced by their visible text, bare URLs removed."""
     return pages.withColumn(html_col, remove_links(html_col))

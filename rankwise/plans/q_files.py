@@ -9,9 +9,9 @@ import json
 from pyspark.sql import functions as F
 
 from rankwise.functions.columns import round6
-from rankwise.operators import agreement, answers as ans, ballots as bl, matrices, metrics, scoring, timing
+from rankwise.operators import agreement, answers as ans, matrices, metrics, scoring, text as tx, timing
 from rankwise.plans import fixtures as fx
-from rankwise.plans.oracle import F1_SQL, F4_SQL, TYPES_VALUES_SQL, pairwise_sql
+from rankwise.plans.oracle import F1_SQL, F4_SQL, F5_SQL, TYPES_VALUES_SQL, pairwise_sql
 from rankwise.plans.q_chat import TIMER_SQL
 from rankwise.plans.q_evaluation import _ENTS, _METRIC_COLS, W, _entities, _metrics_sql
 from rankwise.plans.q_front import NATIVE_SQL, _front_scores
@@ -118,6 +118,30 @@ def q_configured_totals(spark, sf_dir):
     return t.select("job_id", "candidate_id", round6("total_score").alias("total_score"))
 
 
+_RULE_WORDS_SQL = """
+words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS old FROM benchmark),
+rules AS (SELECT list({o: old, n: '[' || left(md5(old), 4) || ']'} ORDER BY old) AS rs FROM words)"""
+
+
+@register("redaction_by_rule_files", f"""WITH {F5_SQL},{_RULE_WORDS_SQL},
+folded AS (SELECT doc_id, list_reduce(list_prepend({{t: text, o: '', n: '', k: 0, h: 0}},
+    list_transform(rs, lambda r: {{t: '', o: r.o, n: r.n, k: 0, h: 0}})), lambda a, r: {{t: replace(a.t, r.o, r.n), o: '', n: '',
+    k: a.k + CASE WHEN contains(a.t, r.o) THEN 1 ELSE 0 END,
+    h: a.h + CAST((length(a.t) - length(replace(a.t, r.o, ''))) // length(r.o) AS INTEGER)}}) AS f FROM f5, rules)
+SELECT doc_id, md5(f.t) AS redacted_md5, CAST(f.k AS BIGINT) AS n_rules, CAST(f.h AS BIGINT) AS n_hits FROM folded""")
+def q_redaction_by_rule_files(spark, sf_dir):
+    """X17 + X18: a rule for every word of the benchmark, in two rule files, read in order and applied one after the other."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0)).alias("old")).distinct()
+    line = F.concat("old", F.lit(">["), F.substring(F.md5("old"), 1, 4), F.lit("]"))
+    name = F.when(F.col("old") < "m", F.lit("rules_1.txt")).otherwise(F.lit("rules_2.txt"))
+    content = words.groupBy(name.alias("path")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("old", line.alias("l"))))["l"], "\n").alias("content"))
+    root = _scratch(spark, "rules")
+    sinks.write_files(content, root)
+    out = tx.redact_by_rules(fx.f5_documents(spark, sf_dir), "text", tx.load_rules(spark, root))
+    return out.select("doc_id", F.md5("redacted").alias("redacted_md5"), F.size("hits").cast("bigint").alias("n_rules"),
+                      F.aggregate("hits", F.lit(0).cast("bigint"), lambda acc, h: acc + h["n"]).alias("n_hits"))
+
+
 # ------------------------------------------------------------------ sinks read back
 
 @register("overview_files", f"""WITH {F1_SQL}, piv AS (

@@ -1,5 +1,6 @@
 """Text jobs: replacement chain, redaction, links, language tags, pseudonyms, names, pages."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from rankwise.functions.columns import ballot_timestamp, label_suffix, name_set, strip_unicode
@@ -66,7 +67,6 @@ def test_ballot_columns(spark):
 
 
 def test_rule_file_and_translation_memory(spark, tmp_dir):
-    import pytest
     path = f"{tmp_dir}/rules.txt"
     with open(path, "w") as f:
         f.write("# names\nAnna>Person A\nBerg>Surname B\n")
@@ -111,3 +111,47 @@ def test_document_chain(spark):
         F.md5("text").alias("text_md5"), "translated")
     got = {r.d: (r.text, r.detected) for r in tx.document_texts(df, ["d"], "p", "t", memory).collect()}
     assert got == {1: ("that is", "de"), 2: ("the and of", "en"), 3: ("zzz", None), 4: ("le la les", "fr")}
+
+
+def test_five_thousand_rules_equal_the_chain(spark):
+    """One plan whatever the number of rules; later rules see what earlier ones wrote."""
+    import random
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("abcdé ") for _ in range(n))
+    rules = [(word(r.randrange(1, 5)), word(r.randrange(0, 4))) for _ in range(5000)]
+    rules[10:10] = [("", "never"), ("\n", "\"\\"), ("\"\\", "[quote]")]
+    texts = [word(400), "line\nline", "", None, "zzz", "a" * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    out = tx.redact_by_rules(docs, "text", rules)
+    assert len(out._jdf.queryExecution().logical().toString()) < 2_000_000
+    for row in out.collect():
+        text, hits = texts[row.id], []
+        for i, (old, new) in enumerate(rules):
+            if text is not None and old and old in text:
+                hits.append((i, text.count(old)))
+                text = text.replace(old, new)
+        assert row.redacted == text and [tuple(h) for h in row.hits] == hits
+    few = tx.redact(docs, "text", rules[:10])
+    same = few.join(tx.redact_by_rules(docs, "text", rules[:10]).withColumnRenamed("redacted", "again"), "id")
+    assert same.where(~F.col("redacted").eqNullSafe(F.col("again"))).count() == 0
+
+
+def test_no_rules_and_too_many(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "x")], "id int, text string")
+    assert [(r.redacted, r.hits) for r in tx.redact_by_rules(docs, "text", []).collect()] == [("x", [])]
+    monkeypatch.setattr(tx, "MAX_RULE_BYTES", 3)
+    with pytest.raises(ValueError):
+        tx.redact_by_rules(docs, "text", [("ab", "cd")])
+
+
+def test_rules_keep_the_order_of_files_and_lines(spark, tmp_dir, monkeypatch):
+    want = []
+    for f in range(3):
+        lines = [f"{f}-{i}>{i}" for i in range(50)]
+        want += [(f"{f}-{i}", str(i)) for i in range(50)]
+        with open(f"{tmp_dir}/rules_{f}.txt", "w", newline="") as out:
+            out.write("# head\r\n" + "\r\n".join(lines) + "\n\n")
+    assert tx.load_rules(spark, tmp_dir) == want
+    monkeypatch.setattr(tx, "MAX_RULE_BYTES", 100)
+    with pytest.raises(ValueError):
+        tx.load_rules(spark, tmp_dir)
