@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from rankwise.functions.columns import DEFAULT_TEXT_REPLACEMENTS, is_two_part_name, replace_chain, strip_unicode
 from rankwise.functions.text import remove_links, tokens
 from rankwise.operators.ranking import rank_within
+from rankwise.session import checkpointed
 
 # Small function-word profiles per language (our own lists).
 LANGUAGE_PROFILES: dict[str, list[str]] = {
@@ -75,6 +76,51 @@ def language_of(text_col: str) -> Column:
     return F.get(best, F.lit(0))
 
 
+#: Character n-grams of a learnt profile: how many it keeps, and how many labelled documents of a language it is learnt from.
+PROFILE_GRAMS, PROFILE_DOCUMENTS = 4000, 100
+
+
+def character_grams(docs: DataFrame, keep: Sequence[str], text_col: str = "text") -> DataFrame:
+    """``keep..., gram``: the three-character pieces of every word of the whole text, a blank at both ends of a word."""
+    words = docs.select(*keep, F.explode(tokens(text_col)).alias("_word"))
+    padded = words.withColumn("_word", F.concat(F.lit(" "), "_word", F.lit(" ")))
+    return padded.select(*keep, F.explode(F.transform(F.sequence(F.lit(1), F.length("_word") - 2), lambda i: F.substr("_word", i, F.lit(3)))).alias("gram"))
+
+
+def learn_language_profiles(labelled: DataFrame, id_col: str, lang_col: str = "lang", text_col: str = "text",
+                            languages: Sequence[str] = tuple(sorted(LANGUAGE_PROFILES)), documents: int = PROFILE_DOCUMENTS,
+                            grams: int = PROFILE_GRAMS) -> DataFrame:
+    """Character n-gram profiles out of labelled documents: ``gram, w_<language>...``, ``grams`` rows at most.
+
+    Learnt from whole texts of at most ``documents`` documents a language (those of least hashed id).  A weight is the
+    logarithm of a gram's smoothed share in the language, in thousandths rounded down: whole numbers, whose sums
+    don't depend on their order.  The most frequent grams are kept (ties: the smaller gram).
+    """
+    languages = list(languages)
+    known = labelled.where(F.col(lang_col).isin(languages)).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
+    least = rank_within(known, ["_lang"], [F.md5(F.col("_id").cast("string")), "_id"], name="_r").where(F.col("_r") <= documents)
+    per = [F.count_if(F.col("_lang") == lang).alias(f"c_{lang}") for lang in languages]
+    counts = checkpointed(character_grams(least, ["_lang"], "_text").groupBy("gram").agg(F.count(F.lit(1)).alias("_all"), *per))
+    totals = counts.agg(*[F.coalesce(F.sum(f"c_{lang}"), F.lit(0)).alias(lang) for lang in languages]).first()
+    top = counts.orderBy(F.desc("_all"), "gram").limit(grams)
+    return checkpointed(top.select("gram", *[F.floor(1000 * F.log((F.col(f"c_{lang}") + 1.0) / F.lit(float(totals[lang] + grams)))).cast("bigint")
+                                             .alias(f"w_{lang}") for lang in languages]))
+
+
+def detect_language_by_grams(docs: DataFrame, id_col: str, profiles: DataFrame, text_col: str = "text") -> DataFrame:
+    """The language under whose profile a text is likeliest: ``id, detected, hits`` (grams of the text that the profiles hold).
+
+    Grams meet the profiles (a bounded table, broadcast) in the document's own task and are summed there; one row a
+    document is shuffled.  Ties go to the smaller code; a text without a known gram (null, empty, another script)
+    has no language and no row.  Rows of equal id count as one document.
+    """
+    languages = sorted(c[2:] for c in profiles.columns if c.startswith("w_"))
+    hits = character_grams(docs, [id_col], text_col).join(F.broadcast(profiles), "gram")
+    sums = hits.groupBy(id_col).agg(F.count(F.lit(1)).alias("hits"), *[F.sum(f"w_{lang}").alias(f"w_{lang}") for lang in languages])
+    best = F.array_max(F.array(*[F.struct(F.col(f"w_{lang}").alias("w"), F.lit(-i).alias("i"), F.lit(lang).alias("lang")) for i, lang in enumerate(languages)]))
+    return sums.select(id_col, best["lang"].alias("detected"), "hits")
+
+
 def translation_work_list(docs: DataFrame, text_col: str, lang_col: str, memory: DataFrame | None,
                           working_language: str = "en") -> DataFrame:
     """X11 (re-aimed): distinct texts not in the working language, minus the

@@ -68,6 +68,33 @@ def q_language_tags(spark, sf_dir):
                     F.coalesce(F.col("given") == F.col("detected"), F.lit(False)).alias("agrees")))
 
 
+_LANGS = sorted(tx.LANGUAGE_PROFILES)
+_IN = ", ".join(f"'{lang}'" for lang in _LANGS)
+
+
+@register("language_tags_by_grams", f"""WITH {F5_SQL},
+nd AS (SELECT doc_id, lang, replace(replace(text, chr(160), ' '), chr(8203), ' ') AS text FROM f5),
+tk AS (SELECT doc_id, unnest({_TOKS.format(x='text')}) AS w FROM nd),
+g AS (SELECT doc_id, unnest(list_transform(range(1, length(w) + 1), lambda i: substr(' ' || w || ' ', i, 3))) AS gram FROM tk),
+pick AS (SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS r
+         FROM nd WHERE lang IN ({_IN})) WHERE r <= {tx.PROFILE_DOCUMENTS}),
+cnt AS (SELECT lang, gram, count(*) AS c FROM g JOIN pick USING (doc_id) GROUP BY ALL),
+tot AS (SELECT l.lang, coalesce(sum(c), 0) AS t FROM (SELECT unnest([{_IN}]) AS lang) l LEFT JOIN cnt USING (lang) GROUP BY ALL),
+top AS (SELECT gram FROM cnt GROUP BY gram ORDER BY sum(c) DESC, gram LIMIT {tx.PROFILE_GRAMS}),
+prof AS (SELECT top.gram, tot.lang, CAST(floor(1000 * ln((coalesce(c, 0) + 1.0) / CAST(t + {tx.PROFILE_GRAMS} AS DOUBLE))) AS BIGINT) AS w
+         FROM top CROSS JOIN tot LEFT JOIN cnt ON cnt.gram = top.gram AND cnt.lang = tot.lang),
+sc AS (SELECT doc_id, p.lang, sum(w) AS s, count(*) AS n FROM g JOIN prof p USING (gram) GROUP BY ALL),
+best AS (SELECT doc_id, lang AS detected, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) AS r FROM sc) WHERE r = 1)
+SELECT doc_id, lang AS given, detected, CAST(n AS BIGINT) AS hits, coalesce(lang = detected, false) AS agrees FROM nd LEFT JOIN best USING (doc_id)""")
+def q_language_tags_by_grams(spark, sf_dir):
+    """X10 by character n-grams: profiles learnt from at most 100 labelled documents a language, every document tagged."""
+    d = tx.normalise_documents(fx.f5_documents(spark, sf_dir))
+    tags = tx.detect_language_by_grams(d, "doc_id", tx.learn_language_profiles(d, "doc_id"))
+    return (d.select("doc_id", F.col("lang").alias("given")).join(tags, "doc_id", "left")
+            .select("doc_id", "given", "detected", F.col("hits").cast("bigint").alias("hits"),
+                    F.coalesce(F.col("given") == F.col("detected"), F.lit(False)).alias("agrees")))
+
+
 @register("translation_work_list", f"""{LANG_SQL}
 SELECT md5(text) AS text_md5, detected AS lang, CAST(count(*) AS BIGINT) AS n_docs
 FROM tags WHERE detected <> 'en' GROUP BY ALL""")

@@ -155,3 +155,41 @@ def test_rules_keep_the_order_of_files_and_lines(spark, tmp_dir, monkeypatch):
     monkeypatch.setattr(tx, "MAX_RULE_BYTES", 100)
     with pytest.raises(ValueError):
         tx.load_rules(spark, tmp_dir)
+
+
+def _labelled(spark):
+    rows = [(1, "the thing that they thought", "en"), (2, "die dinge und das denken", "de"), (3, None, "en"), (4, "", "de"), (5, "xx", "nl"),
+            (None, "the other thing", "en")]
+    return spark.createDataFrame(rows, "id int, text string, lang string")
+
+
+def test_language_profiles_equal_counting_by_hand(spark):
+    import math
+    from collections import Counter
+    got = {r.gram: (r.w_de, r.w_en) for r in tx.learn_language_profiles(_labelled(spark), "id", languages=["de", "en"], grams=20).collect()}
+    count = {lang: Counter() for lang in ("de", "en")}
+    for r in _labelled(spark).collect():
+        if r.lang in count:
+            for w in (r.text or "").split():
+                count[r.lang].update((" " + w + " ")[i:i + 3] for i in range(len(w)))
+    both = count["de"] + count["en"]
+    top = sorted(both, key=lambda g: (-both[g], g))[:20]
+    share = lambda lang, g: math.floor(1000 * math.log((count[lang][g] + 1) / (sum(count[lang].values()) + 20)))
+    assert got == {g: (share("de", g), share("en", g)) for g in top}
+
+
+def test_language_by_grams(spark):
+    profiles = spark.createDataFrame([(" th", -9, -2), (" di", -2, -9), (" a ", -5, -5)], "gram string, w_de long, w_en long")
+    docs = spark.createDataFrame([(1, "This, the DIE"), (2, "die Dinge"), (3, "a"), (4, None), (5, ""), (6, "本"), (7, "the " * 50000)], "id int, text string")
+    got = {r.id: (r.detected, r.hits) for r in tx.detect_language_by_grams(docs, "id", profiles).collect()}
+    assert got == {1: ("en", 3), 2: ("de", 2), 3: ("de", 1), 7: ("en", 50000)}
+    nothing = tx.learn_language_profiles(_labelled(spark).where("false"), "id")
+    assert nothing.count() == 0 and tx.detect_language_by_grams(docs, "id", nothing).count() == 0
+
+
+def test_profiles_are_learnt_from_a_bounded_sample(spark):
+    many = spark.range(50).select(F.col("id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    few = tx.learn_language_profiles(many, "id", languages=["en"], documents=3, grams=1000)
+    assert few.count() <= 3 * 4
+    again = tx.learn_language_profiles(many.repartition(7), "id", languages=["en"], documents=3, grams=1000)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, again.collect()))
