@@ -22,6 +22,7 @@ HEADLINE = [
     "consensus_ranking",
     "native_scores",                        # n-gram scorer, documents x benchmark
     "scored_overview",                      # end-to-end scoring front
+    "answered_scores",                      # the answer step: requests, answer texts, parsing, join back
     "parsed_score_answers",
     "parsed_requirements",
     "language_tags",

@@ -76,6 +76,20 @@ def q_message_records(spark, sf_dir):
     return m.select("conv_id", "turn", "author", F.md5("text").alias("text_md5"))
 
 
+@register("message_times", """
+WITH m AS (SELECT user_id AS conv_id, event_id AS turn, event_type, epoch_us(ts) AS us FROM events)
+SELECT conv_id, turn, CASE WHEN event_type = 'click' THEN 'user' WHEN event_type = 'purchase' THEN 'model' ELSE 'system' END AS author,
+       event_type AS text, CAST(us AS BIGINT) AS created_us,
+       CAST(ceil((us - lag(us) OVER (PARTITION BY conv_id ORDER BY turn)) / 1000000.0) AS BIGINT) AS elapsed FROM m""")
+def q_message_times(spark, sf_dir):
+    """C4 with times: events as the messages of their user; seconds since the message before, rounded up."""
+    role = F.when(F.col("event_type") == "click", F.lit("user")).when(F.col("event_type") == "purchase", F.lit("assistant")).otherwise(F.lit("system"))
+    said = table(spark, sf_dir, "events").select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), role.alias("role"),
+                                                 F.concat(F.lit(" "), "event_type", F.lit("\u00a0")).alias("text"), "ts")
+    m = cv.message_records(said, "ts")
+    return m.select("conv_id", "turn", "author", "text", F.unix_micros("created").alias("created_us"), "elapsed")
+
+
 TIMER_SQL = """
 ev AS (SELECT user_id, event_id, ts, event_type = 'purchase' AS is_stop FROM events WHERE event_type IN ('click', 'purchase')),
 seg AS (SELECT *, coalesce(sum(CAST(is_stop AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id
