@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankwise.functions.text import tokens
+from rankwise.operators.native_scorer import overlap_scores
 from rankwise.operators.ranking import desc, prefix_count, rank_within
 
 
@@ -77,6 +78,32 @@ def shortlist(scores: DataFrame, k: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= k)
 
 
+def coarse_scores(requirements: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``job_id, candidate_id, coarse`` for every candidate: each word of a job's requirements weighs a millionth part of
+    its requirements' words, a document gets the weights of the words it holds (0 without any).
+
+    Distinct words meet the words of their job only, whole numbers are summed;
+    no positions, no n-grams and no pairs with requirements."""
+    spec = requirements.select("job_id", "requirement_id", F.array_distinct(tokens("specification")).alias("_t"))
+    weights = (spec.select("job_id", F.floor(F.lit(1_000_000) / F.greatest(F.size("_t"), F.lit(1))).alias("_w"), F.explode("_t").alias("token"))
+               .groupBy("job_id", "token").agg(F.sum("_w").alias("_w")))
+    words = candidates.select("job_id", "candidate_id", F.explode(F.array_distinct(tokens("text"))).alias("token"))
+    found = words.join(weights, ["job_id", "token"]).groupBy("job_id", "candidate_id").agg(F.sum("_w").alias("coarse"))
+    return (candidates.select("job_id", "candidate_id").distinct().join(found, ["job_id", "candidate_id"], "left")
+            .withColumn("coarse", F.coalesce("coarse", F.lit(0)).cast("bigint")))
+
+
+def shortlist_coarse_to_fine(requirements: DataFrame, candidates: DataFrame, k: int, keep: int) -> DataFrame:
+    """The ``k`` best candidates of each job, where only the ``keep`` best by ``coarse_scores`` (ties by id) are scored in full.
+
+    Both limits are the feature: a shortlist for less work.  A candidate that
+    the coarse score doesn't keep can't be on it, so it is not exact; with
+    ``keep`` as large as the job it equals scoring all."""
+    kept = rank_within(coarse_scores(requirements, candidates), ["job_id"], [desc("coarse"), "candidate_id"], name="_r").filter(F.col("_r") <= keep)
+    fine = overlap_scores(requirements, candidates.join(kept, ["job_id", "candidate_id"], "left_semi"))
+    return shortlist(fine, k)
+
+
 def knocked_out(scores: DataFrame, threshold: float) -> DataFrame:
     """Candidates whose mean on some mandatory requirement type is below
     the threshold (a knock-out criterion)."""

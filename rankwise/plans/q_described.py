@@ -80,6 +80,23 @@ def q_shortlist(spark, sf_dir):
                     round6("mean_score").alias("mean_score"))
 
 
+@register("shortlist_coarse_to_fine", f"""WITH {NATIVE_SQL},
+rt AS (SELECT job_id, requirement_id, list_distinct({_TOKS.format(x='specification')}) AS t FROM reqs),
+wt AS (SELECT job_id, token, sum(w) AS w FROM (SELECT job_id, CAST(floor(1000000 / greatest(len(t), 1)) AS BIGINT) AS w, unnest(t) AS token FROM rt) GROUP BY ALL),
+dt AS (SELECT job_id, candidate_id, unnest(list_distinct({_TOKS.format(x='text')})) AS token FROM ndocs),
+co AS (SELECT job_id, candidate_id, sum(w) AS c FROM dt JOIN wt USING (job_id, token) GROUP BY ALL),
+kept AS (SELECT job_id, candidate_id FROM (SELECT d.job_id, d.candidate_id, row_number() OVER (PARTITION BY d.job_id ORDER BY coalesce(c, 0) DESC, d.candidate_id) AS r
+         FROM docs d LEFT JOIN co USING (job_id, candidate_id)) WHERE r <= 15),
+m AS (SELECT job_id, candidate_id, sum(score) / count(*) AS mean_score FROM native JOIN kept USING (job_id, candidate_id) GROUP BY ALL)
+SELECT job_id, candidate_id, CAST(rk AS BIGINT) AS rank, round(mean_score, 6) AS mean_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY mean_score DESC, candidate_id) AS rk FROM m)
+WHERE rk <= 5""")
+def q_shortlist_coarse_to_fine(spark, sf_dir):
+    """Top five per job (a top-k report) out of the fifteen best by shared words; only these are scored in full."""
+    s = described.shortlist_coarse_to_fine(*_front(spark, sf_dir), 5, 15)
+    return s.select("job_id", "candidate_id", F.col("rank").cast("bigint").alias("rank"), round6("mean_score").alias("mean_score"))
+
+
 # Fixed presets (configuration): per job group a weighting of the types.
 PRESETS = {"default": dict(REQUIREMENT_TYPES),
            "skills_first": {t: (30 if t in ("hard_skills", "soft_skills") else 5) for t, _ in REQUIREMENT_TYPES},

@@ -59,3 +59,21 @@ def test_overview_ranks_every_candidate(spark):
     assert got == sorted(want)
     none = o.filter("candidate_id = 99").first()
     assert none["total_score"] == 0.0 and none["score (education)"] is None
+
+
+def test_coarse_to_fine_shortlist(spark):
+    """Keeping everyone equals scoring all; the coarse score orders by shared words; nulls, empty texts and jobs without words."""
+    from rankwise.operators import described
+    from rankwise.operators.native_scorer import overlap_scores
+    reqs = spark.createDataFrame([("a", 1, "spark sql joins"), ("a", 2, "sql"), ("b", 3, ""), ("c", 4, "rust")],
+                                 "job_id string, requirement_id int, specification string")
+    docs = spark.createDataFrame([("a", 1, "sql and spark sql joins"), ("a", 2, "sql"), ("a", 3, None), ("a", 4, ""), ("a", 5, "joins of spark"),
+                                  ("b", 6, "x"), ("b", 7, "y"), ("d", 8, "sql")], "job_id string, candidate_id int, text string")
+    coarse = {(r.job_id, r.candidate_id): r.coarse for r in described.coarse_scores(reqs, docs).collect()}
+    third = 1_000_000 // 3
+    assert coarse == {("a", 1): 3 * third + 1_000_000, ("a", 2): third + 1_000_000, ("a", 3): 0, ("a", 4): 0, ("a", 5): 2 * third,
+                      ("b", 6): 0, ("b", 7): 0, ("d", 8): 0}
+    rows = lambda df: sorted((r.job_id, r.candidate_id, r.rank, r.mean_score) for r in df.collect())
+    assert rows(described.shortlist_coarse_to_fine(reqs, docs, 3, 100)) == rows(described.shortlist(overlap_scores(reqs, docs), 3))
+    few = rows(described.shortlist_coarse_to_fine(reqs, docs, 3, 1))
+    assert [(j, c) for j, c, _, _ in few] == [("a", 1), ("b", 6)]
