@@ -1,0 +1,100 @@
+"""X18 inside a task: a long list of literal replacement rules over one text.
+
+A rule can only occur where all its pieces of ``PIECE`` bytes do.  A text's
+pieces are gathered once, and only the rules whose pieces it holds are tried,
+in order, each on the text as it is at its turn.  What a replacement adds is
+gathered too: at the places it touched, or, where its ends can be part of no
+rule, inside the new text alone.
+"""
+
+from __future__ import annotations
+
+import sys
+from collections.abc import Callable, Sequence
+from functools import cache
+from heapq import heappop, heappush
+
+import pyarrow as pa
+from pyspark import cloudpickle
+
+PIECE = 4
+
+
+def rule_fold(rules: Sequence[tuple[str, str]]) -> Callable[[bytes], tuple[bytes, list[int], list[int]]]:
+    """A function of a text in UTF-8: the text after all rules, the numbers of those that occur, and their hits."""
+    ordered = [(i, old.encode(), new.encode()) for i, (old, new) in enumerate(rules) if old]
+    sizes = {min(len(old), PIECE) for _, old, _ in ordered}
+    letters = frozenset(b"".join(old for _, old, _ in ordered))
+
+    def pieces_of(text: bytes, size: int) -> set[bytes]:
+        return {text[j:j + size] for j in range(len(text) - size + 1)}
+
+    needs = [frozenset(pieces_of(old, min(len(old), PIECE))) for _, old, _ in ordered]
+    starts: dict[bytes, list[int]] = {}  # rules by their first piece, and by each of their pieces
+    holders: dict[bytes, list[int]] = {}
+    for at, (_, old, _) in enumerate(ordered):
+        starts.setdefault(old[:PIECE], []).append(at)
+        for piece in needs[at]:
+            holders.setdefault(piece, []).append(at)
+
+    def known(text: bytes) -> set[bytes]:
+        """Pieces of the text that rules hold."""
+        return {piece for size in sizes for piece in holders.keys() & pieces_of(text, size)}
+
+    @cache
+    def closed(at: int) -> tuple[set[bytes], set[int]] | None:
+        """Pieces of the rule's new text and the rules possible inside it, if none can reach over its ends."""
+        new = ordered[at][2]
+        if not new or new[0] in letters or new[-1] in letters:
+            return None
+        found = known(new)
+        return found, {a for piece in found for a in holders[piece] if needs[a] <= found}
+
+    def fold(text: bytes) -> tuple[bytes, list[int], list[int]]:
+        held, numbers, hits = known(text), [], []
+        todo = sorted(at for piece in held & starts.keys() for at in starts[piece] if needs[at] <= held)  # a sorted list is a heap
+        seen = set(todo)
+        while todo:
+            at = heappop(todo)
+            number, old, new = ordered[at]
+            parts = text.split(old)
+            if len(parts) == 1:
+                continue
+            text = new.join(parts)
+            numbers.append(number)
+            hits.append(len(parts) - 1)
+            if (inside := closed(at)) is not None:
+                held |= inside[0]
+                later = inside[1]
+            else:
+                added, pos = set(), 0
+                for part in parts[:-1]:
+                    pos += len(part)
+                    added |= known(text[max(0, pos - PIECE + 1):pos + len(new) + PIECE - 1])
+                    pos += len(new)
+                held |= added
+                later = {a for piece in added for a in holders[piece] if a > at and needs[a] <= held}
+            for a in later:
+                if a > at and a not in seen:
+                    seen.add(a)
+                    heappush(todo, a)
+        return text, numbers, hits
+
+    return fold
+
+
+def fold_texts(texts: pa.Array, fold: Callable[[bytes], tuple[bytes, list[int], list[int]]]) -> pa.Array:
+    """``struct<t: binary, hits: array<struct<rule_no: int, n: bigint>>>`` of each text; a null text has no hits."""
+    out, numbers, hits, ends = [], [], [], [0]
+    for text in texts:
+        text, some, n = (None, [], []) if not text.is_valid else fold(text.as_py())
+        out.append(text)
+        numbers += some
+        hits += n
+        ends.append(len(numbers))
+    found = pa.StructArray.from_arrays([pa.array(numbers, pa.int32()), pa.array(hits, pa.int64())], ["rule_no", "n"])
+    return pa.StructArray.from_arrays([pa.array(out, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)], ["t", "hits"])
+
+
+# The fold runs in Python workers; ship this module by value so the workers need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -8,15 +8,16 @@ joins against small dimension tables with a fixed, proven size.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankwise.functions.columns import DEFAULT_TEXT_REPLACEMENTS, is_two_part_name, replace_chain, strip_unicode
 from rankwise.functions.text import remove_links, tokens
 from rankwise.operators.ranking import rank_within
+from rankwise.operators.rule_fold import fold_texts, rule_fold
 from rankwise.session import checkpointed
 
 # Small function-word profiles per language (our own lists).
@@ -258,31 +259,27 @@ def redact(docs: DataFrame, text_col: str, rules: Sequence[tuple[str, str]]) ->
 
 
 def redact_by_rules(docs: DataFrame, text_col: str, rules: Sequence[tuple[str, str]]) -> DataFrame:
-    """X18 for rule lists of any length: the rules are data, one constant array that a fold goes through, so that the
-    plan doesn't grow with them.
-
-    Each rule is tried only where its text occurs at that point (a plain
-    search).  Adds ``redacted`` and ``hits``, an array of ``(rule_no, n)`` in
-    order, of the rules that occur: non-overlapping places in the text as it is
-    when the rule applies.  A rule with an empty left side does nothing; a null
-    text stays null and has no hits.  Rules of more than ``MAX_RULE_BYTES`` are
-    an error.
+    """X18 for rule lists of any length: the rules are data, and a text meets only those whose first bytes it holds
+    (``rule_fold``), so that neither the plan nor the work on a text grows with rules that don't concern it.
+
+    Adds ``redacted`` and ``hits``, an array of ``(rule_no, n)`` in order, of the
+    rules that occur: non-overlapping places in the text as it is when the rule
+    applies.  A rule with an empty left side does nothing; a null text stays
+    null and has no hits.  Rules of more than ``MAX_RULE_BYTES`` are an error.
     """
     size = sum(len(old.encode()) + len(new.encode()) for old, new in rules)
     if size > MAX_RULE_BYTES:
         raise ValueError(f"{size} bytes of replacement rules, at most {MAX_RULE_BYTES} are taken")
-    listed = json.dumps([{"rule_no": i, "old": old, "new": new} for i, (old, new) in enumerate(rules) if old])
-    table = F.from_json(F.lit(listed), "array<struct<rule_no: int, old: string, new: string>>")
-    state = "struct<t: string, hits: array<struct<rule_no: int, n: bigint>>>"
-
-    def step(acc: Column, rule: Column) -> Column:
-        n = ((F.length(acc["t"]) - F.length(F.replace(acc["t"], rule["old"], F.lit("")))) / F.length(rule["old"])).cast("bigint")
-        hit = F.array(F.struct(rule["rule_no"].alias("rule_no"), n.alias("n")))
-        after = F.struct(F.replace(acc["t"], rule["old"], rule["new"]).alias("t"), F.concat(acc["hits"], hit).alias("hits")).cast(state)
-        return F.when(F.contains(acc["t"], rule["old"]), after).otherwise(acc)
-    start = F.struct(F.col(text_col).cast("string").alias("t"), F.array().alias("hits")).cast(state)
-    folded = docs.withColumn("_folded", F.aggregate(table, start, step))
-    return folded.select(*docs.columns, F.col("_folded.t").alias("redacted"), F.col("_folded.hits").alias("hits"))
+    listed, made = list(rules), []
+
+    @F.arrow_udf("struct<t: binary, hits: array<struct<rule_no: int, n: bigint>>>")
+    def folded(texts: pa.Array) -> pa.Array:
+        if not made:  # the rules' index, once a worker
+            made.append(rule_fold(listed))
+        return fold_texts(texts, made[0])
+
+    whole = docs.withColumn("_folded", folded(F.col(text_col).cast("string").cast("binary")))
+    return whole.select(*docs.columns, F.col("_folded.t").cast("string").alias("redacted"), F.col("_folded.hits").alias("hits"))
 
 
 def strip_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
