@@ -24,6 +24,12 @@ def _scratch(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
 
 
+def _table_stream(spark, sf_dir, name, schema):
+    """A table as a stream, be it one file or a folder of files.  The pattern has one match: the file source takes a
+    plain path for a folder and lists nothing where it names a file."""
+    return spark.readStream.schema(schema).parquet(os.path.join(sf_dir, f"{name}.parque[t]"))
+
+
 def _events_stream(spark, sf_dir, base):
     """The events as a stream, and one closing record far in the future: rows come out when the watermark has
     passed them, and this start, of a user that doesn't exist, takes it past the last event."""
@@ -32,7 +38,7 @@ def _events_stream(spark, sf_dir, base):
     (spark.range(1).select(F.lit(-1).alias("event_id"), F.lit("2200-01-01").alias("ts"), F.lit(-1).alias("user_id"),
                            F.lit("click").alias("event_type"))
      .select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.parquet(closing))
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = _table_stream(spark, sf_dir, "events", schema)
     return events.unionByName(spark.readStream.schema(schema).parquet(closing))
 
 
@@ -93,7 +99,7 @@ def q_stream_incremental_scores(spark, sf_dir):
     base = _scratch(spark, "incremental")
     reqs, _ = fx.f_front(spark, sf_dir)
     schema = spark.read.parquet(os.path.join(sf_dir, "documents.parquet")).schema
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    docs = _table_stream(spark, sf_dir, "documents", schema)
     inject = F.when(F.col("doc_id") % 2 == 0, F.lit(fx.NBSP)).otherwise(F.lit(fx.ZWSP))
     text = F.when(F.col("doc_id") % 10 == 0, F.regexp_replace(F.col("text"), "^([^ ]*) ",
                                                                F.concat(F.lit("$1"), inject)))

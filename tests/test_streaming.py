@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from rankwise.operators import native_scorer as ns, timing
+from rankwise.plans import q_front, q_streaming
 from rankwise.streaming.incremental import start_incremental_scoring
 from rankwise.streaming.timers import pair_timers_stream
 
@@ -148,3 +149,13 @@ def test_scoring_repeats_inside_and_beyond_the_delay(spark, tmp_dir):
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
     # the state store saw the repeat within the delay, the keys the others
     assert sum(op.get("customMetrics", {}).get("numDroppedDuplicateRows", 0) for p in q.recentProgress for op in p["stateOperators"]) >= 10
+
+
+def test_tables_that_are_folders_of_files(spark, tmp_dir):
+    """A large table is a folder: its stream reads every file of it."""
+    for name in ("documents", "benchmark", "events"):
+        spark.read.parquet(f"{SF_SMALL}/{name}.parquet").repartition(3).write.parquet(f"{tmp_dir}/{name}.parquet")
+    got, want = q_streaming.q_stream_incremental_scores(spark, tmp_dir), q_front.q_native_scores(spark, tmp_dir)
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+    got, want = q_streaming.q_stream_timer_pairs(spark, tmp_dir), q_streaming.q_stream_timer_pairs(spark, SF_SMALL)
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
