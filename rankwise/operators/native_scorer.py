@@ -6,14 +6,14 @@ share of the requirement's distinct 1-3-grams that occur in the document,
 scaled to 0-100, with an explanation naming the counts.  It is an honest
 simple replacement, not a claim of equal judgement quality.
 
-Plan: every token of a requirement n-gram is itself a requirement token, so
-document tokens are exploded with their positions and semi-joined to the
-tokens of the requirements **of the same job** first; n-grams are built only
-from surviving neighbours, and distinct ones are joined to the requirement
-n-grams and counted per ``(job, requirement, candidate)``.  What is shuffled
-is the survivors, not all n-grams of all texts.  No document text travels
-with the pairs; pairs without a hit keep score 0 through a left join from
-the fan-out.
+Plan: the distinct n-grams of a document are built inside its row and met with
+the requirement n-grams **of the same job** at once, so that no task holds or
+sorts more than a document's n-grams; what is shuffled is one count per
+``(job, requirement, candidate)`` and task, as far as the requirements can be
+broadcast.  Rows of one ``(job, candidate)`` are one document whose tokens stand
+side by side by position: the few that repeat a key go through a window over
+the tokens that occur in requirements.  No document text travels with the
+pairs; pairs without a hit keep score 0 through a left join from the fan-out.
 """
 
 from __future__ import annotations
@@ -36,8 +36,14 @@ def requirement_ngrams(requirements: DataFrame, text_col: str = "specification",
     return toks.select("job_id", "requirement_id", F.explode(F.array_distinct(ngrams(F.col("_t"), max_n))).alias("ngram"))
 
 
+def row_ngrams(candidates: DataFrame, text_col: str = "text", max_n: int = 3) -> DataFrame:
+    """Distinct 1..max_n-grams of each row's text."""
+    toks = candidates.select("job_id", "candidate_id", tokens(text_col).alias("_t"))
+    return toks.select("job_id", "candidate_id", F.explode(F.array_distinct(ngrams(F.col("_t"), max_n))).alias("ngram"))
+
+
 def document_ngrams(candidates: DataFrame, vocabulary: DataFrame, text_col: str = "text", max_n: int = 3) -> DataFrame:
-    """Distinct 1..max_n-grams of each document whose tokens are all in ``vocabulary`` ``(job_id, token)``."""
+    """Distinct 1..max_n-grams of each document, be it several rows, whose tokens are all in ``vocabulary`` ``(job_id, token)``."""
     toks = (candidates.select("job_id", "candidate_id", F.posexplode(tokens(text_col)).alias("pos", "token"))
             .join(vocabulary, ["job_id", "token"], "left_semi"))
     line = Window.partitionBy("job_id", "candidate_id").orderBy("pos")  # the survivors of one document
@@ -57,8 +63,11 @@ def overlap_scores(requirements: DataFrame, candidates: DataFrame, max_n: int =
     rq = requirement_ngrams(requirements, max_n=max_n)
     totals = rq.groupBy("job_id", "requirement_id").agg(F.count(F.lit(1)).alias("total"))
     vocab = requirements.select("job_id", F.explode(tokens("specification")).alias("token")).distinct()
-    dn = document_ngrams(candidates, vocab, max_n=max_n)
-    hits = (dn.join(rq, ["job_id", "ngram"])
+    repeated = F.broadcast(candidates.groupBy("job_id", "candidate_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
+    keys = ["job_id", "candidate_id"]
+    dn = row_ngrams(candidates.join(repeated, keys, "left_anti"), max_n=max_n)
+    merged = document_ngrams(candidates.join(repeated, keys, "left_semi"), vocab, max_n=max_n)
+    hits = (dn.join(rq, ["job_id", "ngram"]).unionByName(merged.join(rq, ["job_id", "ngram"]))
             .groupBy("job_id", "requirement_id", "candidate_id").agg(F.count(F.lit(1)).alias("hits")))
     pairs = fan_out(requirements, candidates)
     out = (pairs.join(totals, ["job_id", "requirement_id"], "left")

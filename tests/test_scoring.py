@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from rankwise.operators import native_scorer as ns
 from rankwise.operators import scoring
 from rankwise.schemas import requirement_types
 
@@ -77,3 +78,20 @@ def test_coarse_to_fine_shortlist(spark):
     assert rows(described.shortlist_coarse_to_fine(reqs, docs, 3, 100)) == rows(described.shortlist(overlap_scores(reqs, docs), 3))
     few = rows(described.shortlist_coarse_to_fine(reqs, docs, 3, 1))
     assert [(j, c) for j, c, _, _ in few] == [("a", 1), ("b", 6)]
+
+
+def test_document_ngrams_are_built_in_their_rows(spark):
+    """No token of a document is sorted or exchanged; rows that repeat a key are still one document."""
+    reqs = spark.createDataFrame([("j", 1, "a b c d"), ("j", 2, "c d x"), ("k", 1, "a"), ("j", 3, "")], "job_id string, requirement_id int, specification string")
+    docs = spark.createDataFrame([("j", 1, "A b, c d e"), ("j", 2, "a b"), ("j", 2, "a b"), ("k", 1, None), ("k", None, "a"), (None, 7, "a b")],
+                                 "job_id string, candidate_id int, text string")
+    plan = ns.row_ngrams(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    rows = {(r.job_id, r.requirement_id, r.candidate_id): r.hits for r in ns.overlap_scores(reqs, docs).distinct().collect()}
+    assert rows == {("j", 1, 1): 9, ("j", 2, 1): 3, ("j", 3, 1): 0, ("j", 1, 2): 3, ("j", 2, 2): 0, ("j", 3, 2): 0, ("k", 1, 1): 0, ("k", 1, None): 0}
+    whole = ns.requirement_ngrams(reqs).selectExpr("job_id", "ngram").distinct()
+    vocab = whole.where("ngram not like '% %'").withColumnRenamed("ngram", "token")
+    one = docs.where("candidate_id = 1")
+    same = ns.row_ngrams(one).join(whole, ["job_id", "ngram"]).select("job_id", "candidate_id", "ngram")
+    want = ns.document_ngrams(one, vocab).join(whole, ["job_id", "ngram"]).select("job_id", "candidate_id", "ngram")
+    assert same.exceptAll(want).count() == want.exceptAll(same).count() == 0 and same.count() == 9
