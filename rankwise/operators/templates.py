@@ -1,7 +1,7 @@
 """Request texts: placeholder substitution (X12), the four builders (X13),
 sample shapes (X14).
 
-Substitution is a chain of ``replace`` expressions in a fixed order:
+Substitution goes like a chain of ``replace`` in a fixed order:
 static placeholders first, then the dynamic ones.  A replaced value may
 itself contain a later placeholder, which is then replaced too - exactly
 the sequential semantics, kept by construction.
@@ -9,12 +9,14 @@ the sequential semantics, kept by construction.
 
 from __future__ import annotations
 
+import functools
 import json
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rankwise.functions.columns import strip_unicode
+from rankwise.functions.columns import _WS_CLASS, strip_unicode
 from rankwise.schemas import KIND_MANDATORY, KIND_OPTIONAL, MAX_SCORE, MIN_SCORE, REQUIREMENT_DEFINITIONS, \
     REQUIREMENT_TYPES
 
@@ -63,20 +65,45 @@ def static_values(lo: int = MIN_SCORE, hi: int = MAX_SCORE) -> dict[str, str]:
     return vals
 
 
+def _whole_pieces(template: str, names: list[str]) -> list[str] | None:
+    """The template cut at its dynamic placeholders: texts at even places, names at odd ones; None if a text ends in the
+    beginning of a placeholder, which a value could complete."""
+    pieces = re.split("{(" + "|".join(names) + ")}", template) if names else [template]
+    begun = ["{" + name + "}" for name in names]
+    ends = [text[text.rfind("{"):] for text in pieces[::2] if "{" in text]
+    return None if any(b.startswith(end) for end in ends for b in begun) else pieces
+
+
+def _stripped(value: Column) -> Column:
+    """``strip_unicode``, by a pattern only where there is something to strip."""
+    ends = F.concat(F.substring(value, 1, 1), F.substring(value, -1, 1))
+    return F.coalesce(F.when(ends.rlike(_WS_CLASS), strip_unicode(value)).otherwise(value), F.lit(""))
+
+
 def render(template: str | Column, dynamic: dict[str, Column | str], static: dict[str, str] | None = None) -> Column:
-    """Replace ``{NAME}`` placeholders, static ones (literals, folded by
-    Catalyst) first and then the dynamic ones, each value stripped."""
+    """Replace ``{NAME}`` placeholders, static ones first and then the
+    dynamic ones, each value stripped.  Values without a brace can hold no
+    placeholder: they are set between the template's pieces in one go; the
+    others go through the chain."""
     static = static if static is not None else static_values()
-    out = F.lit(template) if isinstance(template, str) else template
-    for name in STATIC_ORDER:
-        if name in static:
-            out = F.replace(out, F.lit("{" + name + "}"), F.lit(static[name].strip()))
-    for name in DYNAMIC_ORDER:
-        if name in dynamic:
-            v = dynamic[name]
-            v = F.lit(v) if isinstance(v, str) else v
-            out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(strip_unicode(v), F.lit("")))
-    return out
+    known = {name: static[name].strip() for name in STATIC_ORDER if name in static}
+    if isinstance(template, str):
+        for name, value in known.items():
+            template = template.replace("{" + name + "}", value)
+        out = F.lit(template)
+    else:
+        out = template
+        for name, value in known.items():
+            out = F.replace(out, F.lit("{" + name + "}"), F.lit(value))
+    values = {name: _stripped(F.lit(dynamic[name]) if isinstance(dynamic[name], str) else dynamic[name])
+              for name in DYNAMIC_ORDER if name in dynamic}
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), value)
+    pieces = _whole_pieces(template, list(values)) if isinstance(template, str) else None
+    if pieces is None or len(pieces) == 1:
+        return out
+    plain = functools.reduce(lambda a, b: a & b, [~F.contains(v, F.lit("{")) for v in values.values()])
+    return F.when(plain, F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(pieces)])).otherwise(out)
 
 
 def match_request(cv_text: Column, specification: Column, type_name: Column, definition: Column) -> Column:
