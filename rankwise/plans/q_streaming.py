@@ -25,8 +25,8 @@ def _scratch(spark, name: str) -> str:
 
 
 def _table_stream(spark, sf_dir, name, schema):
-    """A table as a stream, be it one file or a folder of files.  The pattern has one match: the file source takes a
-    plain path for a folder and lists nothing where it names a file."""
+    """A table as a stream, be it one file or a folder of files: the pattern has one match, and a plain path would have
+    to be a folder."""
     return spark.readStream.schema(schema).parquet(os.path.join(sf_dir, f"{name}.parque[t]"))
 
 
