@@ -6,8 +6,10 @@ group is cut into cells at quantiles of its order:
 
 1. one row in ``SAMPLE``, chosen by the hash of its order keys, goes into the
    table of bounds.  A group's sampled keys are sorted and thinned by dealt
-   parts, and every ``PER_CELL``-th of them becomes a bound (``MOST`` at most): the
-   number of cells follows the group's count, and a small group has none;
+   parts, and every ``PER_CELL``-th of them becomes a bound.  Each row of the
+   group meets its bounds, so beyond ``FEW`` of them cells grow instead, up to
+   ``FULL_CELL`` sampled rows, which a task still sorts with ease; only then
+   bounds are added again (``MOST`` at most).  A small group has none;
 2. a row's cell is the number of bounds before it, searched in two steps.  Bounds
    are whole tuples of order keys, so neither an outlier nor a pile of ties in
    the leading keys fills a cell, whatever the keys' types are;
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 
 #: One row in so many is sampled; sampled rows of a cell; bounds of a group at most.
 SAMPLE, PER_CELL, MOST = 1024, 8, 4095
+#: Bounds from which on cells grow, and sampled rows of a cell that has grown (two million rows).
+FEW, FULL_CELL = 63, 2048
 #: Parts that a group's sampled rows are dealt into, and keys that each part passes on.
 PARTS, PART_KEYS = 64, 512
 #: Copies of a group's row in the table of bounds, so that a hot group's join is dealt over tasks.
@@ -87,7 +91,8 @@ def _bounds(rows: DataFrame, groups: list[str], keys: list[Key]) -> DataFrame:
     every = F.ceil(n / PART_KEYS)
     dealt = dealt.select(*groups, n.alias("_rk_n"), F.filter("_rk_t", lambda x, i: i % every == 0).alias("_rk_t"))
     whole = dealt.groupBy(*groups).agg(F.flatten(F.collect_list("_rk_t")).alias("_rk_t"), F.sum("_rk_n").alias("_rk_n"))
-    whole = whole.withColumn("_rk_n", F.least(F.lit(MOST), F.floor(F.col("_rk_n") / PER_CELL)).cast("int")).where("_rk_n > 0")
+    n = F.greatest(F.least(F.lit(FEW), F.floor(F.col("_rk_n") / PER_CELL)), F.floor(F.col("_rk_n") / FULL_CELL))
+    whole = whole.withColumn("_rk_n", F.least(F.lit(MOST), n).cast("int")).where("_rk_n > 0")
     whole = whole.withColumn("_rk_t", in_order(F.col("_rk_t")))
     at = lambda j: F.get("_rk_t", F.floor(j * F.size("_rk_t") / (F.col("_rk_n") + 1)).cast("int"))
     return whole.select(*groups, F.transform(F.sequence(F.lit(1), F.col("_rk_n")), at).alias("_rk_bounds"))

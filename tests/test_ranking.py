@@ -92,3 +92,12 @@ def test_lineitem_with_outliers(spark):
     assert df.agg(F.max("cost")).first()[0] == 1e12
     keys = [ranking.desc("cost"), *[ranking.asc(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")]]
     assert _largest(df, ["l_returnflag"], keys) <= 0.05 * df.count()
+
+
+def test_a_row_meets_few_bounds_however_large_its_group(spark, monkeypatch):
+    """Bounds of a group stay as few while its cells are small enough for a task, and grow with it after that."""
+    monkeypatch.setattr(ranking, "SAMPLE", 1)
+    monkeypatch.setattr(ranking, "FULL_CELL", 50)
+    for n, want in ((400, 50), (3000, ranking.FEW), (20_000, 400)):
+        df = spark.range(n).select(F.lit(1).alias("g"), "id", F.col("id").alias("_rk_o0"))
+        assert len(ranking._bounds(df, ["g"], [ranking.asc("id")]).first()._rk_bounds) == want
