@@ -5,14 +5,14 @@ Kendall's tau without quadratic pairs
 For complete rankings without ties ``tau = 1 - 4 D / (n (n - 1))`` where
 ``D`` is the number of discordant pairs.  ``discordant_pairs`` counts them
 exactly without emitting candidate pairs: a pair ``(y, x)`` with
-``a(y) < a(x)`` and ``b(y) > b(x)`` is charged to the highest bit ``L`` at
-which ``b(y) - 1`` and ``b(x) - 1`` differ (there ``y`` has a 1 and ``x`` a
-0, and both share the higher bits).  For each level ``L`` the rows are
-grouped by those higher bits and the count becomes "ones seen before each
-zero in ``a`` order" - a running sum.  To keep every window partition
-bounded, ``a`` is cut into blocks of ``2**block_bits``: inside a block a
-window counts, across blocks a running sum over per-block counts does.
-Rows emitted: ``n * log2(n)``; largest window partition:
+``a(y) < a(x)`` and ``b(y) > b(x)`` is charged to the highest digit ``L`` at
+which ``b(y) - 1`` and ``b(x) - 1`` differ, in digits of ``DIGIT_BITS`` bits
+(there ``y`` has the higher digit, and both share the higher digits).  For each
+level ``L`` the rows are grouped by those higher digits and the count becomes
+"higher digits seen before each row in ``a`` order" - a running sum per digit.
+To keep every window partition bounded, ``a`` is cut into blocks of
+``2**block_bits``: inside a block a window counts, across blocks a running sum
+over per-block counts does.  Rows emitted: ``n * log2(n) / DIGIT_BITS``; largest window partition:
 ``max(2**block_bits, n / 2**block_bits)`` rows.
 
 Two definitions (trap 1 in the survey):
@@ -26,6 +26,7 @@ Two definitions (trap 1 in the survey):
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,6 +34,9 @@ from pyspark.sql import functions as F
 
 from rankwise.operators.ranking import rank_within
 
+#: Bits of a digit: a row is emitted once for each digit of its rank.
+DIGIT_BITS = 3
+
 BALLOT_COLS = ["job_id", "rater", "rater_ord", "candidate", "place", "promising"]
 
 
@@ -52,22 +56,27 @@ def discordant_pairs(df: DataFrame, by: Sequence[str], a: str = "a", b: str = "b
         df, top = df.join(tops, same).drop(*[f"_by_{c}" for c in by]), "_top"
     base = df.select(*by, F.col(a).cast("long").alias("_a"), (F.col(b).cast("long") - 1).alias("_b0"),
                      F.greatest(F.col(top).cast("long") - 1, F.lit(1).cast("long")).alias("_high"))
-    x = (base.withColumn("_L", F.explode(F.sequence(F.lit(0), F.length(F.bin("_high")) - 1))).drop("_high")
-         .withColumn("_bit", F.expr("shiftright(_b0, _L) & 1"))
-         .withColumn("_p", F.expr("shiftright(_b0, _L + 1)"))
+    levels = F.floor((F.length(F.bin("_high")) - 1) / DIGIT_BITS).cast("int")
+    x = (base.withColumn("_L", F.explode(F.sequence(F.lit(0), levels))).drop("_high")
+         .withColumn("_d", F.expr(f"shiftright(_b0, _L * {DIGIT_BITS}) & {2 ** DIGIT_BITS - 1}"))
+         .withColumn("_p", F.expr(f"shiftright(_b0, (_L + 1) * {DIGIT_BITS})"))
          .withColumn("_blk", F.shiftright("_a", block_bits)))
-    inner = (Window.partitionBy(*by, "_L", "_p", "_blk").orderBy("_a")
-             .rowsBetween(Window.unboundedPreceding, -1))
-    x = x.withColumn("_ones_before", F.coalesce(F.sum("_bit").over(inner), F.lit(0)))
-    blocks = (x.groupBy(*by, "_L", "_p", "_blk")
-              .agg(F.sum(F.when(F.col("_bit") == 0, F.col("_ones_before")).otherwise(F.lit(0))).alias("_within"),
-                   F.sum("_bit").alias("_ones"), F.sum(1 - F.col("_bit")).alias("_zeros")))
-    across = (Window.partitionBy(*by, "_L", "_p").orderBy("_blk")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    blocks = blocks.withColumn("_cross", F.col("_zeros") * F.coalesce(F.sum("_ones").over(across), F.lit(0)))
-    at_bottom = F.when(F.col("_L") == 0, F.col("_ones") + F.col("_zeros"))  # every row once
+    group, digits = [*by, "_L", "_p"], range(2 ** DIGIT_BITS)
+    inner = Window.partitionBy(*group, "_blk").orderBy("_a").rowsBetween(Window.unboundedPreceding, -1)
+    # of the rows before: how many have a digit above d, for the row's own d
+    above = [F.coalesce(F.count_if(F.col("_d") > d).over(inner), F.lit(0)).alias(f"_above{d}") for d in digits[:-1]]
+    x = x.select(*group, "_blk", "_d", *above)
+    own = F.coalesce(*[F.when(F.col("_d") == d, F.col(f"_above{d}")) for d in digits[:-1]], F.lit(0))
+    blocks = x.groupBy(*group, "_blk").agg(F.sum(own).alias("_within"), *[F.count_if(F.col("_d") == d).alias(f"_n{d}") for d in digits])
+    across = Window.partitionBy(*group).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    higher = lambda d: functools.reduce(Column.__add__, [F.col(f"_n{e}") for e in digits[d + 1:]])
+    cross = [F.col(f"_n{d}") * F.coalesce(F.sum(higher(d)).over(across), F.lit(0)) for d in digits[:-1]]
+    blocks = blocks.select(*group, "_within", functools.reduce(Column.__add__, [F.col(f"_n{d}") for d in digits]).alias("_rows"),
+                           functools.reduce(Column.__add__, cross).alias("_cross"))
+    some = F.col("_rows") > 0  # rows without a rank count nowhere
+    at_bottom = F.when((F.col("_L") == 0) & some, F.col("_rows"))  # every row once
     return blocks.groupBy(*by).agg(F.sum(at_bottom).cast("bigint").alias("n"),
-                                   F.sum(F.col("_within") + F.col("_cross")).cast("bigint").alias("discordant"))
+                                   F.sum(F.when(some, F.col("_within") + F.col("_cross"))).cast("bigint").alias("discordant"))
 
 
 def tau_from_discordant(n: Column, d: Column) -> Column:

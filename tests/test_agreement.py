@@ -122,3 +122,15 @@ def test_discordant_pairs_with_a_bound_of_the_group(spark):
     for top in (None, "n"):
         got = {r["g"]: (r["n"], r["discordant"]) for r in agreement.discordant_pairs(df, ["g"], top=top).collect()}
         assert got == {None: (3, 2), "g": (1, 0)}
+
+
+@pytest.mark.parametrize("bits", [1, 3, 5])
+def test_a_rank_is_emitted_once_a_digit(spark, monkeypatch, bits):
+    """Digits of any width give the exact count, also around their edges, with ranks missing."""
+    monkeypatch.setattr(agreement, "DIGIT_BITS", bits)
+    b = [512, 1, 64, 65, 8, 9, 63, None, 513, 7, 4096]
+    df = spark.createDataFrame([("x", i + 1, r) for i, r in enumerate(b)], "g string, a int, b int")
+    ranks = [r for r in b if r is not None]
+    want = sum(x > y for x, y in itertools.combinations(ranks, 2))
+    got = {r[0]: tuple(r[1:]) for r in agreement.discordant_pairs(df, ["g"], block_bits=2).collect()}
+    assert got == {"x": (len(ranks), want)}
