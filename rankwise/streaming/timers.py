@@ -1,11 +1,13 @@
 """ST2: streaming timer pairing, the same for every cut into micro-batches.
 
-State per key (``transformWithStateInPandas`` on RocksDB): the pending start, and
-the events that are not final yet in slots of ``slot_ms``.  A micro-batch reads and
-writes only the slots that its events fall in.  Each slot has an event-time
-timer: once the watermark has passed the slot's end, its events are replayed in
-``(ts, id)`` order, so that an event which arrives late but within the allowed
-delay still takes its place, and the slot goes.  Events behind the watermark
+State per key (``transformWithState`` on RocksDB): the pending start, and
+the events that are not final yet in slots of ``slot_ms``.  A micro-batch writes
+only the slots that its events fall in.  A key has one event-time timer, at the
+end of its first open slot: once the watermark has passed it, all slots that end
+before the watermark are replayed in ``(ts, id)`` order, in one call, so that an
+event which arrives late but within the allowed delay still takes its place, and
+the slots go.  Times are microseconds and results plain rows: a key with a few
+events makes no data frames.  Events behind the watermark
 are dropped by Spark.  A start overwrites the pending one, a stop consumes it
 (pair) or is rejected.
 
@@ -21,93 +23,106 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-PENDING = "us long, id long"
+PENDING, TIMER = "us long, id long", "at long"
 SLOT, SLOT_EVENTS = "slot long", "us array<long>, ids array<long>, stops array<boolean>"
 SLOT_MS = 1000
+#: Slots of a key that are read and removed together; more of them one by one.
+TOGETHER = 10_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _frame(key_col: str, rows: list) -> pd.DataFrame:
-    cols = [key_col, "start_id", "stop_id", "start_us", "stop_us", "seconds", "reason"]
-    df = pd.DataFrame({c: [r[i] for r in rows] for i, c in enumerate(cols)})
-    for c in cols[1:6]:
-        df[c] = pd.array(df[c], dtype="Int64")
-    for c in ("start_us", "stop_us"):
-        df[c[:-3] + "_ts"] = pd.to_datetime(df[c], unit="us")
-    return df[[key_col, "start_id", "stop_id", "start_ts", "stop_ts", "seconds", "reason"]]
-
-
 class _Pairing(StatefulProcessor):
     def __init__(self, key_col: str, expiry_us: int | None, slot_ms: int) -> None:
-        self.key_col, self.expiry_us, self.slot_ms = key_col, expiry_us, slot_ms
+        self.expiry_us, self.slot_ms = expiry_us, slot_ms
+        self.row = Row(key_col, "start_id", "stop_id", "start_us", "stop_us", "seconds", "reason")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.pending = handle.getValueState("pending", PENDING)
+        self.timer = handle.getValueState("timer", TIMER)
         self.slots = handle.getMapState("slots", SLOT, SLOT_EVENTS)
 
     def _slot(self, us: int) -> int:
         return us // (1000 * self.slot_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def _end(self, slot: int) -> int:
+        return (slot + 1) * self.slot_ms
+
+    def _wake(self, at: int, timer: int | None) -> None:
+        """The key's timer rings at ``at``."""
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         found: dict[int, list] = {}
-        for f in rows:
-            for at, eid, stop in zip(f["ts"].astype("datetime64[us]").astype("int64").tolist(), f["id"].tolist(), f["is_stop"].tolist(), strict=True):
-                found.setdefault(self._slot(at), []).append((at, eid, stop))
+        for r in rows:
+            found.setdefault(self._slot(r["us"]), []).append((r["us"], r["id"], r["is_stop"]))
+        known = self.timer.get()  # a key without a timer has no open slot
+        timer = None if known is None else known[0]
         for slot, events in found.items():
-            if self.slots.containsKey((slot,)):
+            if timer is not None and self.slots.containsKey((slot,)):
                 events += zip(*self.slots.getValue((slot,)), strict=True)
-            else:
-                self.handle.registerTimer((slot + 1) * self.slot_ms)
             self.slots.updateValue((slot,), tuple(list(c) for c in zip(*events, strict=True)))
+        first = self._end(min(found))
+        if timer is None or first < timer:
+            self._wake(first, timer)
         yield from ()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs()
-        slot, out = end // self.slot_ms - 1, []
-        start = tuple(self.pending.get()) if self.pending.exists() else None
-        before = start
-
-        def expired(now: int) -> bool:
-            return start is not None and self.expiry_us is not None and now - start[0] > self.expiry_us
-
-        if self.slots.containsKey((slot,)):
-            for at, eid, stop in sorted(zip(*self.slots.getValue((slot,)), strict=True)):
-                if expired(at):
-                    out.append((key[0], start[1], None, start[0], None, None, "expired"))
+    def _due(self, now: int) -> tuple[Iterator[list], int | None]:
+        """Events of the slots that end by ``now``, slot by slot in order, which are removed; and the first slot left."""
+        slots = sorted(k[0] for k in self.slots.keys())
+        due = [s for s in slots if self._end(s) <= now]
+        left = slots[len(due)] if len(due) < len(slots) else None
+        if left is None and len(due) <= TOGETHER:
+            whole = {k[0]: list(zip(*v, strict=True)) for k, v in self.slots.iterator()}
+            self.slots.clear()
+            return (whole[s] for s in due), left
+
+        def taken() -> Iterator[list]:
+            for s in due:
+                yield list(zip(*self.slots.getValue((s,)), strict=True))
+                self.slots.removeKey((s,))
+        return taken(), left
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        start = before = self.pending.get()
+        due, left = self._due(now)
+        for events in due:
+            for at, eid, stop in sorted(events):
+                if start is not None and self.expiry_us is not None and at - start[0] > self.expiry_us:
+                    yield self.row(key[0], start[1], None, start[0], None, None, "expired")
                     start = None
                 if not stop:
                     start = (at, eid)
                 elif start is not None:
-                    out.append((key[0], start[1], eid, start[0], at, -((start[0] - at) // 1_000_000), None))  # whole seconds, up
+                    yield self.row(key[0], start[1], eid, start[0], at, -((start[0] - at) // 1_000_000), None)  # whole seconds, up
                     start = None
                 else:
-                    out.append((key[0], None, eid, None, at, None, "stop_without_start"))
-            self.slots.removeKey((slot,))
-        if expired(end * 1000 - 1):  # no event up to the slot's end is open
-            out.append((key[0], start[1], None, start[0], None, None, "expired"))
-            start = None
-        if start is None:
-            self.pending.clear()
-        elif start != before:
-            due = None if self.expiry_us is None else self._slot(start[0] + self.expiry_us)
-            if due is None or (due + 1) * self.slot_ms > timerValues.getCurrentWatermarkInMs():
-                self.pending.update(start)
-                if due is not None:
-                    self.handle.registerTimer((due + 1) * self.slot_ms)
-            elif any(k[0] <= due for k in self.slots.keys()):  # a slot whose timer is still to come in this micro-batch
-                self.pending.update(start)
+                    yield self.row(key[0], None, eid, None, at, None, "stop_without_start")
+        ends = [] if left is None else [self._end(left)]
+        if start is not None and self.expiry_us is not None:
+            over = self._end(self._slot(start[0] + self.expiry_us))
+            if over <= now:  # all events up to there are replayed
+                yield self.row(key[0], start[1], None, start[0], None, None, "expired")
+                start = None
             else:
-                out.append((key[0], start[1], None, start[0], None, None, "expired"))
-                self.pending.clear()
-        if out:
-            yield _frame(self.key_col, out)
+                ends.append(over)
+        if start is None and before is not None:
+            self.pending.clear()
+        elif start is not None and start != before:
+            self.pending.update(tuple(start))
+        if ends:
+            self._wake(min(ends), None)
+        else:
+            self.timer.clear()
 
     def close(self) -> None:
         pass
@@ -130,12 +145,14 @@ def pair_timers_stream(events: DataFrame, start_value: str = "click", stop_value
     ev = (events.filter(F.col(kind_col).isin(start_value, stop_value))
           .select(key, F.col(id_col).cast("long").alias("id"), F.col(ts_col).cast("timestamp").alias("ts"),
                   (F.col(kind_col) == stop_value).alias("is_stop"))
-          .withWatermark("ts", delay))
+          .withColumn("us", F.unix_micros("ts")).withWatermark("ts", delay))
     kind = dict(ev.dtypes)[key]
-    schema = f"{key} {kind}, start_id long, stop_id long, start_ts timestamp, stop_ts timestamp, seconds long, reason string"
+    schema = f"{key} {kind}, start_id long, stop_id long, start_us long, stop_us long, seconds long, reason string"
     expiry = None if expiry_seconds is None else expiry_seconds * 1_000_000
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return ev.groupBy(key).transformWithStateInPandas(_Pairing(key, expiry, slot_ms), schema, "append", "EventTime")
+    out = ev.groupBy(key).transformWithState(_Pairing(key, expiry, slot_ms), schema, "append", "EventTime")
+    return out.select(key, "start_id", "stop_id", F.timestamp_micros("start_us").alias("start_ts"),
+                      F.timestamp_micros("stop_us").alias("stop_ts"), "seconds", "reason")
 
 
 def state_bytes(query) -> int:

@@ -159,3 +159,27 @@ def test_tables_that_are_folders_of_files(spark, tmp_dir):
     assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
     got, want = q_streaming.q_stream_timer_pairs(spark, tmp_dir), q_streaming.q_stream_timer_pairs(spark, SF_SMALL)
     assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+
+
+def test_timers_make_no_data_frames_and_ring_once(spark, tmp_dir):
+    """Rows, not data frames, go through the state; a key's slots that are over are replayed by one timer, few or many."""
+    from rankwise.streaming import timers
+    stream = spark.readStream.schema(spark.read.parquet(f"{SF_SMALL}/events.parquet").schema).parquet(f"{SF_SMALL}/events.parque[t]")
+    plan = pair_timers_stream(stream)._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" in plan and "InPandas" not in plan
+
+    class Slots(dict):
+        def iterator(self):
+            return iter(self.items())
+        getValue, removeKey, clear = dict.__getitem__, dict.pop, dict.clear
+    for together in (1, timers.TOGETHER):
+        timers.TOGETHER, kept = together, timers.TOGETHER
+        try:
+            p = timers._Pairing("k", None, 1000)
+            p.slots = Slots({(s,): ([s], [s], [False]) for s in (7, 3, 5)})
+            due, left = p._due(6000)
+            assert ([*due], left) == ([[(3, 3, False)], [(5, 5, False)]], 7) and list(p.slots) == [(7,)]
+            due, left = p._due(8000)
+            assert ([*due], left) == ([[(7, 7, False)]], None) and not p.slots
+        finally:
+            timers.TOGETHER = kept
