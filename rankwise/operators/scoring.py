@@ -107,10 +107,11 @@ def decide_promising(totals: DataFrame, scores: DataFrame | None = None, total_t
 
 def category_pivot(scores: DataFrame, type_names: list[str], lo: int = MIN_SCORE,
                    stats: DataFrame | None = None) -> DataFrame:
-    """A2: one ``score (<type>)`` column per configured type (explicit value list)."""
+    """A2: one ``score (<type>)`` column per configured type (explicit value list).
+
+    A (job, candidate, type) has one mean, so a ``max`` per type is the pivot: one aggregate of plain doubles."""
     means = category_means(scores, lo, stats)
-    wide = means.groupBy(*KEYS).pivot("type", type_names).agg(F.first("mean_score"))
-    return wide.select(*KEYS, *[F.col(f"`{t}`").alias(f"score ({t})") for t in type_names])
+    return means.groupBy(*KEYS).agg(*[F.max(F.when(F.col("type") == t, F.col("mean_score"))).alias(f"score ({t})") for t in type_names])
 
 
 def ranking_order() -> list[Key]:

@@ -95,3 +95,13 @@ def test_document_ngrams_are_built_in_their_rows(spark):
     same = ns.row_ngrams(one).join(whole, ["job_id", "ngram"]).select("job_id", "candidate_id", "ngram")
     want = ns.document_ngrams(one, vocab).join(whole, ["job_id", "ngram"]).select("job_id", "candidate_id", "ngram")
     assert same.exceptAll(want).count() == want.exceptAll(same).count() == 0 and same.count() == 9
+
+
+def test_pivot_is_one_aggregate_over_the_statistics(spark):
+    """No aggregate of arrays: the statistics and one aggregate of doubles; nulls of key, type and score as before."""
+    rows = [("j", 1, "a", "mandatory", 10), ("j", 1, "a", "optional", 21), ("j", 1, "b", "optional", None), ("j", 2, None, "optional", 5),
+            (None, None, "b", "optional", 7), ("j", 3, "other", "optional", 9)]
+    out = scoring.category_pivot(spark.createDataFrame(rows, "job_id string, candidate_id int, type string, kind string, score int"), ["a", "b"])
+    assert out.columns == ["job_id", "candidate_id", "score (a)", "score (b)"]
+    assert {tuple(r) for r in out.collect()} == {("j", 1, 15.5, None), ("j", 2, None, None), (None, None, None, 7.0), ("j", 3, None, None)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2
