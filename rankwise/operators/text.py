@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankwise.functions.columns import DEFAULT_TEXT_REPLACEMENTS, is_two_part_name, replace_chain, strip_unicode
@@ -98,7 +98,12 @@ def learn_language_profiles(labelled: DataFrame, id_col: str, lang_col: str = "l
     """
     languages = list(languages)
     known = labelled.where(F.col(lang_col).isin(languages)).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
-    least = rank_within(known, ["_lang"], [F.md5(F.col("_id").cast("string")), "_id"], name="_r").where(F.col("_r") <= documents)
+    order = [F.md5(F.col("_id").cast("string")), F.col("_id")]
+    # ids are ranked without their texts, and meet the texts again when few are left; an id may have several rows
+    ids = rank_within(known.select("_id", "_lang"), ["_lang"], order, name="_r").where(F.col("_r") <= documents)
+    ids = ids.select(F.col("_id").alias("_pick"), F.col("_lang").alias("_of")).distinct()
+    found = known.join(F.broadcast(ids), F.col("_id").eqNullSafe(F.col("_pick")) & (F.col("_lang") == F.col("_of")), "left_semi")
+    least = found.withColumn("_r", F.row_number().over(Window.partitionBy("_lang").orderBy(*order))).where(F.col("_r") <= documents)
     per = [F.count_if(F.col("_lang") == lang).alias(f"c_{lang}") for lang in languages]
     counts = checkpointed(character_grams(least, ["_lang"], "_text").groupBy("gram").agg(F.count(F.lit(1)).alias("_all"), *per))
     totals = counts.agg(*[F.coalesce(F.sum(f"c_{lang}"), F.lit(0)).alias(lang) for lang in languages]).first()

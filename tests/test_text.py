@@ -193,3 +193,19 @@ def test_profiles_are_learnt_from_a_bounded_sample(spark):
     assert few.count() <= 3 * 4
     again = tx.learn_language_profiles(many.repartition(7), "id", languages=["en"], documents=3, grams=1000)
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, again.collect()))
+
+
+def test_profiles_are_learnt_without_shuffling_texts(spark, monkeypatch):
+    """Ids are ranked without texts; rows of one id, and rows without an id, are picked as single rows."""
+    rank = tx.rank_within
+
+    def ids_only(df, *args, **options):
+        assert df.columns == ["_id", "_lang"]
+        return rank(df, *args, **options)
+    monkeypatch.setattr(tx, "rank_within", ids_only)
+    rows = [(i, "en", f"word{i}") for i in range(6)] + [(3, "en", "twice"), (None, "en", "null"), (None, "de", "null")]
+    df = spark.createDataFrame(rows, "doc_id int, lang string, text string")
+    for n in (1, 2, 9):
+        got = tx.learn_language_profiles(df, "doc_id", documents=n)
+        assert got.columns == ["gram", "w_de", "w_en", "w_es", "w_fr"] and got.count() > 0
+    assert {r.gram for r in tx.learn_language_profiles(df, "doc_id", documents=1).collect()} == {" nu", "nul", "ull", "ll "}
