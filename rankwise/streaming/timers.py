@@ -31,15 +31,17 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 PENDING, TIMER = "us long, id long", "at long"
 SLOT, SLOT_EVENTS = "slot long", "us array<long>, ids array<long>, stops array<boolean>"
 SLOT_MS = 1000
+#: Time of an event without one: it comes before all others.
+NO_TIME = -2**63
 #: Slots of a key that are read and removed together; more of them one by one.
 TOGETHER = 10_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class _Pairing(StatefulProcessor):
-    def __init__(self, key_col: str, expiry_us: int | None, slot_ms: int) -> None:
+    def __init__(self, expiry_us: int | None, slot_ms: int) -> None:
         self.expiry_us, self.slot_ms = expiry_us, slot_ms
-        self.row = Row(key_col, "start_id", "stop_id", "start_us", "stop_us", "seconds", "reason")
+        self.row = Row("has_key", "key", "start_id", "stop_id", "start_us", "stop_us", "seconds", "reason")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -98,20 +100,20 @@ class _Pairing(StatefulProcessor):
         for events in due:
             for at, eid, stop in sorted(events):
                 if start is not None and self.expiry_us is not None and at - start[0] > self.expiry_us:
-                    yield self.row(key[0], start[1], None, start[0], None, None, "expired")
+                    yield self.row(*key, start[1], None, start[0], None, None, "expired")
                     start = None
                 if not stop:
                     start = (at, eid)
                 elif start is not None:
-                    yield self.row(key[0], start[1], eid, start[0], at, -((start[0] - at) // 1_000_000), None)  # whole seconds, up
+                    yield self.row(*key, start[1], eid, start[0], at, -((start[0] - at) // 1_000_000), None)  # whole seconds, up
                     start = None
                 else:
-                    yield self.row(key[0], None, eid, None, at, None, "stop_without_start")
+                    yield self.row(*key, None, eid, None, at, None, "stop_without_start")
         ends = [] if left is None else [self._end(left)]
         if start is not None and self.expiry_us is not None:
             over = self._end(self._slot(start[0] + self.expiry_us))
             if over <= now:  # all events up to there are replayed
-                yield self.row(key[0], start[1], None, start[0], None, None, "expired")
+                yield self.row(*key, start[1], None, start[0], None, None, "expired")
                 start = None
             else:
                 ends.append(over)
@@ -143,16 +145,17 @@ def pair_timers_stream(events: DataFrame, start_value: str = "click", stop_value
     come out once the watermark has passed the slot of their last event.  The
     session's state store becomes RocksDB, which this kind of state asks for."""
     ev = (events.filter(F.col(kind_col).isin(start_value, stop_value))
-          .select(key, F.col(id_col).cast("long").alias("id"), F.col(ts_col).cast("timestamp").alias("ts"),
+          .select(F.col(key).isNotNull().alias("has_key"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(ts_col).cast("timestamp").alias("ts"),
                   (F.col(kind_col) == stop_value).alias("is_stop"))
-          .withColumn("us", F.unix_micros("ts")).withWatermark("ts", delay))
-    kind = dict(ev.dtypes)[key]
-    schema = f"{key} {kind}, start_id long, stop_id long, start_us long, stop_us long, seconds long, reason string"
+          .withColumn("us", F.coalesce(F.unix_micros("ts"), F.lit(NO_TIME))).withWatermark("ts", delay))
+    # the state's keys are never null: Python workers take rows of a null key for the next key's
+    kind = dict(events.dtypes)[key]
+    schema = "has_key boolean, key string, start_id long, stop_id long, start_us long, stop_us long, seconds long, reason string"
     expiry = None if expiry_seconds is None else expiry_seconds * 1_000_000
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    out = ev.groupBy(key).transformWithState(_Pairing(key, expiry, slot_ms), schema, "append", "EventTime")
-    return out.select(key, "start_id", "stop_id", F.timestamp_micros("start_us").alias("start_ts"),
-                      F.timestamp_micros("stop_us").alias("stop_ts"), "seconds", "reason")
+    out = ev.groupBy("has_key", "key").transformWithState(_Pairing(expiry, slot_ms), schema, "append", "EventTime")
+    at = lambda us: F.when(F.col(us) != NO_TIME, F.timestamp_micros(us))
+    return out.select(F.when(F.col("has_key"), F.col("key").cast(kind)).alias(key), "start_id", "stop_id", at("start_us").alias("start_ts"), at("stop_us").alias("stop_ts"), "seconds", "reason")
 
 
 def state_bytes(query) -> int:

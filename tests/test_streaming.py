@@ -175,7 +175,7 @@ def test_timers_make_no_data_frames_and_ring_once(spark, tmp_dir):
     for together in (1, timers.TOGETHER):
         timers.TOGETHER, kept = together, timers.TOGETHER
         try:
-            p = timers._Pairing("k", None, 1000)
+            p = timers._Pairing(None, 1000)
             p.slots = Slots({(s,): ([s], [s], [False]) for s in (7, 3, 5)})
             due, left = p._due(6000)
             assert ([*due], left) == ([[(3, 3, False)], [(5, 5, False)]], 7) and list(p.slots) == [(7,)]
@@ -183,3 +183,16 @@ def test_timers_make_no_data_frames_and_ring_once(spark, tmp_dir):
             assert ([*due], left) == ([[(7, 7, False)]], None) and not p.slots
         finally:
             timers.TOGETHER = kept
+
+
+def test_a_null_key_is_a_key_of_its_own(spark, tmp_dir):
+    t = datetime(2024, 1, 1)
+    rows = [(u * 10 + k, t + timedelta(minutes=3 * k + u), None if u == 3 else u, "purchase" if k % 2 else "click") for k in range(4) for u in range(8)]
+    got = [r for r in _run(spark, tmp_dir, [(i, x, -7 if u is None else u, k) for i, x, u, k in rows], [])]
+    schema = "event_id long, ts timestamp, user_id long, event_type string"
+    spark.createDataFrame([*rows, (10**9, datetime(2030, 1, 1), -1, "click")], schema).write.parquet(f"{tmp_dir}/in")
+    q = (pair_timers_stream(spark.readStream.schema(schema).parquet(f"{tmp_dir}/in")).writeStream.format("parquet").option("path", f"{tmp_dir}/out")
+         .option("checkpointLocation", f"{tmp_dir}/ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    rows = spark.read.parquet(f"{tmp_dir}/out").collect()
+    assert sorted((-7 if r.user_id is None else r.user_id, r.start_id, r.stop_id, r.seconds, "") for r in rows) == got
