@@ -19,6 +19,8 @@ from rankwise.operators.ranking import desc, rank_within
 
 # Document suffixes in priority order (pdf before docx before txt).
 DOCUMENT_SUFFIXES = ["pdf", "docx", "txt"]
+#: A scan with so many partitions for each core or more shares them out among this many tasks a core.
+SCAN_TASKS_PER_CORE = 32
 
 _JOB_RE = r"job_(\d+)/"
 _FOLDER_RE = r"^(.*job_\d+)/"
@@ -113,11 +115,15 @@ def scan_documents(spark: SparkSession, root: str, with_content: bool = True, jo
     ``job_description.*`` files; text documents decoded as UTF-8.
 
     ``jobs`` restricts the scan to the folders ``job_<n>`` below ``root``.
-    Files without a byte are not seen: Spark's file sources pass over them."""
+    Files without a byte are not seen: Spark's file sources pass over them.
+    Spark counts 4 MB for opening a file, so that a partition of small files
+    holds some 30 of them; a task takes many such partitions, one after the
+    other, so that the number of tasks does not grow with the files."""
     names = "{candidate_*,job_description}.{%s}" % ",".join(x for s in DOCUMENT_SUFFIXES for x in (s, s.upper()))
     paths = [f"{root.rstrip('/')}/job_{j}" for j in jobs] or [root]
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(paths)
-          .select("path", "length", *(["content"] if with_content else [])))
+          .select("path", "length", *(["content"] if with_content else []))
+          .coalesce(SCAN_TASKS_PER_CORE * spark.sparkContext.defaultParallelism))
     parsed = parse_paths(df)
     if with_content:
         parsed = parsed.withColumn("text", F.when(F.col("suffix") == "txt", F.decode("content", "UTF-8")))

@@ -29,6 +29,23 @@ def test_an_unfinished_file_is_not_scanned(spark, tmp_dir):
     assert [r.text for r in files.scan_documents(spark, tmp_dir).collect()] == ["whole"]
 
 
+def test_tasks_of_a_scan_do_not_grow_with_its_files(spark, tmp_dir):
+    """Every file is a partition of its own here; the tasks share the partitions out and no file is lost."""
+    most = files.SCAN_TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    n = most + 60
+    rows = spark.range(n).selectExpr("concat('job_', id % 3, '/applicants/candidate_', id, '.txt') AS path", "cast(id AS string) AS content")
+    sinks.write_files(rows, tmp_dir)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))
+    try:
+        for scan in (files.scan_documents(spark, tmp_dir), files.scan_documents(spark, tmp_dir, with_content=False)):
+            assert scan.rdd.getNumPartitions() <= most
+        got = {(r.candidate_no, r.text) for r in files.scan_documents(spark, tmp_dir).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert got == {(i, str(i)) for i in range(n)}
+
+
 def test_questionnaire_of_quotes_commas_and_blanks(spark, tmp_dir):
     wide = spark.createDataFrame([(1, "2025/05/02 10:00:00 AM GMT+1", 3, 'Ann "A" Berg', 2, 1), (0, "2025/05/02 9:00:00 AM GMT+1", None, None, 1, None)],
                                  "k int, at string, m int, p string, x int, y int")
