@@ -1,6 +1,7 @@
 """SimHash, suffix-array and substring dedup against brute force."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -186,3 +187,58 @@ def test_sliding_argmin_takes_the_leftmost():
 def test_word_hashes_do_not_depend_on_place():
     a, s, e = rolling.words(b" ab  cd\nab\tx")
     assert a[0] == a[2] != a[1] and s.tolist() == [1, 5, 8, 11] and e.tolist() == [3, 7, 10, 12]
+
+
+def _suffix_rows(chunks, each):
+    r = np.random.default_rng(8)
+    rows = []
+    for c in range(chunks):
+        lead, h = r.integers(0, 50, each).astype("<u4"), r.integers(0, 3 * each, each).astype("<u8") << np.uint64(40)
+        o = np.lexsort((h, lead))
+        rows.append((0, c, lead[o].tobytes(), h[o].tobytes(), bytes(4 * each) + np.packbits(r.random(each) < 0.01).tobytes()))
+    return suffix_dedup.ex.sent(rows)
+
+
+def _stretch_rows(chunks, each):
+    r = np.random.default_rng(9)
+    rows = []
+    for c in range(chunks):
+        gram, u1 = np.sort(r.integers(0, 2 * each, each).astype("<u8") << np.uint64(40)), r.integers(0, 2, each).astype("<u8")
+        rows.append((0, c, gram.tobytes(), u1.tobytes(), bytes(4 * each) + r.integers(1, 3, each).astype(np.uint8).tobytes()))
+    return suffix_dedup.ex.sent(rows)
+
+
+@pytest.mark.parametrize("kind", ["suffix", "stretch"])
+def test_a_bucket_is_compared_in_parts(monkeypatch, kind):
+    """The parts find what the whole bucket finds, in a memory that the bucket's size hardly changes."""
+    step, rows = (suffix_dedup._suffix_bucket, _suffix_rows) if kind == "suffix" else (suffix_dedup._stretch_bucket, _stretch_rows)
+
+    def found(t):
+        flat = Counter()
+        for row in step(t).to_pylist():
+            a, b = np.frombuffer(row["a"], "<u8"), np.frombuffer(row["b"], "<u4" if kind == "suffix" else "<u8")
+            flat.update(zip([row["chunk"]] * len(a), a.tolist(), b.tolist(), row["c"][4 * len(a):] if row["c"] else [0] * len(a), strict=True))
+        return flat
+
+    t = rows(40, 333)
+    whole = found(t)
+    monkeypatch.setattr(suffix_dedup, "PART", 500, raising=False)
+    assert found(t) == whole and len(whole) > 100
+    monkeypatch.setattr(suffix_dedup, "PART", 1 << 15, raising=False)
+    peaks = []
+    for chunks in (20, 80):
+        t = rows(chunks, 20_000)
+        tracemalloc.start()
+        out = step(t).nbytes
+        peaks.append(tracemalloc.get_traced_memory()[1] - 2 * out)
+        tracemalloc.stop()
+    assert peaks[1] < 3 * t.nbytes
+
+
+def test_suffix_buckets_grow_with_the_chunks(spark, monkeypatch):
+    """A chunk may send more bytes of suffixes than it has text."""
+    asked = []
+    monkeypatch.setattr(suffix_dedup.ex, "chunked", lambda rows: (rows.selectExpr("*", "0L AS uid", "0 AS chunk"), 1800))
+    monkeypatch.setattr(suffix_dedup, "_sampled_splitters", lambda rows, length, buckets: asked.append(buckets) or [])
+    suffix_dedup.dedup(frame(spark, [(1, "x")]))
+    assert asked == [900]
