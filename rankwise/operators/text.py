@@ -9,7 +9,9 @@ joins against small dimension tables with a fixed, proven size.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import math
+import zlib
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -262,32 +264,157 @@ def redact(docs: DataFrame, text_col: str, rules: Sequence[tuple[str, str]]) ->
     return docs.select("*", cur.alias("redacted"), *hits)
 
 
+#: Characters of a rule by which its places are looked for (the first depth whose tree is small enough counts), and nodes of that tree.
+RULE_DEPTHS, RULE_NODES = (16, 8, 6, 4, 3, 2, 1), 50_000
+
+
+def _rule_tree(olds: Sequence[str], depth: int, most: float) -> dict | None:
+    """The first ``depth`` characters of the rules as a tree of dicts (key "" where one ends), if it has at most ``most`` nodes."""
+    root: dict = {}
+    n = 0
+    for old in olds:
+        at = root
+        for c in old[:depth]:
+            n += c not in at
+            at = at.setdefault(c, {})
+        at[""] = {}
+        if n > most:
+            return None
+    return root
+
+
+def _plain(text: str) -> str:
+    """A regular expression for the text itself."""
+    return "".join(c if c.isascii() and c.isalnum() else f"\\x{{{ord(c):x}}}" for c in text)
+
+
+def _tree_pattern(node: dict) -> str:
+    """A regular expression for the longest way down the tree."""
+    last = "".join(_plain(c) for c, x in node.items() if c and not any(x))
+    ways = [_plain(c) + _tree_pattern(x) for c, x in node.items() if c and any(x)] + ([f"[{last}]" if len(last) > 1 else last] if last else [])
+    if not ways:
+        return ""
+    return (ways[0] if len(ways) == 1 and "" not in node else f"(?:{'|'.join(ways)})") + ("?" if "" in node else "")
+
+
+def _character_class(text: str) -> str:
+    """A regular expression for the characters of the text, as ranges (few, so that some may hold more)."""
+    codes = sorted(set(map(ord, text)))
+    cuts = sorted(sorted(range(1, len(codes)), key=lambda i: codes[i] - codes[i - 1])[-15:])
+    return "[" + "".join(f"\\x{{{codes[i]:x}}}-\\x{{{codes[j - 1]:x}}}" for i, j in zip([0, *cuts], [*cuts, len(codes)], strict=True)) + "]"
+
+
+def _made_by_rules(rules: Sequence[tuple[str, str]]) -> list[int]:
+    """Rules whose text may come about by what rules write: it holds an end of a written text, or begins inside one."""
+    news = {new for _, new in rules}
+    ends = {c for new in news for c in new[:1] + new[-1:]}
+    inside = {new[i:i + k] for new in news for k in range(1, 5) for i in range(len(new) - k + 1)}
+    return [i for i, (old, _) in enumerate(rules) if ("" in news and len(old) > 1) or old[:4] in inside or not ends.isdisjoint(old)]
+
+
+def _rules_to_try(rules: Sequence[tuple[str, str]]) -> tuple[Callable[[Column], Column], int]:
+    """What gives the numbers of the rules whose text may occur in a text when their turn comes, in order; how many
+    of them are tried with every text.
+
+    One search through the text finds, at each of its positions, the longest
+    beginning of a rule; a table by that beginning's checksum has the rules
+    that begin so.  Rules whose text may come about later are always tried.
+    """
+    always = _made_by_rules(rules)
+    listed = F.from_json(F.lit(json.dumps(always)), "array<int>")
+    searched = sorted(set(range(len(rules))) - set(always))
+    if not searched:
+        return lambda _: listed, len(always)
+    olds = [rules[i][0] for i in searched]
+    depth, tree = next((d, t) for d in RULE_DEPTHS if (t := _rule_tree(olds, d, RULE_NODES if d > 1 else math.inf)) is not None)
+    begun: dict[str, list[int]] = {}
+    for i, old in zip(searched, olds, strict=True):
+        begun.setdefault(old[:depth], []).append(i)
+    size = 2 * len(begun)
+    rows: list[list] = [[] for _ in range(size)]
+    for piece in begun:
+        found = [i for k in range(1, len(piece) + 1) for i in begun.get(piece[:k], [])]
+        rows[zlib.crc32(piece.encode()) % size].append({"p": piece, "r": found})
+    table = F.from_json(F.lit(json.dumps(rows)), "array<array<struct<p: string, r: array<int>>>>")
+    head = f"(?={_character_class(''.join(begun))}{{{min(map(len, begun))}}})"  # most positions fail by that
+    pattern = F.lit(f"{head}(?=({_tree_pattern(tree)}))")
+
+    def row(piece: Column) -> Column:
+        same = F.filter(F.get(table, (F.crc32(piece) % size).cast("int")), lambda e: e["p"] == piece)
+        return F.coalesce(F.get(same, F.lit(0))["r"], F.array().cast("array<int>"))
+
+    def to_try(text: Column) -> Column:
+        found = F.flatten(F.transform(F.array_distinct(F.regexp_extract_all(text, pattern, F.lit(1))), row))
+        return F.sort_array(F.array_union(found, listed) if always else F.array_distinct(found))
+    return to_try, len(always)
+
+
+#: Characters of a piece of text at least, and of it for each rule that every piece is tried with.
+PIECE, PIECE_A_RULE = 64, 8
+
+
+def _text_pieces(text: Column, rules: Sequence[tuple[str, str]], least: int) -> Column:
+    """The text cut where no rule's text can lie across: a piece is ``least`` characters and what follows of characters
+    that rules replace (or of a few ranges with all of them).  Other characters stay as they are whatever is replaced."""
+    some = _character_class("".join(old for old, _ in rules))
+    whole = F.when(text.isNotNull(), F.array(text))
+    return F.when(F.is_valid_utf8(text), F.regexp_extract_all(text, F.lit(f"(?s).{{{least}}}{some}*+|.+"), F.lit(0))).otherwise(whole)
+
+
+def _hits_by_rule(hits: Column) -> Column:
+    """Sums of ``(rule_no, n)`` by rule, in order."""
+    one = lambda acc: F.array(F.struct(acc["rule_no"].alias("rule_no"), acc["n"].alias("n")))
+    state = "struct<done: array<struct<rule_no: int, n: bigint>>, rule_no: int, n: bigint>"
+
+    def step(acc: Column, hit: Column) -> Column:
+        same = F.struct(acc["done"].alias("done"), acc["rule_no"].alias("rule_no"), (acc["n"] + hit["n"]).alias("n"))
+        other = F.struct(F.concat(acc["done"], one(acc)).alias("done"), hit["rule_no"].alias("rule_no"), hit["n"].alias("n"))
+        return F.when(acc["rule_no"] == hit["rule_no"], same.cast(state)).otherwise(other.cast(state))
+    start = F.struct(F.array().alias("done"), F.lit(-1).alias("rule_no"), F.lit(0).alias("n")).cast(state)
+    return F.aggregate(F.sort_array(hits), start, step, lambda acc: F.filter(F.concat(acc["done"], one(acc)), lambda h: h["rule_no"] >= 0))
+
+
 def redact_by_rules(docs: DataFrame, text_col: str, rules: Sequence[tuple[str, str]]) -> DataFrame:
     """X18 for rule lists of any length: the rules are data, one constant array that a fold goes through, so that the
     plan doesn't grow with them.
 
-    Each rule is tried only where its text occurs at that point (a plain
-    search).  Adds ``redacted`` and ``hits``, an array of ``(rule_no, n)`` in
-    order, of the rules that occur: non-overlapping places in the text as it is
-    when the rule applies.  A rule with an empty left side does nothing; a null
-    text stays null and has no hits.  Rules of more than ``MAX_RULE_BYTES`` are
-    an error.
+    A text is cut into pieces that no rule's text lies across, and a piece goes
+    through the rules whose beginning it holds and those whose text other rules
+    may write (``_rules_to_try``); each is tried only where its text occurs at
+    that point (a plain search).  Adds ``redacted`` and ``hits``, an array of
+    ``(rule_no, n)`` in order, of the rules that occur: non-overlapping places
+    in the text as it is when the rule applies.  A rule with an empty left side
+    does nothing; a null text stays null and has no hits.  Rules of more than
+    ``MAX_RULE_BYTES`` are an error.
     """
     size = sum(len(old.encode()) + len(new.encode()) for old, new in rules)
     if size > MAX_RULE_BYTES:
         raise ValueError(f"{size} bytes of replacement rules, at most {MAX_RULE_BYTES} are taken")
-    listed = json.dumps([{"rule_no": i, "old": old, "new": new} for i, (old, new) in enumerate(rules) if old])
+    used = [(i, old, new) for i, (old, new) in enumerate(rules) if old]
+    hits_type = "array<struct<rule_no: int, n: bigint>>"
+    text = F.col(text_col).cast("string")
+    if not used:
+        return docs.select("*", text.alias("redacted"), F.array().cast(hits_type).alias("hits"))
+    listed = json.dumps([{"rule_no": i, "old": old, "new": new} for i, old, new in used])
     table = F.from_json(F.lit(listed), "array<struct<rule_no: int, old: string, new: string>>")
-    state = "struct<t: string, hits: array<struct<rule_no: int, n: bigint>>>"
+    state = f"struct<t: string, hits: {hits_type}>"
 
     def step(acc: Column, rule: Column) -> Column:
-        n = ((F.length(acc["t"]) - F.length(F.replace(acc["t"], rule["old"], F.lit("")))) / F.length(rule["old"])).cast("bigint")
+        t, old = acc["t"], rule["old"]
+        n = ((F.octet_length(t) - F.octet_length(F.replace(t, old, F.lit("")))) / F.octet_length(old)).cast("bigint")
         hit = F.array(F.struct(rule["rule_no"].alias("rule_no"), n.alias("n")))
-        after = F.struct(F.replace(acc["t"], rule["old"], rule["new"]).alias("t"), F.concat(acc["hits"], hit).alias("hits")).cast(state)
-        return F.when(F.contains(acc["t"], rule["old"]), after).otherwise(acc)
-    start = F.struct(F.col(text_col).cast("string").alias("t"), F.array().alias("hits")).cast(state)
-    folded = docs.withColumn("_folded", F.aggregate(table, start, step))
-    return folded.select(*docs.columns, F.col("_folded.t").alias("redacted"), F.col("_folded.hits").alias("hits"))
+        after = F.struct(F.replace(t, old, rule["new"]).alias("t"), F.concat(acc["hits"], hit).alias("hits")).cast(state)
+        return F.when(F.contains(t, old), after).otherwise(acc)
+
+    def redacted(piece: Column) -> Column:
+        start = F.struct(piece.alias("t"), F.array().alias("hits")).cast(state)
+        return F.aggregate(F.transform(to_try(piece), lambda i: F.get(table, i)), start, step)
+    plain = [r[1:] for r in used]
+    to_try, always = _rules_to_try(plain)
+    pieces = _text_pieces(text, plain, max(PIECE, PIECE_A_RULE * always))
+    folded = docs.withColumn("_folded", F.transform(pieces, redacted))
+    hits = F.coalesce(_hits_by_rule(F.flatten("_folded.hits")), F.array().cast(hits_type))
+    return folded.select(*docs.columns, F.array_join("_folded.t", "").alias("redacted"), hits.alias("hits"))
 
 
 def strip_links(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -136,6 +136,51 @@ def test_five_thousand_rules_equal_the_chain(spark):
     assert same.where(~F.col("redacted").eqNullSafe(F.col("again"))).count() == 0
 
 
+def _chained(text, rules):
+    hits = []
+    for i, (old, new) in enumerate(rules):
+        if text is not None and old and old in text:
+            hits.append((i, text.count(old)))
+            text = text.replace(old, new)
+    return text, hits
+
+
+@pytest.mark.parametrize("kind", ["words", "made", "signs", "scattered"])
+def test_a_text_meets_only_the_rules_it_may_need(spark, monkeypatch, kind):
+    """Pieces of a text and the search for rules change no row; a text with few of the rules' texts tries few."""
+    import random
+    r = random.Random(kind)
+    word = lambda n, letters="aeinort": "".join(r.choice(letters) for _ in range(n))
+    if kind == "signs":
+        rules = [(word(r.randint(1, 3), "a.$\\[]é\U0001F600\u4e2d(|\t-^"), word(2, "XY$\\1")) for _ in range(60)]
+    elif kind == "scattered":
+        rules = [("".join(chr(r.randrange(0x4e00, 0x9fff)) for _ in range(2)), "#") for _ in range(300)]
+    else:
+        rules = [(w, f"[{word(4, 'eafb019')}]") for w in sorted({word(r.randint(3, 7)) for _ in range(400)})]
+        rules += [("face", "x"), ("[face]", "made"), ("madex", "")] if kind == "made" else []
+        rules[:0] = [("tone", "[face]")] if kind == "made" else []
+    olds = [old for old, _ in rules]
+    texts = [None, "", "zz zz", "QQQ", *[" ".join(r.choice(olds) + word(r.randrange(3), "aex") for _ in range(60)) for _ in range(30)], "".join(olds)]
+    texts += [(t or "")[::-1] for t in texts] + ["tone " * 90 + "tonex"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for piece, depths in ((tx.PIECE, tx.RULE_DEPTHS), (5, (2, 1))):
+        monkeypatch.setattr(tx, "PIECE", piece)
+        monkeypatch.setattr(tx, "RULE_DEPTHS", depths)
+        for row in tx.redact_by_rules(docs, "text", rules).collect():
+            assert (row.redacted, [tuple(h) for h in row.hits]) == _chained(texts[row.id], rules)
+    monkeypatch.undo()
+    to_try, always = tx._rules_to_try(rules)
+    tried = {x.id: x.k for x in docs.select("id", to_try(F.col("text")).alias("k")).collect()}
+    assert len(tried[2]) == len(tried[3]) == always and (kind in ("made", "signs") or always < 9)
+    assert all(k for i, k in tried.items() if any(old in (texts[i] or "") for old in olds))
+
+
+def test_a_broken_character_stays(spark):
+    docs = spark.range(1).select(F.expr("CAST(concat(CAST('tone ' AS BINARY), X'E282', CAST(' tone' AS BINARY)) AS STRING)").alias("text"))
+    row = tx.redact_by_rules(docs, "text", [("tone", "T")]).select(F.hex("redacted").alias("h"), "hits").first()
+    assert row.h == (b"T \xe2\x82 T").hex().upper() and [tuple(h) for h in row.hits] == [(0, 2)]
+
+
 def test_no_rules_and_too_many(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "x")], "id int, text string")
     assert [(r.redacted, r.hits) for r in tx.redact_by_rules(docs, "text", []).collect()] == [("x", [])]
