@@ -10,11 +10,13 @@ group is cut into cells at quantiles of its order:
    group meets its bounds, so beyond ``FEW`` of them cells grow instead, up to
    ``FULL_CELL`` sampled rows, which a task still sorts with ease; only then
    bounds are added again (``MOST`` at most).  A small group has none;
-2. a row's cell is the number of bounds before it, searched in two steps.  Bounds
+2. a row's cell is the number of bounds before it, searched by halves.  Bounds
    are whole tuples of order keys, so neither an outlier nor a pile of ties in
    the leading keys fills a cell, whatever the keys' types are;
-3. rows are numbered inside a cell, and a running sum over the cells' counts
-   (a small table, of cut groups only) gives the offset.
+3. the rows of each cell are counted, and a running sum over the cells' counts
+   goes with the bounds to the rows.  That table has the ``GROUPS`` largest groups
+   (the next one holds less than that part of the rows, and stays whole), so
+   it is broadcast: rows move once, to their cell, where they are numbered.
 
 Which rows are sampled depends on their keys alone, so every branch of a plan
 sees the same cells.  No size guard, no checkpoint, no value on the driver.
@@ -39,21 +41,22 @@ SAMPLE, PER_CELL, MOST = 1024, 8, 4095
 FEW, FULL_CELL = 63, 2048
 #: Parts that a group's sampled rows are dealt into, and keys that each part passes on.
 PARTS, PART_KEYS = 64, 512
-#: Copies of a group's row in the table of bounds, so that a hot group's join is dealt over tasks.
-SALTS = 16
+#: Groups that are cut at most.
+GROUPS = 4096
 
 
 class Key(NamedTuple):
     expr: Column
     descending: bool
+    name: str | None = None
 
 
 def desc(key: str | Column) -> Key:
-    return Key(F.col(key) if isinstance(key, str) else key, True)
+    return Key(F.col(key), True, key) if isinstance(key, str) else Key(key, True)
 
 
 def asc(key: str | Column) -> Key:
-    return Key(F.col(key) if isinstance(key, str) else key, False)
+    return Key(F.col(key), False, key) if isinstance(key, str) else Key(key, False)
 
 
 def _null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], how: str) -> DataFrame:
@@ -78,7 +81,7 @@ def _before(x: Column, y: Column, keys: list[Key]) -> Column:
 
 
 def _bounds(rows: DataFrame, groups: list[str], keys: list[Key]) -> DataFrame:
-    """``_rk_bounds`` of the groups that are cut."""
+    """``_rk_bounds`` of the groups that are cut, and ``_rk_rows``, their sampled rows."""
     names = [f"_rk_o{i}" for i in range(len(keys))]
 
     def in_order(tuples: Column) -> Column:
@@ -90,63 +93,60 @@ def _bounds(rows: DataFrame, groups: list[str], keys: list[Key]) -> DataFrame:
     n = F.size("_rk_t")
     every = F.ceil(n / PART_KEYS)
     dealt = dealt.select(*groups, n.alias("_rk_n"), F.filter("_rk_t", lambda x, i: i % every == 0).alias("_rk_t"))
-    whole = dealt.groupBy(*groups).agg(F.flatten(F.collect_list("_rk_t")).alias("_rk_t"), F.sum("_rk_n").alias("_rk_n"))
+    whole = dealt.groupBy(*groups).agg(F.flatten(F.collect_list("_rk_t")).alias("_rk_t"), F.sum("_rk_n").alias("_rk_n")).withColumn("_rk_rows", F.col("_rk_n"))
     n = F.greatest(F.least(F.lit(FEW), F.floor(F.col("_rk_n") / PER_CELL)), F.floor(F.col("_rk_n") / FULL_CELL))
     whole = whole.withColumn("_rk_n", F.least(F.lit(MOST), n).cast("int")).where("_rk_n > 0")
     whole = whole.withColumn("_rk_t", in_order(F.col("_rk_t")))
     at = lambda j: F.get("_rk_t", F.floor(j * F.size("_rk_t") / (F.col("_rk_n") + 1)).cast("int"))
-    return whole.select(*groups, F.transform(F.sequence(F.lit(1), F.col("_rk_n")), at).alias("_rk_bounds"))
-
-
-def _in_blocks(bounds: DataFrame, groups: list[str]) -> DataFrame:
-    """The bounds in blocks of their number's square root, and each block's first, for a search in two steps."""
-    bounds = bounds.withColumn("_rk_m", F.ceil(F.sqrt(F.size("_rk_bounds"))).cast("int"))
-    starts = F.sequence(F.lit(1), F.size("_rk_bounds"), F.col("_rk_m"))
-    bounds = bounds.select(*groups, "_rk_m", F.transform(starts, lambda i: F.slice("_rk_bounds", i, F.col("_rk_m"))).alias("_rk_blocks"))
-    return bounds.withColumn("_rk_heads", F.transform("_rk_blocks", lambda b: F.get(b, F.lit(0))))
+    return whole.select(*groups, "_rk_rows", F.transform(F.sequence(F.lit(1), F.col("_rk_n")), at).alias("_rk_bounds"))
 
 
 def _cell(keys: list[Key]) -> Column:
-    """Number of bounds before the row (0 in a group that isn't cut)."""
-    row = F.struct(*[f"_rk_o{i}" for i in range(len(keys))])
-
-    def count(bounds: Column) -> Column:
-        return F.size(F.filter(bounds, lambda b: _before(b, row, keys)))
+    """Number of bounds before the row."""
+    row = F.struct(*[k.expr.alias(f"_rk_o{i}") for i, k in enumerate(keys)])
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(MOST.bit_length()))])
 
-    at = count(F.col("_rk_heads")) - 1
-    found = F.transform(F.array(at), lambda h: F.when(h < 0, 0).otherwise(h * F.col("_rk_m") + count(F.get("_rk_blocks", h))))
-    return F.when(F.col("_rk_m").isNull(), 0).otherwise(F.get(found, F.lit(0)))
+    def step(at: Column, by: Column) -> Column:
+        return F.when((at + by <= F.size("_rk_bounds")) & _before(F.get("_rk_bounds", at + by - 1), row, keys), at + by).otherwise(at)
+    return F.aggregate(steps, F.lit(0), step)
 
 
-def _in_cells(df: DataFrame, by: list[str], keys: list[Key]) -> tuple[DataFrame, list[str], list[str]]:
-    """``df`` with group columns, ``_rk_cut`` (whether the group is cut) and the cell; names of group and cell columns."""
-    rows = df.withColumns({f"_rk_o{i}": k.expr for i, k in enumerate(keys)})
+def _in_cells(df: DataFrame, by: list[str], keys: list[Key], value: Column | None = None) -> tuple[DataFrame, list[str], list[str]]:
+    """``df`` with group columns, the cell (0 in a group that isn't cut) and ``_rk_off``, the sum of ``value`` (or the count)
+    over the group's cells before it; names of group and cell columns."""
     groups = by or ["_rk_all"]
     if not by:
-        rows = rows.withColumn("_rk_all", F.lit(0))
-    bounds = _in_blocks(_bounds(rows, groups, keys), groups).withColumnsRenamed({g: f"_rk_b{j}" for j, g in enumerate(groups)}).withColumn(
-        "_rk_bs", F.explode(F.array(*[F.lit(s) for s in range(SALTS)])))
-    rows = rows.withColumn("_rk_salt", F.pmod(F.xxhash64(*[f"_rk_o{i}" for i in range(len(keys))]), F.lit(SALTS)).cast("int"))
-    rows = _null_safe(rows, bounds, [*[(g, f"_rk_b{j}") for j, g in enumerate(groups)], ("_rk_salt", "_rk_bs")], "left")
-    rows = rows.withColumn("_rk_cell", _cell(keys)).withColumn("_rk_cut", F.col("_rk_m").isNotNull()).drop(
-        "_rk_m", "_rk_blocks", "_rk_heads", "_rk_salt")
-    return rows, groups, ["_rk_cell"]
+        # always 0, but no constant: a join by a constant would become a nested loop
+        df = df.withColumn("_rk_all", F.pmod(F.xxhash64(keys[0].expr), F.lit(1)).cast("int"))
+    keyed = df.select(*groups, *[k.expr.alias(f"_rk_o{i}") for i, k in enumerate(keys)])
+    bounds = _bounds(keyed, groups, keys)
+    size = F.size("_rk_bounds")
+    bounds = bounds.orderBy(F.desc("_rk_rows"), *groups).limit(GROUPS).drop("_rk_rows").withColumnsRenamed({g: f"_rk_b{j}" for j, g in enumerate(groups)})
+    pairs = [(g, f"_rk_b{j}") for j, g in enumerate(groups)]
+    valued = df.withColumn("_rk_v", F.lit(1).cast("bigint") if value is None else value)
+    counted = _null_safe(valued, F.broadcast(bounds), pairs, "inner").withColumn("_rk_cell", _cell(keys))
+    counted = counted.groupBy(*groups, "_rk_cell").agg(F.sum("_rk_v").alias("_rk_n"))
+    counted = counted.groupBy(*[F.col(g).alias(f"_rk_c{j}") for j, g in enumerate(groups)]).agg(F.collect_list(F.struct("_rk_cell", "_rk_n")).alias("_rk_n"))
+    table = _null_safe(bounds, counted, [(b, f"_rk_c{j}") for j, (_, b) in enumerate(pairs)], "left")
+    before = lambda c: F.aggregate(F.filter("_rk_n", lambda x: x["_rk_cell"] < c), F.lit(0).cast("bigint"), lambda acc, x: acc + x["_rk_n"])
+    table = table.select(*[b for _, b in pairs], "_rk_bounds", F.transform(F.sequence(F.lit(0), size), before).alias("_rk_offs"))
+    rows = _null_safe(df, F.broadcast(table), pairs, "left")
+    rows = rows.withColumn("_rk_cell", F.when(F.col("_rk_bounds").isNull(), 0).otherwise(_cell(keys)))
+    rows = rows.withColumn("_rk_off", F.coalesce(F.get("_rk_offs", F.col("_rk_cell")), F.lit(0).cast("bigint")))
+    return rows.drop("_rk_bounds", "_rk_offs"), groups, ["_rk_cell"]
 
 
 def _running(df: DataFrame, by: Sequence[str], order: Sequence, value: Column | None, name: str) -> DataFrame:
     """Sum of ``value`` (or the count) over the rows before each row, per group."""
-    by = list(by)
     keys = [k if isinstance(k, Key) else asc(k) for k in order]
-    rows, groups, cells = _in_cells(df.withColumn("_rk_v", F.lit(1).cast("bigint") if value is None else value.cast("bigint")), by, keys)
-    sort = [F.col(f"_rk_o{i}").desc() if k.descending else F.col(f"_rk_o{i}").asc() for i, k in enumerate(keys)]
-    inside = Window.partitionBy(*groups, *cells).orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.where("_rk_cut").groupBy(*groups, *cells).agg(F.sum("_rk_v").alias("_rk_n"))
-    before = Window.partitionBy(*groups).orderBy(*cells).rowsBetween(Window.unboundedPreceding, -1)
-    names = {c: f"_rk_j{j}" for j, c in enumerate([*groups, *cells])}
-    offsets = sums.withColumn("_rk_off", F.coalesce(F.sum("_rk_n").over(before), F.lit(0))).drop("_rk_n").withColumnsRenamed(names)
-    rows = rows.withColumn("_rk_in", F.coalesce(F.sum("_rk_v").over(inside), F.lit(0)))
-    rows = _null_safe(rows, offsets, list(names.items()), "left")
-    return rows.select(*df.columns, (F.coalesce("_rk_off", F.lit(0)) + F.col("_rk_in")).alias(name))
+    own = {f"_rk_k{i}": k.expr for i, k in enumerate(keys) if k.name is None}
+    keys = [k if k.name else Key(F.col(f"_rk_k{i}"), k.descending) for i, k in enumerate(keys)]
+    value = None if value is None else value.cast("bigint")
+    rows, groups, cells = _in_cells(df.withColumns(own) if own else df, list(by), keys, value)
+    inside = Window.partitionBy(*groups, *cells).orderBy(*[k.expr.desc() if k.descending else k.expr.asc() for k in keys])
+    before = F.row_number().over(inside) - 1 if value is None else F.coalesce(F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("_rk_in", before.cast("bigint"))
+    return rows.select(*df.columns, (F.col("_rk_off") + F.col("_rk_in")).alias(name))
 
 
 def rank_within(df: DataFrame, by: Sequence[str], order: Sequence, name: str = "place") -> DataFrame:

@@ -101,3 +101,20 @@ def test_a_row_meets_few_bounds_however_large_its_group(spark, monkeypatch):
     for n, want in ((400, 50), (3000, ranking.FEW), (20_000, 400)):
         df = spark.range(n).select(F.lit(1).alias("g"), "id", F.col("id").alias("_rk_o0"))
         assert len(ranking._bounds(df, ["g"], [ranking.asc("id")]).first()._rk_bounds) == want
+
+
+def test_rows_move_once_for_each_order(spark, monkeypatch):
+    """Bounds and sums come to the rows, which move to their cells and nowhere else; groups beyond the largest stay whole."""
+    df = spark.range(4000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 5003).alias("v"), "id")
+    out = prefix_count(rank_within(df, ["g"], [desc("v"), "id"]), ["g"], ["v", "id"], F.col("id") % 2 == 0, "c")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    rows = plan[:plan.index("Range (")]  # a node's first child follows it, so these are the nodes that the rows go through
+    assert rows.count("Exchange") == 2 and "SortMergeJoin" not in rows
+    monkeypatch.setattr(ranking, "SAMPLE", 1)
+    monkeypatch.setattr(ranking, "GROUPS", 2)
+    many = df.withColumn("g", F.when(F.col("id") < 2000, 1).when(F.col("id") < 3500, 5).otherwise(F.col("id") % 4))
+    cut = ranking._in_cells(many, ["g"], [desc("v"), ranking.asc("id")])[0].groupBy("g").agg(F.max("_rk_cell").alias("c")).collect()
+    assert {r.g for r in cut if r.c > 0} == {1, 5}
+    got = rank_within(many, ["g"], [desc("v"), "id"])
+    want = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("v"), "id"))
+    assert got.withColumn("want", want).where("place <> want").count() == 0
